@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from . import op1_jaccard_join
+from . import op1_jaccard_join, op2_quality_rules, op4_sharding, op5_chat_preference, op6_mixing, op9_decontamination
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join.query,
+    "op2_quality_rules": op2_quality_rules.query,
+    "op4_sharding": op4_sharding.query,
+    "op5_chat_preference": op5_chat_preference.query,
+    "op6_mixing": op6_mixing.query,
+    "op9_decontamination": op9_decontamination.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": op2_quality_rules.ORACLE,
+    "op4_sharding": op4_sharding.ORACLE,
+    "op5_chat_preference": op5_chat_preference.ORACLE,
+    "op6_mixing": op6_mixing.ORACLE,
+    "op9_decontamination": op9_decontamination.ORACLE,
+}
