@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -71,20 +70,17 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
 
 def admit_budget(resources: DataFrame, item: int, total: int, count: int) -> DataFrame:
     """(page_id, n, bytes, reason): greedy admission in order; what is left out uses no budget, so this isn't a prefix
-    sum. A group is one page's resources, which a capture caps by count."""
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("n")
-        used = taken = 0
-        reasons = []
-        for b in frame["bytes"]:
-            reason = "too_large" if b > item else "too_many" if taken >= count else "over_total" if used + b > total else "admitted"
-            if reason == "admitted":
-                used, taken = used + b, taken + 1
-            reasons.append(reason)
-        return frame.assign(reason=reasons)[["page_id", "n", "bytes", "reason"]]
-
-    return resources.select("page_id", "n", "bytes").groupBy("page_id").applyInPandas(work, "page_id long, n long, bytes long, reason string")
+    sum but a fold over one page's resources, whose number a capture caps."""
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("taken"), F.array().cast("array<string>").alias("reasons"))
+
+    def step(acc, r):
+        reason = F.when(r["bytes"] > item, "too_large").when(acc["taken"] >= count, "too_many").when(acc["used"] + r["bytes"] > total, "over_total").otherwise("admitted")
+        ok = (r["bytes"] <= item) & (acc["taken"] < count) & (acc["used"] + r["bytes"] <= total)
+        return F.struct((acc["used"] + F.when(ok, r["bytes"]).otherwise(0)).alias("used"), (acc["taken"] + F.when(ok, 1).otherwise(0)).alias("taken"), F.concat(acc["reasons"], F.array(reason)).alias("reasons"))
+
+    pages = resources.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("n", "bytes"))).alias("items"))
+    pages = pages.withColumn("reasons", F.aggregate("items", start, step, lambda acc: acc["reasons"]))
+    return pages.select("page_id", F.inline(F.arrays_zip("items", "reasons"))).select("page_id", "items.n", "items.bytes", F.col("reasons").alias("reason"))
 
 
 def ancestor_pairs(nodes: DataFrame, most: int = 64) -> DataFrame:

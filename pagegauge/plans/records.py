@@ -68,7 +68,7 @@ QUERIES = {
     "critical_findings": lambda s, d: shown(D.critical_findings(mismatches(s, d))),
     "mismatch_preview": lambda s, d: shown(D.mismatch_preview(mismatches(s, d))),
     "retain_details": lambda s, d: shown(D.retain_details(mismatches(s, d), 2)),
-    "apply_approvals": lambda s, d: shown(D.apply_approvals(mismatches(s, d), rows(s, d, "approvals"))),
+    "apply_approvals": lambda s, d: shown(D.apply_approvals(mismatches(s, d), rows(s, d, "approvals")).fillna(-1, ["rule"]).fillna("", ["rationale"])),
     "admit_policy": lambda s, d: shown(D.admit_policy(D.apply_approvals(mismatches(s, d), rows(s, d, "approvals")).where("approved").select("rule", joined("fields").alias("fields"), "kind", "key", "rationale")), "violations"),
     "inventory_crosscheck": crosscheck,
     "primary_action": lambda s, d: D.primary_action(rows(s, d, "controls")),
@@ -134,7 +134,7 @@ ORACLES = {
     "critical_findings": _ALL + " SELECT * FROM mm WHERE kind IN ('missing', 'extra') OR list_has_any(string_split(fields, ','), ['required', 'visible', 'type', 'name', 'href'])",
     "mismatch_preview": _ALL + " SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY page_id, viewport, category, kind ORDER BY key) AS rn FROM mm) WHERE rn <= CASE WHEN kind = 'changed' THEN 20 ELSE 10 END",
     "retain_details": _ALL + " SELECT * EXCLUDE (rn), total > 2 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY page_id, viewport, category, kind ORDER BY key) AS rn, count(*) OVER (PARTITION BY page_id, viewport, category, kind) AS total FROM mm) WHERE rn <= 2",
-    "apply_approvals": _ALL + " " + _APPROVED,
+    "apply_approvals": _ALL + " SELECT * REPLACE (CAST(coalesce(rule, -1) AS INTEGER) AS rule, coalesce(rationale, '') AS rationale) FROM (" + _APPROVED + ")",
     "admit_policy": _ALL + f""" SELECT rule, violations FROM (SELECT rule, concat_ws(',', CASE WHEN fields NOT IN ('value_length', 'value_length,value_present', 'action', 'action,method', 'href', '') THEN 'unsafe_fields' END,
       CASE WHEN length(rationale) < 12 THEN 'short_rationale' END, CASE WHEN kind IN ('missing', 'extra') AND NOT starts_with(key, 'hidden') THEN 'unsafe_presence' END) AS violations FROM ({_APPROVED}) WHERE approved) WHERE violations <> ''""",
     "inventory_crosscheck": duck_with("links_cand", "headings") + """, a AS (SELECT page_id, len(regexp_extract_all(html, '<a ')) AS n_links, len(regexp_extract_all(html, '<h[1-6]')) AS n_headings FROM pages),

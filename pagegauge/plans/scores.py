@@ -104,8 +104,8 @@ ORACLES = {
     "diff_bbox": _P + " SELECT raster, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM q WHERE changed GROUP BY raster",
     "axis_counts": _P + " " + _AXES,
     "merge_bands": _P + " " + _BANDS,
-    "top_bands": _P + f" SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY raster, axis ORDER BY pixels DESC, start) AS rank FROM ({_BANDS})) WHERE rank <= 30",
-    "bands_to_elements": _P.replace("WITH RECURSIVE ", duck_with("rects") + ", ", 1) + f""" SELECT raster, axis, start, "end", n, area, rank FROM (SELECT b.*, e.n, e.w * e.h AS area, row_number() OVER (PARTITION BY b.raster, b.axis, b.start ORDER BY e.w * e.h, e.n) AS rank FROM ({_BANDS}) b
+    "top_bands": _P + f" SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY raster, axis ORDER BY pixels DESC, start) AS INTEGER) AS rank FROM ({_BANDS})) WHERE rank <= 30",
+    "bands_to_elements": _P.replace("WITH RECURSIVE ", duck_with("rects") + ", ", 1) + f""" SELECT raster, axis, start, "end", n, area, rank FROM (SELECT b.*, e.n, e.w * e.h AS area, CAST(row_number() OVER (PARTITION BY b.raster, b.axis, b.start ORDER BY e.w * e.h, e.n) AS INTEGER) AS rank FROM ({_BANDS}) b
       JOIN (SELECT page_id % 10 AS raster, page_id * 100 + n AS n, x % 64 AS x, y % 64 AS y, least(w % 20 + 1, 64) AS w, least(h % 20 + 1, 64) AS h FROM rects WHERE page_id % 97 = 0 OR page_id < 200) e
       ON e.raster = b.raster AND CASE WHEN b.axis = 'row' THEN e.y ELSE e.x END <= b."end" AND CASE WHEN b.axis = 'row' THEN e.y + e.h - 1 ELSE e.x + e.w - 1 END >= b.start) WHERE rank <= 8""",
     "union_area": duck_with("rects") + f"SELECT page_id, area, area / 2000000.0::DOUBLE AS coverage, area / 2000000.0::DOUBLE >= 0.8 AS alarm FROM ({_sweep('rects')})",
@@ -113,9 +113,14 @@ ORACLES = {
     "max_surface": duck_with("rects") + "SELECT page_id, max(w * h / 2000000.0::DOUBLE) AS largest FROM rects GROUP BY page_id",
     "mask_coverage": duck_with("rects_cand") + f""", a AS (SELECT * FROM rects WHERE kind = 'raster'), b AS (SELECT * FROM rects_cand WHERE kind = 'raster'), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
       SELECT u.page_id, u.area AS either, coalesce(a.area, 0) + coalesce(b.area, 0) - u.area AS "both" FROM ({_sweep('u')}) u LEFT JOIN ({_sweep('a')}) a USING (page_id) LEFT JOIN ({_sweep('b')}) b USING (page_id)""",
-    "top_surfaces": duck_with("rects") + "SELECT * FROM (SELECT page_id, n, w * h AS area, row_number() OVER (PARTITION BY page_id ORDER BY w * h DESC, n) AS rank FROM rects) WHERE rank <= 3",
+    "top_surfaces": duck_with("rects") + "SELECT * FROM (SELECT page_id, n, w * h AS area, CAST(row_number() OVER (PARTITION BY page_id ORDER BY w * h DESC, n) AS INTEGER) AS rank FROM rects) WHERE rank <= 3",
     "duplicates": duck_with("rects") + "SELECT page_id, x, y, count(*) AS copies FROM rects GROUP BY page_id, x, y HAVING count(*) > 1",
     "distinct_sets": duck_with("rects") + "SELECT page_id, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, count(DISTINCT (w, h)) AS n_sizes FROM rects GROUP BY page_id",
+    "admit_budget": duck_with("rects") + """, g AS (SELECT page_id, n, bytes, row_number() OVER (PARTITION BY page_id ORDER BY n) AS i FROM rects), walk AS (
+      SELECT page_id, 0::BIGINT AS n, 0::BIGINT AS bytes, 0::BIGINT AS i, 0::BIGINT AS used, 0 AS taken, '' AS reason FROM (SELECT DISTINCT page_id FROM g)
+      UNION ALL SELECT g.page_id, g.n, g.bytes, g.i, used + CASE WHEN g.bytes <= 60000 AND taken < 4 AND used + g.bytes <= 120000 THEN g.bytes ELSE 0 END, taken + CASE WHEN g.bytes <= 60000 AND taken < 4 AND used + g.bytes <= 120000 THEN 1 ELSE 0 END,
+      CASE WHEN g.bytes > 60000 THEN 'too_large' WHEN taken >= 4 THEN 'too_many' WHEN used + g.bytes > 120000 THEN 'over_total' ELSE 'admitted' END FROM walk JOIN g ON g.page_id = walk.page_id AND g.i = walk.i + 1)
+      SELECT page_id, n, bytes, reason FROM walk WHERE i > 0""",
     "effective_visibility": duck_with("nodes") + """, up(node, ancestor) AS (SELECT node, node FROM nodes UNION ALL SELECT up.node, n.parent FROM up JOIN nodes n ON n.node = up.ancestor WHERE n.parent IS NOT NULL AND n.parent IN (SELECT node FROM nodes))
       SELECT up.node, product(opacity) AS opacity, NOT bool_or(hidden) AND product(opacity) > 0.001 AND max(clip_from) < min(clip_to) AS visible FROM up JOIN nodes a ON a.node = up.ancestor GROUP BY up.node""",
     "css_closure": duck_with("nodes") + """, walk(node, depth) AS (SELECT node, 0 FROM nodes WHERE node % 50 = 1 UNION SELECT n.node, depth + 1 FROM walk JOIN nodes n ON n.parent = walk.node) SELECT node, min(depth) AS depth FROM walk GROUP BY node""",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import records, scores
+from .plans import audits, records, scores
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _plan in (records, scores):
+for _plan in (records, scores, audits):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
