@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import audits, records, scores
+from .plans import audits, records, scores, streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _plan in (records, scores, audits):
+for _plan in (records, scores, audits, streams):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES

@@ -31,9 +31,9 @@ CONTRACT = T.StructType(
 )
 
 
-def load_contracts(spark: SparkSession, glob: str, schema: T.StructType = CONTRACT) -> DataFrame:
+def load_contracts(spark: SparkSession, glob: str, schema: T.StructType = CONTRACT, multi_line: bool = True) -> DataFrame:
     """One row per contract document; a malformed one fails the job."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(glob)
+    return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(glob)
 
 
 def load_summaries(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
