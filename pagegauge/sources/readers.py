@@ -60,7 +60,7 @@ def load_pixels(spark: SparkSession, glob: str) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                h, w, c = row["height"], row["width"], row["channels"]
+                h, w, c = row["height"], row["width"], row["nChannels"]
                 data = np.frombuffer(row["data"], np.uint8).reshape(h * w, c)
                 b, g, r = (data[:, 0],) * 3 if c == 1 else (data[:, 0], data[:, 1], data[:, 2])
                 a = data[:, 3] if c == 4 else np.full(h * w, 255)
