@@ -75,7 +75,7 @@ def tree_match(probe: np.ndarray, partners: list[np.ndarray], percent: int) -> n
     return PrefixTree(partners).search(probe, percent)
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies) for every row of ``docs(doc_id, text)``.
 
     Two documents link when the Jaccard coefficient of their sets of ``k``-word shingles reaches ``percent`` / 100.
@@ -92,14 +92,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sets = stored(records.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "distinct")
 
     shared = sj.shared_tokens(sj.prefix_entries(docs, unit, order, percent), percent)
-    active = shared.select("sid", "n").distinct().join(sets.hint("merge"), ["sid", "n"])
-    tokens = sj.token_sets(docs, active.selectExpr("rep doc_id", "0L number"), unit, order)
-
-    edges = stored(sj.verified(sj.hub_pairs(shared), tokens, percent, tree_match), "links")
-    label = connected_components(edges.selectExpr("a x", "b y"))
-    labels = active.select("sid", "n").join(label.selectExpr("node sid", "component label").hint("merge"), "sid", "left").selectExpr("sid", "n", "coalesce(label, sid) label", "0L rank")
-    more = sj.verified(sj.rest_pairs(shared, labels, percent, "other"), tokens, percent, tree_match)
-    edges = stored(edges.union(more), "links")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")
+        wanted = pairs.selectExpr("a sid", "an n").union(pairs.selectExpr("b", "bn")).distinct().join(sets.hint("merge"), ["sid", "n"])
+        tokens = sj.token_sets(docs, wanted.selectExpr("rep doc_id", "0L number"), unit, order)
+        return stored(sj.verified(pairs, tokens, percent, tree_match), "links")
+
+    score = sj.scores(shared, percent)
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        label = connected_components(edges.selectExpr("a x", "b y"))
+        return score.join(label.selectExpr("node sid", "component label").hint("merge"), "sid", "left").selectExpr("sid", "n", "coalesce(label, sid) label", "score", "0L rank")
+
+    # first links to hubs, and between parts of a group, which join most of a group of near copies by few pairs
+    edges = links(sj.star_pairs(shared, score.withColumn("label", F.col("sid")), percent))
+    for _ in range(rounds):
+        more = links(sj.star_pairs(shared, labelled(edges), percent))
+        if more.isEmpty():
+            break
+        edges = edges.union(more)
+    # then all other pairs of sets that are not linked yet, so that no link between parts is missed
+    edges = edges.union(links(sj.rest_pairs(shared, labelled(edges), percent, "other")))
 
     name = sets.select("sid", "n", "rep")
     named = edges.join(name.selectExpr("sid a", "n an", "rep x").hint("merge"), ["a", "an"]).join(name.selectExpr("sid b", "n bn", "rep y").hint("merge"), ["b", "bn"])

@@ -37,7 +37,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     rank = F.coalesce(F.col("doc_id"), F.lit((1 << 39) - 1)) * F.lit(1 << 24) + F.col("number")
     records = profiled.where("chunk is null and n > 0").select("doc_id", "number", "sid", "n", rank.alias("rank"))
     sets = stored(records.groupBy("sid", "n").agg(F.min("rank").alias("rank"), F.min_by("doc_id", "rank").alias("first_id"), F.min_by("number", "rank").alias("first_number")), "distinct")
-    shared = sj.shared_tokens(sj.prefix_entries(docs, unit, order, percent), percent)
+    shared = sj.shared_tokens(sj.prefix_entries(docs, unit, order, percent, bitmaps=True), percent)
 
     def later(pairs: DataFrame) -> DataFrame:
         """(sid, n): the later set of each similar pair."""
@@ -50,8 +50,9 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         return stored(links.selectExpr("if(ar > br, a, b) sid", "if(ar > br, an, bn) n").distinct(), "later")
 
     # lines that are like the hub of one of their words are settled; only the others meet all earlier lines
-    gone = later(sj.hub_pairs(shared, percent))
-    labels = shared.select("sid", "n").distinct().join(sets.select("sid", "n", "rank").hint("merge"), ["sid", "n"])
+    score = sj.scores(shared, percent)
+    gone = later(sj.star_pairs(shared, score.withColumn("label", F.col("sid")), percent))
+    labels = score.select("sid", "n").join(sets.select("sid", "n", "rank").hint("merge"), ["sid", "n"])
     labels = labels.join(gone.withColumn("gone", F.lit(1)).hint("merge"), ["sid", "n"], "left").selectExpr("sid", "n", "cast(coalesce(gone, 0) as long) label", "rank")
     gone = gone.union(later(sj.rest_pairs(shared, labels, percent, "earlier"))).distinct()
 

@@ -14,11 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokensets as ts
-from .shared import stored
+from .shared import join_on_size, stored
 
 SKETCH_BITS = 22
 _CHUNK = 1 << 16
@@ -84,13 +84,14 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def token_order(profiled: DataFrame):
-    """The sketch as bit lengths of its counts, broadcast: 2**SKETCH_BITS bytes whatever the input."""
+    """The sketch as logarithms of its counts, in steps of an eighth of a doubling: 2**SKETCH_BITS bytes whatever the
+    input. Fine steps also tell a token of a few dozen records from the many single ones that share its bucket."""
 
     def merge(key, table):
         total = np.zeros(_CHUNK, np.uint64)
         for x in table.column("counts"):
             total += np.frombuffer(x.as_py(), np.uint32)
-        return pa.table({"chunk": [key[0].as_py()], "counts": [np.ceil(np.log2(total + 1.0)).astype(np.uint8).tobytes()]})
+        return pa.table({"chunk": [key[0].as_py()], "counts": [np.minimum(np.round(8 * np.log2(total + 1.0)), 255).astype(np.uint8).tobytes()]})
 
     def fold(batches):  # one row per task and chunk meets here: fold what a task has first
         sums: dict[int, np.ndarray] = {}
@@ -117,8 +118,12 @@ def in_order(tokens: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tup
     return tokens[order], level[order]
 
 
-def prefix_entries(docs: DataFrame, unit: Unit, order, percent: int) -> DataFrame:
-    """(h, salt, sid, n, pos): the prefix of every record; a set once per task."""
+def prefix_entries(docs: DataFrame, unit: Unit, order, percent: int, bitmaps: bool = False) -> DataFrame:
+    """(h, salt, salted, sid, n, pos, bits): the prefix of every record; a set once per task.
+
+    With ``bitmaps``, bits is the parity of the set's tokens over 64 buckets: two sets differ in at least as many
+    tokens as their bitmaps do in bits. That rules out most pairs of small sets (lines); else bits is 0.
+    """
 
     def work(batches):
         levels, seen = order.value, set()
@@ -134,13 +139,17 @@ def prefix_entries(docs: DataFrame, unit: Unit, order, percent: int) -> DataFram
             rec = np.repeat(np.arange(len(n)), size)
             pos = np.arange(len(rec)) - np.repeat(np.cumsum(size) - size, size)
             at = offsets[rec] + pos
-            parts = np.maximum(1, 1 << np.maximum(level[at].astype(np.int64) - HOT, 0))
+            parts = np.maximum(1, 1 << np.maximum(level[at].astype(np.int64) // 8 - HOT, 0))
+            bits = np.zeros(len(n), np.int64)
+            if bitmaps and len(tokens):
+                some = np.flatnonzero(n)
+                bits[some] = np.bitwise_xor.reduceat(np.uint64(1) << (tokens & np.uint64(63)), offsets[some]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (tokens[at].view(np.int64), (sid[rec] % parts).astype(np.int32), parts > 1, sid[rec], n[rec], pos.astype(np.int32))],
-                names=["h", "salt", "salted", "sid", "n", "pos"],
+                [pa.array(x) for x in (tokens[at].view(np.int64), (sid[rec] % parts).astype(np.int32), parts > 1, sid[rec], n[rec], pos.astype(np.int32), bits[rec])],
+                names=["h", "salt", "salted", "sid", "n", "pos", "bits"],
             )
 
-    return docs.select("text").mapInArrow(work, "h long, salt int, salted boolean, sid long, n long, pos int")
+    return docs.select("text").mapInArrow(work, "h long, salt int, salted boolean, sid long, n long, pos int, bits long")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -167,47 +176,102 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(rest)
 
 
+def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two sets can be similar by their sizes and bitmaps."""
+    need = -(-percent * (n[i] + n[j]) // (100 + percent))
+    return (np.minimum(n[i], n[j]) >= need) & (n[i] + n[j] - 2 * need >= np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)))
+
+
+def _steps(run: np.ndarray, n: np.ndarray, percent: int):
+    """Index pairs (i, i + step) within runs sorted by size, for step 1, 2, ..., of sizes that can match; the caller may
+    send back a mask of the pairs whose first index is still of interest."""
+    i, step = np.arange(len(run) - 1), 1
+    while len(i):
+        i = i[i + step < len(run)]
+        i = i[(run[i] == run[i + step]) & (percent * n[i + step] <= 100 * n[i])]
+        if len(i):
+            keep = yield i, i + step
+            if keep is not None:
+                i = i[keep]
+        step += 1
+
+
 def shared_tokens(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries whose token has a second set, each with the hub of its run: the first set of its length class."""
+    """Entries (h, sid, n, pos, bits) whose token has a second set that they may be similar to, each set once."""
 
     def work(batches):
         for t in runs(batches, ["h", "salt"]):
-            h, salt, salted, sid, n, pos = (t.column(k).to_numpy() for k in ("h", "salt", "salted", "sid", "n", "pos"))
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])
-            keep = new.copy()
-            keep[1:] |= (sid[1:] != sid[:-1]) | (n[1:] != n[:-1])
-            h, salted, sid, n, pos, new = (x[keep] for x in (h, salted, sid, n, pos, new))
-            run = np.cumsum(new) - 1
-            at = np.flatnonzero(np.bincount(run)[run] > 1) if not salted.any() else np.flatnonzero((np.bincount(run)[run] > 1) | salted)
-            h, sid, n, pos, run = (x[at] for x in (h, sid, n, pos, run))
-            if len(h) == 0:
-                continue
-            hub = np.arange(len(h))
-            start = np.concatenate([[True], run[1:] != run[:-1]])
-            first = np.flatnonzero(start)[np.cumsum(start) - 1]
-            while True:  # a set too long for the hub starts another class of lengths
-                far = 100 * n[first] < percent * n
-                hub = np.where(far, hub, first)
-                if not far.any():
-                    break
-                begin = far & ~np.concatenate([[False], far[:-1] & (run[1:] == run[:-1])])
-                again = np.flatnonzero(begin)[np.maximum(np.cumsum(begin) - 1, 0)]
-                first = np.where(far, again, first)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, sid, n, pos, sid[hub], n[hub])], names=["h", "sid", "n", "pos", "hub", "hub_n"])
+            h, salt, salted, sid, n, pos, bits = (t.column(k).to_numpy() for k in ("h", "salt", "salted", "sid", "n", "pos", "bits"))
+            keep = np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (sid[1:] != sid[:-1]) | (n[1:] != n[:-1]))
+            h, salt, salted, sid, n, pos, bits = (x[keep] for x in (h, salt, salted, sid, n, pos, bits))
+            run = np.cumsum(np.append(False, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])))
+            mate = salted.copy()
+            walk = _steps(run, n, percent)
+            pair = next(walk, None)
+            while pair is not None:
+                i, j = pair
+                open_ = ~(mate[i] & mate[j])
+                x, y = i[open_], j[open_]
+                ok = _possible(x, y, n, bits, percent)
+                mate[x[ok]] = mate[y[ok]] = True
+                # a set that has a mate is only needed for later ones that have none
+                waiting = np.bincount(run[~mate], minlength=int(run[-1]) + 1) > 0
+                try:
+                    pair = walk.send(waiting[run[i]])
+                except StopIteration:
+                    pair = None
+            at = np.flatnonzero(mate)
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (h, sid, n, pos, bits)], names=["h", "sid", "n", "pos", "bits"])
 
     dealt = entries.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "sid")
-    return stored(dealt.mapInArrow(work, "h long, sid long, n long, pos int, hub long, hub_n long"), "shared")
+    return stored(dealt.mapInArrow(work, "h long, sid long, n long, pos int, bits long"), "shared")
+
 
+def _enough(c: str, percent: int) -> Column:
+    """Whether sets of sizes an and bn with c common prefix tokens can be similar: besides these, they share at most
+    what lies behind the prefix of the set whose prefix ends first."""
+    behind = F.expr(f"({percent} * greatest(an, bn) + 99) div 100 - 1")
+    return F.col(c) + behind >= F.expr(f"({percent} * (an + bn) + {99 + percent}) div {100 + percent}")
+
+
+def scores(shared: DataFrame, percent: int) -> DataFrame:
+    """(sid, n, score): how much of a set's prefix is shared, per mille. A text that others are copies of has no rare
+    tokens of its own, so it scores highest and makes the best hub."""
+    prefix = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
+    return stored(shared.groupBy("sid", "n").agg(F.count("*").alias("c")).withColumn("score", (1000 * F.col("c") / prefix).cast("long")).drop("c"), "scores")
+
+
+def star_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, an, b, bn): in each run, the best set of every label with the hub, the best of all; sets of lengths that
+    the hub can't match have hubs of their own. ``labels`` has (sid, n, label, score). Only pairs with enough common
+    tokens are kept."""
+
+    def work(batches):
+        for t in runs(batches, ["h"]):
+            h, sid, n, label, score, bits = (t.column(k).to_numpy() for k in ("h", "sid", "n", "label", "score", "bits"))
+            run = np.cumsum(np.append(False, h[1:] != h[:-1]))
+            order = np.lexsort((sid, -score, label, run))
+            order = order[np.append(True, (run[order][1:] != run[order][:-1]) | (label[order][1:] != label[order][:-1]))]
+            order = order[np.lexsort((sid[order], -score[order], run[order]))]
+            left = order
+            for _ in range(4):
+                if len(left) == 0:
+                    break
+                first = np.append(True, run[left][1:] != run[left][:-1])
+                hub = left[np.flatnonzero(first)[np.cumsum(first) - 1]]
+                near = 100 * np.minimum(n[hub], n[left]) >= percent * np.maximum(n[hub], n[left])
+                at = np.flatnonzero(near & ~first & _possible(hub, left, n, bits, percent))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[hub[at]], n[hub[at]], sid[left[at]], n[left[at]])], names=["a", "an", "b", "bn"])
+                left = left[~near]
 
-def hub_pairs(shared: DataFrame) -> DataFrame:
-    """(a, an, b, bn): each set with the hubs of its tokens; hubs of the runs of one hot token among themselves."""
-    own = shared.where("sid <> hub").selectExpr("hub a", "hub_n an", "sid b", "n bn")
-    return own.distinct()
+    rows = shared.select("h", "sid", "n", "bits").join(labels.select("sid", "n", "label", "score").hint("merge"), ["sid", "n"]).select("h", "sid", "n", "label", "score", "bits")
+    dealt = rows.repartition("h").sortWithinPartitions("h")
+    found = dealt.mapInArrow(work, "a long, an long, b long, bn long").groupBy("a", "an", "b", "bn").agg(F.count("*").alias("c"))
+    return found.where(_enough("c", percent)).drop("c")
 
 
 def rest_pairs(shared: DataFrame, labels: DataFrame, percent: int, wanted: str) -> DataFrame:
-    """All further pairs (a, an, b, bn) that share a prefix token and pass the length and positional filters.
+    """All further pairs (a, an, b, bn) that share enough prefix tokens and pass the length and positional filters.
 
     ``labels`` has (sid, n, label, rank). ``wanted`` is 'other': labels differ (sets that are linked already need no
     second link), or 'earlier': b has a null label and a has the smaller rank.
@@ -215,38 +279,34 @@ def rest_pairs(shared: DataFrame, labels: DataFrame, percent: int, wanted: str)
 
     def work(batches):
         for t in runs(batches, ["h"]):
-            h, sid, n, pos, label, rank = (t.column(k).to_numpy() for k in ("h", "sid", "n", "pos", "label", "rank"))
-            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            stop = np.append(begin[1:], len(h))
+            h, sid, n, pos, label, rank, bits = (t.column(k).to_numpy() for k in ("h", "sid", "n", "pos", "label", "rank", "bits"))
+            begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            size = np.diff(np.append(begin, len(h)))
             low, high = np.minimum.reduceat(label, begin), np.maximum.reduceat(label, begin)
+            of_use = np.repeat(low < high if wanted == "other" else (low == 0) & (size > 1), size)
+            h, sid, n, pos, label, rank, bits = (x[of_use] for x in (h, sid, n, pos, label, rank, bits))
+            run = np.cumsum(np.append(False, h[1:] != h[:-1])) if len(h) else np.zeros(0, int)
             found: list[np.ndarray] = []
-            some = np.flatnonzero(low < high) if wanted == "other" else np.flatnonzero((low == 0) & (stop - begin > 1))
-            for r in some:
-                a, b = begin[r], stop[r]
-                for x in range(a, b, 512):  # blocks of rows against all earlier rows of the run that are long enough
-                    xs = np.arange(x, min(x + 512, b))
-                    y0 = a + int(np.searchsorted(n[a:b], -(-percent * n[xs[0]] // 100)))
-                    for y in range(y0, int(xs[-1]) + 1, 4096):
-                        ys = np.arange(y, min(y + 4096, int(xs[-1]) + 1))
-                        need = -(-percent * (n[xs, None] + n[None, ys]) // (100 + percent))
-                        ok = (ys[None, :] < xs[:, None]) & (1 + np.minimum((n - pos)[xs, None], (n - pos)[None, ys]) - 1 >= need) & (100 * n[None, ys] >= percent * n[xs, None])
-                        if wanted == "other":
-                            ok &= label[xs, None] != label[None, ys]
-                        else:
-                            ok &= np.where(rank[xs, None] < rank[None, ys], label[None, ys], label[xs, None]) == 0
-                        i, j = np.nonzero(ok)
-                        if len(i):
-                            found.append(np.stack([xs[i], ys[j]]))
+            for i, j in _steps(run, n, percent):
+                need = -(-percent * (n[i] + n[j]) // (100 + percent))
+                most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+                ok = (most >= need) & _possible(i, j, n, bits, percent)
+                if wanted == "other":
+                    ok &= label[i] != label[j]
+                else:
+                    ok &= np.where(rank[i] < rank[j], label[j], label[i]) == 0
+                if ok.any():
+                    found.append(np.stack([i[ok], j[ok]]))
             if found:
                 i, j = np.concatenate(found, axis=1)
                 if wanted == "earlier":
-                    i, j = np.where(rank[i] < rank[j], j, i), np.where(rank[i] < rank[j], i, j)
-                pair = np.unique(np.stack([sid[j], n[j], sid[i], n[i]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=["a", "an", "b", "bn"])
+                    i, j = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[i], n[i], sid[j], n[j])], names=["a", "an", "b", "bn"])
 
-    rows = shared.select("h", "sid", "n", "pos").join(labels.hint("merge"), ["sid", "n"]).select("h", "sid", "n", "pos", "label", "rank")
+    rows = shared.join(labels.select("sid", "n", "label", "rank").hint("merge"), ["sid", "n"]).select("h", "sid", "n", "pos", "label", "rank", "bits")
     dealt = rows.repartition("h").sortWithinPartitions("h", "n", "sid")
-    return dealt.mapInArrow(work, "a long, an long, b long, bn long").distinct()
+    found = dealt.mapInArrow(work, "a long, an long, b long, bn long").groupBy("a", "an", "b", "bn").agg(F.count("*").alias("c"))
+    return found.where(_enough("c", percent)).drop("c")
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, unit: Unit, order) -> DataFrame:
@@ -266,8 +326,8 @@ def token_sets(docs: DataFrame, wanted: DataFrame, unit: Unit, order) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.array(np.diff(offsets)[at]), data], names=["sid", "n", "tokens"])
 
     need = wanted.groupBy("doc_id").agg(F.collect_set("number").alias("numbers"))
-    joined = docs.select("doc_id", "text").join(need.hint("merge"), "doc_id")
-    return stored(joined.mapInArrow(work, "sid long, n long, tokens binary").dropDuplicates(["sid", "n"]), "sets")
+    joined = join_on_size(docs.select("doc_id", "text"), stored(need, "need"), "doc_id")
+    return stored(joined.mapInArrow(work, "sid long, n long, tokens binary"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, matcher) -> DataFrame:

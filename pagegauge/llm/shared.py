@@ -31,11 +31,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows with long texts go to Python in batches of about this size, so workers and executors stay small.
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(_BATCH[0], None)
+    spark.conf.set(*_BATCH)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_BATCH[0]) if before is None else spark.conf.set(_BATCH[0], before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once (a longer single text is taken whole).
-SLICE = 1 << 20
+SLICE = 1 << 19
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -122,8 +122,12 @@ def shingles(h: np.ndarray, record: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 def distinct(h: np.ndarray, record: np.ndarray, records: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of each record, sorted, and the offsets of the records."""
-    order = np.argsort(h)
-    order = order[np.argsort(record[order], kind="stable")]
+    bits = np.uint64(max(1, int(records).bit_length()))
+    key = (record.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits)
+    order = np.argsort(key)
+    k = key[order]
+    if ((k[1:] == k[:-1]) & (h[order[1:]] != h[order[:-1]])).any():  # hashes that differ in their last bits only
+        order = np.lexsort((h, record))
     h, record = h[order], record[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (record[1:] != record[:-1])
