@@ -101,7 +101,7 @@ def flag_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDO
     ids = docs.select("doc_id")
     out = ids.join(found.hint("merge"), ids["doc_id"].eqNullSafe(found["hit_id"]), "left")
     none = F.array().cast("array<bigint>")
-    return out.select("doc_id", F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"), F.coalesce(F.col("items").cast("array<bigint>"), none).alias("items"), F.col("hit_id").isNotNull() | F.col("n_hits").isNotNull())
+    return out.select("doc_id", F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"), F.coalesce(F.col("items").cast("array<bigint>"), none).alias("items"), F.col("n_hits").isNotNull().alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, literal: int = LITERAL) -> DataFrame:
@@ -112,7 +112,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WIN
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = flag_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).toDF("doc_id", "n_hits", "items", "contaminated")
+    out = flag_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
 
 
