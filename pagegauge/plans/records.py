@@ -117,6 +117,11 @@ ORACLES = {
       len(regexp_extract_all(css, 'paint[(]')) AS n_paints, len(regexp_extract_all(css, 'cross-fade[(]')) AS n_cross_fades, len(regexp_extract_all(css, '(?:#[0-9a-fA-F]{{3,8}}|rgba?[(]|hsla?[(])')) AS n_stops FROM page_rows)""".replace("SELECT *, n_paints", "SELECT page_id, n_gradients, n_paints, n_cross_fades, n_stops, n_paints"),
     "url_provenance": r"""SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) || regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS location, sha256(url) AS sha256,
       coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: string_split(p, '=')[1]), lambda k: k <> ''))), ','), '') AS query_keys, contains(url, '#') AS has_fragment FROM pages""",
+    "extract_forms": duck_with("form_pages") + """SELECT page_id, unnest(range(len(f))) AS ordinal, regexp_extract(unnest(f), 'method="([^"]*)"', 1) AS method, regexp_extract(unnest(f), 'action="([^"]*)"', 1) AS action, len(regexp_extract_all(unnest(f), '<(?:input|select|textarea|button)')) AS n_controls
+      FROM (SELECT page_id, list_transform(list_filter(string_split(html, '<form '), lambda x: contains(x, '</form>')), lambda x: string_split(x, '</form>')[1]) AS f FROM form_pages)""",
+    "label_targets": duck_with("form_pages") + """, l AS (SELECT page_id, html, unnest(range(len(m))) AS label_ordinal, unnest(m) AS body FROM (SELECT page_id, html, regexp_extract_all(html, '<label[^>]*>.*?</label>') AS m FROM form_pages))
+      SELECT page_id, label_ordinal, trim(regexp_extract(body, '<label[^>]*>([^<]*)', 1)) AS text, len(regexp_extract_all(CASE WHEN contains(body, ' for="') THEN split_part(html, ' id="' || regexp_extract(body, ' for="([^"]*)"', 1) || '"', 1) ELSE split_part(html, body, 1) || '<input' END, '<(?:input|select|textarea|button)')) - 1 AS control_ordinal FROM l""",
+    "surface_sources": duck_with("form_pages") + """SELECT page_id, 'raster' AS surface_kind, array_to_string(list_sort(list(DISTINCT src)), ',') AS sources, count(*) AS n FROM (SELECT page_id, unnest(list_concat(regexp_extract_all(html, '<img src="([^"]*)"', 1), regexp_extract_all(html, 'background-image:url[(]([^)]*)[)]', 1))) AS src FROM form_pages) GROUP BY page_id""",
     "extract_controls": duck_with("controls") + "SELECT page_id, ordinal, name, type, value_length, value_length > 0 AS value_present, trim(label) AS label, CASE WHEN value_length = 0 THEN 'empty' WHEN type IN ('checkbox', 'radio') THEN 'choice' WHEN value_length <= 8 THEN 'short' WHEN value_length <= 32 THEN 'medium' ELSE 'long' END AS value_class FROM controls",
     "option_classes": duck_with("controls") + f"SELECT page_id, ordinal, CAST(pos AS INTEGER) AS pos, option_length, CASE WHEN option_length = 0 THEN 'placeholder' WHEN option_length <= 8 THEN 'short' ELSE 'long' END AS option_class, pos % 3 = 2 AS disabled FROM ({_OPT.format('controls')})",
     "accessible_names": duck_with("controls") + "SELECT page_id, ordinal, CASE WHEN visible AND trim(label) <> '' THEN trim(label) ELSE type || ' ' || name END AS accessible_name FROM controls",
