@@ -81,8 +81,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: i
     Two documents link when the Jaccard coefficient of their sets of ``k``-word shingles reaches ``percent`` / 100.
     Texts are lower-cased in A-Z; words are runs without ASCII white space; fewer than ``k`` words make one shingle.
     Null, empty and blank texts have an empty set, link with nothing and are their own component. Rows with equal
-    sets (repeated rows too) are one set in the search; n_copies is its number of rows. A null doc_id is kept as it
-    is, and no other row is named by it. Extra columns are not read.
+    sets (repeated rows too) are one set in the search; n_copies is its number of rows. Rows with a null doc_id have
+    a null component, unless their set is that of a row with an id, and link no others. Extra columns are not read.
     """
     unit = sj.shingle_unit(k)
     docs = docs.select("doc_id", "text")
@@ -103,7 +103,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: i
 
     def labelled(edges: DataFrame) -> DataFrame:
         label = connected_components(edges.selectExpr("a x", "b y"))
-        return score.join(label.selectExpr("node sid", "component label").hint("merge"), "sid", "left").selectExpr("sid", "n", "coalesce(label, sid) label", "score", "0L rank")
+        return score.join(label.selectExpr("node sid", "component label").hint("merge"), "sid", "left").selectExpr("sid", "n", "cnt", "coalesce(label, sid) label", "score", "0L rank")
 
     # first links to hubs, and between parts of a group, which join most of a group of near copies by few pairs
     edges = links(sj.star_pairs(shared, score.withColumn("label", F.col("sid")), percent))

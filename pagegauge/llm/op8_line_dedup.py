@@ -28,7 +28,8 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Lines are the \\n-split parts of a text, their tokens its distinct words, lower-cased in A-Z. Lines without a word
     (and so null and empty texts) match nothing. Rarer words come first in prefixes; candidates pass length and
-    positional filters and a count of common prefix words before they are verified on their words.
+    positional filters and a count of common prefix words before they are verified on their words. Lines of rows
+    without an id, if their words are found in no row with one, take part in exact matches only.
     """
     unit = sj.line_unit()
     docs = docs.select("doc_id", "text")
@@ -52,8 +53,8 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # lines that are like the hub of one of their words are settled; only the others meet all earlier lines
     score = sj.scores(shared, percent)
     gone = later(sj.star_pairs(shared, score.withColumn("label", F.col("sid")), percent))
-    labels = score.select("sid", "n").join(sets.select("sid", "n", "rank").hint("merge"), ["sid", "n"])
-    labels = labels.join(gone.withColumn("gone", F.lit(1)).hint("merge"), ["sid", "n"], "left").selectExpr("sid", "n", "cast(coalesce(gone, 0) as long) label", "rank")
+    labels = score.select("sid", "n", "cnt").join(sets.select("sid", "n", "rank").hint("merge"), ["sid", "n"])
+    labels = labels.join(gone.withColumn("gone", F.lit(1)).hint("merge"), ["sid", "n"], "left").selectExpr("sid", "n", "cnt", "cast(coalesce(gone, 0) as long) label", "rank")
     gone = gone.union(later(sj.rest_pairs(shared, labels, percent, "earlier"))).distinct()
 
     marked = sets.select("sid", "n", F.col("rank").alias("first")).join(gone.withColumn("gone", F.lit(True)).hint("merge"), ["sid", "n"], "left")

@@ -65,7 +65,7 @@ def profile(docs: DataFrame, unit: Unit) -> DataFrame:
         for batch, a, row, number, tokens, offsets, sid in _read(batches, unit):
             any_row = True
             counts += np.bincount(tokens >> np.uint64(64 - SKETCH_BITS), minlength=len(counts)).astype(np.uint32)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[a + row]
+            ids = batch.column("doc_id").take(pa.array(a + row))
             yield _batch(doc_id=ids, number=number, sid=sid, n=np.diff(offsets), chunk=None, counts=None)
         if any_row:
             m = len(counts) // _CHUNK
@@ -80,7 +80,7 @@ def profile(docs: DataFrame, unit: Unit) -> DataFrame:
 def _batch(**columns) -> pa.RecordBatch:
     rows = max(len(x) for x in columns.values() if x is not None)
     kinds = {"chunk": pa.int64(), "counts": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.nulls(rows, kinds[k]) if x is None else pa.array(x) for k, x in columns.items()], names=list(columns))
+    return pa.RecordBatch.from_arrays([pa.nulls(rows, kinds[k]) if x is None else x if isinstance(x, pa.Array) else pa.array(x) for k, x in columns.items()], names=list(columns))
 
 
 def token_order(profiled: DataFrame):
@@ -235,10 +235,10 @@ def _enough(c: str, percent: int) -> Column:
 
 
 def scores(shared: DataFrame, percent: int) -> DataFrame:
-    """(sid, n, score): how much of a set's prefix is shared, per mille. A text that others are copies of has no rare
+    """(sid, n, cnt, score): how many tokens of a set's prefix are shared, and per mille. A text that others are copies of has no rare
     tokens of its own, so it scores highest and makes the best hub."""
     prefix = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
-    return stored(shared.groupBy("sid", "n").agg(F.count("*").alias("c")).withColumn("score", (1000 * F.col("c") / prefix).cast("long")).drop("c"), "scores")
+    return stored(shared.groupBy("sid", "n").agg(F.count("*").alias("cnt")).withColumn("score", (1000 * F.col("cnt") / prefix).cast("long")), "scores")
 
 
 def star_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -273,24 +273,26 @@ def star_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 def rest_pairs(shared: DataFrame, labels: DataFrame, percent: int, wanted: str) -> DataFrame:
     """All further pairs (a, an, b, bn) that share enough prefix tokens and pass the length and positional filters.
 
-    ``labels`` has (sid, n, label, rank). ``wanted`` is 'other': labels differ (sets that are linked already need no
+    ``labels`` has (sid, n, cnt, label, rank); a pair can't have more common tokens than either set has shared ones,
+    which rules out most pairs before any is emitted. ``wanted`` is 'other': labels differ (sets that are linked already need no
     second link), or 'earlier': b has a null label and a has the smaller rank.
     """
 
     def work(batches):
         for t in runs(batches, ["h"]):
-            h, sid, n, pos, label, rank, bits = (t.column(k).to_numpy() for k in ("h", "sid", "n", "pos", "label", "rank", "bits"))
+            h, sid, n, pos, label, rank, bits, cnt = (t.column(k).to_numpy() for k in ("h", "sid", "n", "pos", "label", "rank", "bits", "cnt"))
             begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             size = np.diff(np.append(begin, len(h)))
             low, high = np.minimum.reduceat(label, begin), np.maximum.reduceat(label, begin)
             of_use = np.repeat(low < high if wanted == "other" else (low == 0) & (size > 1), size)
-            h, sid, n, pos, label, rank, bits = (x[of_use] for x in (h, sid, n, pos, label, rank, bits))
+            h, sid, n, pos, label, rank, bits, cnt = (x[of_use] for x in (h, sid, n, pos, label, rank, bits, cnt))
             run = np.cumsum(np.append(False, h[1:] != h[:-1])) if len(h) else np.zeros(0, int)
             found: list[np.ndarray] = []
             for i, j in _steps(run, n, percent):
                 need = -(-percent * (n[i] + n[j]) // (100 + percent))
                 most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-                ok = (most >= need) & _possible(i, j, n, bits, percent)
+                behind = -(-percent * np.maximum(n[i], n[j]) // 100) - 1
+                ok = (most >= need) & (np.minimum(cnt[i], cnt[j]) + behind >= need) & _possible(i, j, n, bits, percent)
                 if wanted == "other":
                     ok &= label[i] != label[j]
                 else:
@@ -303,7 +305,7 @@ def rest_pairs(shared: DataFrame, labels: DataFrame, percent: int, wanted: str)
                     i, j = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[i], n[i], sid[j], n[j])], names=["a", "an", "b", "bn"])
 
-    rows = shared.join(labels.select("sid", "n", "label", "rank").hint("merge"), ["sid", "n"]).select("h", "sid", "n", "pos", "label", "rank", "bits")
+    rows = shared.join(labels.select("sid", "n", "cnt", "label", "rank").hint("merge"), ["sid", "n"]).select("h", "sid", "n", "pos", "label", "rank", "bits", "cnt")
     dealt = rows.repartition("h").sortWithinPartitions("h", "n", "sid")
     found = dealt.mapInArrow(work, "a long, an long, b long, bn long").groupBy("a", "an", "b", "bn").agg(F.count("*").alias("c"))
     return found.where(_enough("c", percent)).drop("c")
