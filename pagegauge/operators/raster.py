@@ -127,15 +127,24 @@ def top_bands(bands: DataFrame, n: int = 30) -> DataFrame:
     return bands.withColumn("rank", rn).where(F.col("rank") <= n)
 
 
+#: Positions of one bucket of the interval join.
+BUCKET = 64
+
+
 def bands_to_elements(bands: DataFrame, elements: DataFrame, k: int = 8) -> DataFrame:
     """(raster, axis, start, end, n, area, rank): elements that overlap a band, both ends included; the ``k`` smallest.
 
-    The raster is an equi-key, so this is a hash join with the interval as residual condition.
+    Raster, axis and bucket of ``BUCKET`` positions are equi-keys, the interval is a residual condition. A pair that
+    shares several buckets counts in the first of them only. The limit on the rank is applied before the shuffle too.
     """
-    e = elements.withColumnRenamed("raster", "r")
-    low = lambda a: F.when(F.col("axis") == "row", F.col("y")).otherwise(F.col("x")) if a else F.when(F.col("axis") == "row", F.col("y") + F.col("h") - 1).otherwise(F.col("x") + F.col("w") - 1)
-    hit = bands.join(e, (F.col("raster") == F.col("r")) & (low(True) <= F.col("end")) & (low(False) >= F.col("start")))
-    hit = hit.withColumn("area", F.col("w") * F.col("h"))
+    row, size = F.col("axis") == "row", F.lit(BUCKET)
+    bucket = lambda c: F.floor(c / size)
+    e = elements.select(F.col("raster").alias("r"), "n", "x", "y", "w", "h", F.explode(F.array(F.lit("row"), F.lit("column"))).alias("axis"))
+    e = e.select("r", "n", (F.col("w") * F.col("h")).alias("area"), F.when(row, F.lit("row")).otherwise(F.lit("other")).alias("side"), F.when(row, F.col("y")).otherwise(F.col("x")).alias("low"), F.when(row, F.col("y") + F.col("h") - 1).otherwise(F.col("x") + F.col("w") - 1).alias("high"))
+    e = e.select("*", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))).alias("at"))
+    b = bands.withColumn("b_side", F.when(row, F.lit("row")).otherwise(F.lit("other"))).withColumn("b_at", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))))
+    once = F.col("at") == F.greatest(bucket(F.col("low")), bucket(F.col("start")))
+    hit = b.join(e, (F.col("raster") == F.col("r")) & (F.col("b_side") == F.col("side")) & (F.col("b_at") == F.col("at")) & (F.col("low") <= F.col("end")) & (F.col("high") >= F.col("start")) & once)
     rank = F.row_number().over(W.partitionBy("raster", "axis", "start").orderBy("area", "n"))
     return hit.withColumn("rank", rank).where(F.col("rank") <= k).select("raster", "axis", "start", "end", "n", "area", "rank")
 

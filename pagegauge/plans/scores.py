@@ -30,8 +30,7 @@ def bands(s, d):
 
 
 def elements(s, d):
-    e = rows(s, d, "rects").where("page_id % 97 = 0 or page_id < 200")
-    return e.select((F.col("page_id") % 10).cast("int").alias("raster"), (F.col("page_id") * 100 + F.col("n")).alias("n"), (F.col("x") % 64).alias("x"), (F.col("y") % 64).alias("y"), F.least(F.col("w") % 20 + 1, F.lit(64)).alias("w"), F.least(F.col("h") % 20 + 1, F.lit(64)).alias("h"))
+    return rows(s, d, "rects").select((F.col("page_id") % 10).cast("int").alias("raster"), (F.col("page_id") * 100 + F.col("n")).alias("n"), (F.col("x") % 64).alias("x"), (F.col("y") % 64).alias("y"), F.least(F.col("w") % 20 + 1, F.lit(64)).alias("w"), F.least(F.col("h") % 20 + 1, F.lit(64)).alias("h"))
 
 
 def tree(s, d):
