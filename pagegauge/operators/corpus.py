@@ -145,22 +145,42 @@ def verify_manifest(tracked: DataFrame, actual: DataFrame) -> DataFrame:
     return files.unionByName(gone).unionByName(new)
 
 
-def contamination_tokens(files: DataFrame, tokens: DataFrame, shingle: int = 12) -> DataFrame:
-    """(doc_id, token_id): files whose lower-case or compacted (letters and digits only) content holds a token.
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of ``n`` characters."""
+    runs = F.transform(F.array(F.split(text, "")), lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - (n - 1)), lambda i: F.array_join(F.slice(x, i, n), "")))[0]
+    return F.when(F.length(text) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
-    Instead of testing every file for every token, the first ``shingle`` characters of each compacted token are an
-    equi-join key against the distinct shingles of a file, made within the task; hits are verified. Tokens with fewer
-    characters than that aren't searched.
+
+def contamination_tokens(files: DataFrame, tokens: DataFrame, shingle: int = 12, least: int = 5) -> DataFrame:
+    """(doc_id, token_id): files that hold a token in their path or content, lower-cased or compacted (letters a-z and
+    digits only).
+
+    A lower-case hit is a compacted one too, so only tokens without a-z0-9 are searched in the lower-case text.
+    Instead of testing every file for every token, the first ``shingle`` characters of each token (all of a shorter
+    one, so there is one kind of key for each shorter length) are an equi-join key against the distinct shingles of a
+    file, made within the task; hits are verified. Tokens of fewer than ``least`` characters are no tokens, as in the
+    reference. ``files`` without a path are searched by content.
     """
     compact = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
-    keys = tokens.select("token_id", F.lower("token").alias("token"), compact("token").alias("compacted")).where(F.length("compacted") >= shingle)
-    keys = keys.withColumn("k", F.substring("compacted", 1, shingle))
-    rows = files.select("doc_id", compact("content").alias("c")).where(F.length("c") >= shingle)
-    grams = rows.select("doc_id", F.explode(F.array_distinct(F.transform(F.array(F.split("c", "")), lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - (shingle - 1)), lambda i: F.array_join(F.slice(x, i, shingle), "")))[0])).alias("k"))
-    near = grams.join(F.broadcast(keys.select("k").distinct()) if keys.limit(100_001).count() <= 100_000 else keys.select("k").distinct().hint("merge"), "k", "left_semi")
-    pairs = near.join(keys, "k").select("doc_id", "token_id", "token", "compacted").distinct()
-    hit = pairs.join(files.select(F.col("doc_id"), "content"), "doc_id")
-    return hit.where(compact("content").contains(F.col("compacted")) | F.lower("content").contains(F.col("token"))).select("doc_id", "token_id")
+    keys = tokens.where(F.length("token") >= least).select("token_id", F.lower("token").alias("token"), compact("token").alias("c"))
+    raw = F.col("c") == ""
+    keys = keys.select("token_id", raw.alias("raw"), F.when(raw, F.col("token")).otherwise(F.col("c")).alias("sought"))
+    keys = keys.withColumn("k", F.substring("sought", 1, shingle)).withColumn("n", F.length("k"))
+    parts = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in ("path", "content") if c in files.columns])
+    rows = files.select("doc_id", F.explode(parts).alias("part"))
+    rows = rows.select("doc_id", F.lower("part").alias("lower"), compact("part").alias("compacted"))
+    # at most two kinds of text by ``shingle`` lengths
+    kinds = sorted((r.raw, r.n) for r in keys.select("raw", "n").distinct().collect())
+    if not kinds:
+        return files.select("doc_id").where("false").crossJoin(tokens.select("token_id").where("false"))
+    keyed = lambda raw, n: F.transform(_grams(F.col("lower" if raw else "compacted"), n), lambda g: F.struct(F.lit(raw).alias("raw"), g.alias("k")))
+    made = F.array(*[keyed(raw, n) for raw, n in kinds])
+    grams = rows.select("doc_id", F.inline(F.flatten(made)))
+    near = keys.select("raw", "k").distinct()
+    near = grams.join(F.broadcast(near) if near.limit(100_001).count() <= 100_000 else near.hint("merge"), ["raw", "k"], "left_semi")
+    pairs = near.join(keys, ["raw", "k"]).select(F.col("doc_id").alias("id"), "token_id", "raw", "sought").distinct()
+    hit = files.join(pairs.hint("merge"), files["doc_id"].eqNullSafe(F.col("id")))
+    return hit.where(F.exists(parts, lambda p: F.when(F.col("raw"), F.lower(p)).otherwise(compact(p)).contains(F.col("sought")))).select("doc_id", "token_id")
 
 
 #: Extensions that a text tree must not hold, and first bytes of common binary formats.

@@ -45,7 +45,7 @@ def ax(s, d):
 
 
 def tokens(s, d):
-    return rows(s, d, "benchmark").select(F.col("item_id").alias("token_id"), F.substring("text", 1, 60).alias("token"))
+    return rows(s, d, "benchmark").select(F.col("item_id").alias("token_id"), F.col("text").alias("token"))
 
 
 def retention(s, d):

@@ -29,3 +29,19 @@ def test_bands_across_buckets(spark):
         hits = sorted((w * h, n) for r2, n, x, y, w, h in rows if r2 == r and (y if axis == "row" else x) <= end and (y + h if axis == "row" else x + w) - 1 >= start)
         want |= {(axis, start, n, area, i + 1) for i, (area, n) in enumerate(hits[:8])}
     assert {(r.axis, r.start, r.n, r.area, r["rank"]) for r in R.bands_to_elements(bands, elements).collect()} == want
+
+
+def test_tokens_are_whole_texts(spark, duck):  # noqa: F811
+    sql = entry.oracle_sql()["contamination_tokens"].replace("substr(text, 1, 60)", "text")
+    df = entry.queries()["contamination_tokens"](spark, SF)
+    res = duck.execute(sql)
+    assert table(df.columns, [tuple(r) for r in df.collect()]) == table([d[0] for d in res.description], res.fetchall())
+
+
+def test_short_and_foreign_tokens_and_paths(spark):
+    from pagegauge.operators import corpus as C
+
+    files = [(1, "a/readme.txt", "see ac-me co now"), (2, "sites/acme-co/x.txt", "nothing"), (3, "a/b.txt", "text with \u6771\u4eac\u30bf\u30ef\u30fc\u99c5 inside"), (4, "a/c.txt", "ac me corner"), (None, "a/d.txt", "ACME CO"), (5, None, None), (6, "a/e.txt", "The Quick Brown Fox, jumps over it"), (7, "a/f.txt", "the quick brown fox sleeps")]
+    tokens = [(10, "Acme.Co"), (11, "\u6771\u4eac\u30bf\u30ef\u30fc"), (12, "quick brown fox jumps"), (13, "see"), (14, None)]
+    out = C.contamination_tokens(spark.createDataFrame(files, "doc_id long, path string, content string"), spark.createDataFrame(tokens, "token_id long, token string"))
+    assert sorted((r.doc_id or 0, r.token_id) for r in out.collect()) == [(0, 10), (1, 10), (2, 10), (3, 11), (4, 10), (6, 12)]
