@@ -69,25 +69,50 @@ def consistent(theirs: Column, ours: Column) -> Column:
     return (F.size(theirs) == F.size(ours)) & (pairs == F.size(F.array_distinct(theirs))) & (pairs == F.size(F.array_distinct(ours)))
 
 
+def benchmark_windows(items: DataFrame, length: int = WINDOW, literal: int = LITERAL) -> DataFrame:
+    """(item_id, n, h, theirs, verbatim): the windows of ``items(item_id, w)`` that documents are searched for.
+
+    A window of ``length`` words, or an item of fewer, is a template if at least ``literal`` of its words (of a short
+    item: all but one) are outside slots. Another one counts with equal slot values only (verbatim), and a longer one
+    takes its place as template: the shortest from the same word on with ``literal`` such words, else the shortest that
+    ends with the item, else the whole item. A whole item of slots alone is verbatim.
+    """
+    size, at = F.size("w"), F.col("i")
+    items = items.where(size > 0).withColumn("m", F.least(size, F.lit(length)))
+    # how many of the first 0, 1, ... words are literal
+    count = F.aggregate("w", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.when(x.startswith("\x02"), 0).otherwise(1))))
+    rows = items.withColumn("c", count).withColumn("i", F.explode(F.sequence(F.lit(1), size - F.col("m") + 1)))
+    inside = lambda i, e: F.get("c", e) - F.get("c", i - 1)
+    enough = inside(at, at + F.col("m") - 1) >= F.least(F.lit(literal), F.greatest(F.lit(1), F.col("m") - 1))
+    to = F.array_min(F.filter(F.sequence(at, size), lambda e: inside(at, e) >= literal))
+    since = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), at), lambda i: inside(i, size) >= literal)), F.lit(1))
+    whole = F.struct(since.alias("i"), (size - since + 1).alias("n"), F.lit(False).alias("verbatim"))
+    longer = F.when(to.isNotNull() & (size > length), F.struct(at.alias("i"), (to - at + 1).alias("n"), F.lit(False).alias("verbatim"))).otherwise(whole)
+    own = lambda verbatim: F.struct(at.alias("i"), F.col("m").alias("n"), F.lit(verbatim).alias("verbatim"))
+    rows = rows.select("item_id", "w", F.explode(F.when(enough, F.array(own(False))).otherwise(F.array(own(True), longer))).alias("win"))
+    rows = rows.select("item_id", F.col("win.n").alias("n"), F.slice("w", F.col("win.i"), F.col("win.n")).alias("w"), "win.verbatim")
+    slots = F.filter("w", lambda x: x.startswith("\x02"))
+    rows = rows.select("item_id", "n", F.xxhash64(F.transform("w", lambda x: F.when(x.startswith("\x02"), F.substring(x, 1, 2)).otherwise(x))).alias("h"), slots.alias("theirs"), "verbatim")
+    return rows.withColumn("verbatim", F.col("verbatim") | (F.size("theirs") == F.col("n"))).distinct()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, literal: int = LITERAL) -> DataFrame:
     """(doc_id, n_hits, items): documents with a window of a benchmark item's template and consistent slots.
 
     Rows without a hit are not listed; rows of equal (or null) doc_id are judged together. Null and empty texts have
     no windows. An item of fewer than ``length`` words is one window, compared to document windows of its own length.
-    Windows with fewer than ``literal`` words outside slots (for short items: all but one) are not used.
+    Windows with few words outside slots count verbatim, and in longer windows (``benchmark_windows``); document
+    windows are made for each length that the benchmark's windows have, which is one for prose.
     Only matches are shuffled. Very frequent passages cost one probe per occurrence.
     """
-    items = benchmark.select("item_id", canonical_words(F.col("text")).alias("w")).where("size(w) > 0")
-    items = items.withColumn("length", F.least(F.size("w"), F.lit(length)))
-    # as many passes as there are short lengths, fewer than `length`
-    lengths = sorted(r.length for r in items.select("length").distinct().collect())
+    own = stored(benchmark_windows(benchmark.select("item_id", canonical_words(F.col("text")).alias("w")), length, literal), "windows")
+    lengths = sorted(r.n for r in own.select("n").distinct().collect())
     hits = None
     for n in lengths:
-        own = items.where(F.col("length") == n).select("item_id", F.explode(_windows(F.col("w"), n, False)).alias("win"))
-        own = own.select("item_id", F.col("win.h").alias("h"), F.col("win.slots").alias("theirs")).where(F.lit(n) - F.size("theirs") >= min(literal, max(1, n - 1)))
-        own = stored(own.distinct(), "windows")
-        side = own.hint("broadcast" if small(own, BROADCAST_ROWS) else "merge")
-        found = template_windows(docs, "doc_id", n).join(side, "h").where(consistent(F.col("theirs"), F.col("slots"))).select("doc_id", "item_id")
+        some = own.where(F.col("n") == n).drop("n")
+        side = some.hint("broadcast" if small(some, BROADCAST_ROWS) else "merge")
+        same = F.when(F.col("verbatim"), F.col("theirs") == F.col("slots")).otherwise(consistent(F.col("theirs"), F.col("slots")))
+        found = template_windows(docs, "doc_id", n).join(side, "h").where(same).select("doc_id", "item_id")
         hits = found if hits is None else hits.union(found)
     if hits is None:
         hits = docs.select("doc_id", F.lit(None).cast("long").alias("item_id")).where("false")

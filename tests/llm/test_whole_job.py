@@ -1,0 +1,34 @@
+"""Cases that the operators on training data once left out."""
+
+import pytest
+
+from pagegauge.llm import op9_decontamination as op9
+
+
+def test_items_dense_in_slots(spark):
+    quiz = "What is 12 times 37?"
+    shop = "Sam bought 12 apples for 3 dollars and 4 pears for 5 dollars and 6 plums for 7 dollars, how much is left"
+    sums = "12 37 44 58"
+    benchmark = spark.createDataFrame([(1, quiz), (2, shop), (3, sums)], "item_id long, text string")
+    change = {"12": "19", "3": "2", "4": "8", "5": "1", "6": "11", "7": "13"}
+    other = " ".join(change.get(w, w) for w in shop.split(" "))
+    rows = [
+        (1, "so: what is 12 times 37? ok"),
+        (2, "so: what is 15 times 41? ok"),
+        (3, "now " + shop),
+        (4, "now " + other + " today"),
+        (5, "bought 12 apples for 3 dollars and 4 nuts"),
+        (6, "bought 10 apples for 2 dollars and 9 nuts"),
+        (7, "list 12 37 44 58 end"),
+        (8, "list 13 38 45 59 end"),
+        (9, "what is 12 plus 37?"),
+    ]
+    got = {r.doc_id: r["items"] for r in op9.flag_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got == {1: [1], 2: [1], 3: [2], 4: [2], 5: [2], 6: [], 7: [3], 8: [], 9: []}
+
+
+def test_windows_of_prose_are_as_before(spark):
+    text = "one plain sentence of some words that goes on without any number in it"
+    items = spark.createDataFrame([(1, text)], "item_id long, text string").select("item_id", op9.canonical_words(op9.F.col("text")).alias("w"))
+    rows = op9.benchmark_windows(items).collect()
+    assert len(rows) == len(text.split()) - 7 and {(r.n, r.verbatim) for r in rows} == {(8, False)}
