@@ -23,12 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: the one with the smallest id, once."""
-    groups = stored(jaccard_components(docs), "groups")
-    keep = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    kept = docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi")
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if ids.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row of each group of linked texts: one with the smallest id, null ids last. Rows are told apart by a number
+    of their own that is stored with them, so null and repeated ids link, stay and go by their own texts."""
+    rows = stored(docs.withColumn("row_no", F.monotonically_increasing_id()), "rows")
+    groups = stored(jaccard_components(rows.select(F.col("row_no").alias("doc_id"), "text")), "groups")
+    named = groups.select(F.col("doc_id").alias("row_no"), F.col("component_id")).join(rows.select("row_no", "doc_id").hint("merge"), "row_no")
+    keep = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("first")).select("first.row_no")
+    return rows.join(keep.hint("merge"), "row_no", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

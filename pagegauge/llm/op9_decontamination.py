@@ -130,10 +130,12 @@ def flag_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDO
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, literal: int = LITERAL) -> DataFrame:
-    """Rows of ``docs`` without benchmark passages, columns as given."""
-    found = stored(contamination(docs, benchmark, length, literal).selectExpr("doc_id hit_id"), "hits")
+    """Rows of ``docs`` without benchmark passages, columns as given. Each row is judged by its own text, whatever its
+    doc_id: hits are found and removed by a hash of the text."""
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.length("text"))
+    found = stored(contamination(docs.select(key.alias("doc_id"), "text"), benchmark, length, literal).selectExpr("doc_id hit_id"), "hits")
     side = found.hint("broadcast" if small(found, BROADCAST_ROWS) else "merge")
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["hit_id"]), "left_anti")
+    return docs.join(side, key == side["hit_id"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,3 +32,25 @@ def test_windows_of_prose_are_as_before(spark):
     items = spark.createDataFrame([(1, text)], "item_id long, text string").select("item_id", op9.canonical_words(op9.F.col("text")).alias("w"))
     rows = op9.benchmark_windows(items).collect()
     assert len(rows) == len(text.split()) - 7 and {(r.n, r.verbatim) for r in rows} == {(8, False)}
+
+
+def test_rows_of_null_and_repeated_ids_go_by_their_own_texts(spark, tmp_path):
+    import random
+
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    make = lambda: " ".join(f"{rng.choice('bcdfglmnprst')}{rng.randrange(10**5)}" for _ in range(60))
+    texts = [make() for _ in range(8)]
+    item = make()
+    near = texts[0].rsplit(" ", 1)[0] + " other"
+    rows = [(None, texts[0]), (None, near), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[3]), (9, texts[5]), (None, texts[5]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = [(r.doc_id, r.text) for r in p.drop_near_duplicates(spark, docs, "").collect()]
+    assert sum(t in (texts[0], near) for _, t in out) == 1
+    assert sorted((i or 0, t or "") for i, t in out if t not in (texts[0], near)) == sorted((i or 0, t or "") for i, t in [(None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5]), (None, None)])
+
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, texts[6] + " " + item), (None, texts[6]), (None, None), (5, texts[7]), (5, item), (6, item)]
+    left = p.drop_contaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == sorted([(0, texts[6]), (0, ""), (5, texts[7])])
