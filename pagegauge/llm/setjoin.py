@@ -314,7 +314,8 @@ def rest_pairs(shared: DataFrame, labels: DataFrame, percent: int, wanted: str)
 def token_sets(docs: DataFrame, wanted: DataFrame, unit: Unit, order) -> DataFrame:
     """(sid, n, tokens) of the wanted records (doc_id, number), read again from their texts; tokens in global order.
 
-    The numbers gathered for a document are of its own records only.
+    The numbers gathered for a document are of its own records only. A set comes once, also where several rows have
+    the id of its document.
     """
 
     def work(batches):
@@ -328,8 +329,11 @@ def token_sets(docs: DataFrame, wanted: DataFrame, unit: Unit, order) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.array(np.diff(offsets)[at]), data], names=["sid", "n", "tokens"])
 
     need = wanted.groupBy("doc_id").agg(F.collect_set("number").alias("numbers"))
-    joined = join_on_size(docs.select("doc_id", "text"), stored(need, "need"), "doc_id")
-    return stored(joined.mapInArrow(work, "sid long, n long, tokens binary"), "sets")
+    need = stored(need, "need")
+    joined = join_on_size(docs.select("doc_id", "text"), need, "doc_id")
+    sets = joined.mapInArrow(work, "sid long, n long, tokens binary")
+    again = join_on_size(docs.select("doc_id"), need.select("doc_id"), "doc_id").groupBy("doc_id").count().where("count > 1")
+    return stored(sets if again.isEmpty() else sets.dropDuplicates(["sid", "n"]), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, matcher) -> DataFrame:
@@ -358,4 +362,4 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, matcher) -> DataFr
     members = pairs.join(sets.selectExpr("sid b", "n bn", "tokens").hint("merge"), ["b", "bn"]).selectExpr("a", "an", "part", "1 role", "b", "bn", "tokens")
     probes = pairs.select("a", "an", "part").distinct().join(sets.selectExpr("sid a", "n an", "tokens").hint("merge"), ["a", "an"]).selectExpr("a", "an", "part", "0 role", "a b", "an bn", "tokens")
     dealt = probes.unionByName(members).repartition("a", "an", "part").sortWithinPartitions("a", "an", "part", "role", "b")
-    return dealt.mapInArrow(work, "a long, an long, b long, bn long")
+    return dealt.mapInArrow(work, "a long, an long, b long, bn long").where("a <> b or an <> bn")

@@ -54,3 +54,14 @@ def test_rows_of_null_and_repeated_ids_go_by_their_own_texts(spark, tmp_path):
     rows = [(None, texts[6] + " " + item), (None, texts[6]), (None, None), (5, texts[7]), (5, item), (6, item)]
     left = p.drop_contaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in left) == sorted([(0, texts[6]), (0, ""), (5, texts[7])])
+
+
+def test_lines_of_repeated_rows_keep_their_first(spark):
+    from pagegauge.llm import op8_line_dedup as op8
+
+    line = "one two three four five six seven eight nine ten eleven twelve"
+    other = line.replace("twelve", "dozen")
+    rows = [(1, line + "\nalpha beta"), (1, line + "\nalpha beta"), (2, other), (3, "gamma delta\n" + line), (4, other), (4, other)]
+    got = sorted((r.doc_id, r.n_removed, r.kept_text) for r in op8.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert {x for x in got if x[0] in (2, 3, 4)} == {(2, 1, ""), (3, 1, "gamma delta"), (4, 1, "")}
+    assert [x for x in got if x[0] == 1] == [(1, 0, line + "\nalpha beta")] * 2
