@@ -12,115 +12,170 @@ from .shared import stored, table
 
 
 class PrefixTree:
-    """A path-compressed trie of token sequences in one global order.
+    """A path-compressed trie of token sets in one global order, which many probes walk together.
 
-    A probe walks it with the overlap so far: all sequences below a node share the overlap of its path, and a subtree
-    is left when what remains of its longest sequence and of the probe can't reach the least overlap needed.
+    At each node the probes that are still in hold their overlap with the path so far, so all sequences below a node
+    share it. A probe leaves a subtree when what remains of the subtree's sequences and of the probe can't reach the
+    least overlap needed.
     """
 
-    STEP = 64
+    #: Tokens of a path between two looks at the bounds; cells of the table of tokens and probes.
+    STEP, CELLS = 48, 1 << 24
 
     def __init__(self, sequences: list[np.ndarray]):
-        self.sequences = sequences
-        self.sizes = np.array([len(s) for s in sequences])
-
-    def search(self, probe: np.ndarray, percent: int) -> np.ndarray:
-        hit = np.zeros(len(self.sequences), bool)
-        own = np.sort(probe)
-        need = -(-percent * (len(probe) + self.sizes) // (100 + percent))
-
-        def overlap(segment: np.ndarray) -> int:
-            at = np.searchsorted(own, segment)
-            at[at == len(own)] = 0
-            return int((own[at] == segment).sum()) if len(own) else 0
-
-        stack = [(np.arange(len(self.sequences)), 0, 0)]
-        while stack:
-            members, depth, shared = stack.pop()
-            best = np.minimum(self.sizes[members] - depth, len(probe) - shared) + shared
-            members = members[best >= need[members]]
-            if len(members) == 0:
-                continue
-            ended = members[self.sizes[members] == depth]
-            hit[ended] = shared >= need[ended]
-            members = members[self.sizes[members] > depth]
-            if len(members) == 0:
-                continue
-            if len(members) == 1:
-                s = self.sequences[members[0]]
-                step = s[depth : depth + self.STEP] if depth + self.STEP < len(s) and depth % 1024 == 0 else s[depth:]
-                stack.append((members, depth + len(step), shared + overlap(step)))
-                continue
-            heads = np.array([self.sequences[m][depth] for m in members])
-            order = np.argsort(heads, kind="stable")
-            members, heads = members[order], heads[order]
-            cut = np.flatnonzero(heads[1:] != heads[:-1]) + 1
-            for child in np.split(members, cut):
-                if len(child) == 1:
-                    s = self.sequences[child[0]]
-                    step = s[depth : depth + self.STEP]
-                else:
-                    length = int(self.sizes[child].min()) - depth
-                    first = self.sequences[child[0]][depth : depth + length]
-                    for m in child[1:]:
-                        same = self.sequences[m][depth : depth + len(first)] == first
-                        if not same.all():
-                            first = first[: int(np.argmin(same))]
-                    step = first
-                stack.append((child, depth + len(step), shared + overlap(step)))
-        return hit
-
-
-def tree_match(probe: np.ndarray, partners: list[np.ndarray], percent: int) -> np.ndarray:
-    return PrefixTree(partners).search(probe, percent)
-
-
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
+        sizes = np.array([len(s) for s in sequences])
+        self.vocabulary, ids = np.unique(np.concatenate(sequences), return_inverse=True)
+        parts = np.split(ids.astype(np.int32), np.cumsum(sizes)[:-1])
+        self.order = sorted(range(len(sequences)), key=lambda i: parts[i].astype(">i4").tobytes())
+        self.paths = [parts[i] for i in self.order]
+        self.sizes = sizes[self.order].tolist()
+        self.shared = [0]
+        for a, b in zip(self.paths, self.paths[1:], strict=False):
+            m = min(len(a), len(b))
+            differ = a[:m] != b[:m]
+            self.shared.append(int(differ.argmax()) if differ.any() else m)
+        self.nodes = self._nodes()
+        self.bounds = (min(self.sizes), max(self.sizes))
+
+    def _nodes(self) -> list[list[tuple[int, int, int]]]:
+        """For each sequence, the inner nodes that it is the first one below: (depth, least and greatest size below)."""
+        found, open_ = [], []
+        for k in range(len(self.paths) - 1, -1, -1):
+            low = high = self.sizes[k]
+            own, depth = [], self.shared[k]
+            while open_ and open_[-1][0] > depth:
+                at, a, b = open_.pop()
+                low, high = min(a, low), max(b, high)
+                own.append((at, low, high))
+            if depth:
+                if open_ and open_[-1][0] == depth:
+                    low, high = min(open_[-1][1], low), max(open_.pop()[2], high)
+                open_.append((depth, low, high))
+            found.append(own[::-1])
+        return found[::-1]
+
+    def search(self, probes: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(probe, sequence) numbers of all similar pairs."""
+        size = np.array([len(p) for p in probes])
+        flat = np.concatenate(probes)
+        at = np.searchsorted(self.vocabulary, flat)
+        at[at == len(self.vocabulary)] = 0
+        known = np.flatnonzero(self.vocabulary[at] == flat)
+        row, token = np.repeat(np.arange(len(probes)), size)[known], at[known]
+        step = max(1, self.CELLS // len(self.vocabulary))
+        out = []
+        for x in range(0, len(probes), step):
+            s = slice(*np.searchsorted(row, [x, x + step]))
+            has = np.zeros((len(self.vocabulary), min(step, len(probes) - x)), np.uint8)
+            has[token[s], row[s] - x] = 1
+            for k, who in self._walk(has, size[x : x + step], percent):
+                out.append(np.stack([who + x, np.full(len(who), self.order[k])]))
+        return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _walk(self, has: np.ndarray, size: np.ndarray, percent: int):
+        def in_reach(depth, overlap, n, low, high):
+            best = np.clip(n - overlap + depth, low, high)
+            return (100 + percent) * (overlap + np.minimum(best - depth, n - overlap)) >= percent * (n + best)
+
+        everyone = np.arange(len(size))
+        nothing = np.zeros(len(size), np.int64)
+        everyone = everyone[in_reach(0, nothing, size, *self.bounds)]
+        saved = [(0, everyone, nothing[everyone])]
+        for k, path in enumerate(self.paths):
+            while saved[-1][0] > self.shared[k]:
+                saved.pop()
+            depth, who, overlap = saved[-1]
+            last = self.sizes[k]
+            for stop, low, high in [*self.nodes[k], (last, last, last)]:
+                while depth < stop and len(who):
+                    to = min(stop, depth + self.STEP)
+                    part = has[path[depth:to]]
+                    overlap = overlap + (part.sum(axis=0, dtype=np.int64) if len(who) == part.shape[1] else part[:, who].sum(axis=0, dtype=np.int64))
+                    depth = to
+                    near = in_reach(depth, overlap, size[who], low, high)
+                    if not near.all():
+                        who, overlap = who[near], overlap[near]
+                depth = stop
+                if stop < last or high > last:
+                    saved.append((stop, who, overlap))
+            # at the end of a path, being in reach is being similar
+            if len(who):
+                yield k, who[overlap >= sj._need(size[who], last, percent)]
+
+
+def tree_match(held: list[np.ndarray], asking: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    return PrefixTree(held).search(asking, percent)
+
+
+def spanning_links(i: np.ndarray, j: np.ndarray, asking: dict, held: dict) -> list[np.ndarray]:
+    """(a, b): of the similar pairs, as many links as connect what they connect, between different labels only."""
+    a, b = asking["label"][i], held["label"][j]
+    other = np.flatnonzero(a != b)
+    _, first = np.unique(np.stack([i[other], b[other]]), axis=1, return_index=True)
+    root: dict[int, int] = {}
+
+    def find(x):
+        while (y := root.get(x, x)) != x:
+            root[x] = x = root.get(y, y)
+        return x
+
+    keep = []
+    for at in other[first].tolist():
+        x, y = find(int(a[at])), find(int(b[at]))
+        if x != y:
+            root[x] = y
+            keep.append(at)
+    return [asking["sid"][i[keep]], held["sid"][j[keep]]]
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies) for every row of ``docs(doc_id, text)``.
 
     Two documents link when the Jaccard coefficient of their sets of ``k``-word shingles reaches ``percent`` / 100.
     Texts are lower-cased in A-Z; words are runs without ASCII white space; fewer than ``k`` words make one shingle.
     Null, empty and blank texts have an empty set, link with nothing and are their own component. Rows with equal
-    sets (repeated rows too) are one set in the search; n_copies is its number of rows. Rows with a null doc_id have
-    a null component, unless their set is that of a row with an id, and link no others. Extra columns are not read.
+    sets (repeated rows too) are one set in the search; n_copies is its number of rows. Rows without an id link like
+    all others, and get the smallest id of their component, or null if it has none. Extra columns are not read.
     """
     unit = sj.shingle_unit(k)
     docs = docs.select("doc_id", "text")
     profiled = sj.profile(docs, unit)
     order = sj.token_order(profiled)
-    records = profiled.where("chunk is null").select("doc_id", "sid", "n")
-    sets = stored(records.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "distinct")
-
-    shared = sj.shared_tokens(sj.prefix_entries(docs, unit, order, percent), percent)
-
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        wanted = pairs.selectExpr("a sid", "an n").union(pairs.selectExpr("b", "bn")).distinct().join(sets.hint("merge"), ["sid", "n"])
-        tokens = sj.token_sets(docs, wanted.selectExpr("rep doc_id", "0L number"), unit, order)
-        return stored(sj.verified(pairs, tokens, percent, tree_match), "links")
-
-    score = sj.scores(shared, percent)
-
-    def labelled(edges: DataFrame) -> DataFrame:
-        label = connected_components(edges.selectExpr("a x", "b y"))
-        return score.join(label.selectExpr("node sid", "component label").hint("merge"), "sid", "left").selectExpr("sid", "n", "cnt", "coalesce(label, sid) label", "score", "0L rank")
-
-    # first links to hubs, and between parts of a group, which join most of a group of near copies by few pairs
-    edges = links(sj.star_pairs(shared, score.withColumn("label", F.col("sid")), percent))
-    for _ in range(rounds):
-        more = links(sj.star_pairs(shared, labelled(edges), percent))
-        if more.isEmpty():
-            break
-        edges = edges.union(more)
-    # then all other pairs of sets that are not linked yet, so that no link between parts is missed
-    edges = edges.union(links(sj.rest_pairs(shared, labelled(edges), percent, "other")))
-
-    name = sets.select("sid", "n", "rep")
-    named = edges.join(name.selectExpr("sid a", "n an", "rep x").hint("merge"), ["a", "an"]).join(name.selectExpr("sid b", "n bn", "rep y").hint("merge"), ["b", "bn"])
-    found = connected_components(named.select("x", "y"))
-    sets = sets.join(found.selectExpr("node rep", "component").hint("merge"), "rep", "left")
-    out = records.join(sets.selectExpr("sid", "n", "coalesce(component, rep) component", "n_copies").hint("merge"), ["sid", "n"], "left")
-    return out.selectExpr("doc_id", "n n_shingles", "coalesce(component, doc_id) component_id", "coalesce(n_copies, 1L) n_copies")
+    records = profiled.where("chunk is null").select("doc_id", "sid", "n", "tkey", "number")
+    sets = stored(records.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.min("tkey").alias("tkey")), "distinct")
+
+    shared = sj.mates(sj.prefix_entries(docs, unit, order, percent), percent, first=False)
+    state = sj.clusters(shared, percent)
+    wanted = state.select("sid").join(sets.hint("merge"), "sid").selectExpr("sid", "tkey", "0L number")
+    tokens = sj.set_tokens(docs, wanted, unit, order)
+    plain = state.selectExpr("sid", "n", "cnt", "cluster", "score", "sid label", "0L r1", "0L r2")
+
+    def links(asking: DataFrame, held: DataFrame) -> DataFrame:
+        return stored(sj.compare(asking, held, tokens, percent, tree_match, spanning_links, "a long, b long"), "links")
+
+    # first every set with the hubs of its runs: a row for each set links most of a group of near copies
+    first = stored(sj.hubs(shared, plain.selectExpr("sid", "-score r1", "sid r2"), percent, count=True), "hubs")
+    columns = ["g", "sid", "n", "label", "r1", "r2"]
+    asking = first.join(plain.hint("merge"), "sid").select(*columns)
+    held = first.select(F.col("g").alias("sid")).distinct().join(plain.hint("merge"), "sid").withColumn("g", F.col("sid")).select(*columns)
+    edges = links(asking, held)
+
+    # then all that may still be linked, with the clusters that hold a possible partner; small components ask large ones
+    parts = connected_components(edges.selectExpr("a x", "b y"))
+    crowd = parts.groupBy("component").agg(F.count("*").alias("members"))
+    label = stored(parts.join(crowd.hint("merge"), "component").selectExpr("node sid", "component label", "members"), "labels")
+    linked = plain.drop("label", "r1", "r2").join(label.hint("merge"), "sid", "left")
+    linked = stored(linked.selectExpr("sid", "n", "cnt", "cluster", "coalesce(label, sid) label", "coalesce(members, 1L) r1", "coalesce(label, sid) r2"), "linked")
+    asks = stored(sj.waiting(shared, linked, percent, other=True), "waiting")
+    held = linked.join(asks.selectExpr("g cluster").distinct().hint("merge"), "cluster").withColumn("g", F.col("cluster")).select(*columns)
+    edges = edges.union(links(asks.join(linked.hint("merge"), "sid").select(*columns), held))
+
+    found = connected_components(edges.selectExpr("a x", "b y"))
+    sets = sets.join(found.selectExpr("node sid", "component").hint("merge"), "sid", "left").selectExpr("sid", "least", "n_copies", "coalesce(component, sid) component")
+    smallest = sets.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = sets.join(smallest.hint("merge"), "component").select("sid", "n_copies", "component_id")
+    out = records.where("n > 0").join(named.hint("merge"), "sid").selectExpr("doc_id", "n n_shingles", "component_id", "n_copies")
+    return out.union(records.where("n = 0").selectExpr("doc_id", "n", "doc_id", "1L"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,18 +21,37 @@ LENGTH = 200
 #: Occurrences of one anchor up to which a task sorts their suffixes; beyond, windows are counted by a shuffle.
 SORT_ROWS = 50_000
 _C = ts._MULT
+_B = 0x9E3779B97F4A7C15 | 1
+_BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of the hash base, and of its inverse, modulo 2**64."""
+    if not _powers or len(_powers[0]) <= n:
+        m = max(n + 1, ts.SLICE + 1)
+        up, down = np.full(m, _B, np.uint64), np.full(m, pow(_B, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
+    return _powers[0], _powers[1]
 
 
 def _prefix(raw: np.ndarray) -> np.ndarray:
-    up, _ = ts.powers(len(raw))
-    prefix = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(ts._BYTE[raw] * up[: len(raw)], out=prefix[1:])
+    """Running sums over all 8-byte strings, each mixed before its power is applied: single bytes would leave sums in
+    which patterns of two letters cancel out."""
+    n = max(len(raw) - 7, 0)
+    up, _ = powers(n)
+    prefix = np.zeros(n + 1, np.uint64)
+    if n:
+        eight = np.ndarray((n,), np.uint64, buffer=np.ascontiguousarray(raw), strides=(1,))
+        np.cumsum(ts.mix(eight ^ _C[58]) * up[:n], out=prefix[1:])
     return prefix
 
 
 def _hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = ts.powers(len(prefix))
-    return ts.mix((prefix[end] - prefix[start]) * down[start])
+    """Hashes of byte ranges of at least 8 bytes."""
+    _, down = powers(len(prefix))
+    return ts.mix((prefix[end - 7] - prefix[start]) * down[start])
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int):
@@ -144,9 +163,9 @@ class Suffixes:
     def __init__(self, rows: np.ndarray, sizes: np.ndarray, groups: np.ndarray):
         self.rows, self.sizes, self.groups = rows, sizes, groups
         n, m = rows.shape
-        up, _ = ts.powers(m)
+        up, _ = powers(m)
         self.prefix = np.zeros((n, m + 1), np.uint64)
-        np.cumsum(ts._BYTE[rows] * up[:m], axis=1, out=self.prefix[:, 1:])
+        np.cumsum(_BYTE[rows] * up[:m], axis=1, out=self.prefix[:, 1:])
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low, high = np.zeros(len(a), np.int64), np.minimum(self.sizes[a], self.sizes[b])
@@ -336,7 +355,9 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(texts(doc_id, key, text), spans(key, begin, end)): byte spans covered by a string of ``length`` bytes that
-    also starts anywhere else. ``key`` stands for a text's content."""
+    also starts anywhere else. ``key`` stands for a text's content. ``length`` is 16 to 1,023."""
+    if not 16 <= length <= 1023:
+        raise ValueError("length must be 16 to 1,023 bytes: halves are hashed by 8 bytes, and places are packed by 10 bits")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("key", F.xxhash64("text"))
     # one row per text that can have a window; copies are repeated as a whole

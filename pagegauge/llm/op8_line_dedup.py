@@ -10,16 +10,32 @@ from . import setjoin as sj
 from .shared import join_on_size, stored, table
 
 
-def overlap_match(probe: np.ndarray, partners: list[np.ndarray], percent: int) -> np.ndarray:
-    """Flags of the partners whose Jaccard coefficient with the probe reaches ``percent`` / 100."""
-    own = np.sort(probe)
-    out = np.zeros(len(partners), bool)
-    for i, other in enumerate(partners):
-        at = np.searchsorted(own, other)
-        at[at == len(own)] = 0
-        both = int((own[at] == other).sum())
-        out[i] = 100 * both >= percent * (len(own) + len(other) - both)
-    return out
+def overlap_match(held: list[np.ndarray], asking: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(asking, held) numbers of the pairs whose Jaccard coefficient reaches ``percent`` / 100."""
+    n, m = (np.array([len(x) for x in sets]) for sets in (held, asking))
+    vocabulary, ids = np.unique(np.concatenate(held), return_inverse=True)
+    flat = np.concatenate(asking)
+    at = np.searchsorted(vocabulary, flat)
+    at[at == len(vocabulary)] = 0
+    known = np.flatnonzero(vocabulary[at] == flat)
+    row, token = np.repeat(np.arange(len(asking)), m)[known], at[known]
+    starts = np.cumsum(n) - n
+    step = max(1, (1 << 24) // len(ids))
+    out = [np.zeros((2, 0), np.int64)]
+    for x in range(0, len(asking), step):
+        s = slice(*np.searchsorted(row, [x, x + step]))
+        has = np.zeros((len(vocabulary), min(step, len(asking) - x)), np.uint8)
+        has[token[s], row[s] - x] = 1
+        both = np.add.reduceat(has[ids], starts, axis=0, dtype=np.int32)
+        j, i = np.nonzero(100 * both >= percent * (n[:, None] + m[None, x : x + step] - both))
+        out.append(np.stack([i + x, j]))
+    return tuple(np.concatenate(out, axis=1))
+
+
+def earlier(i: np.ndarray, j: np.ndarray, asking: dict, held: dict) -> list[np.ndarray]:
+    """(sid): the sets that ask and are similar to one of lower rank."""
+    a, b = [asking[k][i] for k in ("r1", "r2")], [held[k][j] for k in ("r1", "r2")]
+    return [np.unique(asking["sid"][i[(b[0] < a[0]) | ((b[0] == a[0]) & (b[1] < a[1]))]])]
 
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -27,38 +43,41 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     least ``percent`` / 100; earlier by (doc_id, number), null ids last, whether or not it is removed itself.
 
     Lines are the \\n-split parts of a text, their tokens its distinct words, lower-cased in A-Z. Lines without a word
-    (and so null and empty texts) match nothing. Rarer words come first in prefixes; candidates pass length and
-    positional filters and a count of common prefix words before they are verified on their words. Lines of rows
-    without an id, if their words are found in no row with one, take part in exact matches only.
+    (and so null and empty texts) match nothing. Rarer words come first in prefixes; candidates pass length, positional
+    and bitmap filters before they are verified on their words.
     """
     unit = sj.line_unit()
     docs = docs.select("doc_id", "text")
     profiled = sj.profile(docs, unit)
     order = sj.token_order(profiled)
-    rank = F.coalesce(F.col("doc_id"), F.lit((1 << 39) - 1)) * F.lit(1 << 24) + F.col("number")
-    records = profiled.where("chunk is null and n > 0").select("doc_id", "number", "sid", "n", rank.alias("rank"))
-    sets = stored(records.groupBy("sid", "n").agg(F.min("rank").alias("rank"), F.min_by("doc_id", "rank").alias("first_id"), F.min_by("number", "rank").alias("first_number")), "distinct")
-    shared = sj.shared_tokens(sj.prefix_entries(docs, unit, order, percent, bitmaps=True), percent)
-
-    def later(pairs: DataFrame) -> DataFrame:
-        """(sid, n): the later set of each similar pair."""
-        pairs = stored(pairs, "pairs")
-        wanted = pairs.selectExpr("a sid", "an n").union(pairs.selectExpr("b", "bn")).distinct().join(sets.hint("merge"), ["sid", "n"])
-        tokens = sj.token_sets(docs, wanted.selectExpr("first_id doc_id", "first_number number"), unit, order)
-        links = sj.verified(pairs, tokens, percent, overlap_match)
-        rank = sets.select("sid", "n", "rank")
-        links = links.join(rank.toDF("a", "an", "ar").hint("merge"), ["a", "an"]).join(rank.toDF("b", "bn", "br").hint("merge"), ["b", "bn"])
-        return stored(links.selectExpr("if(ar > br, a, b) sid", "if(ar > br, an, bn) n").distinct(), "later")
-
-    # lines that are like the hub of one of their words are settled; only the others meet all earlier lines
-    score = sj.scores(shared, percent)
-    gone = later(sj.star_pairs(shared, score.withColumn("label", F.col("sid")), percent))
-    labels = score.select("sid", "n", "cnt").join(sets.select("sid", "n", "rank").hint("merge"), ["sid", "n"])
-    labels = labels.join(gone.withColumn("gone", F.lit(1)).hint("merge"), ["sid", "n"], "left").selectExpr("sid", "n", "cnt", "cast(coalesce(gone, 0) as long) label", "rank")
-    gone = gone.union(later(sj.rest_pairs(shared, labels, percent, "earlier"))).distinct()
-
-    marked = sets.select("sid", "n", F.col("rank").alias("first")).join(gone.withColumn("gone", F.lit(True)).hint("merge"), ["sid", "n"], "left")
-    return records.join(marked.hint("merge"), ["sid", "n"]).where("rank > first or gone").select("doc_id", "number")
+    # null ids rank behind the largest id: numbers of lines are below 2**32
+    null = F.col("doc_id").isNull().cast("long") * F.lit(1 << 32)
+    rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("r1"), (F.col("number") + null).alias("r2"))
+    records = profiled.where("chunk is null and n > 0").select("doc_id", "number", "sid", "n", "tkey", rank.alias("rank"))
+    first = records.groupBy("sid", "n").agg(F.min(F.struct("rank", "tkey", "number")).alias("first"))
+    sets = stored(first.selectExpr("sid", "n", "first.rank.r1", "first.rank.r2", "first.tkey", "first.number"), "distinct")
+    shared = sj.mates(sj.prefix_entries(docs, unit, order, percent, bitmaps=True), percent, first=True)
+    state = sj.clusters(shared, percent).select("sid", "cluster", "cnt").join(sets.hint("merge"), "sid")
+    state = stored(state.selectExpr("sid", "n", "cluster", "cnt", "0L label", "r1", "r2", "tkey", "number"), "state")
+    tokens = sj.set_tokens(docs, state, unit, order)
+    columns = ["g", "sid", "n", "label", "r1", "r2"]
+
+    def later(asking: DataFrame, held: DataFrame) -> DataFrame:
+        found = sj.compare(asking.select(*columns), held.select(*columns), tokens, percent, overlap_match, earlier, "sid long")
+        return stored(found.distinct(), "later")
+
+    # lines that are like the earliest one of a run are settled; only the others meet the clusters of all earlier lines
+    hubs = stored(sj.hubs(shared, state, percent, count=False), "hubs")
+    held = hubs.select(F.col("g").alias("sid")).distinct().join(state.hint("merge"), "sid").withColumn("g", F.col("sid"))
+    gone = later(hubs.join(state.hint("merge"), "sid"), held)
+    state = stored(state.drop("label").join(gone.withColumn("label", F.lit(1).cast("long")).hint("merge"), "sid", "left").fillna(0, ["label"]), "state")
+    asks = stored(sj.waiting(shared, state, percent, other=False), "waiting")
+    held = state.join(asks.selectExpr("g cluster").distinct().hint("merge"), "cluster").withColumn("g", F.col("cluster"))
+    gone = gone.union(later(asks.join(state.hint("merge"), "sid"), held))
+
+    marked = sets.select("sid", "r1", "r2").join(gone.withColumn("gone", F.lit(True)).hint("merge"), "sid", "left")
+    is_later = (F.col("rank") > F.struct("r1", "r2")) | F.coalesce("gone", F.lit(False))
+    return records.join(marked.hint("merge"), "sid").where(is_later).select("doc_id", "number")
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -1,11 +1,15 @@
-"""Exact set-similarity join on Spark: global token order, prefix index, candidate links.
+"""Exact set-similarity join on Spark: global token order, prefix runs, and comparison in blocks.
 
-A *record* (a document or a line) has a set of 64-bit tokens. Two records are similar when
-``100 * |A & B| >= percent * |A | B|``. All steps are Spark shuffles; tasks hold one slice of text, or one run of an
-index that is split when it is large.
+A *record* (a document or a line) has a set of 64-bit tokens, and a set is known by a 64-bit id (``sid``). Two sets are
+similar when ``100 * |A & B| >= percent * |A | B|``. The steps:
 
-Token order: by a count sketch of fixed size (``SKETCH`` buckets, one byte each when broadcast), rare buckets first,
-then by hash. Any fixed order gives right results; counts only keep frequent tokens out of the prefixes.
+1. ``profile`` reads the texts once for set ids and a count sketch of all tokens; ``token_order`` makes the order of it.
+2. ``prefix_entries`` and ``mates``: sets meet in runs of one prefix token; entries without a possible mate go.
+3. ``hubs``: in each run every set meets one hub only. That settles most of a group of near copies by a row a set.
+4. ``clusters`` and ``waiting``: what is not settled is sent, one row for each cluster, to the clusters that hold a
+   possible partner. No pairs are written out: ``compare`` gathers each cluster's sets once and finds the partners.
+
+Runs of a token that very many sets have are dealt out by salts; clusters are cut into blocks of bounded weight.
 """
 
 from __future__ import annotations
@@ -20,11 +24,14 @@ from pyspark.sql import functions as F
 from . import tokensets as ts
 from .shared import join_on_size, stored
 
+#: Buckets of the count sketch, as a power of two; one byte each when broadcast.
 SKETCH_BITS = 22
 _CHUNK = 1 << 16
-#: A token whose bucket counts more than 2**HOT records is dealt out to several runs.
+#: Runs of a token are dealt out to parts of about 2**HOT records; a token counts as hot only if it is also well
+#: above the mean of all buckets, else its count may be that of the tokens that share its bucket.
 HOT = 15
-#: Tokens of one verification block, about.
+ABOVE_MEAN = 4
+#: Tokens of one block of a cluster, about (a larger set is a block of its own).
 BLOCK_TOKENS = 1_000_000
 
 #: unit(raw, offsets) -> (row of each record, number in its row, distinct tokens, offsets)
@@ -56,62 +63,78 @@ def _read(batches: Iterator[pa.RecordBatch], unit: Unit):
             yield batch, a, row, number, tokens, offsets, ts.set_ids(tokens, offsets)
 
 
+def _batch(kinds: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
+    rows = max(len(x) for x in columns.values() if x is not None)
+    return pa.RecordBatch.from_arrays([pa.nulls(rows, kinds[k]) if x is None else x if isinstance(x, pa.Array) else pa.array(x) for k, x in columns.items()], names=list(columns))
+
+
 def profile(docs: DataFrame, unit: Unit) -> DataFrame:
-    """Records (doc_id, number, sid, n), and rows (chunk, counts) of the count sketch."""
+    """Records (doc_id, number, sid, n, tkey), and rows (chunk, counts) of the count sketch. ``tkey`` is a hash of the
+    whole text: by it texts are found again, so rows without an id or with a repeated one are like all others."""
+    kinds = {"chunk": pa.int64(), "counts": pa.binary(), "doc_id": pa.int64(), "number": pa.int64(), "sid": pa.int64(), "n": pa.int64(), "tkey": pa.int64()}
 
     def work(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts, held, size = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
         any_row = False
+
+        def count():
+            if held:
+                counts[:] += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
+
         for batch, a, row, number, tokens, offsets, sid in _read(batches, unit):
             any_row = True
-            counts += np.bincount(tokens >> np.uint64(64 - SKETCH_BITS), minlength=len(counts)).astype(np.uint32)
-            ids = batch.column("doc_id").take(pa.array(a + row))
-            yield _batch(doc_id=ids, number=number, sid=sid, n=np.diff(offsets), chunk=None, counts=None)
+            held.append((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+            size += len(tokens)
+            if size > 1 << 22:
+                count()
+                held, size = [], 0
+            at = pa.array(a + row)
+            yield _batch(kinds, doc_id=batch.column("doc_id").take(at), number=number, sid=sid, n=np.diff(offsets), tkey=batch.column("tkey").take(at), chunk=None, counts=None)
+        count()
         if any_row:
             m = len(counts) // _CHUNK
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64())] * 4 + [pa.array(range(m), pa.int64()), pa.array([x.tobytes() for x in counts.reshape(m, -1)], pa.binary())],
-                names=["doc_id", "number", "sid", "n", "chunk", "counts"],
-            )
+            small = np.minimum(counts, 65535).astype(np.uint16).reshape(m, -1)
+            yield _batch(kinds, doc_id=None, number=None, sid=None, n=None, tkey=None, chunk=pa.array(range(m), pa.int64()), counts=pa.array([x.tobytes() for x in small], pa.binary()))
 
-    return stored(docs.select("doc_id", "text").mapInArrow(work, "doc_id long, number long, sid long, n long, chunk long, counts binary"), "profile")
-
-
-def _batch(**columns) -> pa.RecordBatch:
-    rows = max(len(x) for x in columns.values() if x is not None)
-    kinds = {"chunk": pa.int64(), "counts": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.nulls(rows, kinds[k]) if x is None else x if isinstance(x, pa.Array) else pa.array(x) for k, x in columns.items()], names=list(columns))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
+    return stored(keyed.mapInArrow(work, "doc_id long, number long, sid long, n long, tkey long, chunk long, counts binary"), "profile")
 
 
 def token_order(profiled: DataFrame):
     """The sketch as logarithms of its counts, in steps of an eighth of a doubling: 2**SKETCH_BITS bytes whatever the
-    input. Fine steps also tell a token of a few dozen records from the many single ones that share its bucket."""
+    input. Fine steps also tell a token of a few dozen records from the many single ones that share its bucket. Any
+    fixed order gives right results; counts only keep frequent tokens out of the prefixes."""
 
-    def merge(key, table):
-        total = np.zeros(_CHUNK, np.uint64)
-        for x in table.column("counts"):
-            total += np.frombuffer(x.as_py(), np.uint32)
-        return pa.table({"chunk": [key[0].as_py()], "counts": [np.minimum(np.round(8 * np.log2(total + 1.0)), 255).astype(np.uint8).tobytes()]})
-
-    def fold(batches):  # one row per task and chunk meets here: fold what a task has first
-        sums: dict[int, np.ndarray] = {}
+    def sums(batches, kind) -> dict[int, np.ndarray]:
+        out: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, x in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
-                sums.setdefault(c, np.zeros(_CHUNK, np.uint32))
-                sums[c] += np.frombuffer(x.as_py(), np.uint32)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
-
-    kind = "chunk long, counts binary"
-    rows = profiled.where("chunk is not null").select("chunk", "counts").mapInArrow(fold, kind).groupBy("chunk").applyInArrow(merge, kind).collect()
+                total = out.setdefault(c, np.zeros(_CHUNK, np.uint64))
+                total += np.frombuffer(x.as_py(), kind)
+        return out
+
+    def partial(batches):
+        for c, x in sums(batches, np.uint16).items():
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([x.tobytes()], pa.binary())], names=["chunk", "counts"])
+
+    def whole(batches):
+        for c, x in sums(batches, np.uint64).items():
+            levels = np.minimum(np.round(8 * np.log2(x + 1.0)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([levels.tobytes()], pa.binary()), pa.array([float(x.sum())])], names=["chunk", "levels", "total"])
+
+    # each task of the read adds up what it has; then a chunk's partial sums meet in the task of the chunk
+    parts = profiled.where("chunk is not null").select("chunk", "counts").mapInArrow(partial, "chunk long, counts binary")
+    rows = parts.repartition("chunk").mapInArrow(whole, "chunk long, levels binary, total double").collect()
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in rows:
-        levels[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.uint8)
-    return profiled.sparkSession.sparkContext.broadcast(levels)
+        levels[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.levels, np.uint8)
+    mean = sum(r.total for r in rows) / len(levels)
+    hot = max(HOT, int(np.ceil(np.log2(ABOVE_MEAN * mean + 1))))
+    return profiled.sparkSession.sparkContext.broadcast((levels, hot))
 
 
 def in_order(tokens: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each record in the global order, and their levels."""
+    """Tokens of each record in the global order, rare ones first and then by hash, and their levels."""
     level = levels[tokens >> np.uint64(64 - SKETCH_BITS)]
     key = (np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) << 8) | level
     order = np.argsort(key, kind="stable")
@@ -119,14 +142,14 @@ def in_order(tokens: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tup
 
 
 def prefix_entries(docs: DataFrame, unit: Unit, order, percent: int, bitmaps: bool = False) -> DataFrame:
-    """(h, salt, salted, sid, n, pos, bits): the prefix of every record; a set once per task.
+    """(h, salt, salted, sid, n, pos, bits): the prefix of every set; a set once per task.
 
     With ``bitmaps``, bits is the parity of the set's tokens over 64 buckets: two sets differ in at least as many
     tokens as their bitmaps do in bits. That rules out most pairs of small sets (lines); else bits is 0.
     """
 
     def work(batches):
-        levels, seen = order.value, set()
+        (levels, hot), seen = order.value, set()
         for _, _, _, _, tokens, offsets, sid in _read(batches, unit):
             tokens, level = in_order(tokens, offsets, levels)
             n = np.diff(offsets)
@@ -139,17 +162,17 @@ def prefix_entries(docs: DataFrame, unit: Unit, order, percent: int, bitmaps: bo
             rec = np.repeat(np.arange(len(n)), size)
             pos = np.arange(len(rec)) - np.repeat(np.cumsum(size) - size, size)
             at = offsets[rec] + pos
-            parts = np.maximum(1, 1 << np.maximum(level[at].astype(np.int64) // 8 - HOT, 0))
+            parts = np.maximum(1, 1 << np.maximum(level[at].astype(np.int64) // 8 - hot, 0))
             bits = np.zeros(len(n), np.int64)
             if bitmaps and len(tokens):
                 some = np.flatnonzero(n)
                 bits[some] = np.bitwise_xor.reduceat(np.uint64(1) << (tokens & np.uint64(63)), offsets[some]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (tokens[at].view(np.int64), (sid[rec] % parts).astype(np.int32), parts > 1, sid[rec], n[rec], pos.astype(np.int32), bits[rec])],
+                [pa.array(x) for x in (tokens[at].view(np.int64), (sid[rec] % parts).astype(np.int32), parts > 1, sid[rec], n[rec].astype(np.int32), pos.astype(np.int32), bits[rec])],
                 names=["h", "salt", "salted", "sid", "n", "pos", "bits"],
             )
 
-    return docs.select("text").mapInArrow(work, "h long, salt int, salted boolean, sid long, n long, pos int, bits long")
+    return docs.select("text").mapInArrow(work, "h long, salt int, salted boolean, sid long, n int, pos int, bits long")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -176,10 +199,28 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(rest)
 
 
-def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
-    """Whether two sets can be similar by their sizes and bitmaps."""
-    need = -(-percent * (n[i] + n[j]) // (100 + percent))
-    return (np.minimum(n[i], n[j]) >= need) & (n[i] + n[j] - 2 * need >= np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)))
+def _columns(t: pa.Table, *names: str) -> list[np.ndarray]:
+    return [t.column(k).to_numpy() for k in names]
+
+
+def _run_of(*keys: np.ndarray) -> np.ndarray:
+    """Number of the run of equal keys that each row of a sorted table is in."""
+    if len(keys[0]) == 0:
+        return np.zeros(0, np.int64)
+    return np.cumsum(np.append(False, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+
+
+def _need(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Least overlap of similar sets of sizes n and m."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def _possible(i, j, n, pos, bits, percent: int) -> np.ndarray:
+    """Whether two sets can be similar by their sizes and bitmaps and, if ``pos`` is given, with this token as the first
+    that they have in common: what is left of either set from it on must reach the least overlap."""
+    need = _need(n[i], n[j], percent)
+    left = np.minimum(n[i], n[j]) if pos is None else np.minimum(n[i] - pos[i], n[j] - pos[j])
+    return (left >= need) & (n[i] + n[j] - 2 * need >= np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)))
 
 
 def _steps(run: np.ndarray, n: np.ndarray, percent: int):
@@ -196,15 +237,20 @@ def _steps(run: np.ndarray, n: np.ndarray, percent: int):
         step += 1
 
 
-def shared_tokens(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries (h, sid, n, pos, bits) whose token has a second set that they may be similar to, each set once."""
+def mates(entries: DataFrame, percent: int, first: bool) -> DataFrame:
+    """Entries (h, salt, salted, sid, n, pos, bits, size) whose token has a second set that they may be similar to, each
+    set once; size is the number of sets in the run. With ``first`` the token must be able to be the first common one.
+    Of a salted token all entries stay, as their mates may be in another part."""
 
     def work(batches):
         for t in runs(batches, ["h", "salt"]):
-            h, salt, salted, sid, n, pos, bits = (t.column(k).to_numpy() for k in ("h", "salt", "salted", "sid", "n", "pos", "bits"))
-            keep = np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (sid[1:] != sid[:-1]) | (n[1:] != n[:-1]))
-            h, salt, salted, sid, n, pos, bits = (x[keep] for x in (h, salt, salted, sid, n, pos, bits))
-            run = np.cumsum(np.append(False, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])))
+            cols = _columns(t, "h", "salt", "salted", "sid", "n", "pos", "bits")
+            h, salt, _, sid = cols[:4]
+            keep = np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (sid[1:] != sid[:-1]))
+            cols = [x[keep] for x in cols]
+            h, salt, salted, sid, n, pos, bits = cols
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            run = _run_of(h, salt)
             mate = salted.copy()
             walk = _steps(run, n, percent)
             pair = next(walk, None)
@@ -212,7 +258,7 @@ def shared_tokens(entries: DataFrame, percent: int) -> DataFrame:
                 i, j = pair
                 open_ = ~(mate[i] & mate[j])
                 x, y = i[open_], j[open_]
-                ok = _possible(x, y, n, bits, percent)
+                ok = _possible(x, y, n, pos if first else None, bits, percent)
                 mate[x[ok]] = mate[y[ok]] = True
                 # a set that has a mate is only needed for later ones that have none
                 waiting = np.bincount(run[~mate], minlength=int(run[-1]) + 1) > 0
@@ -221,10 +267,20 @@ def shared_tokens(entries: DataFrame, percent: int) -> DataFrame:
                 except StopIteration:
                     pair = None
             at = np.flatnonzero(mate)
-            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (h, sid, n, pos, bits)], names=["h", "sid", "n", "pos", "bits"])
+            size = np.bincount(run[at], minlength=int(run[-1]) + 1)[run[at]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in cols] + [pa.array(size)], names=["h", "salt", "salted", "sid", "n", "pos", "bits", "size"])
 
     dealt = entries.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "sid")
-    return stored(dealt.mapInArrow(work, "h long, sid long, n long, pos int, bits long"), "shared")
+    return stored(dealt.mapInArrow(work, "h long, salt int, salted boolean, sid long, n int, pos int, bits long, size int"), "mates")
+
+
+def clusters(shared: DataFrame, percent: int) -> DataFrame:
+    """(sid, n, cnt, score, cluster) of every set with a possible mate: the number of its prefix tokens with mates, the
+    same per mille, and the token of its largest run. A text that others are copies of has no rare tokens of its own, so
+    it scores highest and makes the best hub; texts of one origin have the same largest run."""
+    prefix = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
+    per = shared.groupBy("sid", "n").agg(F.count("*").alias("cnt"), F.max(F.struct("size", "h")).alias("most"))
+    return stored(per.select("sid", "n", "cnt", (1000 * F.col("cnt") / prefix).cast("long").alias("score"), F.col("most.h").alias("cluster")), "clusters")
 
 
 def _enough(c: str, percent: int) -> Column:
@@ -234,132 +290,146 @@ def _enough(c: str, percent: int) -> Column:
     return F.col(c) + behind >= F.expr(f"({percent} * (an + bn) + {99 + percent}) div {100 + percent}")
 
 
-def scores(shared: DataFrame, percent: int) -> DataFrame:
-    """(sid, n, cnt, score): how many tokens of a set's prefix are shared, and per mille. A text that others are copies of has no rare
-    tokens of its own, so it scores highest and makes the best hub."""
-    prefix = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
-    return stored(shared.groupBy("sid", "n").agg(F.count("*").alias("cnt")).withColumn("score", (1000 * F.col("cnt") / prefix).cast("long")), "scores")
-
-
-def star_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, an, b, bn): in each run, the best set of every label with the hub, the best of all; sets of lengths that
-    the hub can't match have hubs of their own. ``labels`` has (sid, n, label, score). Only pairs with enough common
-    tokens are kept."""
+def hubs(shared: DataFrame, rank: DataFrame, percent: int, count: bool) -> DataFrame:
+    """(sid, g): each set with the hub g of each of its runs, the first by (r1, r2) of ``rank`` (sid, r1, r2); sets that
+    the hub can't match have hubs of their own. With ``count`` (all common prefix tokens are in ``shared``) only pairs
+    with enough of them are kept."""
 
     def work(batches):
-        for t in runs(batches, ["h"]):
-            h, sid, n, label, score, bits = (t.column(k).to_numpy() for k in ("h", "sid", "n", "label", "score", "bits"))
-            run = np.cumsum(np.append(False, h[1:] != h[:-1]))
-            order = np.lexsort((sid, -score, label, run))
-            order = order[np.append(True, (run[order][1:] != run[order][:-1]) | (label[order][1:] != label[order][:-1]))]
-            order = order[np.lexsort((sid[order], -score[order], run[order]))]
-            left = order
+        for t in runs(batches, ["h", "salt"]):
+            h, salt, sid, n, bits, r1, r2 = _columns(t, "h", "salt", "sid", "n", "bits", "r1", "r2")
+            n, run = n.astype(np.int64), _run_of(h, salt)
+            left = np.lexsort((sid, r2, r1, run))
             for _ in range(4):
                 if len(left) == 0:
                     break
                 first = np.append(True, run[left][1:] != run[left][:-1])
                 hub = left[np.flatnonzero(first)[np.cumsum(first) - 1]]
-                near = 100 * np.minimum(n[hub], n[left]) >= percent * np.maximum(n[hub], n[left])
-                at = np.flatnonzero(near & ~first & _possible(hub, left, n, bits, percent))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[hub[at]], n[hub[at]], sid[left[at]], n[left[at]])], names=["a", "an", "b", "bn"])
-                left = left[~near]
+                near = _possible(hub, left, n, None, bits, percent)
+                at = np.flatnonzero(near & ~first)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[left[at]], n[left[at]], sid[hub[at]], n[hub[at]])], names=["sid", "an", "g", "bn"])
+                left = left[~near & ~first]
 
-    rows = shared.select("h", "sid", "n", "bits").join(labels.select("sid", "n", "label", "score").hint("merge"), ["sid", "n"]).select("h", "sid", "n", "label", "score", "bits")
-    dealt = rows.repartition("h").sortWithinPartitions("h")
-    found = dealt.mapInArrow(work, "a long, an long, b long, bn long").groupBy("a", "an", "b", "bn").agg(F.count("*").alias("c"))
-    return found.where(_enough("c", percent)).drop("c")
+    rows = shared.select("h", "salt", "sid", "n", "bits").join(rank.select("sid", "r1", "r2").hint("merge"), "sid").select("h", "salt", "sid", "n", "bits", "r1", "r2")
+    dealt = rows.repartition("h", "salt").sortWithinPartitions("h", "salt")
+    found = dealt.mapInArrow(work, "sid long, an long, g long, bn long").groupBy("sid", "an", "g", "bn").agg(F.count("*").alias("c"))
+    return (found.where(_enough("c", percent)) if count else found).select("sid", "g")
 
 
-def rest_pairs(shared: DataFrame, labels: DataFrame, percent: int, wanted: str) -> DataFrame:
-    """All further pairs (a, an, b, bn) that share enough prefix tokens and pass the length and positional filters.
+def waiting(shared: DataFrame, state: DataFrame, percent: int, other: bool) -> DataFrame:
+    """(sid, g): the clusters g that may hold a partner of a set that is not settled yet.
 
-    ``labels`` has (sid, n, cnt, label, rank); a pair can't have more common tokens than either set has shared ones,
-    which rules out most pairs before any is emitted. ``wanted`` is 'other': labels differ (sets that are linked already need no
-    second link), or 'earlier': b has a null label and a has the smaller rank.
+    ``state`` has (sid, cluster, cnt, label, r1, r2). With ``other``, a pair matters if its labels differ, and its set
+    of the smaller (r1, r2) asks; a pair can't have more common tokens than either set has shared ones. Else a pair
+    matters if the set of the greater (r1, r2) has the label 0, and that set asks. Pairs within a run are looked at in
+    the task of the run; for salted tokens, sets of one part meet the clusters of the others.
     """
 
     def work(batches):
-        for t in runs(batches, ["h"]):
-            h, sid, n, pos, label, rank, bits, cnt = (t.column(k).to_numpy() for k in ("h", "sid", "n", "pos", "label", "rank", "bits", "cnt"))
-            begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            size = np.diff(np.append(begin, len(h)))
+        for t in runs(batches, ["h", "salt"]):
+            h, salt, sid, n, pos, bits, cluster, cnt, label, r1, r2 = cols = _columns(t, "h", "salt", "sid", "n", "pos", "bits", "cluster", "cnt", "label", "r1", "r2")
+            run = _run_of(h, salt)
+            begin = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
             low, high = np.minimum.reduceat(label, begin), np.maximum.reduceat(label, begin)
-            of_use = np.repeat(low < high if wanted == "other" else (low == 0) & (size > 1), size)
-            h, sid, n, pos, label, rank, bits, cnt = (x[of_use] for x in (h, sid, n, pos, label, rank, bits, cnt))
-            run = np.cumsum(np.append(False, h[1:] != h[:-1])) if len(h) else np.zeros(0, int)
-            found: list[np.ndarray] = []
+            size = np.diff(np.append(begin, len(h)))
+            of_use = np.repeat((low < high) if other else (low == 0) & (size > 1), size)
+            h, salt, sid, n, pos, bits, cluster, cnt, label, r1, r2 = (x[of_use] for x in cols)
+            n, pos, run = n.astype(np.int64), pos.astype(np.int64), _run_of(h, salt)
+            found = [np.zeros((2, 0), np.int64)]
             for i, j in _steps(run, n, percent):
-                need = -(-percent * (n[i] + n[j]) // (100 + percent))
-                most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-                behind = -(-percent * np.maximum(n[i], n[j]) // 100) - 1
-                ok = (most >= need) & (np.minimum(cnt[i], cnt[j]) + behind >= need) & _possible(i, j, n, bits, percent)
-                if wanted == "other":
-                    ok &= label[i] != label[j]
+                ok = _possible(i, j, n, pos, bits, percent)
+                before = (r1[i] < r1[j]) | ((r1[i] == r1[j]) & (r2[i] < r2[j]))
+                if other:
+                    behind = -(-percent * np.maximum(n[i], n[j]) // 100) - 1
+                    ok &= (label[i] != label[j]) & (np.minimum(cnt[i], cnt[j]) + behind >= _need(n[i], n[j], percent))
+                    asks, held = np.where(before, i, j)[ok], np.where(before, j, i)[ok]
                 else:
-                    ok &= np.where(rank[i] < rank[j], label[j], label[i]) == 0
-                if ok.any():
-                    found.append(np.stack([i[ok], j[ok]]))
-            if found:
-                i, j = np.concatenate(found, axis=1)
-                if wanted == "earlier":
-                    i, j = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[i], n[i], sid[j], n[j])], names=["a", "an", "b", "bn"])
-
-    rows = shared.join(labels.select("sid", "n", "cnt", "label", "rank").hint("merge"), ["sid", "n"]).select("h", "sid", "n", "pos", "label", "rank", "bits", "cnt")
-    dealt = rows.repartition("h").sortWithinPartitions("h", "n", "sid")
-    found = dealt.mapInArrow(work, "a long, an long, b long, bn long").groupBy("a", "an", "b", "bn").agg(F.count("*").alias("c"))
-    return found.where(_enough("c", percent)).drop("c")
-
-
-def token_sets(docs: DataFrame, wanted: DataFrame, unit: Unit, order) -> DataFrame:
-    """(sid, n, tokens) of the wanted records (doc_id, number), read again from their texts; tokens in global order.
-
-    The numbers gathered for a document are of its own records only. A set comes once, also where several rows have
-    the id of its document.
-    """
+                    asks, held = np.where(before, j, i), np.where(before, i, j)
+                    ok &= label[asks] == 0
+                    asks, held = asks[ok], held[ok]
+                if len(asks):
+                    found.append(np.stack([sid[asks], cluster[held]]))
+            out = np.unique(np.concatenate(found, axis=1), axis=1)
+            if out.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["sid", "g"])
+
+    rows = shared.drop("size").join(state.select("sid", "cluster", "cnt", "label", "r1", "r2").hint("merge"), "sid")
+    dealt = rows.select("h", "salt", "sid", "n", "pos", "bits", "cluster", "cnt", "label", "r1", "r2").repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "sid")
+    near = dealt.mapInArrow(work, "sid long, g long")
+    # of a salted token: one row for each cluster and part, which says whether the cluster can matter to a set
+    hot = rows.where("salted")
+    parts = hot.groupBy("h", "salt", F.col("cluster").alias("g")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("first"), F.max("label").alias("last"), F.max(F.struct("r1", "r2")).alias("top"), F.min(F.struct("r1", "r2")).alias("least")).withColumnRenamed("salt", "s")
+    fits = (F.col("salt") != F.col("s")) & (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
+    own = F.struct("r1", "r2")
+    fits &= ((F.col("first") != F.col("label")) | (F.col("last") != F.col("label"))) & (F.col("top") > own) if other else (F.col("label") == 0) & (F.col("least") < own)
+    far = hot.join(parts.hint("merge"), "h").where(fits).select("sid", "g")
+    return near.union(far).groupBy("sid", "g").agg(F.count("*").alias("c")).select("sid", "g")
+
+
+def set_tokens(docs: DataFrame, wanted: DataFrame, unit: Unit, order) -> DataFrame:
+    """(sid, tokens) of the wanted sets (sid, tkey, number), read again from their texts; tokens in global order."""
 
     def work(batches):
-        levels = order.value
+        levels, _ = order.value
+        seen: set[int] = set()
         for batch, a, row, number, tokens, offsets, sid in _read(batches, unit):
             need = batch.column("numbers").slice(a, int(row.max()) + 1)
-            wanted_key = (np.repeat(np.arange(len(need)), need.value_lengths().to_numpy(zero_copy_only=False)) << 32) | need.flatten().to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(np.isin((row.astype(np.int64) << 32) | number, wanted_key))
+            key = (np.repeat(np.arange(len(need)), need.value_lengths().to_numpy(zero_copy_only=False)) << 32) | need.flatten().to_numpy(zero_copy_only=False)
+            at = [r for r in np.flatnonzero(np.isin((row.astype(np.int64) << 32) | number, key)).tolist() if sid[r] not in seen and not seen.add(sid[r])]
             tokens, _ = in_order(tokens, offsets, levels)
             data = pa.array([tokens[offsets[r] : offsets[r + 1]].tobytes() for r in at], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.array(np.diff(offsets)[at]), data], names=["sid", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(sid[at]), data], names=["sid", "tokens"])
+
+    need = stored(wanted.groupBy("tkey").agg(F.collect_set("number").alias("numbers")), "need")
+    texts = docs.select(F.xxhash64("text").alias("tkey"), "text")
+    # a text that occurs in several rows is read once a task
+    sets = join_on_size(texts, need, "tkey").select("text", "numbers").mapInArrow(work, "sid long, tokens binary")
+    return stored(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), "tokens")
+
 
-    need = wanted.groupBy("doc_id").agg(F.collect_set("number").alias("numbers"))
-    need = stored(need, "need")
-    joined = join_on_size(docs.select("doc_id", "text"), need, "doc_id")
-    sets = joined.mapInArrow(work, "sid long, n long, tokens binary")
-    again = join_on_size(docs.select("doc_id"), need.select("doc_id"), "doc_id").groupBy("doc_id").count().where("count > 1")
-    return stored(sets if again.isEmpty() else sets.dropDuplicates(["sid", "n"]), "sets")
+#: answer(pairs of (asking, held) row numbers, columns of the asking, columns of the held) -> columns of the result
+Answer = Callable[[np.ndarray, np.ndarray, dict, dict], list[np.ndarray]]
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, matcher) -> DataFrame:
-    """Pairs (a, an, b, bn) that are similar. Blocks of one probe a and a bounded weight of partners b.
+def compare(asking: DataFrame, held: DataFrame, tokens: DataFrame, percent: int, matcher, answer: Answer, kind: str) -> DataFrame:
+    """Similar sets of each group: ``asking`` and ``held`` have (g, sid, n, label, r1, r2), ``tokens`` (sid, tokens).
 
-    ``matcher(probe, partners, percent)`` gets token arrays and returns a flag for each partner.
+    The sets of a group that are held, and those that ask, are cut into blocks of about BLOCK_TOKENS; every pair of
+    blocks meets once. ``matcher(held, asking, percent)`` gets lists of token arrays and returns row numbers (asking,
+    held) of the similar ones; ``answer`` makes the rows of ``kind`` of them, which must be few: no pairs are written.
     """
-    from pyspark.sql import Window as W
+    columns = ["sid", "n", "label", "r1", "r2"]
+    names = [c.split(" ")[0] for c in kind.split(", ")]
 
     def work(batches):
-        for t in runs(batches, ["a", "an", "part"]):
-            a, an, part, b, bn = (t.column(k).to_numpy() for k in ("a", "an", "part", "b", "bn"))
-            tokens = t.column("tokens").combine_chunks()
-            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (an[1:] != an[:-1]) | (part[1:] != part[:-1])]))
-            hit: list[int] = []
-            for x, y in zip(new, np.append(new[1:], len(a)), strict=True):
-                get = lambda i: np.frombuffer(tokens[int(i)].as_buffer(), np.uint64)
-                flags = matcher(get(x), [get(i) for i in range(x + 1, y)], percent)
-                hit += (np.flatnonzero(flags) + x + 1).tolist()
-            if hit:
-                yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in (a, an, b, bn)], names=["a", "an", "b", "bn"])
-
-    weight = F.sum("bn").over(W.partitionBy("a", "an"))
-    parts = F.ceil(weight / F.lit(BLOCK_TOKENS)).cast("long")
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), parts))
-    members = pairs.join(sets.selectExpr("sid b", "n bn", "tokens").hint("merge"), ["b", "bn"]).selectExpr("a", "an", "part", "1 role", "b", "bn", "tokens")
-    probes = pairs.select("a", "an", "part").distinct().join(sets.selectExpr("sid a", "n an", "tokens").hint("merge"), ["a", "an"]).selectExpr("a", "an", "part", "0 role", "a b", "an bn", "tokens")
-    dealt = probes.unionByName(members).repartition("a", "an", "part").sortWithinPartitions("a", "an", "part", "role", "b")
-    return dealt.mapInArrow(work, "a long, an long, b long, bn long").where("a <> b or an <> bn")
+        for t in runs(batches, ["g", "part", "other"]):
+            run = _run_of(*_columns(t, "g", "part", "other"))
+            role = t.column("role").to_numpy()
+            data = t.column("tokens").combine_chunks()
+            all_ = dict(zip(columns, _columns(t, *columns), strict=True))
+            begin = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+            made = []
+            for x, y in zip(begin, np.append(begin[1:], len(run)), strict=True):
+                middle = x + int(np.searchsorted(role[x:y], 1))
+                if middle in (x, y):
+                    continue
+                sets = [np.frombuffer(data[i].as_buffer(), np.uint64) for i in range(x, y)]
+                i, j = matcher(sets[: middle - x], sets[middle - x :], percent)
+                if len(i):
+                    made.append(answer(i, j, {k: v[middle:y] for k, v in all_.items()}, {k: v[x:middle] for k, v in all_.items()}))
+            made = [np.concatenate(v) for v in zip(*made, strict=True)]
+            if made and len(made[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in made], names=names)
+
+    blocks = lambda df, name: df.groupBy("g").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias(name))
+    large = stored(blocks(held, "p").join(blocks(asking, "q").hint("merge"), "g").where("p > 1 or q > 1"), "large")
+
+    def dealt(df, role, own, of_other):
+        df = join_on_size(df.select("g", *columns), large, "g", "left").withColumn("mine", F.pmod(F.xxhash64("sid"), F.coalesce(own, F.lit(1))).cast("int"))
+        df = df.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.coalesce(of_other, F.lit(1)) - 1)))
+        part, other = ("mine", "theirs") if role == 0 else ("theirs", "mine")
+        return df.select("g", F.col(part).alias("part"), F.col(other).alias("other"), F.lit(role).alias("role"), *columns)
+
+    rows = dealt(held, 0, F.col("p"), F.col("q")).unionByName(dealt(asking, 1, F.col("q"), F.col("p")))
+    rows = rows.join(tokens.hint("merge"), "sid").select("g", "part", "other", "role", *columns, "tokens")
+    return rows.repartition("g", "part", "other").sortWithinPartitions("g", "part", "other", "role", "sid").mapInArrow(work, kind)

@@ -1,7 +1,7 @@
 """Vectorised token sets of texts: Arrow string columns in, 64-bit token hashes out.
 
 Works on whole Arrow batches as flat byte arrays; no loop over words or characters. Hash values stand for words and
-shingles; two different tokens agree with a probability of 2**-64.
+shingles. Two different tokens have one value with a probability of about 2**-64 each, whatever bytes they hold.
 """
 
 from __future__ import annotations
@@ -12,14 +12,13 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once (a longer single text is taken whole).
 SLICE = 1 << 19
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = []
+#: Masks of the first 0 to 8 bytes of a little-endian 64-bit value.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,15 +28,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash base, and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) <= n:
-        m = max(n + 1, SLICE + 1)
-        inverse = np.uint64(pow(int(_B), -1, 1 << 64))
-        up, down = np.full(m, _B, np.uint64), np.full(m, inverse, np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _powers[0], _powers[1]
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each byte range: every 8 bytes are mixed with their number in the range before they are added up,
+    so no pattern of bytes cancels out, as it does in sums of powers. ``low`` has 8 bytes beyond the last range."""
+    size = ends - starts
+    parts = (size + 7) >> 3
+    first = np.cumsum(parts) - parts
+    word = np.repeat(np.arange(len(starts)), parts)
+    k = np.arange(len(word)) - first[word]
+    eight = np.ndarray((len(low) - 7,), np.uint64, buffer=low, strides=(1,))
+    value = eight[starts[word] + 8 * k] & _FIRST[np.minimum(size[word] - 8 * k, 8)]
+    value = mix(value ^ mix((k + 1).astype(np.uint64) * _MULT[60]))
+    return mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _MULT[59]) if len(starts) else np.zeros(0, np.uint64)
 
 
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +90,9 @@ def words(raw: np.ndarray, offsets: np.ndarray, newline: bool = False):
     starts = np.flatnonzero(solid & ~before)
     after = np.concatenate([solid[1:], [False]]) & ~first[1:]
     ends = np.flatnonzero(solid & ~after) + 1
-    up, down = powers(n)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[raw]] * up[:n], out=prefix[1:])
-    h = mix((prefix[ends] - prefix[starts]) * down[starts])
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = _LOWER[raw]
+    h = word_hashes(low, starts, ends)
     return h, np.searchsorted(edges, starts, "right") - 1, row_of, number
 
 

@@ -76,13 +76,78 @@ def test_jaccard_components(docs, texts):
     assert len(set(group)) < len(texts) - 20
 
 
-def test_prefix_tree_is_exact():
+@pytest.mark.parametrize("cells", [1 << 24, 200])
+def test_prefix_tree_is_exact(monkeypatch, cells):
+    monkeypatch.setattr(op1.PrefixTree, "STEP", 4)
+    monkeypatch.setattr(op1.PrefixTree, "CELLS", cells)
     rng = np.random.default_rng(1)
-    for _ in range(30):
-        sets = [np.sort(rng.choice(60, rng.integers(1, 40), replace=False)).astype(np.uint64) for _ in range(25)]
-        probe = np.sort(rng.choice(60, 30, replace=False)).astype(np.uint64)
-        want = [100 * len(np.intersect1d(probe, s)) >= 50 * len(np.union1d(probe, s)) for s in sets]
-        assert op1.tree_match(probe, sets, 50).tolist() == want
+    for percent in (30, 50, 80):
+        for _ in range(15):
+            base = rng.permutation(60).astype(np.uint64)  # one order for all; many sets begin alike or are prefixes
+            draw = lambda base=base: base[: rng.integers(1, 60)]
+            sets = [x[rng.random(len(x)) < rng.choice([0.6, 0.95, 1])] for x in (draw() for _ in range(40))]
+            sets = list({s.tobytes(): s for s in sets if len(s)}.values())
+            held, asking = sets[: len(sets) // 2], sets[len(sets) // 2 :]
+            both = lambda a, b: len(np.intersect1d(a, b))
+            want = {(i, j) for i, a in enumerate(asking) for j, b in enumerate(held) if 100 * both(a, b) >= percent * (len(a) + len(b) - both(a, b))}
+            assert set(zip(*(x.tolist() for x in op1.tree_match(held, asking, percent)), strict=True)) == want
+            assert set(zip(*(x.tolist() for x in op8.overlap_match(held, asking, percent)), strict=True)) == want
+
+
+@pytest.mark.parametrize("unit", ["documents", "lines"])
+def test_salts_and_blocks_lose_nothing(spark, monkeypatch, unit):
+    """All sets are in one family, every token is hot, and blocks hold a few sets each."""
+    from pagegauge.llm import setjoin
+
+    monkeypatch.setattr(setjoin, "HOT", 2)
+    monkeypatch.setattr(setjoin, "ABOVE_MEAN", 0)
+    monkeypatch.setattr(setjoin, "BLOCK_TOKENS", 150)
+    rng = random.Random(12)
+    base = " ".join(f"b{i}" for i in range(40))
+    texts = [near(rng, base, 0.02 * (i % 9)) for i in range(70)] + [near(rng, near(rng, base, 0.3), 0.02 * (i % 5)) for i in range(30)]
+    docs = spark.createDataFrame([(i if i % 7 else None, t, "en", "s", None) for i, t in enumerate(texts)], DOC).repartition(4)
+    if unit == "lines":
+        sets, want = [], Counter()
+        for i in sorted(range(len(texts)), key=lambda i: (i % 7 == 0, i)):
+            s = frozenset(words(texts[i]))
+            if i % 7:
+                want[i] += any(100 * len(s & o) >= 80 * len(s | o) for o in sets)
+                sets.append(s)
+        got = {r.doc_id: r.n_removed for r in op8.dedup_lines(docs).collect() if r.doc_id is not None}
+        assert got == dict(want)
+        return
+    sets = [{tuple(w[i : i + 2]) for i in range(len(w) - 1)} for w in map(words, texts)]
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {g: min((i for i in range(len(texts)) if group[i] == g and i % 7), default=None) for g in set(group)}
+    want = Counter((i if i % 7 else None, least[group[i]]) for i in range(len(texts)))
+    assert Counter((r.doc_id, r.component_id) for r in op1.jaccard_components(docs, k=2).collect()) == want
+
+
+def test_words_of_two_letters_have_their_own_hashes():
+    """Long words in the order of Thue and Morse cancel out in hashes that are sums of powers."""
+    from pagegauge.llm import tokensets
+
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word[:n] for n in (512, 1024, 2048, 4096)] + [other[:n] for n in (512, 1024, 2048, 4096)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    assert len(set(tokensets.words(raw, offsets)[0].tolist())) == 8
+    prefix = op7._prefix(raw)
+    assert len(set(op7._hash(prefix, offsets[:-1], offsets[1:]).tolist())) == 8
+
+
+def test_lines_of_large_and_null_ids(spark):
+    line, other = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine eleven"
+    rows = [(1 << 40, line), (2**63 - 1, line), (None, line + "\nalone here"), (None, other), (-5, other), (None, "only in rows without an id a"), (None, "only in rows without an id b")]
+    out = sorted(((r.doc_id, r.kept_text) for r in op8.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert [t for i, t in out if i is not None] == [other, "", ""] or {i: t for i, t in out if i is not None} == {-5: other, 1 << 40: "", 2**63 - 1: ""}
+    assert sum("only in rows" in (t or "") for i, t in out if i is None) <= 1
 
 
 def test_components(spark):
