@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import setjoin as sj
 from .components import connected_components
-from .shared import stored, table
+from .shared import release, stored, table
 
 
 class PrefixTree:
@@ -103,15 +103,21 @@ class PrefixTree:
                 yield k, who[overlap >= sj._need(size[who], last, percent)]
 
 
-def tree_match(held: list[np.ndarray], asking: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    return PrefixTree(held).search(asking, percent)
+def tree_match(flat: np.ndarray, offsets: np.ndarray, groups: list[tuple[int, int, int]], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (asking, held) of the similar sets of each group (begin, first asking, end), by a tree of its held sets."""
+    out = [np.zeros((2, 0), np.int64)]
+    for begin, middle, end in groups:
+        sets = [flat[a:b] for a, b in zip(offsets[begin:end], offsets[begin + 1 : end + 1], strict=True)]
+        i, j = PrefixTree(sets[: middle - begin]).search(sets[middle - begin :], percent)
+        out.append(np.stack([i + middle, j + begin]))
+    return tuple(np.concatenate(out, axis=1))
 
 
-def spanning_links(i: np.ndarray, j: np.ndarray, asking: dict, held: dict) -> list[np.ndarray]:
+def spanning_links(i: np.ndarray, j: np.ndarray, columns: dict) -> list[np.ndarray]:
     """(a, b): of the similar pairs, as many links as connect what they connect, between different labels only."""
-    a, b = asking["label"][i], held["label"][j]
+    sid, a, b = columns["sid"], columns["label"][i], columns["label"][j]
     other = np.flatnonzero(a != b)
-    _, first = np.unique(np.stack([i[other], b[other]]), axis=1, return_index=True)
+    _, first = np.unique(np.stack([a[other], b[other]]), axis=1, return_index=True)
     root: dict[int, int] = {}
 
     def find(x):
@@ -125,7 +131,7 @@ def spanning_links(i: np.ndarray, j: np.ndarray, asking: dict, held: dict) -> li
         if x != y:
             root[x] = y
             keep.append(at)
-    return [asking["sid"][i[keep]], held["sid"][j[keep]]]
+    return [sid[i[keep]], sid[j[keep]]]
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -144,10 +150,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     records = profiled.where("chunk is null").select("doc_id", "sid", "n", "tkey", "number")
     sets = stored(records.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.min("tkey").alias("tkey")), "distinct")
 
-    shared = sj.mates(sj.prefix_entries(docs, unit, order, percent), percent, first=False)
+    shared = release(sj.mates(sj.prefix_entries(docs, unit, order, percent), percent, first=False))
     state = sj.clusters(shared, percent)
     wanted = state.select("sid").join(sets.hint("merge"), "sid").selectExpr("sid", "tkey", "0L number")
-    tokens = sj.set_tokens(docs, wanted, unit, order)
+    tokens = release(sj.set_tokens(docs, wanted, unit, order))
     plain = state.selectExpr("sid", "n", "cnt", "cluster", "score", "sid label", "0L r1", "0L r2")
 
     def links(asking: DataFrame, held: DataFrame) -> DataFrame:
@@ -158,7 +164,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     columns = ["g", "sid", "n", "label", "r1", "r2"]
     asking = first.join(plain.hint("merge"), "sid").select(*columns)
     held = first.select(F.col("g").alias("sid")).distinct().join(plain.hint("merge"), "sid").withColumn("g", F.col("sid")).select(*columns)
-    edges = links(asking, held)
+    edges = release(links(asking, held))
 
     # then all that may still be linked, with the clusters that hold a possible partner; small components ask large ones
     parts = connected_components(edges.selectExpr("a x", "b y"))

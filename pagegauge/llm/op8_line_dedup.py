@@ -7,35 +7,71 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import setjoin as sj
-from .shared import join_on_size, stored, table
-
-
-def overlap_match(held: list[np.ndarray], asking: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(asking, held) numbers of the pairs whose Jaccard coefficient reaches ``percent`` / 100."""
-    n, m = (np.array([len(x) for x in sets]) for sets in (held, asking))
-    vocabulary, ids = np.unique(np.concatenate(held), return_inverse=True)
-    flat = np.concatenate(asking)
-    at = np.searchsorted(vocabulary, flat)
-    at[at == len(vocabulary)] = 0
-    known = np.flatnonzero(vocabulary[at] == flat)
-    row, token = np.repeat(np.arange(len(asking)), m)[known], at[known]
-    starts = np.cumsum(n) - n
-    step = max(1, (1 << 24) // len(ids))
+from .shared import release, stored, table
+
+
+#: Pairs of sets whose overlaps are counted at once.
+PAIRS = 1 << 16
+
+
+def overlap_match(flat: np.ndarray, offsets: np.ndarray, groups: list[tuple[int, int, int]], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (asking, held) of the pairs, in any of the groups (begin, first asking, end), whose Jaccard coefficient
+    reaches ``percent`` / 100. Groups are worked on some at a time, large ones by a slice of their asking sets."""
     out = [np.zeros((2, 0), np.int64)]
-    for x in range(0, len(asking), step):
-        s = slice(*np.searchsorted(row, [x, x + step]))
-        has = np.zeros((len(vocabulary), min(step, len(asking) - x)), np.uint8)
-        has[token[s], row[s] - x] = 1
-        both = np.add.reduceat(has[ids], starts, axis=0, dtype=np.int32)
-        j, i = np.nonzero(100 * both >= percent * (n[:, None] + m[None, x : x + step] - both))
-        out.append(np.stack([i + x, j]))
+    some, pairs = [], 0
+    for begin, middle, end in groups:
+        step = max(1, PAIRS // (middle - begin))
+        for x in range(middle, end, step):
+            some.append((begin, middle, x, min(x + step, end)))
+            pairs += (middle - begin) * (some[-1][3] - x)
+            if pairs >= PAIRS:
+                out.append(_overlaps(flat, offsets, np.array(some), percent))
+                some, pairs = [], 0
+    if some:
+        out.append(_overlaps(flat, offsets, np.array(some), percent))
     return tuple(np.concatenate(out, axis=1))
 
 
-def earlier(i: np.ndarray, j: np.ndarray, asking: dict, held: dict) -> list[np.ndarray]:
+def _spread(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(range, place) of all places of the ranges begin, begin + 1, ... of the sizes given."""
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + begin[which]
+
+
+def _overlaps(flat: np.ndarray, offsets: np.ndarray, some: np.ndarray, percent: int) -> np.ndarray:
+    n = np.diff(offsets)
+    held, asking = some[:, 1] - some[:, 0], some[:, 3] - some[:, 2]
+    base = np.append(0, np.cumsum(held * asking))
+    # tokens with their group, and the number of their set in it
+    h_group, h_row = _spread(some[:, 0], held)
+    h_set, h_at = _spread(offsets[h_row], n[h_row])
+    a_group, a_row = _spread(some[:, 2], asking)
+    a_set, a_at = _spread(offsets[a_row], n[a_row])
+    vocabulary, h_token = np.unique(flat[h_at], return_inverse=True)
+    a_token = np.searchsorted(vocabulary, flat[a_at])
+    a_token[a_token == len(vocabulary)] = 0
+    known = np.flatnonzero(vocabulary[a_token] == flat[a_at])
+    a_set, a_token = a_set[known], a_token[known]
+    h_key, a_key = h_group[h_set] * len(vocabulary) + h_token, a_group[a_set] * len(vocabulary) + a_token
+    order = np.argsort(h_key, kind="stable")
+    h_key = h_key[order]
+    low = np.searchsorted(h_key, a_key, "left")
+    at, place = _spread(low, np.searchsorted(h_key, a_key, "right") - low)
+    a_set, h_set = a_set[at], h_set[order[place]]
+    g = a_group[a_set]
+    pair = base[g] + (a_row[a_set] - some[g, 2]) * held[g] + h_row[h_set] - some[g, 0]
+    both = np.bincount(pair, minlength=int(base[-1]))
+    pair = np.flatnonzero(both)
+    g = np.searchsorted(base, pair, "right") - 1
+    i, j = (pair - base[g]) // held[g] + some[g, 2], (pair - base[g]) % held[g] + some[g, 0]
+    ok = 100 * both[pair] >= percent * (n[i] + n[j] - both[pair])
+    return np.stack([i[ok], j[ok]])
+
+
+def earlier(i: np.ndarray, j: np.ndarray, columns: dict) -> list[np.ndarray]:
     """(sid): the sets that ask and are similar to one of lower rank."""
-    a, b = [asking[k][i] for k in ("r1", "r2")], [held[k][j] for k in ("r1", "r2")]
-    return [np.unique(asking["sid"][i[(b[0] < a[0]) | ((b[0] == a[0]) & (b[1] < a[1]))]])]
+    r1, r2 = columns["r1"], columns["r2"]
+    return [np.unique(columns["sid"][i[(r1[j] < r1[i]) | ((r1[j] == r1[i]) & (r2[j] < r2[i]))]])]
 
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -54,12 +90,12 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     null = F.col("doc_id").isNull().cast("long") * F.lit(1 << 32)
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("r1"), (F.col("number") + null).alias("r2"))
     records = profiled.where("chunk is null and n > 0").select("doc_id", "number", "sid", "n", "tkey", rank.alias("rank"))
-    first = records.groupBy("sid", "n").agg(F.min(F.struct("rank", "tkey", "number")).alias("first"))
-    sets = stored(first.selectExpr("sid", "n", "first.rank.r1", "first.rank.r2", "first.tkey", "first.number"), "distinct")
-    shared = sj.mates(sj.prefix_entries(docs, unit, order, percent, bitmaps=True), percent, first=True)
+    first = records.groupBy("sid", "n").agg(F.min(F.struct("rank", "tkey", "number")).alias("first"), F.count("*").alias("copies"))
+    sets = stored(first.selectExpr("sid", "n", "copies", "first.rank.r1", "first.rank.r2", "first.tkey", "first.number"), "distinct")
+    shared = release(sj.mates(sj.prefix_entries(docs, unit, order, percent, bitmaps=True), percent, first=True))
     state = sj.clusters(shared, percent).select("sid", "cluster", "cnt").join(sets.hint("merge"), "sid")
     state = stored(state.selectExpr("sid", "n", "cluster", "cnt", "0L label", "r1", "r2", "tkey", "number"), "state")
-    tokens = sj.set_tokens(docs, state, unit, order)
+    tokens = release(sj.set_tokens(docs, state, unit, order))
     columns = ["g", "sid", "n", "label", "r1", "r2"]
 
     def later(asking: DataFrame, held: DataFrame) -> DataFrame:
@@ -69,15 +105,15 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # lines that are like the earliest one of a run are settled; only the others meet the clusters of all earlier lines
     hubs = stored(sj.hubs(shared, state, percent, count=False), "hubs")
     held = hubs.select(F.col("g").alias("sid")).distinct().join(state.hint("merge"), "sid").withColumn("g", F.col("sid"))
-    gone = later(hubs.join(state.hint("merge"), "sid"), held)
+    gone = release(later(hubs.join(state.hint("merge"), "sid"), held))
     state = stored(state.drop("label").join(gone.withColumn("label", F.lit(1).cast("long")).hint("merge"), "sid", "left").fillna(0, ["label"]), "state")
     asks = stored(sj.waiting(shared, state, percent, other=False), "waiting")
     held = state.join(asks.selectExpr("g cluster").distinct().hint("merge"), "cluster").withColumn("g", F.col("cluster"))
     gone = gone.union(later(asks.join(state.hint("merge"), "sid"), held))
 
-    marked = sets.select("sid", "r1", "r2").join(gone.withColumn("gone", F.lit(True)).hint("merge"), "sid", "left")
+    marked = sets.select("sid", "copies", "r1", "r2").join(gone.withColumn("gone", F.lit(True)).hint("merge"), "sid", "left").where("copies > 1 or gone")
     is_later = (F.col("rank") > F.struct("r1", "r2")) | F.coalesce("gone", F.lit(False))
-    return records.join(marked.hint("merge"), "sid").where(is_later).select("doc_id", "number")
+    return records.select("doc_id", "number", "sid", "rank").join(marked.hint("merge"), "sid").where(is_later).select("doc_id", "number")
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -88,8 +124,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     in ``docs`` are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "kept_text")
-    gone = stored(removed_lines(docs, percent).groupBy("doc_id").agg(F.collect_set("number").alias("gone_numbers")).withColumnRenamed("doc_id", "gone_id"), "gone")
-    joined = join_on_size(docs, gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left")
+    gone = release(stored(removed_lines(docs, percent).groupBy("doc_id").agg(F.collect_set("number").alias("gone_numbers")).withColumnRenamed("doc_id", "gone_id"), "gone"))
+    joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["gone_id"]), "left")
     lines = F.split(F.col("text"), "\n")
     left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.coalesce("gone_numbers", F.array().cast("array<bigint>")))
     row = joined.withColumn("line_parts", F.transform(F.array(F.struct(lines.alias("all"), left.alias("left"))), lambda b: F.struct(F.size(b["all"]).cast("long").alias("n"), F.size(b["left"]).cast("long").alias("m"), F.array_join(F.transform(b["left"], lambda i: F.get(b["all"], i.cast("int"))), "\n").alias("text")))[0])

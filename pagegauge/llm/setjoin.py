@@ -142,7 +142,8 @@ def in_order(tokens: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tup
 
 
 def prefix_entries(docs: DataFrame, unit: Unit, order, percent: int, bitmaps: bool = False) -> DataFrame:
-    """(h, salt, salted, sid, n, pos, bits): the prefix of every set; a set once per task.
+    """(run, hot, sid, n, pos, bits): the prefix of every set; a set once per task. ``run`` is the token's hash, or a
+    hash of it and of a part for a hot token, which ``hot`` then holds. Two tokens in one run make more candidates only.
 
     With ``bitmaps``, bits is the parity of the set's tokens over 64 buckets: two sets differ in at least as many
     tokens as their bitmaps do in bits. That rules out most pairs of small sets (lines); else bits is 0.
@@ -162,17 +163,19 @@ def prefix_entries(docs: DataFrame, unit: Unit, order, percent: int, bitmaps: bo
             rec = np.repeat(np.arange(len(n)), size)
             pos = np.arange(len(rec)) - np.repeat(np.cumsum(size) - size, size)
             at = offsets[rec] + pos
-            parts = np.maximum(1, 1 << np.maximum(level[at].astype(np.int64) // 8 - hot, 0))
+            parts = 1 << np.maximum(level[at].astype(np.int64) // 8 - hot, 0)
+            token, salt = tokens[at], (sid[rec] % parts).astype(np.uint64)
+            run = np.where(parts > 1, ts.mix(token ^ ts.mix(salt + np.uint64(1))), token)
             bits = np.zeros(len(n), np.int64)
             if bitmaps and len(tokens):
                 some = np.flatnonzero(n)
                 bits[some] = np.bitwise_xor.reduceat(np.uint64(1) << (tokens & np.uint64(63)), offsets[some]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (tokens[at].view(np.int64), (sid[rec] % parts).astype(np.int32), parts > 1, sid[rec], n[rec].astype(np.int32), pos.astype(np.int32), bits[rec])],
-                names=["h", "salt", "salted", "sid", "n", "pos", "bits"],
+                [pa.array(run.view(np.int64)), pa.array(token.view(np.int64), mask=parts == 1), *(pa.array(x) for x in (sid[rec], n[rec].astype(np.int32), pos.astype(np.int32), bits[rec]))],
+                names=["run", "hot", "sid", "n", "pos", "bits"],
             )
 
-    return docs.select("text").mapInArrow(work, "h long, salt int, salted boolean, sid long, n int, pos int, bits long")
+    return docs.select("text").mapInArrow(work, "run long, hot long, sid long, n int, pos int, bits long")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -238,20 +241,24 @@ def _steps(run: np.ndarray, n: np.ndarray, percent: int):
 
 
 def mates(entries: DataFrame, percent: int, first: bool) -> DataFrame:
-    """Entries (h, salt, salted, sid, n, pos, bits, size) whose token has a second set that they may be similar to, each
-    set once; size is the number of sets in the run. With ``first`` the token must be able to be the first common one.
-    Of a salted token all entries stay, as their mates may be in another part."""
+    """Entries (run, hot, sid, n, pos, bits, size) whose token has a second set that they may be similar to, each set
+    once; size is the number of sets in the run. With ``first`` the token must be able to be the first common one. Of a
+    hot token all entries stay, as their mates may be in another part."""
+    names = ["run", "hot", "sid", "n", "pos", "bits"]
 
     def work(batches):
-        for t in runs(batches, ["h", "salt"]):
-            cols = _columns(t, "h", "salt", "salted", "sid", "n", "pos", "bits")
-            h, salt, _, sid = cols[:4]
-            keep = np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (sid[1:] != sid[:-1]))
-            cols = [x[keep] for x in cols]
-            h, salt, salted, sid, n, pos, bits = cols
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
-            run = _run_of(h, salt)
-            mate = salted.copy()
+        for t in runs(batches, ["run"]):
+            key = t.column("run").to_numpy()
+            end = np.append(key[1:] != key[:-1], True)
+            t = t.filter(pa.array(~(end & np.append(True, end[:-1])) | t.column("hot").is_valid().to_numpy()))  # without runs of one
+            key, sid, n, pos, bits = _columns(t, "run", "sid", "n", "pos", "bits")
+            n, pos, run = n.astype(np.int64), pos.astype(np.int64), _run_of(key)
+            order = np.lexsort((sid, run << 32 | n))
+            order = order[np.append(True, (run[order][1:] != run[order][:-1]) | (sid[order][1:] != sid[order][:-1]))[: len(order)]]
+            if len(order) == 0:
+                continue
+            hot = t.column("hot").is_valid().to_numpy()
+            sid, n, pos, bits, run, mate = (x[order] for x in (sid, n, pos, bits, run, hot))
             walk = _steps(run, n, percent)
             pair = next(walk, None)
             while pair is not None:
@@ -268,19 +275,21 @@ def mates(entries: DataFrame, percent: int, first: bool) -> DataFrame:
                     pair = None
             at = np.flatnonzero(mate)
             size = np.bincount(run[at], minlength=int(run[-1]) + 1)[run[at]].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in cols] + [pa.array(size)], names=["h", "salt", "salted", "sid", "n", "pos", "bits", "size"])
+            t = t.select(names).take(pa.array(order[at]))
+            yield from t.append_column("size", pa.array(size)).combine_chunks().to_batches()
 
-    dealt = entries.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "sid")
-    return stored(dealt.mapInArrow(work, "h long, salt int, salted boolean, sid long, n int, pos int, bits long, size int"), "mates")
+    # one sort key: Spark sorts it by radix; sets are put in order within their runs only
+    dealt = entries.repartition("run").sortWithinPartitions("run")
+    return stored(dealt.mapInArrow(work, "run long, hot long, sid long, n int, pos int, bits long, size int"), "mates")
 
 
 def clusters(shared: DataFrame, percent: int) -> DataFrame:
     """(sid, n, cnt, score, cluster) of every set with a possible mate: the number of its prefix tokens with mates, the
-    same per mille, and the token of its largest run. A text that others are copies of has no rare tokens of its own, so
+    same per mille, and its largest run. A text that others are copies of has no rare tokens of its own, so
     it scores highest and makes the best hub; texts of one origin have the same largest run."""
     prefix = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
-    per = shared.groupBy("sid", "n").agg(F.count("*").alias("cnt"), F.max(F.struct("size", "h")).alias("most"))
-    return stored(per.select("sid", "n", "cnt", (1000 * F.col("cnt") / prefix).cast("long").alias("score"), F.col("most.h").alias("cluster")), "clusters")
+    per = shared.groupBy("sid", "n").agg(F.count("*").alias("cnt"), F.max(F.struct("size", "run")).alias("most"))
+    return stored(per.select("sid", "n", "cnt", (1000 * F.col("cnt") / prefix).cast("long").alias("score"), F.col("most.run").alias("cluster")), "clusters")
 
 
 def _enough(c: str, percent: int) -> Column:
@@ -296,9 +305,9 @@ def hubs(shared: DataFrame, rank: DataFrame, percent: int, count: bool) -> DataF
     with enough of them are kept."""
 
     def work(batches):
-        for t in runs(batches, ["h", "salt"]):
-            h, salt, sid, n, bits, r1, r2 = _columns(t, "h", "salt", "sid", "n", "bits", "r1", "r2")
-            n, run = n.astype(np.int64), _run_of(h, salt)
+        for t in runs(batches, ["run"]):
+            key, sid, n, bits, r1, r2 = _columns(t, "run", "sid", "n", "bits", "r1", "r2")
+            n, run = n.astype(np.int64), _run_of(key)
             left = np.lexsort((sid, r2, r1, run))
             for _ in range(4):
                 if len(left) == 0:
@@ -310,8 +319,8 @@ def hubs(shared: DataFrame, rank: DataFrame, percent: int, count: bool) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[left[at]], n[left[at]], sid[hub[at]], n[hub[at]])], names=["sid", "an", "g", "bn"])
                 left = left[~near & ~first]
 
-    rows = shared.select("h", "salt", "sid", "n", "bits").join(rank.select("sid", "r1", "r2").hint("merge"), "sid").select("h", "salt", "sid", "n", "bits", "r1", "r2")
-    dealt = rows.repartition("h", "salt").sortWithinPartitions("h", "salt")
+    rows = shared.select("run", "sid", "n", "bits").join(rank.select("sid", "r1", "r2").hint("merge"), "sid")
+    dealt = rows.select("run", "sid", "n", "bits", "r1", "r2").repartition("run").sortWithinPartitions("run")
     found = dealt.mapInArrow(work, "sid long, an long, g long, bn long").groupBy("sid", "an", "g", "bn").agg(F.count("*").alias("c"))
     return (found.where(_enough("c", percent)) if count else found).select("sid", "g")
 
@@ -322,19 +331,20 @@ def waiting(shared: DataFrame, state: DataFrame, percent: int, other: bool) -> D
     ``state`` has (sid, cluster, cnt, label, r1, r2). With ``other``, a pair matters if its labels differ, and its set
     of the smaller (r1, r2) asks; a pair can't have more common tokens than either set has shared ones. Else a pair
     matters if the set of the greater (r1, r2) has the label 0, and that set asks. Pairs within a run are looked at in
-    the task of the run; for salted tokens, sets of one part meet the clusters of the others.
+    the task of the run; for hot tokens, sets of one part meet the clusters of the others.
     """
 
     def work(batches):
-        for t in runs(batches, ["h", "salt"]):
-            h, salt, sid, n, pos, bits, cluster, cnt, label, r1, r2 = cols = _columns(t, "h", "salt", "sid", "n", "pos", "bits", "cluster", "cnt", "label", "r1", "r2")
-            run = _run_of(h, salt)
-            begin = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        for t in runs(batches, ["run"]):
+            key, sid, n, pos, bits, cluster, cnt, label, r1, r2 = cols = _columns(t, "run", "sid", "n", "pos", "bits", "cluster", "cnt", "label", "r1", "r2")
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             low, high = np.minimum.reduceat(label, begin), np.maximum.reduceat(label, begin)
-            size = np.diff(np.append(begin, len(h)))
+            size = np.diff(np.append(begin, len(key)))
             of_use = np.repeat((low < high) if other else (low == 0) & (size > 1), size)
-            h, salt, sid, n, pos, bits, cluster, cnt, label, r1, r2 = (x[of_use] for x in cols)
-            n, pos, run = n.astype(np.int64), pos.astype(np.int64), _run_of(h, salt)
+            cols = [x[of_use] for x in cols]
+            order = np.lexsort((cols[1], cols[2], _run_of(cols[0])))
+            key, sid, n, pos, bits, cluster, cnt, label, r1, r2 = (x[order] for x in cols)
+            n, pos, run = n.astype(np.int64), pos.astype(np.int64), _run_of(key)
             found = [np.zeros((2, 0), np.int64)]
             for i, j in _steps(run, n, percent):
                 ok = _possible(i, j, n, pos, bits, percent)
@@ -354,15 +364,15 @@ def waiting(shared: DataFrame, state: DataFrame, percent: int, other: bool) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["sid", "g"])
 
     rows = shared.drop("size").join(state.select("sid", "cluster", "cnt", "label", "r1", "r2").hint("merge"), "sid")
-    dealt = rows.select("h", "salt", "sid", "n", "pos", "bits", "cluster", "cnt", "label", "r1", "r2").repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "sid")
+    dealt = rows.drop("hot").repartition("run").sortWithinPartitions("run")
     near = dealt.mapInArrow(work, "sid long, g long")
-    # of a salted token: one row for each cluster and part, which says whether the cluster can matter to a set
-    hot = rows.where("salted")
-    parts = hot.groupBy("h", "salt", F.col("cluster").alias("g")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("first"), F.max("label").alias("last"), F.max(F.struct("r1", "r2")).alias("top"), F.min(F.struct("r1", "r2")).alias("least")).withColumnRenamed("salt", "s")
-    fits = (F.col("salt") != F.col("s")) & (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
+    # of a hot token: one row for each cluster and part, which says whether the cluster can matter to a set
+    hot = rows.where("hot is not null")
+    parts = hot.groupBy("hot", F.col("run").alias("part"), F.col("cluster").alias("g")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("first"), F.max("label").alias("last"), F.max(F.struct("r1", "r2")).alias("top"), F.min(F.struct("r1", "r2")).alias("least"))
+    fits = (F.col("run") != F.col("part")) & (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
     own = F.struct("r1", "r2")
     fits &= ((F.col("first") != F.col("label")) | (F.col("last") != F.col("label"))) & (F.col("top") > own) if other else (F.col("label") == 0) & (F.col("least") < own)
-    far = hot.join(parts.hint("merge"), "h").where(fits).select("sid", "g")
+    far = hot.join(parts.hint("merge"), "hot").where(fits).select("sid", "g")
     return near.union(far).groupBy("sid", "g").agg(F.count("*").alias("c")).select("sid", "g")
 
 
@@ -383,43 +393,44 @@ def set_tokens(docs: DataFrame, wanted: DataFrame, unit: Unit, order) -> DataFra
     need = stored(wanted.groupBy("tkey").agg(F.collect_set("number").alias("numbers")), "need")
     texts = docs.select(F.xxhash64("text").alias("tkey"), "text")
     # a text that occurs in several rows is read once a task
-    sets = join_on_size(texts, need, "tkey").select("text", "numbers").mapInArrow(work, "sid long, tokens binary")
+    sets = texts.join(need.hint("merge"), "tkey").select("text", "numbers").mapInArrow(work, "sid long, tokens binary")
     return stored(sets.groupBy("sid").agg(F.first("tokens").alias("tokens")), "tokens")
 
 
-#: answer(pairs of (asking, held) row numbers, columns of the asking, columns of the held) -> columns of the result
-Answer = Callable[[np.ndarray, np.ndarray, dict, dict], list[np.ndarray]]
+#: matcher(tokens of all sets, offsets, groups (begin, first asking, end), percent) -> rows (asking, held) of similar sets
+Matcher = Callable[[np.ndarray, np.ndarray, list[tuple[int, int, int]], int], tuple[np.ndarray, np.ndarray]]
+#: answer(asking rows, held rows, columns) -> columns of the result
+Answer = Callable[[np.ndarray, np.ndarray, dict], list[np.ndarray]]
 
 
-def compare(asking: DataFrame, held: DataFrame, tokens: DataFrame, percent: int, matcher, answer: Answer, kind: str) -> DataFrame:
+def compare(asking: DataFrame, held: DataFrame, tokens: DataFrame, percent: int, matcher: Matcher, answer: Answer, kind: str) -> DataFrame:
     """Similar sets of each group: ``asking`` and ``held`` have (g, sid, n, label, r1, r2), ``tokens`` (sid, tokens).
 
     The sets of a group that are held, and those that ask, are cut into blocks of about BLOCK_TOKENS; every pair of
-    blocks meets once. ``matcher(held, asking, percent)`` gets lists of token arrays and returns row numbers (asking,
-    held) of the similar ones; ``answer`` makes the rows of ``kind`` of them, which must be few: no pairs are written.
+    blocks meets once. ``matcher`` finds the similar sets of some groups, and ``answer`` makes the rows of ``kind`` of
+    them, which must be few: no pairs are written.
     """
     columns = ["sid", "n", "label", "r1", "r2"]
     names = [c.split(" ")[0] for c in kind.split(", ")]
 
     def work(batches):
         for t in runs(batches, ["g", "part", "other"]):
-            run = _run_of(*_columns(t, "g", "part", "other"))
-            role = t.column("role").to_numpy()
-            data = t.column("tokens").combine_chunks()
-            all_ = dict(zip(columns, _columns(t, *columns), strict=True))
+            t = t.combine_chunks()
+            run, role = _run_of(*_columns(t, "g", "part", "other")), t.column("role").to_numpy()
+            data = pa.concat_arrays(t.column("tokens").chunks)
+            _, offsets, raw = data.buffers()
+            offsets = np.frombuffer(offsets, np.int32)[data.offset : data.offset + len(data) + 1]
+            flat = np.frombuffer(raw.slice(offsets[0], offsets[-1] - offsets[0]), np.uint64)
             begin = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-            made = []
-            for x, y in zip(begin, np.append(begin[1:], len(run)), strict=True):
-                middle = x + int(np.searchsorted(role[x:y], 1))
-                if middle in (x, y):
-                    continue
-                sets = [np.frombuffer(data[i].as_buffer(), np.uint64) for i in range(x, y)]
-                i, j = matcher(sets[: middle - x], sets[middle - x :], percent)
-                if len(i):
-                    made.append(answer(i, j, {k: v[middle:y] for k, v in all_.items()}, {k: v[x:middle] for k, v in all_.items()}))
-            made = [np.concatenate(v) for v in zip(*made, strict=True)]
-            if made and len(made[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in made], names=names)
+            end = np.append(begin[1:], len(run))
+            middle = end - np.add.reduceat(role, begin)
+            both = (middle > begin) & (middle < end)
+            groups = list(zip(begin[both].tolist(), middle[both].tolist(), end[both].tolist(), strict=True))
+            if groups:
+                i, j = matcher(flat, (offsets - offsets[0]) // 8, groups, percent)
+                made = answer(i, j, dict(zip(columns, _columns(t, *columns), strict=True)))
+                if len(made[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in made], names=names)
 
     blocks = lambda df, name: df.groupBy("g").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias(name))
     large = stored(blocks(held, "p").join(blocks(asking, "q").hint("merge"), "g").where("p > 1 or q > 1"), "large")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> DataFrame:
+    """``df`` as it is. Spark deletes the shuffle files of a finished job once the driver has collected its plan as
+    garbage, which may be late; this asks for it now. It takes two collections, as plans have finalisers. For use after
+    steps that shuffle about as much as the input, by callers that hold nothing of their plans."""
+    for _ in range(2):
+        df.sparkSession._jvm.System.gc()
+        time.sleep(0.2)
+    return df
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` to a name, so that it is computed once per row however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

@@ -80,6 +80,7 @@ def test_jaccard_components(docs, texts):
 def test_prefix_tree_is_exact(monkeypatch, cells):
     monkeypatch.setattr(op1.PrefixTree, "STEP", 4)
     monkeypatch.setattr(op1.PrefixTree, "CELLS", cells)
+    monkeypatch.setattr(op8, "PAIRS", cells)
     rng = np.random.default_rng(1)
     for percent in (30, 50, 80):
         for _ in range(15):
@@ -90,8 +91,13 @@ def test_prefix_tree_is_exact(monkeypatch, cells):
             held, asking = sets[: len(sets) // 2], sets[len(sets) // 2 :]
             both = lambda a, b: len(np.intersect1d(a, b))
             want = {(i, j) for i, a in enumerate(asking) for j, b in enumerate(held) if 100 * both(a, b) >= percent * (len(a) + len(b) - both(a, b))}
-            assert set(zip(*(x.tolist() for x in op1.tree_match(held, asking, percent)), strict=True)) == want
-            assert set(zip(*(x.tolist() for x in op8.overlap_match(held, asking, percent)), strict=True)) == want
+            # twice the same group, so that rows and groups are told apart
+            sets = (held + asking) * 2
+            flat, offsets = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+            m, n = len(held), len(held) + len(asking)
+            want = {(x + m + i, x + j) for x in (0, n) for i, j in want}
+            for match in (op1.tree_match, op8.overlap_match):
+                assert set(zip(*(x.tolist() for x in match(flat, offsets, [(0, m, n), (n, n + m, 2 * n)], percent)), strict=True)) == want
 
 
 @pytest.mark.parametrize("unit", ["documents", "lines"])
