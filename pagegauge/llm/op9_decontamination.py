@@ -13,26 +13,38 @@ WINDOW, LITERAL = 8, 5
 BROADCAST_ROWS = 500_000
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mile|miles|feet|inches|l|ml|hours|hour|minutes|minute|seconds|days|years|dollars|euros|percent|mph"
 
-#: In turn: a capitalised word that doesn't open a sentence, a number, a unit after a number, any other punctuation.
-#: Slots become marked words that carry their value; the patterns mean the same in Java and RE2.
+_NAME = r"\p{Lu}[\p{L}'-]*"
+_MORE = rf" (?:(?:van|von|der|de|da|di|del|la|bin) ){{0,2}}{_NAME}"
+#: In turn: two to four capitalised words that open a sentence, one to four within it, a number, a unit after a number;
+#: then any other punctuation goes. A capitalised word alone at the opening is a word. Slots become marked words that
+#: carry their value, a name of several words being one; the patterns mean the same in Java and RE2.
 STEPS = [
-    (r"([\p{Ll}\p{Nd},;] )(\p{Lu}[\p{L}'-]*)", "\x02A\x03", 1),
-    (r"(^|[^\p{L}\p{Nd}\x03])([0-9]+(?:[.,:/][0-9]+)*)", "\x02N\x03", 1),
-    (rf"(\x02N\x03[0-9.,:/]+ ?)({UNITS})\b", " \x02U\x03", 1),
+    (rf"(^|[.!?:] |\n)({_NAME}(?:{_MORE}){{1,3}})", "$1\x02A\x03$2\x04"),
+    (rf"([\p{{Ll}}\p{{Nd}},;] )({_NAME}(?:{_MORE}){{0,3}})", "$1\x02A\x03$2\x04"),
+    (r"(^|[^\p{L}\p{Nd}\x03])([0-9]+(?:[.,:/][0-9]+)*)", "$1\x02N\x03$2"),
+    (rf"(\x02N\x03[0-9.,:/]+ ?)({UNITS})\b", "$1 \x02U\x03$2"),
 ]
-PUNCTUATION = r"[^\p{L}\p{Nd}\x02\x03\x20\x09-\x0D]+"
+PUNCTUATION = r"[^\p{L}\p{Nd}\x02-\x04\x20\x09-\x0D]+"
+SLOT_OR_WORD = r"\x02A\x03[^\x04]*\x04|" + WORD
 
 
 def canonical_words(text: Column) -> Column:
     """Lower-case words without punctuation; a number, name or unit is a marked word with its value."""
     text = F.coalesce(text, F.lit(""))
-    for pattern, mark, _ in STEPS:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit("$1" + mark + "$2"))
-    return F.regexp_extract_all(F.lower(F.regexp_replace(text, F.lit(PUNCTUATION), F.lit(""))), F.lit(WORD), F.lit(0))
+    for pattern, to in STEPS:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(to))
+    return F.regexp_extract_all(F.lower(F.regexp_replace(text, F.lit(PUNCTUATION), F.lit(""))), F.lit(SLOT_OR_WORD), F.lit(0))
+
+
+def item_words(text: Column) -> Column:
+    """Both readings of an item's words: as it stands, and as it is read within a sentence, where its first word may be
+    a name."""
+    inside = canonical_words(F.concat(F.lit("x "), text))
+    return F.array(canonical_words(text), F.slice(inside, 2, F.greatest(F.size(inside) - 1, F.lit(0))))
 
 
 def _windows(words: Column, length: int, short: bool) -> Column:
-    """Array of (template hash, slot values, literal words) of the windows; with ``short`` a text of fewer words is one."""
+    """Array of (place, template hash, slot values) of the windows; with ``short`` a text of fewer words is one."""
 
     def build(w: Column) -> Column:
         typed = F.transform(w, lambda x: F.when(x.startswith("\x02"), F.substring(x, 1, 2)).otherwise(x))
@@ -48,6 +60,7 @@ def _windows(words: Column, length: int, short: bool) -> Column:
             return F.transform(
                 starts,
                 lambda i: F.struct(
+                    i.alias("place"),
                     F.xxhash64(F.slice(b["t"], i, length)).alias("h"),
                     F.when(b["some"], F.filter(F.slice(b["w"], i, length), lambda x: x.startswith("\x02"))).otherwise(none).alias("slots"),
                 ),
@@ -59,8 +72,8 @@ def _windows(words: Column, length: int, short: bool) -> Column:
 
 
 def template_windows(rows: DataFrame, key: str, length: int = WINDOW, short: bool = False) -> DataFrame:
-    """(key, h, slots): one row per window; made and used up within a task, texts stay where they are."""
-    return rows.select(F.col(key), F.explode(_windows(canonical_words(F.col("text")), length, short)).alias("win")).select(key, "win.h", "win.slots")
+    """(key, place, h, slots): one row per window; made and used up within a task, texts stay where they are."""
+    return rows.select(F.col(key), F.explode(_windows(canonical_words(F.col("text")), length, short)).alias("win")).select(key, "win.place", "win.h", "win.slots")
 
 
 def consistent(theirs: Column, ours: Column) -> Column:
@@ -70,7 +83,7 @@ def consistent(theirs: Column, ours: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, length: int = WINDOW, literal: int = LITERAL) -> DataFrame:
-    """(item_id, n, h, theirs, verbatim): the windows of ``items(item_id, w)`` that documents are searched for.
+    """(item_id, at, n, h, theirs, verbatim): the windows, from word ``at`` on, of ``items(item_id, w)`` that documents are searched for.
 
     A window of ``length`` words, or an item of fewer, is a template if at least ``literal`` of its words (of a short
     item: all but one) are outside slots. Another one counts with equal slot values only (verbatim), and a longer one
@@ -90,52 +103,62 @@ def benchmark_windows(items: DataFrame, length: int = WINDOW, literal: int = LIT
     longer = F.when(to.isNotNull() & (size > length), F.struct(at.alias("i"), (to - at + 1).alias("n"), F.lit(False).alias("verbatim"))).otherwise(whole)
     own = lambda verbatim: F.struct(at.alias("i"), F.col("m").alias("n"), F.lit(verbatim).alias("verbatim"))
     rows = rows.select("item_id", "w", F.explode(F.when(enough, F.array(own(False))).otherwise(F.array(own(True), longer))).alias("win"))
-    rows = rows.select("item_id", F.col("win.n").alias("n"), F.slice("w", F.col("win.i"), F.col("win.n")).alias("w"), "win.verbatim")
+    rows = rows.select("item_id", F.col("win.i").alias("at"), F.col("win.n").alias("n"), F.slice("w", F.col("win.i"), F.col("win.n")).alias("w"), "win.verbatim")
     slots = F.filter("w", lambda x: x.startswith("\x02"))
-    rows = rows.select("item_id", "n", F.xxhash64(F.transform("w", lambda x: F.when(x.startswith("\x02"), F.substring(x, 1, 2)).otherwise(x))).alias("h"), slots.alias("theirs"), "verbatim")
+    rows = rows.select("item_id", "at", "n", F.xxhash64(F.transform("w", lambda x: F.when(x.startswith("\x02"), F.substring(x, 1, 2)).otherwise(x))).alias("h"), slots.alias("theirs"), "verbatim")
     return rows.withColumn("verbatim", F.col("verbatim") | (F.size("theirs") == F.col("n"))).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, literal: int = LITERAL) -> DataFrame:
-    """(doc_id, n_hits, items): documents with a window of a benchmark item's template and consistent slots.
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.length(text))
 
-    Rows without a hit are not listed; rows of equal (or null) doc_id are judged together. Null and empty texts have
-    no windows. An item of fewer than ``length`` words is one window, compared to document windows of its own length.
-    Windows with few words outside slots count verbatim, and in longer windows (``benchmark_windows``); document
-    windows are made for each length that the benchmark's windows have, which is one for prose.
-    Only matches are shuffled. Very frequent passages cost one probe per occurrence.
+
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, literal: int = LITERAL) -> DataFrame:
+    """(hit_key, n_hits, items): texts, by ``text_key``, with windows of a benchmark item's template.
+
+    Windows that follow one another alike in text and item are one passage, and count only if the slot values of the
+    whole passage map one to one. Texts without a hit are not listed. Null and empty texts have no windows; nor have
+    null and empty items. Repeated items count once each. An item of fewer than ``length`` words is one window,
+    compared to document windows of its own length. Windows with few words outside slots count verbatim, and in longer
+    windows (``benchmark_windows``); document windows are made for each length that the benchmark's windows have, which
+    is one for prose. Only matches are shuffled. Very frequent passages cost one probe per occurrence.
     """
-    own = stored(benchmark_windows(benchmark.select("item_id", canonical_words(F.col("text")).alias("w")), length, literal), "windows")
+    items = benchmark.where("text is not null").select("item_id", F.explode(item_words(F.col("text"))).alias("w"))
+    own = stored(benchmark_windows(items, length, literal), "windows")
     lengths = sorted(r.n for r in own.select("n").distinct().collect())
+    texts = docs.select(text_key(F.col("text")).alias("hit_key"), "text")
     hits = None
     for n in lengths:
-        some = own.where(F.col("n") == n).drop("n")
+        some = own.where(F.col("n") == n)
         side = some.hint("broadcast" if small(some, BROADCAST_ROWS) else "merge")
         same = F.when(F.col("verbatim"), F.col("theirs") == F.col("slots")).otherwise(consistent(F.col("theirs"), F.col("slots")))
-        found = template_windows(docs, "doc_id", n).join(side, "h").where(same).select("doc_id", "item_id")
+        found = template_windows(texts, "hit_key", n).join(side, "h").where(same)
+        found = found.select("hit_key", "item_id", (F.col("place") - F.col("at")).alias("shift"), "place", "n", F.arrays_zip("theirs", "slots").alias("slots"))
         hits = found if hits is None else hits.union(found)
     if hits is None:
-        hits = docs.select("doc_id", F.lit(None).cast("long").alias("item_id")).where("false")
-    per = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
-    return per.groupBy("doc_id").agg(F.sum("n").alias("n_hits"), F.array_sort(F.collect_set("item_id")).alias("items"))
+        return docs.select(F.lit(0).cast("long").alias("hit_key"), F.lit(0).cast("long").alias("n_hits"), F.array().cast("array<bigint>").alias("items")).where("false")
+    # a passage is at most as long as its item
+    passage = hits.distinct().groupBy("hit_key", "item_id", "shift").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    passage = passage.where(consistent(F.col("slots.theirs"), F.col("slots.slots")))
+    return passage.groupBy("hit_key").agg(F.sum("n").alias("n_hits"), F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
 def flag_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, literal: int = LITERAL) -> DataFrame:
-    """(doc_id, n_hits, items, contaminated) for every row of ``docs``."""
-    found = contamination(docs, benchmark, length, literal).withColumnRenamed("doc_id", "hit_id")
-    ids = docs.select("doc_id")
-    out = ids.join(found.hint("merge"), ids["doc_id"].eqNullSafe(found["hit_id"]), "left")
+    """(doc_id, n_hits, items, contaminated) for every row of ``docs``, each judged by its own text: null and repeated
+    ids are like all others. Extra columns are not read."""
+    found = contamination(docs, benchmark, length, literal)
+    ids = docs.select("doc_id", text_key(F.col("text")).alias("hit_key"))
+    out = ids.join(found.hint("merge"), "hit_key", "left")
     none = F.array().cast("array<bigint>")
     return out.select("doc_id", F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"), F.coalesce(F.col("items").cast("array<bigint>"), none).alias("items"), F.col("n_hits").isNotNull().alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, literal: int = LITERAL) -> DataFrame:
-    """Rows of ``docs`` without benchmark passages, columns as given. Each row is judged by its own text, whatever its
-    doc_id: hits are found and removed by a hash of the text."""
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.length("text"))
-    found = stored(contamination(docs.select(key.alias("doc_id"), "text"), benchmark, length, literal).selectExpr("doc_id hit_id"), "hits")
+    """Rows of ``docs`` without benchmark passages, columns as given (extra ones too). Each row is judged by its own
+    text, whatever its doc_id; repeated rows stay or go together, and null and empty texts stay."""
+    found = stored(contamination(docs, benchmark, length, literal).select("hit_key"), "hits")
     side = found.hint("broadcast" if small(found, BROADCAST_ROWS) else "merge")
-    return docs.join(side, key == side["hit_id"], "left_anti")
+    return docs.join(side, text_key(docs["text"]) == side["hit_key"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,32 +167,40 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_words(text: str) -> str:
-    for pattern, mark, _ in STEPS:
-        mark = "".join(f"' || chr({ord(c)}) || '" if ord(c) < 32 else c for c in mark)
-        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '\\1{mark}\\2', 'g')"
-    return f"regexp_extract_all(lower(regexp_replace({text}, '{PUNCTUATION}', '', 'g')), '[^\\x20\\x09-\\x0D]+')"
+    for pattern, to in STEPS:
+        to = "".join(f"' || chr({ord(c)}) || '" if ord(c) < 32 else c for c in to.replace("$", "\\"))
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+    return f"regexp_extract_all(lower(regexp_replace({text}, '{PUNCTUATION}', '', 'g')), '{SLOT_OR_WORD}')"
 
 
 _TYPED = "list_transform({0}, lambda x: CASE WHEN starts_with(x, chr(2)) THEN x[1:2] ELSE x END)"
 _SLOTS = "list_filter({0}, lambda x: starts_with(x, chr(2)))"
 ORACLE = f"""
 WITH item AS (
-  SELECT item_id, w, least(len(w), {WINDOW}) AS n FROM (SELECT item_id, {_sql_words("coalesce(text, '')")} AS w FROM benchmark) WHERE len(w) > 0
+  SELECT item_id, w, least(len(w), {WINDOW}) AS n FROM (
+    SELECT item_id, {_sql_words("text")} AS w FROM benchmark WHERE text IS NOT NULL
+    UNION ALL SELECT item_id, ({_sql_words("('x ' || text)")})[2:] FROM benchmark WHERE text IS NOT NULL
+  ) WHERE len(w) > 0
 ), own AS (
-  SELECT DISTINCT item_id, n, {_TYPED.format("win")} AS t, {_SLOTS.format("win")} AS theirs
-  FROM (SELECT item_id, n, w[i:i + n - 1] AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM item))
+  SELECT DISTINCT item_id, i AS start, n, {_TYPED.format("win")} AS t, {_SLOTS.format("win")} AS theirs
+  FROM (SELECT item_id, n, i, w[i:i + n - 1] AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM item))
   WHERE n - len({_SLOTS.format("win")}) >= least({LITERAL}, greatest(1, n - 1))
 ), doc AS (
-  SELECT doc_id, {_sql_words("coalesce(text, '')")} AS w FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, {_sql_words("coalesce(text, '')")} AS w FROM documents
 ), win AS (
-  SELECT doc_id, n, w[i:i + n - 1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM item))
+  SELECT rid, n, i, w[i:i + n - 1] AS win FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM item))
 ), hit AS (
-  SELECT doc_id, item_id, theirs, {_SLOTS.format("win")} AS ours FROM win JOIN own ON own.n = win.n AND own.t = {_TYPED.format("win")}
+  SELECT DISTINCT rid, item_id, i - start AS shift, i, own.n, list_zip(theirs, {_SLOTS.format("win")}) AS slots
+  FROM win JOIN own ON own.n = win.n AND own.t = {_TYPED.format("win")}
+), passage AS (
+  SELECT rid, item_id, count(*) AS n, list_distinct(flatten(list(slots))) AS slots FROM hit
+  WHERE len(list_distinct(slots)) = len(list_distinct(list_transform(slots, lambda x: x[1]))) AND len(list_distinct(slots)) = len(list_distinct(list_transform(slots, lambda x: x[2])))
+  GROUP BY rid, item_id, shift
 ), ok AS (
-  SELECT doc_id, count(*)::BIGINT AS n_hits, list_sort(list(DISTINCT item_id)) AS items FROM hit
-  WHERE len(theirs) = len(ours) AND len(list_distinct(list_zip(theirs, ours))) = len(list_distinct(theirs)) AND len(list_distinct(list_zip(theirs, ours))) = len(list_distinct(ours))
-  GROUP BY doc_id
+  SELECT rid, sum(n)::BIGINT AS n_hits, list_sort(list(DISTINCT item_id)) AS items FROM passage
+  WHERE len(slots) = len(list_distinct(list_transform(slots, lambda x: x[1]))) AND len(slots) = len(list_distinct(list_transform(slots, lambda x: x[2])))
+  GROUP BY rid
 )
-SELECT d.doc_id, coalesce(n_hits, 0)::BIGINT AS n_hits, coalesce(array_to_string(items, ','), '') AS items, n_hits IS NOT NULL AS contaminated
-FROM documents d LEFT JOIN ok ON d.doc_id IS NOT DISTINCT FROM ok.doc_id
+SELECT doc_id, coalesce(n_hits, 0)::BIGINT AS n_hits, coalesce(array_to_string(items, ','), '') AS items, n_hits IS NOT NULL AS contaminated
+FROM doc LEFT JOIN ok USING (rid)
 """

@@ -281,7 +281,32 @@ def test_reparameterised_question(spark):
     benchmark = spark.createDataFrame([(1, item), (2, "too short"), (3, None)], "item_id long, text string")
     rows = [(1, "so. " + item.replace("120", "450").replace("3", "7").replace("Alice", "Bob") + " ok"), (2, item.replace("in 3 hours at", "in 9 hours at")), (3, "nothing of this kind is here at all, not one window"), (4, None), (None, item)]
     got = {r.doc_id: r.contaminated for r in op9.flag_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
-    assert got[1] and got[None] and not got[3] and not got[4]
+    # in row 2 the same value of the item has two values in the document
+    assert got[1] and got[None] and not got[2] and not got[3] and not got[4]
+
+
+def test_questions_with_other_names_and_numbers_are_found(spark):
+    rng = random.Random(5)
+    people = ["Alice Smith", "Carol", "Dave Brown", "Eve", "Frank van Dyke", "Grace Lee Hall", "Ivan"]
+    forms = [
+        "{a} bought {x} apples and {y} pears before {b} came home with {z} more of them, so how many fruits are there now",
+        "If a train covers {x} km in {y} hours then how far does {a} ride with {b} in {z} hours",
+        "At the market {a} sells {x} kg of flour to {b} who bakes {y} loaves from it and keeps {z} of these",
+        "{a} has {x} coins in the old box",
+        "How long does {a} need for {x} miles at {y} mph when {b} is waiting there since {z} minutes or so",
+    ]
+    def fill(form):
+        a, b = rng.sample(people, 2)
+        x, y, z = rng.sample(range(2, 999), 3)
+        return form.format(a=a, b=b, x=x, y=y, z=z)
+    items = [(i, fill(f)) for i, f in enumerate(forms)]
+    other = [(100 * k + i, ("It was said that " if k % 2 else "Today. ") + fill(f) + ".") for k in range(8) for i, f in enumerate(forms)]
+    clean = [(10_000 + i, f"{rng.choice(people)} walked {rng.randrange(99)} km and met {rng.choice(people)} near the {rng.randrange(9)} old mills of the valley, where it rained") for i in range(40)]
+    out = op9.flag_contaminated(spark.createDataFrame(other + clean, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    hit = {r.doc_id: r["items"] for r in out}
+    found = sum(i % 100 in hit[i] for i, _ in other)
+    assert found >= 0.9 * len(other), [(t, hit[i]) for i, t in other if i % 100 not in hit[i]]
+    assert not any(hit[i] for i, _ in clean)
 
 
 def test_slots_have_to_be_consistent(spark):
