@@ -19,13 +19,13 @@ _MORE = rf" (?:(?:van|von|der|de|da|di|del|la|bin) ){{0,2}}{_NAME}"
 #: then any other punctuation goes. A capitalised word alone at the opening is a word. Slots become marked words that
 #: carry their value, a name of several words being one; the patterns mean the same in Java and RE2.
 STEPS = [
-    (rf"(^|[.!?:] |\n)({_NAME}(?:{_MORE}){{1,3}})", "$1\x02A\x03$2\x04"),
-    (rf"([\p{{Ll}}\p{{Nd}},;] )({_NAME}(?:{_MORE}){{0,3}})", "$1\x02A\x03$2\x04"),
+    (rf"(^|[.!?:] |\n)({_NAME}(?:{_MORE}){{1,3}})|([\p{{Ll}}\p{{Nd}},;] )({_NAME}(?:{_MORE}){{0,3}})", "$1$3\x02A\x03$2$4\x04"),
     (r"(^|[^\p{L}\p{Nd}\x03])([0-9]+(?:[.,:/][0-9]+)*)", "$1\x02N\x03$2"),
     (rf"(\x02N\x03[0-9.,:/]+ ?)({UNITS})\b", "$1 \x02U\x03$2"),
 ]
 PUNCTUATION = r"[^\p{L}\p{Nd}\x02-\x04\x20\x09-\x0D]+"
-SLOT_OR_WORD = r"\x02A\x03[^\x04]*\x04|" + WORD
+#: After lower-casing.
+SLOT_OR_WORD = r"\x02a\x03[^\x04]*\x04|" + WORD
 
 
 def canonical_words(text: Column) -> Column:
