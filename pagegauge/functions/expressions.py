@@ -49,14 +49,14 @@ def origin(url) -> Column:
     """Scheme, host and port of a URL, lower-case; the default port is left out. Null if there is no host."""
     url = col(url)
     scheme = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
-    port = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:@]+:([0-9]+)", 1)
+    host = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([\\[][^\\]/?#]*[\\]]|[^/?#:@]+)", 1))
+    port = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:[\\[][^\\]/?#]*[\\]]|[^/?#:@]+):([0-9]+)", 1)
     shown = F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), port))
     return F.when(host != "", F.concat(scheme, F.lit("://"), host, shown))
 
 
 def host(url) -> Column:
-    return F.lower(F.regexp_extract(col(url), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    return F.lower(F.regexp_extract(col(url), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([\\[][^\\]/?#]*[\\]]|[^/?#:@]+)", 1))
 
 
 def path(url) -> Column:
@@ -71,6 +71,42 @@ def ipv4(c) -> Column:
     return F.when(ok, n)
 
 
+def bound(value: Column, body) -> Column:
+    """Bind ``value`` to a name, so that it is computed once a row and the expression doesn't grow with its uses."""
+    return F.transform(F.array(value), body)[0]
+
+
+def ipv6(c) -> Column:
+    """The eight words of an IPv6 address, in brackets or not, as numbers; null for anything else. A zone is cut off, a
+    dotted quad at the end is two words."""
+
+    def without_quad(text: Column) -> Column:
+        quad = F.split(F.regexp_extract(text, "(?:^|:)([0-9]{1,3}(?:[.][0-9]{1,3}){3})$", 1), "[.]")
+
+        def two_words(q: Column) -> Column:
+            n = [F.get(q, F.lit(i)).try_cast("int") for i in range(4)]
+            return F.when(F.forall(q, lambda x: x.try_cast("int") <= 255), F.concat(F.hex(n[0] * 256 + n[1]), F.lit(":"), F.hex(n[2] * 256 + n[3])))
+
+        return F.when(~text.contains("."), text).otherwise(F.concat(F.regexp_replace(text, "[0-9.]+$", ""), bound(quad, two_words)))
+
+    def words(text: Column) -> Column:
+        sides = F.transform(F.split(text, "::"), lambda x: F.filter(F.split(x, ":"), lambda w: w != ""))
+
+        def filled(s: Column) -> Column:
+            left, right = F.get(s, F.lit(0)), F.get(s, F.lit(1))
+            gap = F.lit(8) - F.size(left) - F.size(right)
+            return F.when(F.size(s) == 1, left).when((F.size(s) == 2) & (gap >= 1), F.concat(left, F.array_repeat(F.lit("0"), gap), right))
+
+        ok = text.contains(":") & ~text.rlike("^:[^:]|[^:]:$|:::")
+        return F.when(ok, bound(sides, filled))
+
+    def numbers(w: Column) -> Column:
+        return F.when((F.size(w) == 8) & F.forall(w, lambda x: x.rlike("^[0-9a-fA-F]{1,4}$")), F.transform(w, lambda x: F.conv(x, 16, 10).cast("long")))
+
+    text = F.regexp_replace(F.lower(col(c)), "^\\[|%[^\\]]*|\\]$", "")
+    return bound(bound(bound(text, without_quad), words), numbers)
+
+
 def decoded(c, levels: int = 4) -> Column:
     """Percent-decoded up to ``levels`` times; a malformed level stays as it was. A plus sign is no blank here."""
     out = col(c)

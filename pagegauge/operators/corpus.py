@@ -80,12 +80,17 @@ def credential_carriers(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", F.lower("c.key").alias("key"), F.length("c.value").alias("value_length")).agg(F.count("*").alias("n"))
 
 
+#: The notice that a copy needs, the negation that it needs, and claims that it may not make.
+NOTICE, NEGATION = r"\bsimulation\b", r"\bnot\s+the\s+original(?:\s+(?:website|site))?\b"
+CLAIM = r"\b(?:official|authentic|genuine|original|real\s+(?:website|site))\b"
+
+
 def disclosure_copy(docs: DataFrame) -> DataFrame:
-    """(doc_id, has_notice, negated, claims, accepted): a notice is needed, claims are forbidden unless negated."""
+    """(doc_id, has_notice, negated, claims, accepted): notice and negation are needed, claims besides it forbidden."""
     text = F.lower("text")
-    bare = F.regexp_replace(text, "not (?:the )?original", " ")
-    out = docs.select("doc_id", text.contains("license").alias("has_notice"), text.rlike("not (?:the )?original").alias("negated"), bare.rlike("official|original|authentic").alias("claims"))
-    return out.withColumn("accepted", F.col("has_notice") & ~F.col("claims"))
+    bare = F.regexp_replace(text, NEGATION, " ")
+    out = docs.select("doc_id", text.rlike(NOTICE).alias("has_notice"), text.rlike(NEGATION).alias("negated"), bare.rlike(CLAIM).alias("claims"))
+    return out.withColumn("accepted", F.col("has_notice") & F.col("negated") & ~F.col("claims"))
 
 
 #: Flat sanitising steps: counter, pattern, replacement.

@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.expressions import changed_fields, col, squeeze
 
 K = ["page_id", "viewport"]
-#: Changes of these fields are critical.
-IMPORTANT = ["required", "visible", "type", "name", "href"]
+#: Changes of these fields are critical.
+IMPORTANT = (
+    "required aria_required disabled read_only multiple hidden_attribute aria_hidden tab_index visible checked choice_value_present "
+    "choice_value_length choice_value_class value_present value_length value_class accept accessible_name label label_visible_text "
+    "label_pseudo_before label_pseudo_after question_text question_visible_text question_pseudo_before question_pseudo_after "
+    "selected_option_texts n_options options_hash options text visible_text pseudo_before pseudo_after name type href target rel level "
+    "method action enctype n_controls form_method form_action form_enctype hidden_value_present hidden_value_length"
+).split()
 
 
 def assign_keys(records: DataFrame, base: Column, key: str = "key") -> DataFrame:
@@ -125,8 +131,15 @@ def inventory_crosscheck(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return long(a, "count_a").join(long(b, "count_b"), [key, "field"]).where("count_a <> count_b")
 
 
+#: Words of a submitting control.
+SUBMIT_WORDS = "submit|apply|send|complete|continue"
+
+
 def primary_action(controls: DataFrame) -> DataFrame:
-    """(page_id, ordinal, name): visible control whose name matches a submit word first, by document order."""
-    score = F.when(F.col("name").rlike("^(af|rf)$"), 2).when(col("name").rlike("^n"), 1).otherwise(0)
+    """(page_id, ordinal, name): the visible and enabled control whose name has a submit word, else any; the first in
+    document order. Without a column ``disabled`` all controls are enabled."""
+    score = F.lower("name").rlike(SUBMIT_WORDS).cast("int")
+    if "disabled" in controls.columns:
+        controls = controls.where("not disabled")
     rn = F.row_number().over(W.partitionBy("page_id").orderBy(score.desc(), "ordinal"))
     return controls.where("visible and type <> 'hidden'").withColumn("rn", rn).where("rn = 1").select("page_id", "ordinal", "name")

@@ -106,8 +106,8 @@ def url_provenance(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.concat(F.coalesce(origin("url"), F.lit("")), path("url")).alias("location"), F.sha2("url", 256).alias("sha256"), F.array_join(keys, ",").alias("query_keys"), F.col("url").contains("#").alias("has_fragment"))
 
 
-#: Roles and states of the accessibility subset.
-AX_ROLES = ("alert", "button", "checkbox", "combobox", "dialog", "form", "heading", "link", "list", "listbox", "listitem", "navigation", "option", "radio", "region", "tab", "textbox")
+#: Roles and states of the accessibility subset.
+AX_ROLES = ("button", "checkbox", "combobox", "form", "group", "heading", "link", "listbox", "radio", "radiogroup", "searchbox", "slider", "spinbutton", "switch", "tab", "tabpanel", "textbox")
 AX_STATES = ("checked", "disabled", "expanded", "level", "required", "selected", "invalid")
 
 

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 KINDS = ["request_started", "request_finished", "request_failed", "write_attempt", "external_read"]
 TYPES = ["document", "stylesheet", "script", "image", "font", "media"]
-ATTEMPTS = "storage cookie indexed_db service_worker cache websocket event_source beacon popup dialog download permission".split()
+#: Kinds of runtime attempts, and so the names of their gates.
+ATTEMPTS = (
+    "websocket beacon window_open popup download service_worker_registration external_fetch external_xhr webtransport "
+    "websocket_stream rtc_peer_connection rtc_data_channel"
+).split()
 #: Events kept of each kind and session.
 LIMITS = {"request_started": 5, "request_finished": 4, "request_failed": 2, "write_attempt": 3, "external_read": 2}
 
@@ -63,10 +67,10 @@ def payload_equivalence(events: DataFrame) -> DataFrame:
 
 
 def layout_stability(events: DataFrame) -> DataFrame:
-    """(session, n, stable): the last three of at most four samples have the same layout."""
+    """(session, n, stable): whether there are four samples, of which the last three have the same layout."""
     rn = F.row_number().over(W.partitionBy("session").orderBy(F.desc("ts"), F.desc("seq")))
     last = events.withColumn("rn", rn).where("rn <= 4")
-    return last.groupBy("session").agg(F.count("*").alias("n"), (F.countDistinct(F.when(F.col("rn") <= 3, F.col("resource_type"))) == 1).alias("stable"))
+    return last.groupBy("session").agg(F.count("*").alias("n"), ((F.countDistinct(F.when(F.col("rn") <= 3, F.col("resource_type"))) == 1) & (F.count("*") == 4)).alias("stable"))
 
 
 def retain_events(events: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
@@ -115,8 +119,13 @@ def idempotent_receipts(events: DataFrame) -> DataFrame:
 
 def persistence_pairs(events: DataFrame, low_seconds: int = 60, high_seconds: int = 1800) -> DataFrame:
     """(session, seq, later, same): an event and the next states of its session after a delay, without a write between
-    them. The session is the equi-key; the interval is a residual condition."""
-    a = events.select("session", "seq", "ts", "resource_type")
-    b = events.select(F.col("session").alias("s2"), F.col("seq").alias("later"), F.col("ts").alias("ts2"), F.col("resource_type").alias("type2"))
+    them. Session and number of writes are equi-keys;
+    the interval is a residual condition."""
+    # the writes up to an event, and before it
+    write = (F.col("kind") == "write_attempt").cast("int")
+    so_far = F.sum(write).over(W.partitionBy("session").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0))
+    events = events.withColumn("writes", so_far).withColumn("before", F.col("writes") - write)
+    a = events.select("session", "seq", "ts", "resource_type", "writes")
+    b = events.select(F.col("session").alias("s2"), F.col("seq").alias("later"), F.col("ts").alias("ts2"), F.col("resource_type").alias("type2"), "before")
     delay = _micros("ts2") - _micros("ts")
-    return a.join(b, (F.col("session") == F.col("s2")) & delay.between(low_seconds * 1_000_000, high_seconds * 1_000_000)).select("session", "seq", "later", (F.col("resource_type") == F.col("type2")).alias("same"))
+    return a.join(b, (F.col("session") == F.col("s2")) & (F.col("writes") == F.col("before")) & delay.between(low_seconds * 1_000_000, high_seconds * 1_000_000)).select("session", "seq", "later", (F.col("resource_type") == F.col("type2")).alias("same"))

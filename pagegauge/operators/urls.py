@@ -5,17 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expressions import decoded, host, ipv4, origin
+from ..functions.expressions import bound, decoded, host, ipv4, ipv6, origin
 
 #: Reserved IPv4 ranges (RFC 6890 and others) as base and prefix length.
 RESERVED = [
     ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24),
-    ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
+    ("192.0.2.0", 24), ("192.88.99.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
 ]
 #: Host suffixes and names that are no public hosts.
-SUFFIXES = ("internal", "local", "localhost", "lan", "home", "corp", "intranet", "test")
-#: Prefixes of reserved IPv6 addresses, in brackets.
-IPV6 = r"^\[(?:::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|fec[0-9a-f]:.*|ff[0-9a-f]{2}:.*|2001:db8:.*|::ffff:(?:10|127|192[.]168)[.].*)\]"
+SUFFIXES = ("localhost", "local", "internal", "corp", "lan", "home", "home[.]arpa", "onion")
+#: Reserved IPv6 ranges as base words, a name, and prefix length.
+RESERVED6 = [
+    ((0xFC00,), "fc00::/7", 7), ((0xFE80,), "fe80::/10", 10), ((0xFEC0,), "fec0::/10", 10), ((0xFF00,), "ff00::/8", 8),
+    ((0x64, 0xFF9B), "64:ff9b::/32", 32), ((0x100, 0, 0, 0), "100::/64", 64), ((0x2001, 0), "2001::/23", 23), ((0x2001, 0xDB8), "2001:db8::/32", 32), ((0x2002,), "2002::/16", 16),
+]
+
+
+def reserved6(words: Column) -> Column:
+    """Name of the reserved range of an IPv6 address; null if it is public."""
+    word = lambda i: F.get(words, F.lit(i))
+    out = F.when(F.forall(F.slice(words, 1, 7), lambda w: w == 0) & (word(7) <= 1), F.when(word(7) == 0, "::").otherwise("::1"))
+    for base, name, bits in RESERVED6:
+        inside = F.lit(True)
+        for i, want in enumerate(base):
+            # the bits of this word that belong to the prefix
+            own = min(16, max(0, bits - 16 * i))
+            step = 1 << (16 - own)
+            inside &= F.floor(word(i) / step) == want // step
+        out = out.when(inside, name)
+    return out
 
 
 def reserved_ranges() -> list[tuple[str, int, int]]:
@@ -35,15 +53,29 @@ def classify_targets(urls: DataFrame) -> DataFrame:
 
 
 def private_destinations(urls: DataFrame) -> DataFrame:
-    """(page_id, host, reason) of URLs to private or reserved hosts. The ranges are a fixed list of 14, so they are
-    literals of the plan."""
-    h, ip = host("url"), ipv4(host("url"))
-    reason: Column = F.when(F.lit(False), "")
-    for name, low, high in reserved_ranges():
-        reason = reason.when(ip.between(low, high), name)
-    reason = reason.when(F.col("url").rlike("^[a-z]+://" + IPV6[1:]), "ipv6")
-    reason = reason.when(h.rlike("(^|[.])(" + "|".join(SUFFIXES) + ")$"), "suffix").when(ip.isNull() & ~h.contains("."), "dotless")
-    return urls.select("page_id", h.alias("host"), reason.alias("reason")).where("reason is not null")
+    """(page_id, host, reason) of URLs to private or reserved hosts. Addresses that an IPv6 address maps or embeds are
+    judged as IPv4. The ranges are fixed lists, so they are literals of the plan."""
+
+    def embedded(w: Column) -> Column:
+        word = lambda i: F.get(w, F.lit(i))
+        mapped = F.forall(F.slice(w, 1, 5), lambda x: x == 0) & word(5).isin(0, 0xFFFF) & ~((word(5) == 0) & (word(6) == 0) & (word(7) <= 1))
+        return F.when(mapped, word(6) * 65536 + word(7))
+
+    def judged(x: Column) -> Column:
+        h, ip, words = x["host"], x["ip"], x["words"]
+        reason: Column = F.when(F.lit(False), "")
+        for name, low, high in reserved_ranges():
+            reason = reason.when(ip.between(low, high), name)
+        named = h.rlike("(^|[.])(" + "|".join(SUFFIXES) + ")$")
+        reason = reason.when(words.isNotNull() & ip.isNull(), reserved6(words)).when(named, "suffix")
+        return reason.when(ip.isNull() & words.isNull() & ~h.contains("."), "dotless")
+
+    def parsed(h: Column) -> Column:
+        return bound(ipv6(h), lambda w: F.struct(h.alias("host"), F.coalesce(ipv4(h), embedded(w)).alias("ip"), w.alias("words")))
+
+    h = F.regexp_replace(host("url"), "[.]$", "")
+    row = urls.select("page_id", bound(bound(h, parsed), lambda x: F.struct(x["host"].alias("host"), judged(x).alias("reason"))).alias("x"))
+    return row.select("page_id", "x.host", "x.reason").where("reason is not null")
 
 
 SENSITIVE = "(?:^|[_-])(?:access[_-]?token|token|api[_-]?key|apikey|secret|password|passwd|pwd|auth|authorization|session|signature|credential)(?:$|[_-])"
@@ -121,21 +153,31 @@ def localize_refs(refs: DataFrame, resources: DataFrame) -> DataFrame:
 
 
 #: Directives whose presence and mode are summarised.
-DIRECTIVES = ("default-src", "script-src", "object-src", "base-uri", "form-action", "frame-ancestors", "connect-src")
+DIRECTIVES = ("script-src", "script-src-elem", "script-src-attr", "connect-src", "form-action", "object-src", "frame-ancestors")
+#: What a strict policy limits to the page itself or nothing, to nothing, and to either if it is there.
+SELF_OR_NONE, NONE, OPTIONAL = ("script-src", "connect-src", "form-action"), ("object-src", "frame-ancestors"), ("script-src-elem", "script-src-attr")
 
 
 def security_headers(responses: DataFrame) -> DataFrame:
     """(page_id, n_policies, <directive>..., frame_options, strict): the first occurrence of a directive in each policy
-    counts; a page is strict when one of its policies allows nothing by default but itself, and no framing or objects
-    from elsewhere are possible under it."""
+    counts; a page is strict when one of its policies lets scripts, connections and forms reach nothing but the page's
+    own origin, allows no objects and no framing, and gives none of these directives twice."""
     policies = responses.select("page_id", "frame_options", "has_refresh", F.posexplode_outer(F.filter(F.split(F.lower("csp"), ","), lambda p: F.trim(p) != "")).alias("policy", "text"))
     parts = policies.select("page_id", "policy", F.posexplode_outer(F.split("text", ";")).alias("i", "part")).select("page_id", "policy", "i", F.trim("part").alias("part"))
     parts = parts.select("page_id", "policy", "i", F.regexp_extract("part", "^([a-z-]+)", 1).alias("name"), F.trim(F.regexp_replace("part", "^[a-z-]+", "")).alias("value"))
     mode = F.when(F.col("value") == "'none'", "none").when(F.col("value") == "'self'", "self").otherwise("other")
     first = parts.where(F.col("name").isin(*DIRECTIVES)).groupBy("page_id", "policy", "name").agg(F.min_by(mode, "i").alias("mode"), F.count("*").alias("n"))
-    wide = first.groupBy("page_id", "policy").pivot("name", list(DIRECTIVES)).agg(F.first("mode"))
-    strict = F.coalesce(F.col("default-src").isin("none", "self") & F.coalesce(F.col("object-src"), F.col("default-src")).isin("none", "self"), F.lit(False))
-    per = wide.groupBy("page_id").agg(F.count("*").alias("n_policies"), *[F.array_join(F.array_sort(F.collect_set(d)), ",").alias(d.replace("-", "_")) for d in DIRECTIVES], F.bool_or(strict).alias("strict"))
+    once = lambda d: F.max(F.when((F.col("name") == d) & (F.col("n") == 1), F.col("mode")))
+    strict = F.lit(True)
+    for d in SELF_OR_NONE:
+        strict &= F.coalesce(once(d).isin("self", "none"), F.lit(False))
+    for d in NONE:
+        strict &= F.coalesce(once(d) == "none", F.lit(False))
+    for d in OPTIONAL:
+        strict &= F.count_if((F.col("name") == d) & ~((F.col("n") == 1) & F.col("mode").isin("self", "none"))) == 0
+    modes = [F.max(F.when(F.col("name") == d, F.col("mode"))).alias(d) for d in DIRECTIVES]
+    wide = first.groupBy("page_id", "policy").agg(*modes, strict.alias("strict"))
+    per = wide.groupBy("page_id").agg(F.count("*").alias("n_policies"), *[F.array_join(F.array_sort(F.collect_set(d)), ",").alias(d.replace("-", "_")) for d in DIRECTIVES], F.bool_or("strict").alias("strict"))
     doubled = first.groupBy("page_id").agg(F.bool_or(F.col("n") > 1).alias("duplicated"))
     frame = F.when(F.upper("frame_options").isin("DENY", "SAMEORIGIN"), F.lower("frame_options")).when(F.col("frame_options") == "", "missing").otherwise("other")
     out = responses.select("page_id", frame.alias("frame"), "has_refresh").join(per, "page_id", "left").join(doubled, "page_id", "left")

@@ -49,7 +49,7 @@ QUERIES = {
     "integrity_audit": audit,
 }
 
-_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1))"
+_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([\\[][^\\]/?#]*[\\]]|[^/?#:@]+)', 1))"
 _ORIGIN = f"lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || {_HOST} || CASE WHEN regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?[^/?#:@]+(:[0-9]+)', 1) IN ('', ':80', ':443') THEN '' ELSE regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?[^/?#:@]+(:[0-9]+)', 1) END"
 _TARGET = f"CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@') OR NOT regexp_matches(lower(url), '^https?://') THEN 'unsafe' WHEN {_ORIGIN} = 'https://site.example.com' THEN 'same_origin' ELSE 'external' END"
 _RANGES = ", ".join(f"({i}, '{n}', {a}, {b})" for i, (n, a, b) in enumerate(U.reserved_ranges()))
@@ -69,11 +69,17 @@ _RECON = " UNION ALL ".join(f"SELECT DISTINCT page_id, path, '{a}_not_{b}' AS re
 _EVID = """SELECT page_id, violation FROM (SELECT page_id, unnest([CASE WHEN retained > lim THEN 'retained_over_limit' END, CASE WHEN NOT truncated AND retained <> total THEN 'retained_not_total' END, CASE WHEN truncated AND retained >= total THEN 'truncated_without_loss' END,
   CASE WHEN ratio IS NULL THEN 'ratio_missing' END, CASE WHEN ratio NOT BETWEEN 0 AND 1 THEN 'ratio_out_of_range' END, CASE WHEN viewport <> expected THEN 'viewport_mismatch' END]) AS violation FROM evidence) WHERE violation IS NOT NULL"""
 _DIR = list(U.DIRECTIVES)
+_ONCE = lambda d: f"coalesce(max(mode) FILTER (name = '{d}' AND n = 1), '')"
+_STRICT = " AND ".join(
+    [f"{_ONCE(d)} IN ('self', 'none')" for d in U.SELF_OR_NONE]
+    + [f"{_ONCE(d)} = 'none'" for d in U.NONE]
+    + [f"count(*) FILTER (name = '{d}' AND NOT (n = 1 AND mode IN ('self', 'none'))) = 0" for d in U.OPTIONAL]
+)
 _HEAD = f"""SELECT h.page_id, CASE WHEN upper(frame_options) IN ('DENY', 'SAMEORIGIN') THEN lower(frame_options) WHEN frame_options = '' THEN 'missing' ELSE 'other' END AS frame, has_refresh, coalesce(n_policies, 0) AS n_policies,
   {", ".join(f"coalesce({d.replace('-', '_')}, '') AS {d.replace('-', '_')}" for d in _DIR)}, coalesce(strict, false) AS strict, coalesce(duplicated, false) AS duplicated FROM headers h LEFT JOIN (
   SELECT page_id, count(*) AS n_policies, {", ".join(f"array_to_string(list_sort(list(DISTINCT {d.replace('-', '_')}) FILTER ({d.replace('-', '_')} IS NOT NULL)), ',') AS {d.replace('-', '_')}" for d in _DIR)},
-  bool_or(coalesce(default_src IN ('none', 'self') AND coalesce(object_src, default_src) IN ('none', 'self'), false)) AS strict, bool_or(twice) AS duplicated FROM (
-  SELECT page_id, policy, bool_or(n > 1) AS twice, {", ".join(f"max(mode) FILTER (name = '{d}') AS {d.replace('-', '_')}" for d in _DIR)} FROM (
+  bool_or(strict) AS strict, bool_or(twice) AS duplicated FROM (
+  SELECT page_id, policy, bool_or(n > 1) AS twice, {_STRICT} AS strict, {", ".join(f"max(mode) FILTER (name = '{d}') AS {d.replace('-', '_')}" for d in _DIR)} FROM (
   SELECT page_id, policy, name, count(*) AS n, arg_min(CASE value WHEN '''none''' THEN 'none' WHEN '''self''' THEN 'self' ELSE 'other' END, i) AS mode FROM (
   SELECT page_id, policy, i, regexp_extract(part, '^([a-z-]+)', 1) AS name, trim(regexp_replace(part, '^[a-z-]+', '')) AS value FROM (
   SELECT page_id, policy, unnest(range(len(ps))) AS i, trim(unnest(ps)) AS part FROM (SELECT page_id, policy, string_split(t, ';') AS ps FROM (SELECT page_id, unnest(range(len(cs))) AS policy, unnest(cs) AS t FROM (SELECT page_id, string_split(lower(csp), ',') AS cs FROM headers)))))

@@ -90,9 +90,9 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
         WHEN 3 THEN 'https://site.example.com/password-reset/a1b2c3d4e5' WHEN 4 THEN 'https://site.example.com/invite/123e4567-e89b-12d3-a456-426614174000' WHEN 5 THEN 'https://api.example.org/sk-abcdefghijklmnopqrstuvwx/x'
         WHEN 6 THEN 'https://site.example.com/eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl' WHEN 7 THEN 'https://site.example.com/u/someone@example.com' WHEN 8 THEN 'https://site.example.com/call?phone=%2B1-555-010-9999'
         WHEN 9 THEN 'https://user:pw@site.example.com/' WHEN 10 THEN 'https://site.example.com/go?next=https%3A%2F%2Fother.example.com%2F%3Ftoken%3Dabcdefgh' WHEN 11 THEN 'http://10.1.2.' || cast(page_id % 250 AS string) || '/x'
-        WHEN 12 THEN 'http://172.20.0.5:8080/x' WHEN 13 THEN 'http://127.0.0.1:3000/x' WHEN 14 THEN 'http://db.service.internal/x' ELSE 'https://8.8.8.8/x?q=1#frag' END AS url FROM {pages}""",
+        WHEN 12 THEN 'http://172.20.0.5:8080/x' WHEN 13 THEN 'http://127.0.0.1:3000/x' WHEN 14 THEN CASE page_id % 3 WHEN 0 THEN 'http://db.service.internal/x' WHEN 1 THEN 'http://192.88.99.7/x' ELSE 'http://abcdefgh.onion/x' END ELSE 'https://8.8.8.8/x?q=1#frag' END AS url FROM {pages}""",
     "headers": """SELECT page_id, CASE page_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'default-src ''self''; frame-ancestors ''none''' WHEN 2 THEN 'default-src ''none''; script-src ''self''; script-src ''none'''
-        WHEN 3 THEN 'default-src https:; form-action ''self'', default-src ''none'';object-src ''none''' WHEN 4 THEN 'SCRIPT-SRC ''self'' https://cdn.example.net' ELSE 'base-uri ''none''; object-src ''none''; default-src ''self''' END AS csp,
+        WHEN 3 THEN 'default-src https:; form-action ''self'', default-src ''none'';object-src ''none''' WHEN 4 THEN 'SCRIPT-SRC ''self'' https://cdn.example.net' ELSE 'base-uri ''none''; object-src ''none''; script-src ''self''; connect-src ''self''; form-action ''none''; frame-ancestors ''none''' || CASE page_id % 5 WHEN 0 THEN '; script-src-elem ''self''' WHEN 1 THEN '; script-src-attr https:' WHEN 2 THEN '; script-src ''self''' ELSE '' END END AS csp,
         CASE page_id % 4 WHEN 0 THEN 'DENY' WHEN 1 THEN 'sameorigin' WHEN 2 THEN 'ALLOW-FROM https://x.example' ELSE '' END AS frame_options, page_id % 9 = 0 AS has_refresh FROM {pages}""",
     "evidence": """SELECT page_id, cast(page_id % 40 AS bigint) AS total, cast(CASE WHEN page_id % 8 = 0 THEN page_id % 40 + 1 WHEN page_id % 40 > 30 THEN 30 ELSE page_id % 40 END AS bigint) AS retained, cast(30 AS bigint) AS lim,
         page_id % 40 > 30 AND page_id % 3 <> 0 AS truncated, CASE WHEN page_id % 17 = 0 THEN 1.5e0 WHEN page_id % 19 = 0 THEN NULL ELSE (page_id % 100) / 100.0e0 END AS ratio, CASE WHEN page_id % 23 = 0 THEN 'mobile' ELSE 'desktop' END AS viewport, 'desktop' AS expected FROM {pages}""",

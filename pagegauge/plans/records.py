@@ -9,6 +9,9 @@ from ..operators import diff as D
 from ..operators import extract as E
 from .fixtures import duck_with, spark_rows as rows
 
+#: Names of controls, some with a submit word.
+NAMED = "CASE l_partkey % 11 WHEN 0 THEN 'Send ' || name WHEN 1 THEN 'Apply' ELSE name END"
+
 LINK_PROPS, CONTROL_PROPS, HEADING_PROPS = ["href"], ["type", "value_length", "required", "visible", "label", "n_options"], ["level", "text"]
 
 
@@ -71,7 +74,7 @@ QUERIES = {
     "apply_approvals": lambda s, d: shown(D.apply_approvals(mismatches(s, d), rows(s, d, "approvals")).fillna(-1, ["rule"]).fillna("", ["rationale"])),
     "admit_policy": lambda s, d: shown(D.admit_policy(D.apply_approvals(mismatches(s, d), rows(s, d, "approvals")).where("approved").select("rule", joined("fields").alias("fields"), "kind", "key", "rationale")), "violations"),
     "inventory_crosscheck": crosscheck,
-    "primary_action": lambda s, d: D.primary_action(rows(s, d, "controls")),
+    "primary_action": lambda s, d: D.primary_action(rows(s, d, "controls").withColumn("name", F.expr(NAMED))),
 }
 
 
@@ -136,7 +139,7 @@ ORACLES = {
     "mask_diff": duck_with("rects_cand") + """SELECT b.page_id, b.kind, len(b.r) AS n_base, coalesce(len(c.r), 0) AS n_cand FROM (SELECT page_id, kind, list((n, x, y, w, h) ORDER BY n) AS r FROM rects GROUP BY ALL) b
       LEFT JOIN (SELECT page_id, kind, list((n, x, y, w, h) ORDER BY n) AS r FROM rects_cand GROUP BY ALL) c ON b.page_id = c.page_id AND b.kind = c.kind WHERE b.r IS DISTINCT FROM c.r""",
     "mismatch_counts": _ALL + f" SELECT page_id, viewport, category, {_N} FROM mm GROUP BY page_id, viewport, category UNION ALL SELECT page_id, viewport, 'total', {_N} FROM mm GROUP BY page_id, viewport",
-    "critical_findings": _ALL + " SELECT * FROM mm WHERE kind IN ('missing', 'extra') OR list_has_any(string_split(fields, ','), ['required', 'visible', 'type', 'name', 'href'])",
+    "critical_findings": _ALL + " SELECT * FROM mm WHERE kind IN ('missing', 'extra') OR list_has_any(string_split(fields, ','), " + str(D.IMPORTANT) + ")",
     "mismatch_preview": _ALL + " SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY page_id, viewport, category, kind ORDER BY key) AS rn FROM mm) WHERE rn <= CASE WHEN kind = 'changed' THEN 20 ELSE 10 END",
     "retain_details": _ALL + " SELECT * EXCLUDE (rn), total > 2 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY page_id, viewport, category, kind ORDER BY key) AS rn, count(*) OVER (PARTITION BY page_id, viewport, category, kind) AS total FROM mm) WHERE rn <= 2",
     "apply_approvals": _ALL + " SELECT * REPLACE (CAST(coalesce(rule, -1) AS INTEGER) AS rule, coalesce(rationale, '') AS rationale) FROM (" + _APPROVED + ")",
@@ -146,5 +149,5 @@ ORACLES = {
       l AS (SELECT page_id, count(*) AS n_links FROM links_cand GROUP BY 1), h AS (SELECT page_id, count(*) AS n_headings FROM headings GROUP BY 1)
       SELECT page_id, 'n_links' AS field, a.n_links AS count_a, l.n_links AS count_b FROM a JOIN l USING (page_id) WHERE a.n_links <> l.n_links
       UNION ALL SELECT page_id, 'n_headings', a.n_headings, coalesce(h.n_headings, 0) FROM a JOIN l USING (page_id) LEFT JOIN h USING (page_id) WHERE a.n_headings <> coalesce(h.n_headings, 0)""",
-    "primary_action": duck_with("controls") + "SELECT page_id, ordinal, name FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN name IN ('af', 'rf') THEN 2 WHEN name LIKE 'n%' THEN 1 ELSE 0 END DESC, ordinal) AS rn FROM controls WHERE visible AND type <> 'hidden') WHERE rn = 1",
+    "primary_action": duck_with("controls") + "SELECT page_id, ordinal, name FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY regexp_matches(lower(name), '" + D.SUBMIT_WORDS + "') DESC, ordinal) AS rn FROM (SELECT page_id, ordinal, visible, type, " + NAMED + " AS name FROM controls) WHERE visible AND type <> 'hidden') WHERE rn = 1",
 }

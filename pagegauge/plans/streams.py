@@ -53,13 +53,16 @@ def retention(s, d):
     return C.retention_audit(e.select("seq", F.when(F.col("seq") % 3 == 0, F.concat(F.lit('{"idem_key": "'), F.col("idem_key"), F.lit('", "n": 1}'))).when(F.col("seq") % 3 == 1, F.concat(F.lit('{"note": "'), F.col("idem_key"), F.lit('"}'))).otherwise(F.lit('{"count": 2}')).alias("json")))
 
 
+#: Documents with and without copy that discloses what they are.
+DISCLOSED = "text || CASE doc_id % 5 WHEN 0 THEN ' This simulation is not the original website.' WHEN 1 THEN ' The official simulation.' WHEN 2 THEN ' A simulation.' WHEN 3 THEN ' A simulation, not the original, but genuine.' ELSE '' END"
+
 QUERIES = {
     "contract_scan": contracts,
     "ax_nodes": ax,
     "redact_corpus": lambda s, d: C.redact_corpus(rows(s, d, "documents")),
     "pii_findings": lambda s, d: C.pii_findings(rows(s, d, "documents")),
     "credential_carriers": lambda s, d: C.credential_carriers(rows(s, d, "documents")),
-    "disclosure_copy": lambda s, d: C.disclosure_copy(rows(s, d, "documents")),
+    "disclosure_copy": lambda s, d: C.disclosure_copy(rows(s, d, "documents").withColumn("text", F.expr(DISCLOSED))),
     "sanitize_pages": lambda s, d: C.sanitize_pages(rows(s, d, "pages")),
     "sanitize_counts": lambda s, d: C.sanitize_counts(C.sanitize_pages(rows(s, d, "form_pages"))),
     "tree_digest": lambda s, d: C.tree_digest(rows(s, d, "files")),
@@ -109,7 +112,7 @@ ORACLES = {
     "redact_corpus": f"SELECT doc_id, {', '.join(_HITS)}, {_x} AS redacted FROM documents",
     "pii_findings": f"""SELECT source, lang, kind, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_docs FROM (SELECT source, lang, unnest(['email', 'international_phone', 'formatted_phone']) AS kind, unnest([len(regexp_extract_all(text, '{C.EMAIL}')), len(regexp_extract_all(text, '{C.PHONE}')), len(regexp_extract_all(text, '{C.FORMATTED_PHONE}'))]) AS n FROM documents) WHERE n > 0 GROUP BY ALL""",
     "credential_carriers": """SELECT doc_id, lower(key) AS key, CAST(length(value) AS INTEGER) AS value_length, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{0}', 1)) AS key, unnest(regexp_extract_all(text, '{0}', 2)) AS value FROM documents) GROUP BY ALL""".format(C.CARRIER.replace("'", "''")),
-    "disclosure_copy": "SELECT *, has_notice AND NOT claims AS accepted FROM (SELECT doc_id, contains(lower(text), 'license') AS has_notice, regexp_matches(lower(text), 'not (?:the )?original') AS negated, regexp_matches(regexp_replace(lower(text), 'not (?:the )?original', ' ', 'g'), 'official|original|authentic') AS claims FROM documents)",
+    "disclosure_copy": f"SELECT *, has_notice AND negated AND NOT claims AS accepted FROM (SELECT doc_id, regexp_matches(t, '{C.NOTICE}') AS has_notice, regexp_matches(t, '{C.NEGATION}') AS negated, regexp_matches(regexp_replace(t, '{C.NEGATION}', ' ', 'g'), '{C.CLAIM}') AS claims FROM (SELECT doc_id, lower({DISCLOSED}) AS t FROM documents))",
     "sanitize_pages": f"SELECT page_id, {', '.join(_SAN)}, {_h} AS html FROM pages",
     "sanitize_counts": duck_with("form_pages") + f"SELECT step, count(*) FILTER (n > 0) AS n_pages, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest([{', '.join(repr(x[0]) for x in C.SANITISE)}]) AS step, unnest([{', '.join('n_' + x[0] for x in C.SANITISE)}]) AS n FROM (SELECT {', '.join(_SAN)} FROM form_pages)) GROUP BY step",
     "tree_digest": duck_with("files") + "SELECT tree, count(*) AS n_files, CAST(sum(strlen(content)) AS BIGINT) AS n_bytes, sha256(string_agg(line, chr(0) ORDER BY line)) AS digest FROM (SELECT tree, content, path || chr(0) || mode || chr(0) || sha256(content) AS line FROM files) GROUP BY tree",
@@ -127,14 +130,14 @@ ORACLES = {
     "attempt_gates": _T + f"SELECT session, [{', '.join(repr(a + '-attempt') for a in L.ATTEMPTS)}][attempt + 1] AS code, count(*) AS n FROM telemetry GROUP BY ALL",
     "attribute_phase": _T + f"SELECT session, seq, phase FROM ({_PH})",
     "payload_equivalence": _T + f"SELECT session, count(*) FILTER (phase = 0) AS n_ui, count(*) FILTER (phase = 1) AS n_retry, coalesce(string_agg(kind || ':' || amount, '|' ORDER BY seq) FILTER (phase = 0), '') = coalesce(string_agg(kind || ':' || amount, '|' ORDER BY seq) FILTER (phase = 1), '') AS same FROM ({_PH}) WHERE phase IN (0, 1) GROUP BY session",
-    "layout_stability": _T + "SELECT session, count(*) AS n, count(DISTINCT resource_type) FILTER (rn <= 3) = 1 AS stable FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, seq DESC) AS rn FROM telemetry) WHERE rn <= 4 GROUP BY session",
+    "layout_stability": _T + "SELECT session, count(*) AS n, count(DISTINCT resource_type) FILTER (rn <= 3) = 1 AND count(*) = 4 AS stable FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, seq DESC) AS rn FROM telemetry) WHERE rn <= 4 GROUP BY session",
     "retain_events": _T + f"SELECT session, seq, kind, total, total > lim AS truncated FROM (SELECT *, CASE kind {' '.join(f'WHEN {k!r} THEN {v}' for k, v in L.LIMITS.items())} END AS lim, row_number() OVER (PARTITION BY session, kind ORDER BY ts, seq) AS rn, count(*) OVER (PARTITION BY session, kind) AS total FROM telemetry) WHERE rn <= lim",
     "interaction_gates": _T + "SELECT *, failures = '' AS passed FROM (SELECT *, concat_ws(',', CASE WHEN n_writes <> 2 THEN 'write_count' END, CASE WHEN n_keys <> 1 THEN 'key_count' END, CASE WHEN n_failed > 0 THEN 'blocked' END) AS failures FROM (SELECT session, count(*) FILTER (kind = 'write_attempt') AS n_writes, count(DISTINCT idem_key) FILTER (kind = 'write_attempt') AS n_keys, count(*) FILTER (kind = 'request_failed') AS n_failed FROM telemetry GROUP BY session))",
     "storage_delta": _T + ", a AS (SELECT session, list(DISTINCT resource_type) AS n, count(*) AS c FROM telemetry GROUP BY 1), b AS (SELECT session, list(DISTINCT resource_type) AS n, count(*) AS c FROM telemetry WHERE seq % 10 <> 0 GROUP BY 1) SELECT a.session, coalesce(array_to_string(list_sort(list_filter(a.n, lambda x: NOT list_contains(coalesce(b.n, []), x))), ','), '') AS added, a.c <> coalesce(b.c, 0) AS changed FROM a LEFT JOIN b USING (session)",
     "lifecycle_balance": _T + "SELECT session, started, finished, failed, coalesce(CAST(floor(epoch(l)) AS BIGINT) - CAST(floor(epoch(r)) AS BIGINT) >= 300, true) AS quiet, started = finished AND failed = 0 AS balanced FROM (SELECT session, count(*) FILTER (kind = 'request_started') AS started, count(*) FILTER (kind = 'request_finished') AS finished, count(*) FILTER (kind = 'request_failed') AS failed, max(ts) AS l, max(ts) FILTER (starts_with(kind, 'request')) AS r FROM telemetry GROUP BY session)",
     "quiescence": _T + "SELECT session, burst, count(*) AS n, min(ts) AS first, max(ts) AS last FROM (SELECT session, ts, CAST(sum(fresh) OVER (PARTITION BY session ORDER BY ts, seq) AS BIGINT) AS burst FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY session ORDER BY ts, seq)) <= 300000000 THEN 0 ELSE 1 END AS fresh FROM telemetry)) GROUP BY session, burst",
     "idempotent_receipts": _T + "SELECT session, sha256(idem_key) AS key_hash, count(*) AS attempts, first(seq ORDER BY ts, seq) AS receipt FROM telemetry WHERE kind = 'write_attempt' GROUP BY session, idem_key",
-    "persistence_pairs": _T + "SELECT a.session, a.seq, b.seq AS later, a.resource_type = b.resource_type AS same FROM telemetry a JOIN telemetry b ON a.session = b.session AND epoch_us(b.ts) - epoch_us(a.ts) BETWEEN 60000000 AND 1800000000",
+    "persistence_pairs": _T + ", t AS (SELECT *, sum((kind = 'write_attempt')::INT) OVER (PARTITION BY session ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS writes FROM telemetry) SELECT a.session, a.seq, b.seq AS later, a.resource_type = b.resource_type AS same FROM t a JOIN t b ON a.session = b.session AND a.writes = b.writes - (b.kind = 'write_attempt')::INT AND epoch_us(b.ts) - epoch_us(a.ts) BETWEEN 60000000 AND 1800000000",
     "stream_bounded_counters": _T + "SELECT session, kind, count(*) AS total, count(*) > 3 AS truncated FROM telemetry GROUP BY session, kind",
     "stream_receipts": _T + "SELECT DISTINCT session, sha256(idem_key) AS key_hash FROM telemetry WHERE kind = 'write_attempt'",
 }

@@ -114,7 +114,7 @@ def test_credential_urls(spark, url, issue):
     assert [r.issue for r in got] == ([issue] if issue else [])
 
 
-@pytest.mark.parametrize("host,private", [("10.0.0.1", True), ("172.32.0.1", False), ("172.31.255.255", True), ("8.8.8.8", False), ("[::1]", True), ("[fd00::1]", True), ("printer", True), ("a.internal", True), ("example.com", False), ("999.1.1.1", False)])
+@pytest.mark.parametrize("host,private", [("10.0.0.1", True), ("172.32.0.1", False), ("172.31.255.255", True), ("8.8.8.8", False), ("[::1]", True), ("[fd00::1]", True), ("printer", True), ("a.internal", True), ("example.com", False), ("999.1.1.1", False), ("192.88.99.1", True), ("x.onion", True), ("home.arpa", True), ("a.test", False), ("[2606:4700::1111]", False), ("[2606:4700:0:0:0:0:0:1111]:8080", False), ("[::ffff:10.0.0.1]", True), ("[::ffff:808:808]", False), ("[::ffff:c0a8:101]", True), ("[64:ff9b::1]", True), ("[100::5]", True), ("[100:0:0:1::5]", False), ("[2001:1ff::1]", True), ("[2001:200::1]", False), ("[2001:db8::1]", True), ("[2002::1]", True), ("[fec0::1]", True), ("[febf::1]", True), ("[fe00::1]", False), ("[ff02::1]", True), ("[::]", True), ("[fe80::1%25eth0]", True), ("a.corp.", True)])
 def test_private_destinations(spark, host, private):
     df = spark.createDataFrame([(1, f"http://{host}/x")], "page_id long, url string")
     assert (urls.private_destinations(df).count() == 1) is private
@@ -177,3 +177,11 @@ def test_tree_scan_and_policy(spark, tmp_path):
 
     with pytest.raises(PySparkException):
         readers.load_summaries(spark, str(tmp_path / "s.json"), "results array<struct<a:int>>").collect()
+
+
+def test_strict_policies(spark):
+    base = "script-src 'self'; connect-src 'none'; form-action 'self'; object-src 'none'; frame-ancestors 'none'"
+    cases = [(base, True), (base + "; script-src-elem 'self'", True), (base + "; script-src-attr https:", False), (base + "; object-src 'none'", False), (base.replace("object-src 'none'", "object-src 'self'"), False), ("default-src 'none'", False), ("default-src *, " + base, True), ("", False)]
+    rows = [(i, csp, "DENY", False) for i, (csp, _) in enumerate(cases)]
+    got = {r.page_id: r.strict for r in urls.security_headers(spark.createDataFrame(rows, "page_id long, csp string, frame_options string, has_refresh boolean")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
