@@ -18,6 +18,8 @@ from .fixtures import duck_with, spark_rows as rows
 def shared_path(s, name):
     root = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.sparkContext.getCheckpointDir()
     if not root:
+        if not s.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="pagegauge-")
