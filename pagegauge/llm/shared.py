@@ -25,6 +25,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="pagegauge-")
