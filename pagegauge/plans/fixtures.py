@@ -79,8 +79,19 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
         CASE o_orderkey % 4 WHEN 0 THEN 'desktop' WHEN 1 THEN 'tablet' WHEN 2 THEN 'mobile' ELSE 'narrow' END AS viewport,
         CASE WHEN o_orderstatus <> 'F' THEN 1.0e0 ELSE 0.0e0 END AS v1, cast(o_orderkey % 5 AS double) AS v2, cast(floor(o_totalprice) AS bigint) % 1000 / 1000.0e0 AS v3,
         cast(floor(o_totalprice) AS bigint) % 700 / 1000.0e0 AS v4, cast(floor(o_totalprice) AS bigint) % 300 / 1000.0e0 AS v5 FROM {orders}""",
-    "gate_defaults": "SELECT gate, cast(lim AS double) AS lim FROM (VALUES ('tolerant', 0.15), ('strict', 2.0), ('unapproved', 0.0), ('blocked', 0.0)) AS t(gate, lim)",
-    "gate_policy": "SELECT viewport, gate, cast(lim AS double) AS lim FROM (VALUES (cast(NULL AS string), 'strict', 1.5), ('mobile', 'tolerant', 0.4), ('narrow', 'unapproved', 2.0)) AS t(viewport, gate, lim)",
+    "score_metrics": """SELECT series, seq, run_id, viewport, CASE WHEN run_id % 101 = 0 THEN cast(NULL AS double) ELSE v3 END AS tolerant, v4 * 3 AS strict, cast(v2 AS bigint) AS unapproved,
+        CASE WHEN run_id % 61 = 0 THEN cast(NULL AS bigint) ELSE cast(run_id % 59 % 2 * (run_id % 7 % 2) * (run_id % 3 % 2) AS bigint) END AS baseline_tampering,
+        CASE WHEN run_id % 53 = 0 THEN cast(2 AS bigint) ELSE cast(0 AS bigint) END AS candidate_tampering,
+        CASE WHEN run_id % 47 = 0 THEN cast(NULL AS boolean) ELSE run_id % 13 <> 0 END AS dimensions_match, run_id % 17 <> 0 AS stable,
+        cast(CASE WHEN run_id % 19 = 0 THEN 40 ELSE 0 END AS bigint) AS masked_pixels, cast(CASE WHEN run_id % 23 = 0 THEN 1 ELSE 0 END AS bigint) AS critical_failures,
+        cast(CASE WHEN run_id % 29 = 0 THEN 3 ELSE 0 END AS bigint) AS page_errors, CASE WHEN run_id % 31 = 0 THEN cast(2 AS bigint) WHEN run_id % 37 = 0 THEN cast(NULL AS bigint) ELSE cast(0 AS bigint) END AS console_errors,
+        cast(v1 AS bigint) AS blocked_writes, cast(CASE WHEN run_id % 41 = 0 THEN 1 ELSE 0 END AS bigint) AS blocked_private_reads,
+        cast(v2 AS bigint) + 2 AS reported, cast(v2 AS bigint) + CASE WHEN run_id % 43 = 0 THEN 1 ELSE 2 END AS retained FROM {iterations}""",
+    "gate_policy": """SELECT viewport, gate, cast(lim AS double) AS lim FROM (VALUES (cast(NULL AS string), 'strict', 1.5), ('mobile', 'tolerant', 0.4), ('narrow', 'unapproved', 2.0),
+        ('tablet', 'require_dimensions', 0.0), ('desktop', 'require_stable', 0.0), (cast(NULL AS string), 'console_errors', 2.0)) AS t(viewport, gate, lim)""",
+    "gate_override": "SELECT gate, cast(lim AS double) AS lim FROM (VALUES ('strict', 1.8)) AS t(gate, lim)",
+    "run_parts": """SELECT series, run_id, CASE seq % 7 WHEN 1 THEN 'source_self' WHEN 2 THEN 'candidate_self' WHEN 3 THEN 'source_candidate' WHEN 4 THEN 'integrity' WHEN 5 THEN 'interaction' WHEN 6 THEN 'command' ELSE 'source_candidate' END AS part,
+        CASE run_id % 3 WHEN 0 THEN 'SUBMISSION_COUNT' WHEN 1 THEN 'RETRY_COUNT' ELSE 'receipt_missing' END AS failure, run_id % 4 <> 0 AS passed FROM {iterations}""",
     "nodes": """SELECT p_partkey AS node, CASE WHEN p_partkey >= 4 THEN cast(floor(p_partkey / 4) AS bigint) END AS parent, p_size % 25 = 0 AS hidden,
         CASE p_partkey % 3 WHEN 0 THEN 1.0e0 WHEN 1 THEN 0.5e0 ELSE 0.25e0 END AS opacity, cast(p_size AS int) AS clip_from, cast(p_size + 30 + p_partkey % 40 AS int) AS clip_to,
         cast(p_partkey * 7 % 256 AS int) AS fr, cast(p_partkey * 13 % 256 AS int) AS fg, cast(p_size * 5 % 256 AS int) AS fb, cast(p_size * 11 % 256 AS int) AS br, cast(p_partkey * 3 % 256 AS int) AS bg, cast(p_partkey % 256 AS int) AS bb,

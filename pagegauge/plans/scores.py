@@ -11,14 +11,21 @@ from ..operators import raster as R
 from .fixtures import duck_with, spark_rows as rows
 
 
-def metrics(s, d):
-    return rows(s, d, "iterations").select("series", "seq", "run_id", "viewport", F.col("v3").alias("tolerant"), (F.col("v4") * 3).alias("strict"), F.col("v2").alias("unapproved"), F.col("v1").alias("blocked"))
+def limits(s, d):
+    return G.resolve_gates(rows(s, d, "score_metrics"), rows(s, d, "gate_policy"), rows(s, d, "gate_override"))
 
 
 def scores(s, d):
-    m = metrics(s, d)
-    gates = G.resolve_gates(m, rows(s, d, "gate_defaults"), rows(s, d, "gate_policy"))
-    return G.evaluate_gates(m, gates).join(m.select("run_id", "series"), "run_id")
+    return G.evaluate_gates(rows(s, d, "score_metrics"), limits(s, d), ("series", "run_id"))
+
+
+def parts(s, d):
+    """Parts of the runs of a series: page comparisons as scored, the others with a failure of their own."""
+    score = scores(s, d).select("run_id", F.col("passed").alias("scored"), "failures")
+    out = rows(s, d, "run_parts").join(score, "run_id")
+    compared = F.col("part").isin("source_self", "candidate_self", "source_candidate")
+    own = F.when(F.col("passed"), F.array().cast("array<string>")).otherwise(F.array("failure"))
+    return out.select("series", "part", F.when(compared, F.col("scored")).otherwise(F.col("passed")).alias("passed"), F.when(compared, F.col("failures")).otherwise(own).alias("failures"))
 
 
 def pairs(s, d):
@@ -38,11 +45,11 @@ def tree(s, d):
 
 
 QUERIES = {
-    "resolve_gates": lambda s, d: G.resolve_gates(metrics(s, d), rows(s, d, "gate_defaults"), rows(s, d, "gate_policy")),
+    "resolve_gates": limits,
     "evaluate_gates": lambda s, d: scores(s, d).select("run_id", "viewport", "passed", joined("failures").alias("failures")),
-    "run_failure_codes": lambda s, d: G.run_failure_codes(scores(s, d), "series").withColumn("codes", joined("codes")),
-    "case_result": lambda s, d: G.case_result(scores(s, d), "series"),
-    "promotion_stage": lambda s, d: G.promotion_stage(metrics(s, d), "series"),
+    "run_failure_codes": lambda s, d: G.run_failure_codes(parts(s, d), "series").withColumn("codes", joined("codes")),
+    "case_result": lambda s, d: G.case_result(parts(s, d), "series"),
+    "promotion_stage": lambda s, d: G.promotion_stage(rows(s, d, "score_metrics"), "series"),
     "iteration_ledger": lambda s, d: G.iteration_ledger(rows(s, d, "iterations")),
     "ledger_admit": lambda s, d: G.ledger_admit(rows(s, d, "iterations").select("series", "seq", "viewport"), rows(s, d, "iterations").where("run_id % 3 = 0").select("series"), "series"),
     "bind_cases": lambda s, d: G.bind_cases(rows(s, d, "iterations").select("run_id", "series", "viewport"), rows(s, d, "iterations").where("seq <= 1 or run_id % 50 = 0").select("series", "viewport")),
@@ -67,10 +74,34 @@ QUERIES = {
     "css_closure": lambda s, d: M.css_closure(tree(s, d), rows(s, d, "nodes").where("node % 50 = 1").select("node")),
 }
 
-_M = duck_with("iterations", "gate_defaults", "gate_policy") + """, m AS (SELECT series, seq, run_id, viewport, v3 AS tolerant, v4 * 3 AS strict, v2 AS unapproved, v1 AS blocked FROM iterations),
-  g AS (SELECT v.viewport, d.gate, coalesce(o.lim, b.lim, d.lim) AS lim FROM (SELECT DISTINCT viewport FROM m) v, gate_defaults d LEFT JOIN gate_policy b ON b.viewport IS NULL AND b.gate = d.gate LEFT JOIN gate_policy o ON o.viewport = v.viewport AND o.gate = d.gate),
-  sc AS (SELECT *, failures = '' AS passed FROM (SELECT m.series, m.run_id, m.viewport, concat_ws(',', CASE WHEN tolerant > a.lim THEN 'tolerant-diff' END, CASE WHEN strict > b.lim THEN 'strict-diff' END, CASE WHEN unapproved > c.lim THEN 'unapproved-mismatch' END, CASE WHEN blocked > e.lim THEN 'blocked-requests' END) AS failures
-    FROM m JOIN g a ON a.viewport = m.viewport AND a.gate = 'tolerant' JOIN g b ON b.viewport = m.viewport AND b.gate = 'strict' JOIN g c ON c.viewport = m.viewport AND c.gate = 'unapproved' JOIN g e ON e.viewport = m.viewport AND e.gate = 'blocked'))"""
+_DEFAULTS = ", ".join(f"('{g}', {x})" for g, x in G.GATES.items())
+_M = duck_with("score_metrics", "gate_policy", "gate_override", "run_parts") + f""", m AS (SELECT * FROM score_metrics),
+  g AS (SELECT v.viewport, d.gate, CAST(coalesce(f.lim, o.lim, b.lim, d.lim) AS DOUBLE) AS lim FROM (SELECT DISTINCT viewport FROM m) v CROSS JOIN (VALUES {_DEFAULTS}) AS d(gate, lim) LEFT JOIN gate_override f ON f.gate = d.gate
+    LEFT JOIN gate_policy b ON b.viewport IS NULL AND b.gate = d.gate LEFT JOIN gate_policy o ON o.viewport = v.viewport AND o.gate = d.gate),
+  l AS (PIVOT g ON gate IN ({", ".join(f"'{g}'" for g in G.GATES)}) USING first(lim) GROUP BY viewport),
+  sc AS (SELECT *, failures = '' AS passed FROM (SELECT m.series, m.run_id, m.viewport, concat_ws(',',
+    CASE WHEN coalesce(baseline_tampering, 1) <> 0 THEN 'BASELINE_CAPTURE_API_TAMPERING' END,
+    CASE WHEN coalesce(candidate_tampering, 1) <> 0 THEN 'CANDIDATE_CAPTURE_API_TAMPERING' END,
+    CASE WHEN l.require_dimensions <> 0 AND NOT coalesce(dimensions_match, false) THEN 'DIMENSIONS' END,
+    CASE WHEN m.tolerant IS NULL OR m.tolerant > l.tolerant THEN 'PIXEL_TOLERANT' END,
+    CASE WHEN m.strict IS NULL OR m.strict > l.strict THEN 'PIXEL_STRICT' END,
+    CASE WHEN l.require_stable <> 0 AND NOT coalesce(stable, false) THEN 'CANDIDATE_UNSTABLE' END,
+    CASE WHEN m.masked_pixels > l.masked_pixels THEN 'MASKED_PIXELS' END,
+    CASE WHEN m.critical_failures > l.critical_failures THEN 'CANDIDATE_CRITICAL_RESOURCE' END,
+    CASE WHEN m.page_errors > l.page_errors THEN 'CANDIDATE_PAGE_ERROR' END,
+    CASE WHEN m.console_errors > l.console_errors THEN 'CANDIDATE_CONSOLE_ERROR' END,
+    CASE WHEN m.blocked_writes > l.blocked_writes THEN 'CANDIDATE_BLOCKED_WRITE_ATTEMPT' END,
+    CASE WHEN m.blocked_private_reads > l.blocked_private_reads THEN 'CANDIDATE_BLOCKED_PRIVATE_READ_ATTEMPT' END,
+    CASE WHEN m.unapproved > l.unapproved THEN 'SEMANTIC_UNAPPROVED' END,
+    CASE WHEN retained <> reported THEN 'SEMANTIC_DETAILS_TRUNCATED' END) AS failures FROM m JOIN l ON l.viewport = m.viewport)),
+  pt AS (SELECT r.series, r.part, CASE WHEN compared THEN sc.passed ELSE r.passed END AS passed, CASE WHEN compared THEN failures WHEN r.passed THEN '' ELSE r.failure END AS failures
+    FROM (SELECT *, part IN ('source_self', 'candidate_self', 'source_candidate') AS compared FROM run_parts) r JOIN sc USING (run_id)),
+  ok AS (SELECT series, {", ".join(f"coalesce(bool_and(passed) FILTER (part = '{p}'), false) AS {p}" for p in G.PARTS)}, coalesce(bool_and(passed) FILTER (part = 'command'), true) AS command FROM pt GROUP BY series),
+  rc AS (SELECT series, CASE WHEN f = '' THEN NULL WHEN f = 'DIMENSIONS' THEN 'GEOMETRY' WHEN f LIKE 'PIXEL%' THEN 'CONTENT' WHEN f LIKE 'SEMANTIC%' THEN 'SEMANTICS' WHEN f = 'CANDIDATE_CRITICAL_RESOURCE' THEN 'ASSETS'
+      WHEN f = 'CANDIDATE_UNSTABLE' THEN 'CAPTURE' ELSE 'TOOLING' END AS code FROM (SELECT series, unnest(string_split(failures, ',')) AS f FROM pt WHERE part = 'source_candidate')
+    UNION ALL SELECT series, 'BACKEND' FROM pt WHERE part = 'interaction' AND NOT passed AND regexp_matches(upper(failures), 'SUBMISSION|RECEIPT|EMAIL|BACKEND|LOCAL')
+    UNION ALL SELECT series, CASE WHEN NOT command THEN 'TOOLING' END FROM ok {"".join(f" UNION ALL SELECT series, CASE WHEN NOT {p} THEN '{c}' END FROM ok" for p, c in G.PARTS.items() if c)})"""
+_PASS = " AND ".join([*G.PARTS, "command"])
 _P = duck_with("raster_base", "raster_cand") + """, p AS (SELECT coalesce(b.raster, c.raster) AS raster, coalesce(b.y, c.y) AS y, coalesce(b.x, c.x) AS x, b.raster IS NULL OR c.raster IS NULL AS padded,
   coalesce(b.r, 1) AS br, coalesce(b.g, 2) AS bg, coalesce(b.b, 3) AS bb, coalesce(c.r, 1) AS cr, coalesce(c.g, 2) AS cg, coalesce(c.b, 3) AS cb FROM raster_base b FULL OUTER JOIN raster_cand c ON b.raster = c.raster AND b.y = c.y AND b.x = c.x),
   q AS (SELECT *, br <> cr OR bg <> cg OR bb <> cb AS changed FROM p)"""
@@ -89,10 +120,8 @@ def _sweep(src: str) -> str:
 ORACLES = {
     "resolve_gates": _M + " SELECT * FROM g",
     "evaluate_gates": _M + " SELECT run_id, viewport, passed, failures FROM sc",
-    "run_failure_codes": _M + """ SELECT series, coalesce(array_to_string(list_sort(list(DISTINCT CASE f WHEN 'tolerant-diff' THEN 'visual' WHEN 'strict-diff' THEN 'visual' WHEN 'unapproved-mismatch' THEN 'semantic' WHEN 'blocked-requests' THEN 'network' END) FILTER (f <> '')), ','), '') AS codes, bool_and(passed) AS passed
-      FROM (SELECT series, passed, unnest(string_split(failures, ',')) AS f FROM sc) GROUP BY series""",
-    "case_result": _M + """ SELECT *, desktop AND tablet AND mobile AND narrow AS accepted FROM (SELECT series, coalesce(bool_and(passed) FILTER (viewport = 'desktop'), false) AS desktop, coalesce(bool_and(passed) FILTER (viewport = 'tablet'), false) AS tablet,
-      coalesce(bool_and(passed) FILTER (viewport = 'mobile'), false) AS mobile, coalesce(bool_and(passed) FILTER (viewport = 'narrow'), false) AS narrow FROM sc GROUP BY series)""",
+    "run_failure_codes": _M + f""" SELECT series, codes, {_PASS} AS passed FROM ok JOIN (SELECT series, coalesce(array_to_string(list_sort(list(DISTINCT code) FILTER (code IS NOT NULL)), ','), '') AS codes FROM rc GROUP BY series) USING (series)""",
+    "case_result": _M + f" SELECT * EXCLUDE (command), {_PASS} AS accepted FROM ok",
     "promotion_stage": _M + " SELECT series, max(tolerant) AS worst, CASE WHEN max(tolerant) <= 0 THEN 'pixel_perfect' WHEN max(tolerant) <= 0.15 THEN 'near_exact' WHEN max(tolerant) <= 0.5 THEN 'typography' WHEN max(tolerant) <= 2 THEN 'geometry' WHEN max(tolerant) <= 5 THEN 'runnable' ELSE 'none' END AS stage FROM m GROUP BY series",
     "iteration_ledger": duck_with("iterations") + """, v AS (SELECT series, seq, [round(v1, 12), round(v2, 12), round(v3, 12), round(v4, 12), round(v5, 12)] AS v FROM iterations), b AS (SELECT a.series, a.seq, a.v, (SELECT min((o.v, o.seq)) FROM v o WHERE o.series = a.series AND o.seq < a.seq) AS best FROM v a)
       SELECT series, seq, CASE WHEN best IS NULL OR v < best[1] THEN seq ELSE best[2] END AS best_seq, best IS NULL OR v < best[1] AS is_best, best IS NOT NULL AND v > best[1] AS regressed FROM b""",
@@ -105,7 +134,7 @@ ORACLES = {
     "merge_bands": _P + " " + _BANDS,
     "top_bands": _P + f" SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY raster, axis ORDER BY pixels DESC, start) AS INTEGER) AS rank FROM ({_BANDS})) WHERE rank <= 30",
     "bands_to_elements": _P.replace("WITH RECURSIVE ", duck_with("rects") + ", ", 1) + f""" SELECT raster, axis, start, "end", n, area, rank FROM (SELECT b.*, e.n, e.w * e.h AS area, CAST(row_number() OVER (PARTITION BY b.raster, b.axis, b.start ORDER BY e.w * e.h, e.n) AS INTEGER) AS rank FROM ({_BANDS}) b
-      JOIN (SELECT page_id % 10 AS raster, page_id * 100 + n AS n, x % 64 AS x, y % 64 AS y, least(w % 20 + 1, 64) AS w, least(h % 20 + 1, 64) AS h FROM rects WHERE page_id % 97 = 0 OR page_id < 200) e
+      JOIN (SELECT page_id % 10 AS raster, page_id * 100 + n AS n, x % 64 AS x, y % 64 AS y, least(w % 20 + 1, 64) AS w, least(h % 20 + 1, 64) AS h FROM rects) e
       ON e.raster = b.raster AND CASE WHEN b.axis = 'row' THEN e.y ELSE e.x END <= b."end" AND CASE WHEN b.axis = 'row' THEN e.y + e.h - 1 ELSE e.x + e.w - 1 END >= b.start) WHERE rank <= 8""",
     "union_area": duck_with("rects") + f"SELECT page_id, area, area / 2000000.0::DOUBLE AS coverage, area / 2000000.0::DOUBLE >= 0.8 AS alarm FROM ({_sweep('rects')})",
     "grid_coverage": duck_with("rects") + f", c AS (SELECT page_id, x0 AS x, y0 AS y, least(256, x1) - x0 AS w, least(256, y1) - y0 AS h FROM (SELECT page_id, CAST(floor(x * 256 / 1000) AS BIGINT) AS x0, CAST(floor(y * 256 / 2000) AS BIGINT) AS y0, CAST(ceil((x + w) * 256 / 1000) AS BIGINT) AS x1, CAST(ceil((y + h) * 256 / 2000) AS BIGINT) AS y1 FROM rects)) SELECT page_id, area AS n_cells, area / 65536.0::DOUBLE AS coverage FROM ({_sweep('c')})",
