@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,17 +24,57 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "MIT-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "proprietary": "All rights reserved.",
 }
 THRESHOLD = 0.8
 WORDS = r"[\p{L}\p{Nd}]+"
 
 
+def template_words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
+
+
 def template_bigrams(text: str) -> list[str]:
-    words = re.findall(r"[^\W_]+", text.lower())
+    words = template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def best_window(templates: dict[str, str], threshold: float) -> Callable[[str], tuple[str, float, int] | None]:
+    """Finder of the best (name, dice, place) among a text's windows: a window begins at word ``place``, with a bigram
+    of the template, and has as many words as the template, or those up to the end of the text. Equal coefficients:
+    the lowest place, then the first name. Windows with fewer template bigrams than the size bound asks for aren't
+    compared."""
+    known = {n: (len(w) - 1, frozenset(template_bigrams(v))) for n, v in sorted(templates.items()) if len(w := template_words(v)) > 1}
+    owners: dict[str, list[str]] = {}
+    for name, (_, grams) in known.items():
+        for g in grams:
+            owners.setdefault(g, []).append(name)
+    word = regex.compile(WORDS)
+
+    def find(text: str) -> tuple[str, float, int] | None:
+        words = word.findall(text)
+        grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        starts: dict[str, list[int]] = {}
+        for i, g in enumerate(grams):
+            for name in owners.get(g, ()):
+                starts.setdefault(name, []).append(i)
+        best = None
+        for name in sorted(starts):
+            length, own = known[name]
+            at = np.asarray(starts[name])
+            inside = np.searchsorted(at, at + length) - np.arange(len(at))
+            for i in at[inside >= len(own) * threshold / (2 - threshold)].tolist():
+                seen = set(grams[i : i + length])
+                dice = 2.0 * len(seen & own) / (len(seen) + len(own))
+                if dice >= threshold and (best is None or (-dice, i) < (-best[1], best[2])):
+                    best = (name, dice, i)
+        return best
+
+    return find
+
+
 def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(words, i + 1))))
 
@@ -38,12 +82,15 @@ def _bigrams(words: Column) -> Column:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_passages, license, dice, passage) for every row of ``docs(doc_id, text)``; no shuffle.
 
-    Passages are the \\n-split lines (numbered from 0) and, for texts of several lines, the whole text (-1). A passage
+    Passages are the \\n-split lines (numbered from 0) and, for texts of several lines, the whole text (-1). Where none
+    matches, windows of the whole text's words, across lines, are compared (-3): notices wrapped over lines of a longer
+    file or within a line of prose; see ``best_window``. A passage
     matches a template when twice their common distinct word bigrams reach ``threshold`` times the sum of their
     numbers. Templates whose number of bigrams rules that out are left out first, and passages that no template can
     match aren't compared. n_passages counts matching passages; the best match has the highest coefficient, then the
-    lowest passage, then the first name; without one, license is null, dice 0 and passage -2. Null and empty texts have
-    no bigrams and match nothing.
+    lowest passage, then the first name; without one, license is null, dice 0 and passage -2. n_passages counts lines
+    and whole texts only. Null and empty texts have no bigrams and match nothing; ids aren't looked at, so null and
+    repeated ones keep a row each, and other columns are left out.
     """
     templates = TEMPLATES if templates is None else templates
     sets = {k: b for k, v in sorted(templates.items()) if (b := template_bigrams(v))}
@@ -70,9 +117,19 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     split = lambda t: F.regexp_extract_all(t, F.lit(WORDS), F.lit(0))
     by_line = F.transform(F.split(text, "\n"), lambda x, i: let(split(x), lambda w: of(i, w)))
     whole = F.when(text.contains("\n"), let(split(text), lambda w: of(F.lit(-1), w)))
-    row = docs.select("doc_id", F.array_compact(F.concat(by_line, F.array(whole))).alias("hits"))
-    row = row.select("doc_id", F.size("hits").alias("n_passages"), F.array_max("hits").alias("best"))
-    return row.select("doc_id", "n_passages", F.col("best.name").alias("license"), F.coalesce("best.dice", F.lit(0.0)).alias("dice"), F.coalesce(-F.col("best.place"), F.lit(-2)).alias("passage"))
+
+    @F.pandas_udf("name string, dice double, place int")
+    def windows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        find = best_window(templates, threshold)
+        for batch in batches:
+            found = [(find(x) if x else None) or (None, None, None) for x in batch]
+            yield pd.DataFrame({"name": [f[0] for f in found], "dice": pd.Series([f[1] for f in found], dtype="float64"), "place": pd.Series([f[2] for f in found], dtype="Int32")})
+
+    row = docs.select("doc_id", text.alias("t"), F.array_compact(F.concat(by_line, F.array(whole))).alias("hits"))
+    row = row.select("doc_id", F.size("hits").alias("n_passages"), F.array_max("hits").alias("best"), F.when(F.size("hits") == 0, F.col("t")).alias("t"))
+    row = row.withColumn("window", windows("t"))
+    place = F.when(F.col("best").isNotNull(), -F.col("best.place")).when(F.col("window.name").isNotNull(), -3).otherwise(-2)
+    return row.select("doc_id", "n_passages", F.coalesce("best.name", "window.name").alias("license"), F.coalesce("best.dice", "window.dice", F.lit(0.0)).alias("dice"), place.alias("passage"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,12 +140,12 @@ def _sql_values() -> str:
     rows = []
     for i, (name, text) in enumerate(sorted(TEMPLATES.items())):
         grams = ", ".join(f"'{b}'" for b in template_bigrams(text))
-        rows.append(f"({i}, '{name}', [{grams}])")
+        rows.append(f"({i}, '{name}', [{grams}], {len(template_words(text)) - 1})")
     return ", ".join(rows)
 
 
 ORACLE = rf"""
-WITH t(rank, name, b) AS (VALUES {_sql_values()}),
+WITH t(rank, name, b, n) AS (VALUES {_sql_values()}),
 p AS (
   SELECT rid, unnest(l) AS x, unnest(range(len(l))) AS place FROM (SELECT rid, string_split(t, chr(10)) AS l FROM (SELECT row_number() OVER () AS rid, lower(coalesce(text, '')) AS t FROM documents))
   UNION ALL SELECT row_number() OVER () AS rid, lower(coalesce(text, '')), -1 FROM documents
@@ -102,7 +159,15 @@ p AS (
 ), best AS (
   SELECT rid, count(DISTINCT place) AS n, first(name ORDER BY dice DESC, place, rank) AS name, max(dice) AS dice, first(place ORDER BY dice DESC, place, rank) AS place
   FROM m WHERE dice >= {THRESHOLD} GROUP BY rid
+), s AS (
+  SELECT rid, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM (SELECT row_number() OVER () AS rid, regexp_extract_all(lower(coalesce(text, '')), '{WORDS}') AS w FROM documents) WHERE len(w) > 1
+), h AS (
+  SELECT DISTINCT rid, i, rank FROM (SELECT rid, unnest(g) AS x, unnest(range(1, len(g) + 1)) AS i FROM s WHERE rid NOT IN (SELECT rid FROM best)) JOIN (SELECT rank, unnest(b) AS x FROM t) USING (x)
+), v AS (
+  SELECT rid, i, rank, name, b, list_distinct(g[i:i + n - 1]) AS g FROM h JOIN s USING (rid) JOIN t USING (rank)
+), wb AS (
+  SELECT rid, first(name ORDER BY d DESC, i, rank) AS wname, max(d) AS wdice FROM (SELECT *, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS d FROM v) WHERE d >= {THRESHOLD} GROUP BY rid
 )
-SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_passages, name AS license, coalesce(dice, 0) AS dice, CAST(coalesce(place, -2) AS INTEGER) AS passage
-FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) LEFT JOIN best USING (rid)
+SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_passages, coalesce(name, wname) AS license, coalesce(dice, wdice, 0) AS dice, CAST(CASE WHEN n IS NOT NULL THEN place WHEN wname IS NOT NULL THEN -3 ELSE -2 END AS INTEGER) AS passage
+FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) LEFT JOIN best USING (rid) LEFT JOIN wb USING (rid)
 """

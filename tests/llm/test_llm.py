@@ -240,6 +240,40 @@ def test_licences(spark):
     assert got == {1: (1, "MIT", 1), 2: (0, None, -2), 3: (0, None, -2), 4: (1, "Apache-2.0", 0), 5: (2, "proprietary", 2)}
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    full = op3.TEMPLATES["MIT-full"]
+    wrapped = "# module\n" + "\n".join("# " + x for x in textwrap.wrap(full, 50)) + "\n" + "import os\nprint(os.name)\n" * 300
+    prose = "The tool of that name is free. It was Released under the MIT License. Its manual isn't, and nobody knows why."
+    rows = [(1, wrapped), (2, prose), (3, "released for the many and under no license " * 400), (4, ""), (None, wrapped), (None, wrapped.replace("Permission", "Leave"))]
+    rows += [(5, "word " * 100_000 + op3.TEMPLATES["ISC"]), (6, "All rights\nreserved by nobody in particular, as the whole of this text tells")]
+    got = sorted((r.doc_id or 0, r.license, r.passage) for r in op3.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[:2] == [(0, "MIT-full", -3), (0, "MIT-full", -3)]
+    assert got[2:] == [(1, "MIT-full", -3), (2, "MIT", -3), (3, None, -2), (4, None, -2), (5, "ISC", -3), (6, "proprietary", -3)]
+
+
+def test_windows_by_brute_force():
+    import random
+
+    rng = random.Random(5)
+    templates = {"a": "x y z w v u", "b": "x y x y q", "c": "z w"}
+    find = op3.best_window(templates, 0.8)
+    for _ in range(400):
+        words = [rng.choice("xyzwvuqr") for _ in range(rng.randrange(0, 25))]
+        grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        best = None
+        for name, text in sorted(templates.items()):
+            own = set(op3.template_bigrams(text))
+            for i, g in enumerate(grams):
+                seen = set(grams[i : i + len(text.split()) - 1])
+                dice = 2 * len(seen & own) / (len(seen) + len(own))
+                if g in own and dice >= 0.8:
+                    key = (-dice, i, name)
+                    best = min(best, key) if best else key
+        assert find(" ".join(words)) == (best and (best[2], -best[0], best[1]))
+
+
 def test_lookup_table():
     shards = [f"n{i}" for i in range(7)]
     a = op4.lookup_table(shards, 1009)
