@@ -244,10 +244,10 @@ def test_wrapped_licences(spark):
     import textwrap
 
     full = op3.TEMPLATES["MIT-full"]
-    wrapped = "# module\n" + "\n".join("# " + x for x in textwrap.wrap(full, 50)) + "\n" + "import os\nprint(os.name)\n" * 300
+    wrapped = "# module\n" + "\n".join("# " + x for x in textwrap.wrap(full, 50)) + "".join(f"\nx{i} = y{i}" for i in range(300))
     prose = "The tool of that name is free. It was Released under the MIT License. Its manual isn't, and nobody knows why."
     rows = [(1, wrapped), (2, prose), (3, "released for the many and under no license " * 400), (4, ""), (None, wrapped), (None, wrapped.replace("Permission", "Leave"))]
-    rows += [(5, "word " * 100_000 + op3.TEMPLATES["ISC"]), (6, "All rights\nreserved by nobody in particular, as the whole of this text tells")]
+    rows += [(5, " ".join(f"w{i}" for i in range(100_000)) + " " + op3.TEMPLATES["ISC"]), (6, "All rights\nreserved by nobody in particular, as the whole of this text tells")]
     got = sorted((r.doc_id or 0, r.license, r.passage) for r in op3.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got[:2] == [(0, "MIT-full", -3), (0, "MIT-full", -3)]
     assert got[2:] == [(1, "MIT-full", -3), (2, "MIT", -3), (3, None, -2), (4, None, -2), (5, "ISC", -3), (6, "proprietary", -3)]
