@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import origin, path, squeeze
 
-LINK = '<a href="([^"]*)">([^<]*)</a>'
 CSS_URL = "url[(] *[\"']?([^\"')]+)[\"']? *[)]"
 CSS_IMPORT = "@import +[\"']([^\"']+)[\"']"
 CSS_SET = "image-set[(] *[\"']([^\"']+)[\"']"
@@ -22,10 +22,145 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+LINKS = "page_id long, viewport string, ordinal long, href string, url string, text string, aria_label string, target string, rel string"
+INVENTORY = (
+    "forms", "unsafe_forms", "navigable_links", "external_links", "unsafe_links", "scripts", "inline_scripts", "external_scripts", "stylesheet_links", "external_stylesheets",
+    "base_elements", "iframes", "embedded_objects", "disclosures", "meta_refreshes", "svg_elements", "svg_external_resources",
+)
+#: What a safe form may use.
+FORM_PATH, FORM_TYPES = "/api/applications", ("application/x-www-form-urlencoded", "multipart/form-data")
+
+
+def site(url: str) -> tuple[str, str, int | None] | None:
+    """(scheme, host, port) of a URL of any scheme, default ports left out; null if it is malformed."""
+    try:
+        u = urlsplit(url.strip())
+        port = u.port
+    except ValueError:
+        return None
+    if u.scheme in ("http", "https") and not u.hostname:
+        return None
+    return u.scheme, u.hostname or "", None if (u.scheme, port) in (("http", 80), ("https", 443)) else port
+
+
+def target_class(raw: str | None, page: str) -> str:
+    """same_origin, external, or unsafe (malformed, with credentials, no http) of an address seen from its page."""
+    try:
+        url = urljoin(page, (raw or "").strip())
+        u = urlsplit(url)
+    except ValueError:
+        return "unsafe"
+    own = site(url)
+    if own is None or own[0] not in ("http", "https") or u.username or u.password:
+        return "unsafe"
+    return "same_origin" if own == site(page) else "external"
+
+
+class _Links(HTMLParser):
+    """One pass over a page: its anchors with their text, and the counts of its structural inventory."""
+
+    def __init__(self, page: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.page = self.base = page
+        self.based = False
+        self.links: list[dict] = []
+        self.open: dict | None = None
+        self.raw: str | None = None
+        self.n = dict.fromkeys(INVENTORY, 0)
+
+    def resolved(self, href: str) -> str | None:
+        try:
+            return urljoin(self.base, href.strip())
+        except ValueError:
+            return None
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        a: dict[str, str] = {}
+        for k, v in attrs:
+            a.setdefault(k, v or "")
+        self.count(tag, a)
+        self.raw = tag if tag in ("script", "style") else None
+        if tag == "base" and "href" in a and not self.based:
+            self.based, self.base = True, self.resolved(a["href"]) or self.base
+        if tag == "a":
+            # an anchor closes the one before, as anchors don't nest
+            self.open = {"ordinal": len(self.links), "href": a.get("href"), "url": self.resolved(a["href"]) if "href" in a else "", "text": "", "aria_label": " ".join(a.get("aria-label", "").split()), "target": a.get("target", ""), "rel": a.get("rel", "")}
+            self.links.append(self.open)
+
+    def count(self, tag: str, a: dict[str, str]) -> None:
+        n = self.n
+        href = a.get("href", a.get("xlink:href"))
+        if tag == "form":
+            n["forms"] += 1
+            n["unsafe_forms"] += not self.safe_form(a)
+        elif tag in ("a", "area") and href is not None:
+            kind = target_class(href, self.page)
+            n["navigable_links"] += 1
+            n["external_links"] += kind == "external"
+            n["unsafe_links"] += kind == "unsafe"
+        elif tag == "script":
+            n["scripts"] += 1
+            n["inline_scripts"] += "src" not in a
+            n["external_scripts"] += "src" in a and target_class(a["src"], self.page) == "external"
+        elif tag == "link" and "stylesheet" in a.get("rel", "").lower().split():
+            n["stylesheet_links"] += 1
+            n["external_stylesheets"] += target_class(a.get("href"), self.page) == "external"
+        elif tag == "base":
+            n["base_elements"] += 1
+        elif tag == "iframe":
+            n["iframes"] += 1
+        elif tag in ("object", "embed"):
+            n["embedded_objects"] += 1
+        elif tag == "meta":
+            n["meta_refreshes"] += a.get("http-equiv", "").strip().lower() == "refresh"
+        elif tag == "svg":
+            n["svg_elements"] += 1
+        elif tag in ("use", "feimage"):
+            n["svg_external_resources"] += bool((href or "").strip()) and not (href or "").strip().startswith("#")
+        n["disclosures"] += "data-replica-disclosure" in a
+
+    def safe_form(self, a: dict[str, str]) -> bool:
+        action = (a.get("action") or "").strip() or self.page
+        if target_class(action, self.page) != "same_origin":
+            return False
+        u = urlsplit(urljoin(self.page, action))
+        method, kind, target = (a.get("method") or "get").lower(), (a.get("enctype") or FORM_TYPES[0]).lower(), a.get("target", "").lower()
+        return u.path == FORM_PATH and not u.query and not u.fragment and method == "post" and kind in FORM_TYPES and target in ("", "_self")
+
+    def handle_endtag(self, tag: str) -> None:
+        self.raw = None
+        if tag == "a":
+            self.open = None
+
+    def handle_data(self, data: str) -> None:
+        if self.open is not None and self.raw is None:
+            self.open["text"] += data
+
+
+def _parsed(page: str | None, html: str | None) -> _Links:
+    parser = _Links(page or "")
+    parser.feed(html or "")
+    parser.close()
+    return parser
+
+
 def extract_links(pages: DataFrame) -> DataFrame:
-    """(page_id, viewport, ordinal, href, text) in document order."""
-    rows = pages.select("page_id", F.lit("default").alias("viewport"), F.posexplode(F.arrays_zip(_all(F.col("html"), LINK, 1).alias("href"), _all(F.col("html"), LINK, 2).alias("text"))).alias("ordinal", "a"))
-    return rows.select("page_id", "viewport", F.col("ordinal").cast("long").alias("ordinal"), "a.href", "a.text")
+    """(page_id, viewport, ordinal, href, url, text, aria_label, target, rel) of every anchor in document order.
+
+    Attributes may stand in any order and quoting, text may be nested in other tags; white space is normalised. ``url``
+    is ``href`` resolved against the page's base and address (null if malformed, empty without a href). A null page
+    has no links.
+    """
+    names = [c.split()[0] for c in LINKS.split(", ")]
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for page, url, html in zip(frame["page_id"], frame["url"], frame["html"], strict=True):
+                rows += [{"page_id": page, "viewport": "default"} | r | {"text": " ".join(r["text"].split())} for r in _parsed(url, html).links]
+            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "ordinal": "Int64"})
+
+    return pages.select("page_id", "url", "html").mapInPandas(work, LINKS)
 
 
 def extract_headings(pages: DataFrame) -> DataFrame:
@@ -59,16 +194,28 @@ def extract_dependencies(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(each).alias("d")).select("page_id", "d.*")
 
 
-#: Counts of the structural inventory.
-STRUCTURE = {
+#: Counts of tags and the like.
+TAGS = {
     "links": "<a ", "forms": "<form", "scripts": "<script", "stylesheets": "<style|<link rel=\"stylesheet\"", "metas": "<meta ", "base": "<base ", "frames": "<iframe",
     "objects": "<object|<embed", "images": "<img", "headings": "<h[1-6]", "lists": "<ul|<ol", "items": "<li", "paragraphs": "<p>", "comments": "<!--", "svg": "<svg", "tables": "<table", "inline_handlers": " on[a-z]+=\"",
 }
 
 
+def tag_counts(pages: DataFrame) -> DataFrame:
+    """(page_id, n_<thing>...): occurrences of 17 patterns per page."""
+    return pages.select("page_id", *[F.size(_all(F.col("html"), p, 0)).cast("long").alias(f"n_{k}") for k, p in TAGS.items()])
+
+
 def structural_inventory(pages: DataFrame) -> DataFrame:
-    """(page_id, n_<thing>...): 17 counts per page."""
-    return pages.select("page_id", *[F.size(_all(F.col("html"), p, 0)).cast("long").alias(f"n_{k}") for k, p in STRUCTURE.items()])
+    """(page_id, n_<thing>...): the counts of ``INVENTORY``; addresses are judged from the page's own. A null page
+    counts nothing."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [{"page_id": page} | {f"n_{k}": int(v) for k, v in _parsed(url, html).n.items()} for page, url, html in zip(frame["page_id"], frame["url"], frame["html"], strict=True)]
+            yield pd.DataFrame(rows, columns=["page_id", *[f"n_{k}" for k in INVENTORY]]).astype("Int64")
+
+    return pages.select("page_id", "url", "html").mapInPandas(work, "page_id long, " + ", ".join(f"n_{k} long" for k in INVENTORY))
 
 
 def page_profile(pages: DataFrame) -> DataFrame:

@@ -21,6 +21,13 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
         '@import "/s' || cast(page_id % 9 AS string) || '.css"; a{{background:url(/i' || cast(page_id % 7 AS string) || '.png)}}' ELSE '' END AS css FROM {pages}""",
     "form_pages": """SELECT page_id, url, html || '<form action="/submit/' || cast(page_id AS string) || '" method="post"><label for="a' || cast(page_id AS string) || '">Name</label><input id="a' || cast(page_id AS string)
         || '" name="n" type="text"><label>Size <select name="s"><option>small<option>large</select></label><img src="/i' || cast(page_id % 5 AS string) || '.png" style="background-image:url(/b.png)"></form>' AS html FROM {pages}""",
+    "rich_pages": """SELECT page_id, url, html || CASE page_id % 6
+        WHEN 0 THEN '<a class="x" href="/deep/' || cast(page_id AS string) || '?q=1" rel="nofollow">  <b>Deep</b> page </a><a name="here">no address</a><iframe src="/f"></iframe><link rel="stylesheet" href="/s.css"><script src="https://cdn.example.net/x.js"></script>'
+        WHEN 1 THEN '<a href=''https://other.example.net/y'' target=_blank aria-label=" Go  there ">Out <i>side</i></a><form action="/api/applications" method="POST"><input name="a"></form><form action="/other" method="post"></form><meta http-equiv="refresh" content="5">'
+        WHEN 2 THEN '<a href="javascript:void(0)">Run</a><A HREF="mailto:a@example.com" data-n="1">Mail</A><object data="/o.bin"></object><embed src="/e"><svg><use href="#i"></use><use xlink:href="/sprite.svg#i"></use></svg>'
+        WHEN 3 THEN '<a rel="me" href="//third.example.org/z#top"><span>Third</span></a><link rel="stylesheet" href="https://cdn.example.net/s.css"><p data-replica-disclosure>copy</p>'
+        WHEN 4 THEN '<a href="https://user:pw@site.example.com/">Login</a><script src="/own.js"></script><form method="get"></form><img alt="" src="/i.png">'
+        ELSE '<base href="/sub/"><a href="leaf?x=1">Leaf</a>' END AS html FROM {pages}""",
     "links": (
         f"""SELECT page_id, 'default' AS viewport, cast(pos AS bigint) AS ordinal, regexp_extract(col, '{A}', 1) AS href, regexp_extract(col, '{A}', 2) AS text
         FROM {{pages}} LATERAL VIEW posexplode(regexp_extract_all(html, '{A}', 0)) AS pos, col""",

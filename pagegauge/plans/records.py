@@ -39,7 +39,7 @@ def options(s, d, name):
 
 
 def crosscheck(s, d):
-    a = E.structural_inventory(rows(s, d, "pages")).select("page_id", "n_links", "n_headings")
+    a = E.tag_counts(rows(s, d, "pages")).select("page_id", "n_links", "n_headings")
     links = rows(s, d, "links_cand").groupBy("page_id").agg(F.count("*").alias("n_links"))
     heads = rows(s, d, "headings").groupBy("page_id").agg(F.count("*").alias("n_headings"))
     return D.inventory_crosscheck(a, links.join(heads, "page_id", "left").fillna(0), "page_id")
@@ -47,10 +47,11 @@ def crosscheck(s, d):
 
 QUERIES = {
     "page_profile": lambda s, d: E.page_profile(rows(s, d, "pages")),
-    "extract_links": lambda s, d: E.extract_links(rows(s, d, "pages")),
+    "extract_links": lambda s, d: E.extract_links(rows(s, d, "rich_pages")),
     "extract_headings": lambda s, d: E.extract_headings(rows(s, d, "pages")),
-    "extract_dependencies": lambda s, d: E.extract_dependencies(rows(s, d, "pages")),
-    "structural_inventory": lambda s, d: E.structural_inventory(rows(s, d, "pages")),
+    "extract_dependencies": lambda s, d: E.extract_dependencies(rows(s, d, "rich_pages")),
+    "structural_inventory": lambda s, d: E.structural_inventory(rows(s, d, "rich_pages")),
+    "tag_counts": lambda s, d: E.tag_counts(rows(s, d, "pages")),
     "css_dependencies": lambda s, d: E.css_dependencies(rows(s, d, "page_rows")),
     "generated_images": lambda s, d: E.generated_images(rows(s, d, "page_rows")),
     "url_provenance": lambda s, d: E.url_provenance(rows(s, d, "pages")),
@@ -106,14 +107,61 @@ _N = "count(*) AS n, count(*) FILTER (kind = 'missing') AS n_missing, count(*) F
 _OPT = "SELECT page_id, ordinal, pos, CAST(CASE WHEN pos = 0 THEN 0 ELSE value_length + pos END AS INTEGER) AS option_length FROM (SELECT *, unnest(range(n_options)) AS pos FROM {0})"
 _APPROVED = "SELECT mm.*, r.rule, r.rationale, r.rule IS NOT NULL AS approved FROM mm LEFT JOIN (SELECT viewport, category, kind, key, fields, min(rule) AS rule, arg_min(rationale, rule) AS rationale FROM approvals GROUP BY ALL) r ON mm.viewport = r.viewport AND mm.category = r.category AND mm.kind = r.kind AND mm.key = r.key AND list_sort(string_split(mm.fields, ',')) = list_sort(string_split(r.fields, ','))".replace("arg_min(rationale, rule) AS rationale FROM approvals GROUP BY ALL", "arg_min(rationale, rule) AS rationale FROM approvals GROUP BY viewport, category, kind, key, fields")
 
+
+def _attr(tag: str, name: str) -> str:
+    """SQL for an attribute of a start tag; empty if it is missing."""
+    return f"""regexp_replace(regexp_extract({tag}, '(?i)[ \\t\\n]{name} *= *("[^"]*"|''[^'']*''|[^ >"'']+)', 1), '^["'']|["'']$', '', 'g')"""
+
+
+#: Addresses resolved against the page's; the extra pages hold no dot segments.
+_SITE = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+_URL = f"""CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || href WHEN starts_with(href, '/') THEN {_SITE} || href
+  ELSE {_SITE} || '/sub/' || href END"""
+_ANCHORS = f""" SELECT page_id, 'default' AS viewport, ordinal, CASE WHEN named THEN NULL ELSE href END AS href, CASE WHEN named THEN '' ELSE {_URL} END AS url, text, aria_label, target, rel FROM (
+  SELECT page_id, url, ordinal, NOT regexp_matches(tag, '(?i) href') AS named, {_attr("tag", "href")} AS href, trim(regexp_replace(regexp_replace(substr(m, length(tag) + 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS text,
+    trim(regexp_replace({_attr("tag", "aria-label")}, ' +', ' ', 'g')) AS aria_label, {_attr("tag", "target")} AS target, {_attr("tag", "rel")} AS rel FROM (SELECT *, regexp_extract(m, '^<[^>]*>') AS tag FROM (
+      SELECT page_id, url, unnest(l) AS m, unnest(range(len(l))) AS ordinal FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a [^>]*>.*?</a>') AS l FROM rich_pages))))"""
+_UNSAFE = "regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(h, '^https?:') OR regexp_matches(h, '^https?://[^/?#]*@')"
+_EXTERNAL = "regexp_matches(h, '^(https?:)?//') AND NOT regexp_matches(h, '^https?://[^/?#]*@') AND regexp_extract(h, '//([^/?#]*)', 1) <> regexp_extract(url, '//([^/?#]*)', 1)"
+
+
+def _tags(pattern: str, where: str = "true", attr: str = "href") -> str:
+    """SQL for the number of start tags of a page that meet a condition on an address ``h``."""
+    return f"""(SELECT count(*) FROM (SELECT tag, {_attr("tag", attr)} AS h FROM (SELECT unnest(regexp_extract_all(html, '(?i)<(?:{pattern})(?:[ >][^>]*|)>')) AS tag)) WHERE {where})"""
+
+
+_INVENTORY = " SELECT page_id, " + ", ".join(
+    f"{sql} AS n_{name}"
+    for name, sql in {
+        "forms": _tags("form"),
+        "unsafe_forms": _tags("form", "h <> '/api/applications' OR NOT regexp_matches(lower(tag), 'method=\"post\"')", "action"),
+        "navigable_links": _tags("a|area", "regexp_matches(lower(tag), ' href')"),
+        "external_links": _tags("a|area", _EXTERNAL),
+        "unsafe_links": _tags("a|area", _UNSAFE),
+        "scripts": _tags("script"),
+        "inline_scripts": _tags("script", "NOT contains(tag, ' src=')"),
+        "external_scripts": _tags("script", _EXTERNAL, "src"),
+        "stylesheet_links": _tags("link", "contains(tag, 'rel=\"stylesheet\"')"),
+        "external_stylesheets": _tags("link", f"contains(tag, 'rel=\"stylesheet\"') AND {_EXTERNAL}"),
+        "base_elements": _tags("base"),
+        "iframes": _tags("iframe"),
+        "embedded_objects": _tags("object|embed"),
+        "disclosures": "len(regexp_extract_all(html, '<[^>]* data-replica-disclosure'))",
+        "meta_refreshes": _tags("meta", "contains(tag, 'http-equiv=\"refresh\"')"),
+        "svg_elements": _tags("svg"),
+        "svg_external_resources": _tags("use|feimage", "NOT starts_with(h, '#')", "(?:xlink:)?href"),
+    }.items()
+) + " FROM rich_pages"
+
 ORACLES = {
     "page_profile": r"""SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)', 1)) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS declared_charset,
       length(trim(regexp_replace(regexp_replace(regexp_replace(html, '<script>[^<]*(?:<[^/][^<]*)*</script>|<style>[^<]*</style>|<title>[^<]*</title>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS text_length FROM pages""",
-    "extract_links": duck_with("links") + " SELECT * FROM links",
+    "extract_links": duck_with("rich_pages") + _ANCHORS,
     "extract_headings": r"""SELECT page_id, o AS ordinal, CAST(CASE WHEN a <> '' THEN a ELSE regexp_extract(m, '<h([1-6])', 1) END AS INTEGER) AS level, trim(regexp_replace(regexp_extract(m, '>([^<]*)$', 1), '\s+', ' ', 'g')) AS text
       FROM (SELECT page_id, o, m, regexp_extract(m, 'aria-level="([0-9]+)"', 1) AS a FROM (SELECT page_id, unnest(l) AS m, unnest(range(len(l))) AS o FROM (SELECT page_id, regexp_extract_all(html, '<h([1-6])([^>]*)>([^<]*)') AS l FROM pages)))""",
-    "extract_dependencies": " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, unnest(range(len(l))) AS ordinal, unnest(l) AS target FROM (SELECT page_id, regexp_extract_all(html, '{p}', 1) AS l FROM pages)" for k, p in E.DEPENDENCIES.items()),
-    "structural_inventory": "SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '{p}')) AS n_{k}" for k, p in E.STRUCTURE.items()) + " FROM pages",
+    "extract_dependencies": duck_with("rich_pages") + " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, unnest(range(len(l))) AS ordinal, unnest(l) AS target FROM (SELECT page_id, regexp_extract_all(html, '{p}', 1) AS l FROM rich_pages)" for k, p in E.DEPENDENCIES.items()),
+    "structural_inventory": duck_with("rich_pages") + _INVENTORY,
+    "tag_counts": "SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '{p}')) AS n_{k}" for k, p in E.TAGS.items()) + " FROM pages",
     "css_dependencies": duck_with("page_rows") + f"""SELECT DISTINCT page_id, trim(regexp_replace(url, '#.*$', '')) AS url FROM (SELECT page_id, unnest(list_concat(list_concat(regexp_extract_all(css, '{E.CSS_URL.replace("'", "''")}', 1), regexp_extract_all(css, '{E.CSS_IMPORT.replace("'", "''")}', 1)), regexp_extract_all(css, '{E.CSS_SET.replace("'", "''")}', 1))) AS url FROM page_rows)
       WHERE NOT starts_with(lower(url), 'data:') AND NOT starts_with(url, '#') AND trim(regexp_replace(url, '#.*$', '')) <> ''""",
     "generated_images": duck_with("page_rows") + f"""SELECT *, n_paints > 0 OR n_cross_fades > 0 OR n_gradients >= 2 OR n_stops >= 16 OR len > 512 AS complex FROM (SELECT page_id, length(css) AS len, len(regexp_extract_all(css, '{E.GRADIENT}')) AS n_gradients,

@@ -121,7 +121,9 @@ ORACLES = {
     "evidence_inventory": duck_with("files") + "SELECT tree, n_files, n_bytes, n_text, n_omitted, concat_ws(',', CASE WHEN n_files > 45 THEN 'too_many_files' END, CASE WHEN largest > 16777216 THEN 'file_too_large' END, CASE WHEN n_bytes > 104857600 THEN 'total_too_large' END) AS violations FROM (SELECT tree, count(*) AS n_files, CAST(sum(strlen(content)) AS BIGINT) AS n_bytes, count(*) FILTER (strlen(content) <= 4096) AS n_text, count(*) FILTER (strlen(content) > 4096) AS n_omitted, max(strlen(content)) AS largest FROM files GROUP BY tree)",
     "verify_manifest": duck_with("files_actual") + f""", td AS ({_DIRS.format('files')}), ad AS ({_DIRS.format('files_actual')}) SELECT * FROM (SELECT coalesce(t.tree, a.tree) AS tree, coalesce(t.path, a.path) AS path, CASE WHEN a.path IS NULL THEN 'missing' WHEN t.path IS NULL THEN 'unexpected' WHEN sha256(t.content) <> sha256(a.content) THEN 'content' WHEN t.mode <> a.mode THEN 'mode' END AS problem
       FROM files t FULL OUTER JOIN files_actual a ON t.tree = a.tree AND t.path = a.path) WHERE problem IS NOT NULL UNION ALL SELECT tree, path, 'directory_missing' FROM (SELECT * FROM td EXCEPT SELECT * FROM ad) UNION ALL SELECT tree, path, 'directory_unexpected' FROM (SELECT * FROM ad EXCEPT SELECT * FROM td)""",
-    "contamination_tokens": """WITH k AS (SELECT item_id AS token_id, lower(substr(text, 1, 60)) AS token, regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '', 'g') AS c FROM benchmark), f AS (SELECT doc_id, lower(text) AS t, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS c FROM documents) SELECT doc_id, token_id FROM f, k WHERE length(k.c) >= 12 AND (contains(f.c, k.c) OR contains(f.t, k.token))""",
+    "contamination_tokens": """WITH k AS (SELECT item_id AS token_id, lower(text) AS token, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS c FROM benchmark WHERE length(text) >= 5),
+      p AS (SELECT doc_id, unnest([text, source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt']) AS part FROM documents), f AS (SELECT doc_id, lower(part) AS t, regexp_replace(lower(part), '[^a-z0-9]+', '', 'g') AS c FROM p)
+      SELECT DISTINCT doc_id, token_id FROM f, k WHERE CASE WHEN k.c = '' THEN contains(f.t, k.token) ELSE contains(f.c, k.c) END""",
     "contamination_scan": duck_with("files") + f"SELECT kind, count(*) AS n_files FROM (SELECT unnest({_FLAGS}) AS kind FROM files) WHERE kind IS NOT NULL GROUP BY kind",
     "retention_audit": _T + """, j AS (SELECT seq, CASE seq % 3 WHEN 0 THEN '{"idem_key": "' || idem_key || '", "n": 1}' WHEN 1 THEN '{"note": "' || idem_key || '"}' ELSE '{"count": 2}' END AS json FROM telemetry)
       SELECT * FROM (SELECT seq, len(regexp_extract_all(json, 'synthetic-[0-9]+')) AS n_values, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(json, '"([A-Za-z_]+)" *:', 1), lambda k: k IN ('value', 'text', 'idem_key', 'password')))), ','), '') AS keys FROM j) WHERE n_values > 0 OR keys <> ''""",

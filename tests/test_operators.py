@@ -185,3 +185,59 @@ def test_strict_policies(spark):
     rows = [(i, csp, "DENY", False) for i, (csp, _) in enumerate(cases)]
     got = {r.page_id: r.strict for r in urls.security_headers(spark.createDataFrame(rows, "page_id long, csp string, frame_options string, has_refresh boolean")).collect()}
     assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_links_and_inventory(spark):
+    html = """<base href="/d/"><p><a title='1' href='x?y=1#z'> One <b>bold</b>
+      word</a><A HREF=//o.example.org/ REL=me target=_blank aria-label=" a  b "></A><a>none</a><a href="http://[bad">bad</a>
+      <a href="https://u:p@h.example.com:443/">in</a><area href="ftp://h.example.com/"><script>'<a href="/no">no</a>'</script>
+      <script src="https://h.example.com:443/s.js"></script><script src="//o.example.org/s.js"></script><LINK REL="preload StyleSheet" HREF="https://o.example.org/c.css">
+      <form action="/api/applications" method=post></form><form action="/api/applications?x" method=post></form><form action="/api/applications" method=post target=_top></form>
+      <svg><use href="#a"/><use xlink:href="/b.svg"/></svg><meta http-equiv=" Refresh "><i data-replica-disclosure></i><object></object><embed><iframe></iframe>"""
+    pages = spark.createDataFrame([(1, "https://h.example.com/a/b", html), (2, None, None), (None, "", "")], "page_id long, url string, html string")
+    got = [tuple(r) for r in extract.extract_links(pages).orderBy("ordinal").select("href", "url", "text", "aria_label", "target", "rel").collect()]
+    assert got == [
+        ("x?y=1#z", "https://h.example.com/d/x?y=1#z", "One bold word", "", "", ""),
+        ("//o.example.org/", "https://o.example.org/", "", "a b", "_blank", "me"),
+        (None, "", "none", "", "", ""),
+        ("http://[bad", None, "bad", "", "", ""),
+        ("https://u:p@h.example.com:443/", "https://u:p@h.example.com:443/", "in", "", "", ""),
+    ]
+    n = {r.page_id: {k[2:]: v for k, v in r.asDict().items() if k != "page_id"} for r in extract.structural_inventory(pages).collect()}
+    assert set(n) == {1, 2, None} and not any(n[2].values()) and not any(n[None].values())
+    assert n[1] == {
+        "forms": 3, "unsafe_forms": 2, "navigable_links": 5, "external_links": 1, "unsafe_links": 3, "scripts": 3, "inline_scripts": 1, "external_scripts": 1, "stylesheet_links": 1, "external_stylesheets": 1,
+        "base_elements": 1, "iframes": 1, "embedded_objects": 2, "disclosures": 1, "meta_refreshes": 1, "svg_elements": 1, "svg_external_resources": 1,
+    }
+
+
+def test_all_gates(spark):
+    good = {
+        "run_id": 0, "viewport": "m", "tolerant": 0.15, "strict": 2.0, "unapproved": 0, "baseline_tampering": 0, "candidate_tampering": 0, "dimensions_match": True, "stable": True, "masked_pixels": 0, "critical_failures": 0,
+        "page_errors": None, "console_errors": 0, "blocked_writes": 0, "blocked_private_reads": 0, "reported": 3, "retained": 3,
+    }
+    kind = "run_id long, viewport string, tolerant double, strict double, unapproved long, baseline_tampering long, candidate_tampering long, dimensions_match boolean, stable boolean, masked_pixels long, critical_failures long, page_errors long, console_errors long, blocked_writes long, blocked_private_reads long, reported long, retained long"
+    bad = [("baseline_tampering", None), ("candidate_tampering", 1), ("dimensions_match", None), ("tolerant", 0.16), ("strict", None), ("stable", False), ("masked_pixels", 1), ("critical_failures", 1), ("page_errors", 1), ("console_errors", 1), ("blocked_writes", 1), ("blocked_private_reads", 1), ("unapproved", 1), ("retained", 2)]
+    data = [good] + [good | {"run_id": i + 1, k: v} for i, (k, v) in enumerate(bad)] + [good | {"run_id": 99, "viewport": "w", "dimensions_match": False, "strict": 3.0, "tolerant": 0.3}]
+    metrics = spark.createDataFrame([tuple(r.values()) for r in data], kind)
+    policy = spark.createDataFrame([(None, "strict", 2.0), ("w", "require_dimensions", 0.0), ("w", "tolerant", 0.2), ("w", "strict", 9.0)], "viewport string, gate string, lim double")
+    limits = gates.resolve_gates(metrics, policy, spark.createDataFrame([("tolerant", 0.15)], "gate string, lim double"))
+    got = {r.run_id: (r.passed, r.failures) for r in gates.evaluate_gates(metrics, limits).collect()}
+    assert got.pop(0) == (True, []) and got.pop(99) == (False, ["PIXEL_TOLERANT"])
+    assert [got[i + 1] for i in range(14)] == [(False, [c]) for c in gates.CODES]
+
+
+def test_run_codes(spark):
+    whole = [("source_self", True, []), ("candidate_self", True, []), ("source_candidate", True, []), ("integrity", True, []), ("interaction", True, [])]
+    data = [("ok", *p) for p in whole] + [("ok", "command", True, None)] + [("short", *p) for p in whole[1:]]
+    data += [("bad", "source_self", None, None), ("bad", "candidate_self", False, []), ("bad", "source_candidate", False, ["DIMENSIONS", "PIXEL_STRICT", "SEMANTIC_UNAPPROVED", "CANDIDATE_CRITICAL_RESOURCE", "CANDIDATE_PAGE_ERROR"])]
+    data += [("bad", "integrity", False, []), ("bad", "interaction", False, ["email-missing"])] + [("tool", *p) for p in whole] + [("tool", "command", False, [])]
+    parts = spark.createDataFrame(data, "run string, part string, passed boolean, failures array<string>")
+    got = {r.run: (r.codes, r.passed) for r in gates.run_failure_codes(parts, "run").collect()}
+    assert got == {
+        "ok": ([], True),
+        "short": (["SOURCE_UNSTABLE"], False),
+        "tool": (["TOOLING"], False),
+        "bad": (["ASSETS", "BACKEND", "CAPTURE", "CONTENT", "GEOMETRY", "INTERACTION", "SAFETY", "SEMANTICS", "SOURCE_UNSTABLE", "TOOLING"], False),
+    }
+    assert {r.run: r.accepted for r in gates.case_result(parts, "run").collect()} == {"ok": True, "short": False, "tool": False, "bad": False}
