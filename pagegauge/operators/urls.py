@@ -78,47 +78,95 @@ def private_destinations(urls: DataFrame) -> DataFrame:
     return row.select("page_id", "x.host", "x.reason").where("reason is not null")
 
 
-SENSITIVE = "(?:^|[_-])(?:access[_-]?token|token|api[_-]?key|apikey|secret|password|passwd|pwd|auth|authorization|session|signature|credential)(?:$|[_-])"
-UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
-PHONE = "[+][0-9][0-9 ()-]{7,}[0-9]"
-JWT = "^eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+$"
-API_KEY = "^(?:sk|pk|rk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,}$"
-MARKER = "^(?:password-reset|reset|invite|magic|verify|token|session|auth)$"
-#: Rules in the order of their priority.
-RULES = ["userinfo", "too_long", "path_jwt", "path_api_key", "path_marker", "parameter", "email", "phone"]
+#: Names of parameters and keys that carry credentials or personal data; a gap is anything between words.
+_GAP = "[^a-z0-9]*"
+SENSITIVE_NAMES = (
+    f"access{_GAP}token", "address", f"api{_GAP}key", "auth", "authorization", "code", "credential", "credentials", "csrf", f"csrf{_GAP}token", f"e{_GAP}mail", f"first{_GAP}name", f"full{_GAP}name",
+    f"last{_GAP}name", "jwt", "password", "phone", f"phone{_GAP}number", f"saml{_GAP}response", "secret", "session", f"session{_GAP}id", "sig", "signature", "token",
+)
+_NAMES = "(?i)(?:^|[^a-z0-9])(?:" + "|".join(SENSITIVE_NAMES) + ")"
+SENSITIVE = _NAMES + "(?:$|[^a-z0-9])"
+CARRIER = _NAMES + f"(?:$|{_GAP}[:=])"
+#: Patterns of personal data and of credentials in paths.
+EMAIL = r"(?i)\b[a-z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)+\b"
+PHONE = r"(?i)(?:^|[^a-z0-9])(?:\+[0-9]{10,15}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4})(?:$|[^a-z0-9])"
+UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+JWT = r"(?i)^[a-z0-9_-]{8,}\.[a-z0-9_-]{8,}\.[a-z0-9_-]{6,}$"
+API_KEY = "(?i)^(?:sk-[a-z0-9_-]{16,}|(?:sk|pk)_(?:live|test)_[a-z0-9_-]{12,}|gh[pousr]_[a-z0-9]{16,}|github_pat_[a-z0-9_]{20,}|xox[baprs]-[a-z0-9-]{16,}|aiza[a-z0-9_-]{20,}|akia[a-z0-9]{12,})$"
+MARKER = "(?i)^(?:activate(?:-account)?|email-verification|invite(?:-token)?|invitation|magic(?:-link)?|password-reset|reset(?:-password|-token)?|verify(?:-email)?)$"
+INLINE = "(?i)^(?:activate(?:-account)?|email-verification|invite|invitation|magic(?:-link)?|password-reset|reset(?:-password)?|verify(?:-email)?)[-_=.:]+(?:token[-_=.:]*)?(.{8,})$"
+#: Addresses inside a value, and what may stand before them.
+EMBEDDED = r"""(?i)(?:^|[\s("'=])((?:https?:)?//[^\s"'<>}\]]+)"""
+ENCODED = "%[0-9a-fA-F]{2}"
+#: Longest value and most embedded addresses that are looked into.
+LONGEST, MOST = 16384, 50
+
+
+def _words(c: Column) -> Column:
+    """camelCase split into words."""
+    return F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+
+
+def _personal(issue: Column, c: Column) -> Column:
+    return issue.when(c.rlike(EMAIL), "email").when(c.rlike(PHONE), "phone")
+
+
+def _segment_issue(v: Column, after: Column) -> Column:
+    """Issue of a decoded path segment that another one follows."""
+    inline = F.regexp_extract(v, INLINE, 1)
+    out = _personal(F.when(v.rlike(ENCODED) | (F.length(v) > LONGEST), "path_encoded"), v).when(v.rlike(JWT), "path_jwt").when(v.rlike(API_KEY), "path_api_key")
+    out = out.when((inline != "") & ~inline.rlike(UUID), "path_named")
+    return out.when(v.rlike(MARKER) & (F.length(after) >= 8) & ~after.rlike(UUID), "path_marker")
+
+
+def _inner(v: Column) -> Column:
+    """Addresses in a decoded value, with a scheme."""
+    found = F.transform(F.regexp_extract_all(v, F.lit(EMBEDDED), F.lit(1)), lambda x: F.regexp_replace(x, "[),.;]+$", ""))
+    found = F.filter(found, lambda x: x.rlike("(?i)^(?:https?:)?//[^/?#]"))
+    return F.transform(found, lambda x: F.when(x.startswith("//"), F.concat(F.lit("https:"), x)).otherwise(x))
 
 
 def credential_url_audit(urls: DataFrame, nested: int = 4) -> DataFrame:
-    """(page_id, level, issue): first issue of every URL by priority, and of URLs that its parameters carry (up to
-    ``nested`` levels deep, by as many steps over an ever smaller table)."""
+    """(page_id, level, issue): first issue of every URL, and of the addresses that its parameters' values hold, up to
+    ``nested`` levels deep, by as many steps over an ever smaller table.
+
+    The order is user information, the path's segments from the left, the parameters from the left (name; encoding and
+    length; keys with values, as in JSON or ``key=value``; personal data; addresses too many or too deep), fragment.
+    Texts are percent-decoded up to four times; what is still encoded is an issue. JSON is looked through as text.
+    A null URL has no issue.
+    """
+
+    def parameter(p: Column) -> Column:
+        halves = F.split(F.translate(p, "+", " "), "=", 2)
+        name, raw = F.get(halves, F.lit(0)), F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
+        return F.struct(decoded(name).alias("name"), decoded(raw).alias("v"), (F.length(raw) > LONGEST).alias("long"))
+
+    def judged(depth: int):
+        def of(x: Column) -> Column:
+            issue = F.when(x["name"].rlike(ENCODED) | _words(x["name"]).rlike(SENSITIVE), "parameter").when(x["v"].rlike(ENCODED), "value_encoded").when(x["long"], "value_long")
+            issue = _personal(issue.when(_words(x["v"]).rlike(CARRIER), "carrier"), x["v"]).when(F.size(x["inner"]) > MOST, "too_many")
+            return issue.when(F.size(x["inner"]) > 0, "too_deep") if depth == nested else issue
+
+        return of
+
+    def first(issues: Column) -> Column:
+        return F.get(F.filter(issues, lambda i: i.isNotNull()), F.lit(0))
+
     out = None
     level = urls.select("page_id", "url")
     for depth in range(nested + 1):
-        clean = decoded(F.col("url"))
-        at = level.select("page_id", "url", clean.alias("u"))
-        segments = F.split(F.regexp_extract("u", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/")
-        query = F.regexp_extract("url", "[?]([^#]*)", 1)
-        params = F.filter(F.split(query, "&"), lambda p: p != "")
-        key = lambda p: F.lower(F.regexp_replace(decoded(F.split(p, "=")[0]), "([a-z])([A-Z])", "$1_$2"))
-        value = lambda p: F.coalesce(decoded(F.get(F.split(p, "=", 2), F.lit(1))), F.lit(""))
-        found = {
-            "userinfo": F.col("u").rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@"),
-            "too_long": F.length("url") > 16384,
-            "path_jwt": F.exists(segments, lambda s: s.rlike(JWT)),
-            "path_api_key": F.exists(segments, lambda s: s.rlike(API_KEY)),
-            "path_marker": F.exists(F.transform(segments, lambda s, i: s.rlike(MARKER) & (F.length(F.coalesce(F.get(segments, i + 1), F.lit(""))) >= 8) & ~F.coalesce(F.get(segments, i + 1), F.lit("")).rlike(UUID)), lambda x: x),
-            "parameter": F.exists(params, lambda p: key(p).rlike(SENSITIVE) & (F.length(value(p)) > 0)),
-            "email": F.regexp_replace("u", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "").rlike(EMAIL),
-            "phone": F.col("u").rlike(PHONE),
-        }
-        issue: Column = F.when(F.lit(False), "")
-        for rule in RULES:
-            issue = issue.when(found[rule], rule)
+        segments = F.transform(F.split(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/"), lambda s: decoded(s))
+        params = F.filter(F.split(F.regexp_extract("url", "^[^?#]*[?]([^#]*)", 1), "&"), lambda p: p != "")
+        params = F.transform(F.transform(params, parameter), lambda x: F.struct(x["name"].alias("name"), x["v"].alias("v"), x["long"].alias("long"), _inner(x["v"]).alias("inner")))
+        at = level.select("page_id", "url", params.alias("params"), decoded(F.regexp_extract("url", "#(.*)$", 1)).alias("fragment"), segments.alias("segments"))
+        path = first(F.transform("segments", lambda v, i: _segment_issue(v, F.coalesce(F.get("segments", i + 1), F.lit("")))))
+        frag = F.col("fragment")
+        frag_bad = frag.rlike(ENCODED) | (F.length(frag) > LONGEST) | ((frag != "") & (_words(frag).rlike(CARRIER) | frag.rlike(EMAIL) | frag.rlike(PHONE)))
+        issue = F.when(F.col("url").rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@"), "userinfo").otherwise(F.coalesce(path, first(F.transform("params", judged(depth))), F.when(frag_bad, "fragment")))
         here = at.select("page_id", F.lit(depth).alias("level"), issue.alias("issue")).where("issue is not null")
         out = here if out is None else out.unionByName(here)
         if depth < nested:
-            level = at.select("page_id", F.explode(F.transform(params, value)).alias("url")).where(F.col("url").rlike("^https?://"))
+            level = at.select("page_id", F.explode(F.flatten(F.transform("params", lambda x: x["inner"]))).alias("url"))
     return out
 
 

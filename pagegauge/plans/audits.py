@@ -56,14 +56,23 @@ _RANGES = ", ".join(f"({i}, '{n}', {a}, {b})" for i, (n, a, b) in enumerate(U.re
 _PRIVATE = f"""SELECT page_id, host, reason FROM (SELECT page_id, host, coalesce(r.name, CASE WHEN regexp_matches(host, '(^|[.])({"|".join(U.SUFFIXES)})$') THEN 'suffix' WHEN ip IS NULL AND NOT contains(host, '.') THEN 'dotless' END) AS reason
   FROM (SELECT *, CASE WHEN regexp_full_match(host, '([0-9]+[.]){{3}}[0-9]+') THEN (split_part(host, '.', 1)::BIGINT * 256 + split_part(host, '.', 2)::BIGINT) * 65536 + split_part(host, '.', 3)::BIGINT * 256 + split_part(host, '.', 4)::BIGINT END AS ip FROM (SELECT page_id, {_HOST} AS host FROM audit_urls)) h
   LEFT JOIN (VALUES {_RANGES}) AS r(i, name, a, b) ON ip BETWEEN a AND b) WHERE reason IS NOT NULL"""
-_DEC = lambda c: f"url_decode(url_decode(url_decode({c})))"
-_CRED = f"""SELECT page_id, level, issue FROM (SELECT page_id, level, CASE WHEN regexp_matches(u, '^[A-Za-z]+://[^/?#]*@') THEN 'userinfo' WHEN length(url) > 16384 THEN 'too_long'
-  WHEN len(list_filter(seg, lambda x: regexp_matches(x, '{U.JWT}'))) > 0 THEN 'path_jwt' WHEN len(list_filter(seg, lambda x: regexp_matches(x, '{U.API_KEY}'))) > 0 THEN 'path_api_key'
-  WHEN len(list_filter(range(1, len(seg)), lambda i: regexp_matches(seg[i], '{U.MARKER}') AND length(seg[i + 1]) >= 8 AND NOT regexp_matches(seg[i + 1], '{U.UUID}'))) > 0 THEN 'path_marker'
-  WHEN len(list_filter(params, lambda p: p <> '' AND regexp_matches(lower(regexp_replace({_DEC("split_part(p, '=', 1)")}, '([a-z])([A-Z])', '\\1_\\2', 'g')), '{U.SENSITIVE}') AND length(split_part(p, '=', 2)) > 0)) > 0 THEN 'parameter'
-  WHEN regexp_matches(regexp_replace(u, '^[A-Za-z]+://[^/?#]*', ''), '{U.EMAIL}') THEN 'email' WHEN regexp_matches(u, '{U.PHONE}') THEN 'phone' END AS issue
-  FROM (SELECT *, {_DEC("url")} AS u, string_split(regexp_extract({_DEC("url")}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/') AS seg, string_split(regexp_extract(url, '[?]([^#]*)', 1), '&') AS params FROM lv)) WHERE issue IS NOT NULL"""
-_LEVELS = """, lv(page_id, url, level) AS (SELECT page_id, url, 0 FROM audit_urls UNION ALL SELECT page_id, url_decode(split_part(p, '=', 2)), level + 1 FROM (SELECT page_id, level, unnest(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&')) AS p FROM lv WHERE level < 4) WHERE regexp_matches(url_decode(split_part(p, '=', 2)), '^https?://'))"""
+_DEC = lambda c: f"url_decode(url_decode(url_decode(url_decode({c}))))"
+_CAMEL = lambda c: f"regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
+_IS = lambda c, pattern: "regexp_matches(" + c + ", '" + pattern.replace("'", "''") + "')"
+_INNER = """list_filter(list_transform(regexp_extract_all(x.v, '{0}', 1), lambda y: regexp_replace(y, '[),.;]+$', '')), lambda y: regexp_matches(y, '(?i)^(?:https?:)?//[^/?#]'))""".format(U.EMBEDDED.replace("'", "''"))
+_SEGMENT = f"""CASE WHEN {_IS("s", U.ENCODED)} OR length(s) > {U.LONGEST} THEN 'path_encoded' WHEN {_IS("s", U.EMAIL)} THEN 'email' WHEN {_IS("s", U.PHONE)} THEN 'phone' WHEN {_IS("s", U.JWT)} THEN 'path_jwt' WHEN {_IS("s", U.API_KEY)} THEN 'path_api_key'
+  WHEN {_IS("s", U.INLINE)} AND NOT {_IS(f"regexp_extract(s, '{U.INLINE}', 1)", U.UUID)} THEN 'path_named' WHEN {_IS("s", U.MARKER)} AND length(coalesce(seg[i + 1], '')) >= 8 AND NOT {_IS("coalesce(seg[i + 1], '')", U.UUID)} THEN 'path_marker' END"""
+_PARAM = f"""CASE WHEN {_IS("x.n", U.ENCODED)} OR {_IS(_CAMEL("x.n"), U.SENSITIVE)} THEN 'parameter' WHEN {_IS("x.v", U.ENCODED)} THEN 'value_encoded' WHEN x.l > {U.LONGEST} THEN 'value_long' WHEN {_IS(_CAMEL("x.v"), U.CARRIER)} THEN 'carrier'
+  WHEN {_IS("x.v", U.EMAIL)} THEN 'email' WHEN {_IS("x.v", U.PHONE)} THEN 'phone' WHEN len({_INNER}) > {U.MOST} THEN 'too_many' WHEN level = 4 AND len({_INNER}) > 0 THEN 'too_deep' END"""
+_CRED = f"""SELECT page_id, level, issue FROM (SELECT page_id, level, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@') THEN 'userinfo' ELSE coalesce(
+    list_filter(list_transform(seg, lambda s, i: {_SEGMENT}), lambda z: z IS NOT NULL)[1], list_filter(list_transform(params, lambda x: {_PARAM}), lambda z: z IS NOT NULL)[1],
+    CASE WHEN f <> '' AND ({_IS("f", U.ENCODED)} OR length(f) > {U.LONGEST} OR {_IS(_CAMEL("f"), U.CARRIER)} OR {_IS("f", U.EMAIL)} OR {_IS("f", U.PHONE)}) THEN 'fragment' END) END AS issue
+  FROM (SELECT *, list_transform(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: {_DEC("s")}) AS seg, {_DEC("regexp_extract(url, '#(.*)$', 1)")} AS f FROM lv)) WHERE issue IS NOT NULL"""
+_HALF = lambda c: f"replace({c}, '+', ' ')"
+_PARAMS = f"""list_transform(list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> ''), lambda p: {{{{'n': {_DEC(_HALF("split_part(p, '=', 1)"))}, 'v': {_DEC(_HALF("CASE WHEN contains(p, '=') THEN substr(p, strpos(p, '=') + 1) ELSE '' END"))},
+  'l': length(CASE WHEN contains(p, '=') THEN substr(p, strpos(p, '=') + 1) ELSE '' END)}}}})""".replace("{{", "{").replace("}}", "}")
+_LEVELS = f""", lv(page_id, url, level, params) AS (SELECT page_id, url, 0, {_PARAMS} FROM audit_urls UNION ALL SELECT page_id, url, level, {_PARAMS} FROM (
+  SELECT page_id, level, CASE WHEN starts_with(y, '//') THEN 'https:' || y ELSE y END AS url FROM (SELECT page_id, level + 1 AS level, unnest(flatten(list_transform(params, lambda x: {_INNER}))) AS y FROM lv WHERE level < 4)))"""
 _SIDES = {"response": "assets", "graph": "assets_graph", "dom": "assets_dom"}
 _RECON = " UNION ALL ".join(f"SELECT DISTINCT page_id, path, '{a}_not_{b}' AS reason FROM {_SIDES[a]} x WHERE NOT EXISTS (SELECT 1 FROM {_SIDES[b]} y WHERE y.page_id = x.page_id AND y.path = x.path)" for a in _SIDES for b in _SIDES if a != b)
 _EVID = """SELECT page_id, violation FROM (SELECT page_id, unnest([CASE WHEN retained > lim THEN 'retained_over_limit' END, CASE WHEN NOT truncated AND retained <> total THEN 'retained_not_total' END, CASE WHEN truncated AND retained >= total THEN 'truncated_without_loss' END,

@@ -103,12 +103,16 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
         CASE p_partkey % 3 WHEN 0 THEN 1.0e0 WHEN 1 THEN 0.5e0 ELSE 0.25e0 END AS opacity, cast(p_size AS int) AS clip_from, cast(p_size + 30 + p_partkey % 40 AS int) AS clip_to,
         cast(p_partkey * 7 % 256 AS int) AS fr, cast(p_partkey * 13 % 256 AS int) AS fg, cast(p_size * 5 % 256 AS int) AS fb, cast(p_size * 11 % 256 AS int) AS br, cast(p_partkey * 3 % 256 AS int) AS bg, cast(p_partkey % 256 AS int) AS bb,
         cast(4 + p_size % 12 AS int) AS font_px, CASE p_partkey % 4 WHEN 0 THEN 1.0e0 WHEN 1 THEN 0.75e0 WHEN 2 THEN 0.5e0 ELSE 0.25e0 END AS alpha FROM {part}""",
-    "audit_urls": """SELECT page_id, 'https://site.example.com' AS allowed, CASE page_id % 16
+    "audit_urls": """SELECT page_id, 'https://site.example.com' AS allowed, CASE page_id % 26
         WHEN 0 THEN 'https://site.example.com/plain/' || cast(page_id AS string) WHEN 1 THEN 'https://site.example.com/a?access_token=abc123456' WHEN 2 THEN 'https://cdn.example.net/a?%2570assword=secret99'
         WHEN 3 THEN 'https://site.example.com/password-reset/a1b2c3d4e5' WHEN 4 THEN 'https://site.example.com/invite/123e4567-e89b-12d3-a456-426614174000' WHEN 5 THEN 'https://api.example.org/sk-abcdefghijklmnopqrstuvwx/x'
         WHEN 6 THEN 'https://site.example.com/eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl' WHEN 7 THEN 'https://site.example.com/u/someone@example.com' WHEN 8 THEN 'https://site.example.com/call?phone=%2B1-555-010-9999'
         WHEN 9 THEN 'https://user:pw@site.example.com/' WHEN 10 THEN 'https://site.example.com/go?next=https%3A%2F%2Fother.example.com%2F%3Ftoken%3Dabcdefgh' WHEN 11 THEN 'http://10.1.2.' || cast(page_id % 250 AS string) || '/x'
-        WHEN 12 THEN 'http://172.20.0.5:8080/x' WHEN 13 THEN 'http://127.0.0.1:3000/x' WHEN 14 THEN CASE page_id % 3 WHEN 0 THEN 'http://db.service.internal/x' WHEN 1 THEN 'http://192.88.99.7/x' ELSE 'http://abcdefgh.onion/x' END ELSE 'https://8.8.8.8/x?q=1#frag' END AS url FROM {pages}""",
+        WHEN 12 THEN 'http://172.20.0.5:8080/x' WHEN 13 THEN 'http://127.0.0.1:3000/x' WHEN 14 THEN CASE page_id % 3 WHEN 0 THEN 'http://db.service.internal/x' WHEN 1 THEN 'http://192.88.99.7/x' ELSE 'http://abcdefgh.onion/x' END
+        WHEN 15 THEN 'https://site.example.com/reset-password-token-abcdefghij' WHEN 16 THEN 'https://site.example.com/a?data=%7B%22accessToken%22%3A%22x%22%7D' WHEN 17 THEN 'https://site.example.com/a?u=//other.example.com/reset/abcdefgh12'
+        WHEN 18 THEN 'https://site.example.com/a?text=see+(https%3A%2F%2Fx.example.com%2F%3Fpassword%3D1)%2C' WHEN 19 THEN 'https://site.example.com/a#access_token=abc' WHEN 20 THEN 'https://site.example.com/a?q=%2525252525252541'
+        WHEN 21 THEN 'https://site.example.com/x/akiaabcdefghijkl12/y' WHEN 22 THEN 'https://site.example.com/a?q=5550109999x&gh_jid=12345'
+        WHEN 23 THEN 'https://site.example.com/a?next=https%3A%2F%2Fa.example%2F%3Fnext%3Dhttps%253A%252F%252Fb.example%252Finvite%252Fabcdefgh1' WHEN 24 THEN 'https://site.example.com/a?mailTo=a@b.example' ELSE 'https://8.8.8.8/x?q=1#frag' END AS url FROM {pages}""",
     "headers": """SELECT page_id, CASE page_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'default-src ''self''; frame-ancestors ''none''' WHEN 2 THEN 'default-src ''none''; script-src ''self''; script-src ''none'''
         WHEN 3 THEN 'default-src https:; form-action ''self'', default-src ''none'';object-src ''none''' WHEN 4 THEN 'SCRIPT-SRC ''self'' https://cdn.example.net' ELSE 'base-uri ''none''; object-src ''none''; script-src ''self''; connect-src ''self''; form-action ''none''; frame-ancestors ''none''' || CASE page_id % 5 WHEN 0 THEN '; script-src-elem ''self''' WHEN 1 THEN '; script-src-attr https:' WHEN 2 THEN '; script-src ''self''' ELSE '' END END AS csp,
         CASE page_id % 4 WHEN 0 THEN 'DENY' WHEN 1 THEN 'sameorigin' WHEN 2 THEN 'ALLOW-FROM https://x.example' ELSE '' END AS frame_options, page_id % 9 = 0 AS has_refresh FROM {pages}""",

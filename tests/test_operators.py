@@ -107,6 +107,22 @@ def test_ledger(spark):
         ("https://a.example/invite/abcdefgh1", "path_marker"),
         ("https://a.example/someone@example.com", "email"),
         ("https://a.example/?gh_jid=12345", None),
+        (None, None),
+        ("https://a.example/?csrfToken=1", "parameter"),
+        ("https://a.example/?firstName=x", "parameter"),
+        ("https://a.example/reset-password-token-abcdefghij", "path_named"),
+        ("https://a.example/invite-123e4567-e89b-42d3-a456-426614174000", None),
+        ("https://a.example/ghp_abcdefghijklmnop1234/x", "path_api_key"),
+        ("https://a.example/token/abcdefgh1", None),
+        ("https://a.example/?q=%257B%2522apiKey%2522%253A1%257D", "carrier"),
+        ("https://a.example/?q=tokens%3D1", None),
+        ("https://a.example/?q=%2B4912345678901", "phone"),
+        ("https://a.example/?q=(030)+123-4567", "phone"),
+        ("https://a.example/#session=1", "fragment"),
+        ("https://a.example/#section", None),
+        ("https://a.example/?q=%25252525252541", "value_encoded"),
+        ("https://a.example/?u=" + "x" * 16385, "value_long"),
+        ("https://a.example/?u=//b.example/", "too_deep"),
     ],
 )
 def test_credential_urls(spark, url, issue):
@@ -114,6 +130,17 @@ def test_credential_urls(spark, url, issue):
     assert [r.issue for r in got] == ([issue] if issue else [])
 
 
+def test_nested_credential_urls(spark):
+    from urllib.parse import quote
+
+    inner = "https://c.example/invite/abcdefgh1"
+    for _ in range(2):
+        inner = "https://b.example/?n=" + quote(inner, safe="")
+    rows = [(1, inner), (2, "https://a.example/?t=see+(//x.example/magic/abcdefgh1),+or+https://y.example/;"), (3, "https://a.example/?t=" + "+//x.example/" * 51)]
+    got = sorted(tuple(r) for r in urls.credential_url_audit(spark.createDataFrame(rows, "page_id long, url string")).collect())
+    assert (1, 2, "path_marker") in got and (2, 1, "path_marker") in got and (3, 0, "too_many") in got and not [g for g in got if g[1] > 2]
+
+
 @pytest.mark.parametrize("host,private", [("10.0.0.1", True), ("172.32.0.1", False), ("172.31.255.255", True), ("8.8.8.8", False), ("[::1]", True), ("[fd00::1]", True), ("printer", True), ("a.internal", True), ("example.com", False), ("999.1.1.1", False), ("192.88.99.1", True), ("x.onion", True), ("home.arpa", True), ("a.test", False), ("[2606:4700::1111]", False), ("[2606:4700:0:0:0:0:0:1111]:8080", False), ("[::ffff:10.0.0.1]", True), ("[::ffff:808:808]", False), ("[::ffff:c0a8:101]", True), ("[64:ff9b::1]", True), ("[100::5]", True), ("[100:0:0:1::5]", False), ("[2001:1ff::1]", True), ("[2001:200::1]", False), ("[2001:db8::1]", True), ("[2002::1]", True), ("[fec0::1]", True), ("[febf::1]", True), ("[fe00::1]", False), ("[ff02::1]", True), ("[::]", True), ("[fe80::1%25eth0]", True), ("a.corp.", True)])
 def test_private_destinations(spark, host, private):
     df = spark.createDataFrame([(1, f"http://{host}/x")], "page_id long, url string")
