@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .urls import EMAIL, PHONE
+
+#: Personal data in prose; the patterns match it alone, without what stands around it, as it is replaced.
+EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
+PHONE = "[+][0-9][0-9 ()-]{7,}[0-9]"
 
 #: Redaction steps in order: name, pattern, replacement. Each works on what the steps before have left.
 REDACTIONS = [
