@@ -13,6 +13,9 @@ from . import (
     op8_line_dedup,
     op9_decontamination,
     op10_toxicity,
+    op11_conversation_repair,
+    op12_fingerprints,
+    op13_collocations,
 )
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup.query,
     "op9_decontamination": op9_decontamination.query,
     "op10_toxicity": op10_toxicity.query,
+    "op11_conversation_repair": op11_conversation_repair.query,
+    "op12_fingerprints": op12_fingerprints.query,
+    "op13_collocations": op13_collocations.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +41,5 @@ ORACLES: dict[str, str] = {
     "op5_chat_preference": op5_chat_preference.ORACLE,
     "op6_mixing": op6_mixing.ORACLE,
     "op9_decontamination": op9_decontamination.ORACLE,
+    "op13_collocations": op13_collocations.ORACLE,
 }
