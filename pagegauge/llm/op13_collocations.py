@@ -1,13 +1,14 @@
 """Operator 13: phrase collocations by weighted acyclic automata.
 
-Sorted n-grams of each shard of the input are summed by prefix range; what is frequent in a range goes into count
-transducers, built word by word in sorted order. A transducer over the phrases gives the counts of all first parts on
+Sorted n-grams of each shard of the input meet by prefix range, where equal ones are united and their counts summed;
+what is frequent in a range goes into count transducers, built word by word in sorted order. A transducer over the phrases gives the counts of all first parts on
 its own paths, one over the reversed phrases those of all last parts; the two are composed by phrase.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,11 @@ MIN_COUNT = 10
 MAX_WORDS = 3
 TOP = 2000
 #: Bytes of text that a shard counts at once; a longer single text is taken whole.
-SHARD = 8 << 20
+SHARD = 16 << 20
+#: Bytes of text for each prefix range, and of the sample that ranges are cut by.
+RANGE, SAMPLE = 2 << 20, 4 << 20
+#: Entries of a range's runs that are added up at once.
+MERGE = 4 << 20
 #: Phrases of one transducer.
 BLOCK = 4096
 #: Between the words of a key: sorts below all else, so a phrase comes right before its own extensions.
@@ -60,71 +65,127 @@ def _counted(texts: list[bytes], most: int) -> Iterator[tuple[pa.Array, np.ndarr
         number = np.searchsorted(keys, joint)
 
 
-def _shards(most: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list[bytes]] = {}
-        size = 0
+def _flushed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    """(lang, n-grams, counts) of one shard after another, sorted within a shard, language and n."""
+    waiting: dict[str, list[bytes]] = {}
+    size = 0
 
-        def flush():
-            for lang, texts in sorted(waiting.items()):
-                for grams, counts in _counted(texts, most):
-                    for i in range(0, len(grams), 1 << 16):
-                        part = grams[i : i + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(counts[i : i + (1 << 16)], pa.int64())], ["lang", "gram", "f"])
-            waiting.clear()
+    def flush():
+        for lang, texts in sorted(waiting.items()):
+            for grams, counts in _counted(texts, most):
+                yield lang, grams, counts
+        waiting.clear()
 
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                waiting.setdefault(lang, []).append(text)
-                size += len(text)
-                if size >= SHARD:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            waiting.setdefault(lang, []).append(text)
+            size += len(text)
+            if size >= SHARD:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+#: A sorted run of n-grams of one shard and prefix range, compressed as one value, so that shuffles move few bytes.
+RUN = "part int, lang string, n int, raw long, grams binary, counts binary"
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def _packed(part: int, lang: str, grams: pa.Array, counts: np.ndarray) -> dict:
+    text = "\n".join(grams.to_pylist()).encode()  # words hold no newline
+    return {"part": part, "lang": lang, "n": len(grams), "raw": len(text), "grams": _CODEC.compress(text).to_pybytes(), "counts": _CODEC.compress(counts.astype("<i8").tobytes()).to_pybytes()}
 
-    return count
 
+def _unpacked(n: int, raw: int, grams: bytes, counts: bytes) -> pa.Table:
+    text = pa.array([_CODEC.decompress(grams, raw).to_pybytes()], pa.binary()).cast(pa.string())
+    return pa.table({"gram": pc.list_flatten(pc.split_pattern(text, "\n")), "f": np.frombuffer(_CODEC.decompress(counts, 8 * n), "<i8")})
 
-def shard_counts(docs: DataFrame, most: int = MAX_WORDS) -> DataFrame:
-    """(lang, gram, f): counts of the n-grams of up to ``most`` words in each shard, words joined by ``SEP``."""
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_shards(most), "lang string, gram string, f long")
+
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def range_bounds(docs: DataFrame, most: int = MAX_WORDS) -> list[tuple[str, str]]:
+    """Lowest (lang, key) of each prefix range but the first, for ranges of about ``RANGE`` bytes of text each.
+
+    Taken from the n-grams of about ``SAMPLE`` bytes of texts, chosen by hash. Bounds decide how even ranges are, not
+    what is counted; a hot first word is cut by its second and third. Their number is bounded by the sample's.
+    """
+    rows = _documents(docs)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = -(-size // RANGE)
+    if ranges < 2:
+        return []
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(min(1, SAMPLE / size) * (1 << 20)) + 1)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, grams, _ in _flushed(batches, most):
+            grams = grams[:: len(grams) // 1000 + 1]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), grams], ["lang", "gram"])
+
+    keys = sorted({(r.lang, r.gram) for r in some.repartition(8).mapInArrow(sampled, "lang string, gram string").collect()})
+    return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
+
+
+def shard_counts(docs: DataFrame, bounds: list[tuple[str, str]], most: int = MAX_WORDS) -> DataFrame:
+    """Runs (``RUN``): counts of the n-grams of up to ``most`` words in each shard, cut at ``bounds``."""
+    shared = docs.sparkSession.sparkContext.broadcast(bounds)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = shared.value
+        for lang, grams, counts in _flushed(batches, most):
+            first, last = bisect_left(bounds, (lang, "")), bisect_right(bounds, (lang, "\U0010ffff"))
+            cuts = [0, *[bisect_left(range(len(grams)), key, key=lambda i: grams[i].as_py()) for _, key in bounds[first:last]], len(grams)]
+            rows = [_packed(first + i, lang, grams[a:b], counts[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _arrow_schema())
+
+    return _documents(docs).mapInArrow(work, RUN)
+
+
+def _arrow_schema() -> pa.Schema:
+    return pa.schema([("part", pa.int32()), ("lang", pa.string()), ("n", pa.int32()), ("raw", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
 
 
 def _summed(least: int):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.table({"lang": pa.array([], pa.string()), "gram": pa.array([], pa.string()), "f": pa.array([], pa.int64())})
-        totals: dict[str, int] = {}
+        where, held, size = None, [], 0
 
-        def settle(rows: pa.Table) -> pa.Table:
-            single = rows.filter(pc.invert(pc.match_substring(rows["gram"], SEP)))
-            for row in single.group_by("lang").aggregate([("f", "sum")]).to_pylist():
-                totals[row["lang"]] = totals.get(row["lang"], 0) + row["f_sum"]
-            return rows.filter(pc.greater_equal(rows["f"], least))
+        def total() -> pa.Table:
+            return pa.concat_tables(held).group_by("gram").aggregate([("f", "sum")]).rename_columns(["gram", "f"])
+
+        def settle() -> pa.RecordBatch:
+            part, lang = where
+            rows = total()
+            words = pc.sum(rows.filter(pc.invert(pc.match_substring(rows["gram"], SEP)))["f"]).as_py() or 0
+            rows = pa.concat_tables([rows.filter(pc.greater_equal(rows["f"], least)), pa.table({"gram": [""], "f": pa.array([words], pa.int64())})]).combine_chunks()
+            same = [pa.array([lang] * len(rows), pa.string()), rows["gram"].combine_chunks(), rows["f"].combine_chunks(), pa.array([part] * len(rows), pa.int32())]
+            return pa.RecordBatch.from_arrays(same, ["lang", "gram", "f", "part"])
 
         for batch in batches:
-            rows = pa.concat_tables([held, pa.Table.from_batches([batch]).cast(held.schema)]).combine_chunks()
-            if not len(rows):
-                continue
-            lang, gram = rows["lang"].combine_chunks(), rows["gram"].combine_chunks()
-            new = np.ones(len(rows), bool)
-            new[1:] = pc.or_(pc.not_equal(gram[1:], gram[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
-            first = np.flatnonzero(new)
-            rows = pa.table({"lang": lang.take(pa.array(first)), "gram": gram.take(pa.array(first)), "f": pa.array(np.add.reduceat(rows["f"].to_numpy(), first))})
-            held = rows.slice(len(rows) - 1)
-            yield from settle(rows.slice(0, len(rows) - 1)).to_batches()
-        yield from settle(held).to_batches()
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([""] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], ["lang", "gram", "f"])
+            for row in batch.to_pylist():
+                if (row["part"], row["lang"]) != where:
+                    if held:
+                        yield settle()
+                    where, held, size = (row["part"], row["lang"]), [], 0
+                held.append(_unpacked(row["n"], row["raw"], row["grams"], row["counts"]))
+                size += row["n"]
+                if size > MERGE:
+                    held = [total()]
+                    size = 0
+        if held:
+            yield settle()
 
     return add
 
 
-def frequent_grams(shards: DataFrame, least: int = MIN_COUNT) -> DataFrame:
-    """(lang, gram, f, part): n-grams with a sum of at least ``least``, by prefix range ``part``; for each range and
-    language also a row with the gram "" and the number of its words. The ranges come from Spark's own sample of the
-    keys and cut below a hot first word, too; a range is streamed in sorted order."""
-    rows = shards.repartitionByRange("lang", "gram").sortWithinPartitions("lang", "gram")
-    return stored(rows.mapInArrow(_summed(least), "lang string, gram string, f long").withColumn("part", F.spark_partition_id()), "frequent")
+def frequent_grams(docs: DataFrame, least: int = MIN_COUNT, most: int = MAX_WORDS) -> DataFrame:
+    """(lang, gram, f, part): n-grams with a sum of at least ``least``, by prefix range ``part``, words joined by
+    ``SEP``; for each range and language also a row with the gram "" and the number of its words. A range's runs arrive
+    one by one and are added up whenever ``MERGE`` entries have come."""
+    runs = shard_counts(docs, range_bounds(docs, most), most)
+    rows = runs.repartition("part").sortWithinPartitions("part", "lang")
+    return stored(rows.mapInArrow(_summed(least), "lang string, gram string, f long, part int"), "frequent")
 
 
 class CountTransducer:
@@ -250,7 +311,7 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, most: int = MAX_WORDS,
     No step has a language, a word or a first part in one task: ranges cut anywhere between phrases, a phrase is once
     in each shard at most, and the best phrases are chosen in 64 groups of a language before they meet.
     """
-    grams = frequent_grams(stored(shard_counts(docs, most), "shards"), least)
+    grams = frequent_grams(docs, least, most)
     n = grams.where("gram = ''").groupBy("lang").agg(F.sum("f").alias("n"))
     grams = grams.where("gram <> ''")
     ahead = part_counts(transducers(grams.withColumnRenamed("gram", "key")))
