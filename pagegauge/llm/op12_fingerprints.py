@@ -30,19 +30,21 @@ def weighted_terms(text: Column, shingle: int = SHINGLE) -> Column:
 def sample_value(h: Column, log_weight: Column, k: int) -> Column:
     """Sample ``k`` of one weighted term, as a number whose least one over all terms of a text is the text's slot.
 
-    r and c are Gamma(2, 1), beta is uniform, all from hashes of (term, k). t = floor(ln w / r + beta) is the same for
-    near weights; ln a = ln c - r (t - beta + 1), and the term of the least a is the sample (Ioffe's scheme). ln a, to
-    25 binary places, stands in the upper bits and 30 bits of the term's hash below, so two slots are equal just where
-    term and t are, but for a chance of about 2**-55.
+    In Ioffe's scheme r and c are Gamma(2, 1) and beta is uniform, all from hashes of (term, k);
+    t = floor(ln w / r + beta) is the same for near weights, ln a = ln c - r (t - beta + 1), and the term of the least
+    a is the sample. Here r is the sum of the exponentials -ln u1 and -ln u2, and beta the share of the second, which
+    is uniform and independent of the sum; then ln a = ln(c u1) - r t, and terms of weight 1, whose t is 0, take two
+    logarithms, which is what costs most. ln a, to 25 binary places, stands in the upper bits and 30 bits of the term's
+    hash below, so two slots are equal just where term and t are, but for a chance of about 2**-55.
     """
     h1, h2 = F.xxhash64(h, F.lit(2 * k)), F.xxhash64(h, F.lit(2 * k + 1))
 
-    def uniform(x: Column, low: int, bits: int) -> Column:
-        return (F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) + F.lit(0.5)) / F.lit(float(1 << bits))
+    def uniform(x: Column, low: int) -> Column:
+        return (F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << 32) - 1).cast("long")) + F.lit(0.5)) / F.lit(float(1 << 32))
 
-    r, beta = -F.ln(uniform(h1, 43, 21) * uniform(h1, 22, 21)), uniform(h1, 1, 21)
-    c = -F.ln(uniform(h2, 32, 32) * uniform(h2, 0, 32))
-    log_a = F.ln(c) - r * (F.floor(log_weight / r + beta) - beta + 1)
+    u1, u2, c = uniform(h1, 32), uniform(h1, 0), -F.ln(uniform(h2, 32) * uniform(h2, 0))
+    r = -F.ln(u1 * u2)
+    log_a = F.ln(c * u1) - F.when(log_weight == 0, F.lit(0.0)).otherwise(r * F.floor((log_weight - F.ln(u2)) / r))
     return F.shiftleft(((log_a + 128) * F.lit(float(1 << 25))).cast("long"), 30).bitwiseOR(h2.bitwiseAND(F.lit((1 << 30) - 1).cast("long")))
 
 

@@ -167,7 +167,7 @@ def test_collision_rate_is_the_generalised_jaccard_similarity(spark):
     cases.append(("one two", "one two"))
     cases.append(("", " \n "))
     cases.append(("", "one two"))
-    k = 128
+    k = 64
     rows = spark.createDataFrame([(i, j, t) for i, pair in enumerate(cases) for j, t in enumerate(pair)], "i int, j int, text string")
     got = {(r.i, r.j): r.slots for r in op12.signatures(rows, ["i", "j"], samples=k).collect()}
     for i, (a, b) in enumerate(cases):
@@ -193,9 +193,9 @@ def test_slots_are_those_of_plain_code(spark):
 
     def value(h, n, k):
         h1, h2 = (h64((2 * k + d).to_bytes(4, "little"), h64(h.to_bytes(8, "little"), 42)) for d in (0, 1))
-        u = lambda x, low, bits: ((x >> low & (1 << bits) - 1) + 0.5) / 2**bits
-        r, beta = -math.log(u(h1, 43, 21) * u(h1, 22, 21)), u(h1, 1, 21)
-        c = -math.log(u(h2, 32, 32) * u(h2, 0, 32))
+        u = lambda x, low: ((x >> low & (1 << 32) - 1) + 0.5) / 2**32
+        r, beta = -math.log(u(h1, 32) * u(h1, 0)), math.log(u(h1, 0)) / math.log(u(h1, 32) * u(h1, 0))
+        c = -math.log(u(h2, 32) * u(h2, 0))
         return math.log(c) - r * (math.floor(math.log(n) / r + beta) - beta + 1), h2 & (1 << 30) - 1
 
     row = spark.createDataFrame([(1, text)], "i int, text string")
@@ -277,6 +277,8 @@ def test_collocations_are_as_by_plain_counting(spark, monkeypatch, partitions, b
     rows = [(rng.choice(["en", "en", "en", "de", None, "und"]), t) for t in texts] + [("fr", None), ("fr", ""), ("it", "a b c")]
     monkeypatch.setattr(op13, "BLOCK", block)
     monkeypatch.setattr(op13, "SHARD", 500)
+    monkeypatch.setattr(op13, "RANGE", 1 << 20 if partitions == 1 else 300)
+    monkeypatch.setattr(op13, "MERGE", 50)
     docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "lang string, text string, gram string, part int").repartition(5)
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
