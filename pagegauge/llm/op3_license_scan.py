@@ -30,6 +30,8 @@ TEMPLATES = {
 }
 THRESHOLD = 0.8
 WORDS = r"[\p{L}\p{Nd}]+"
+#: Place of the whole text in the order of passages; windows come after it.
+LAST = (1 << 31) - 2
 
 
 def template_words(text: str) -> list[str]:
@@ -41,11 +43,11 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def best_window(templates: dict[str, str], threshold: float) -> Callable[[str], tuple[str, float, int] | None]:
-    """Finder of the best (name, dice, place) among a text's windows: a window begins at word ``place``, with a bigram
-    of the template, and has as many words as the template, or those up to the end of the text. Equal coefficients:
-    the lowest place, then the first name. Windows with fewer template bigrams than the size bound asks for aren't
-    compared."""
+def best_window(templates: dict[str, str], threshold: float) -> Callable[[str], tuple[list[str], tuple[int, float, str] | None]]:
+    """Finder of all names that a text's windows match, and of the best match (common bigrams, dice, name): a window
+    begins with a bigram of the template and has as many words as the template, or those up to the end of the text.
+    The best has most bigrams in common, then the highest coefficient, then the first name. Windows with fewer template
+    bigrams than the size bound asks for aren't compared."""
     known = {n: (len(w) - 1, frozenset(template_bigrams(v))) for n, v in sorted(templates.items()) if len(w := template_words(v)) > 1}
     owners: dict[str, list[str]] = {}
     for name, (_, grams) in known.items():
@@ -53,24 +55,28 @@ def best_window(templates: dict[str, str], threshold: float) -> Callable[[str],
             owners.setdefault(g, []).append(name)
     word = regex.compile(WORDS)
 
-    def find(text: str) -> tuple[str, float, int] | None:
+    def find(text: str) -> tuple[list[str], tuple[int, float, str] | None]:
         words = word.findall(text)
         grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
         starts: dict[str, list[int]] = {}
         for i, g in enumerate(grams):
             for name in owners.get(g, ()):
                 starts.setdefault(name, []).append(i)
-        best = None
+        names, best = [], None
         for name in sorted(starts):
             length, own = known[name]
             at = np.asarray(starts[name])
             inside = np.searchsorted(at, at + length) - np.arange(len(at))
             for i in at[inside >= len(own) * threshold / (2 - threshold)].tolist():
                 seen = set(grams[i : i + length])
-                dice = 2.0 * len(seen & own) / (len(seen) + len(own))
-                if dice >= threshold and (best is None or (-dice, i) < (-best[1], best[2])):
-                    best = (name, dice, i)
-        return best
+                both = len(seen & own)
+                dice = 2.0 * both / (len(seen) + len(own))
+                if dice >= threshold:
+                    if names[-1:] != [name]:
+                        names.append(name)
+                    if best is None or (both, dice) > best[:2]:
+                        best = (both, dice, name)
+        return names, best
 
     return find
 
@@ -80,16 +86,16 @@ def _bigrams(words: Column) -> Column:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_passages, license, dice, passage) for every row of ``docs(doc_id, text)``; no shuffle.
+    """(doc_id, n_passages, license, dice, passage, licenses) for every row of ``docs(doc_id, text)``; no shuffle.
 
-    Passages are the \\n-split lines (numbered from 0) and, for texts of several lines, the whole text (-1). Where none
-    matches, windows of the whole text's words, across lines, are compared (-3): notices wrapped over lines of a longer
-    file or within a line of prose; see ``best_window``. A passage
-    matches a template when twice their common distinct word bigrams reach ``threshold`` times the sum of their
+    Passages are the \\n-split lines (numbered from 0) and, for texts of several lines, the whole text (-1), and windows
+    of the whole text's words, across lines (-3): notices wrapped over lines of a longer file or within a line of
+    prose; see ``best_window``. A passage matches a template when twice their common distinct word bigrams reach ``threshold`` times the sum of their
     numbers. Templates whose number of bigrams rules that out are left out first, and passages that no template can
-    match aren't compared. n_passages counts matching passages; the best match has the highest coefficient, then the
-    lowest passage, then the first name; without one, license is null, dice 0 and passage -2. n_passages counts lines
-    and whole texts only. Null and empty texts have no bigrams and match nothing; ids aren't looked at, so null and
+    match aren't compared. ``licenses`` has all names that match, sorted; the best match has most bigrams in common with
+    its template, so a long notice goes before a phrase, then the highest coefficient, then is a line, the whole text
+    or a window, of lines the first, then has the first name; without one, license is null, dice 0 and passage -2.
+    n_passages counts lines and whole texts that match. Null and empty texts have no bigrams and match nothing; ids aren't looked at, so null and
     repeated ones keep a row each, and other columns are left out.
     """
     templates = TEMPLATES if templates is None else templates
@@ -107,8 +113,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             fits = n.between(len(b) * threshold / (2 - threshold), len(b) * (2 - threshold) / threshold)
             both = F.size(F.array_intersect(grams, F.array(*map(F.lit, b))))
             dice = 2.0 * both / (n + len(b))
-            found.append(F.when(fits, F.when(dice >= threshold, F.struct(dice.alias("dice"), (-passage).alias("place"), F.lit(-i).alias("rank"), F.lit(name).alias("name")))))
-        return F.array_max(F.array(*found))
+            found.append(F.when(fits, F.when(dice >= threshold, F.struct(both.alias("both"), dice.alias("dice"), (-F.when(passage < 0, LAST).otherwise(passage)).alias("place"), F.lit(-i).alias("rank"), F.lit(name).alias("name")))))
+        return F.array_compact(F.array(*found))
 
     def of(passage: Column, words: Column) -> Column:
         return F.when(F.size(words) > low, let(_bigrams(words), lambda g: F.when(F.size(g).between(low, high), against(passage, g))))
@@ -118,18 +124,23 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     by_line = F.transform(F.split(text, "\n"), lambda x, i: let(split(x), lambda w: of(i, w)))
     whole = F.when(text.contains("\n"), let(split(text), lambda w: of(F.lit(-1), w)))
 
-    @F.pandas_udf("name string, dice double, place int")
+    @F.pandas_udf("names array<string>, both int, dice double, name string")
     def windows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         find = best_window(templates, threshold)
         for batch in batches:
-            found = [(find(x) if x else None) or (None, None, None) for x in batch]
-            yield pd.DataFrame({"name": [f[0] for f in found], "dice": pd.Series([f[1] for f in found], dtype="float64"), "place": pd.Series([f[2] for f in found], dtype="Int32")})
+            found = [find(x) if x else ([], None) for x in batch]
+            best = [f[1] or (None, None, None) for f in found]
+            yield pd.DataFrame({"names": [f[0] for f in found], "both": pd.Series([b[0] for b in best], dtype="Int32"), "dice": pd.Series([b[1] for b in best], dtype="float64"), "name": [b[2] for b in best]})
 
-    row = docs.select("doc_id", text.alias("t"), F.array_compact(F.concat(by_line, F.array(whole))).alias("hits"))
-    row = row.select("doc_id", F.size("hits").alias("n_passages"), F.array_max("hits").alias("best"), F.when(F.size("hits") == 0, F.col("t")).alias("t"))
-    row = row.withColumn("window", windows("t"))
-    place = F.when(F.col("best").isNotNull(), -F.col("best.place")).when(F.col("window.name").isNotNull(), -3).otherwise(-2)
-    return row.select("doc_id", "n_passages", F.coalesce("best.name", "window.name").alias("license"), F.coalesce("best.dice", "window.dice", F.lit(0.0)).alias("dice"), place.alias("passage"))
+    full = lambda hits: F.filter(hits, lambda x: x.isNotNull() & (F.size(x) > 0))
+    row = docs.select("doc_id", text.alias("t"), full(F.concat(by_line, F.array(whole))).alias("hits"))
+    row = row.select("doc_id", F.size("hits").alias("n_passages"), F.flatten("hits").alias("hits"), windows("t").alias("window"))
+    window = F.when(F.col("window.name").isNotNull(), F.array(F.struct("window.both", "window.dice", F.lit(-LAST - 1).alias("place"), F.lit(0).alias("rank"), F.col("window.name").alias("name"))))
+    row = row.withColumn("best", F.array_max(F.concat("hits", F.coalesce(window, F.slice("hits", 1, 0)))))
+    names = F.array_join(F.array_sort(F.array_distinct(F.concat("hits.name", F.coalesce("window.names", F.array().cast("array<string>"))))), ",")
+    place = -F.col("best.place")
+    place = F.when(place == LAST, -1).when(place == LAST + 1, -3).otherwise(F.coalesce(place, F.lit(-2)))
+    return row.select("doc_id", "n_passages", F.col("best.name").alias("license"), F.coalesce("best.dice", F.lit(0.0)).alias("dice"), place.cast("int").alias("passage"), names.alias("licenses"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,20 +165,25 @@ p AS (
 ), g AS (
   SELECT rid, place, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1
 ), m AS (
-  SELECT rid, place, rank, name, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, t
+  SELECT rid, place, rank, name, len(list_intersect(g, b)) AS common, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, t
   WHERE len(g) BETWEEN len(b) * {THRESHOLD} / {2 - THRESHOLD} AND len(b) * {2 - THRESHOLD} / {THRESHOLD}
 ), best AS (
-  SELECT rid, count(DISTINCT place) AS n, first(name ORDER BY dice DESC, place, rank) AS name, max(dice) AS dice, first(place ORDER BY dice DESC, place, rank) AS place
-  FROM m WHERE dice >= {THRESHOLD} GROUP BY rid
+  SELECT rid, count(DISTINCT place) AS n FROM m WHERE dice >= {THRESHOLD} GROUP BY rid
 ), s AS (
   SELECT rid, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM (SELECT row_number() OVER () AS rid, regexp_extract_all(lower(coalesce(text, '')), '{WORDS}') AS w FROM documents) WHERE len(w) > 1
 ), h AS (
-  SELECT DISTINCT rid, i, rank FROM (SELECT rid, unnest(g) AS x, unnest(range(1, len(g) + 1)) AS i FROM s WHERE rid NOT IN (SELECT rid FROM best)) JOIN (SELECT rank, unnest(b) AS x FROM t) USING (x)
+  SELECT DISTINCT rid, i, rank FROM (SELECT rid, unnest(g) AS x, unnest(range(1, len(g) + 1)) AS i FROM s) JOIN (SELECT rank, unnest(b) AS x FROM t) USING (x)
 ), v AS (
   SELECT rid, i, rank, name, b, list_distinct(g[i:i + n - 1]) AS g FROM h JOIN s USING (rid) JOIN t USING (rank)
-), wb AS (
-  SELECT rid, first(name ORDER BY d DESC, i, rank) AS wname, max(d) AS wdice FROM (SELECT *, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS d FROM v) WHERE d >= {THRESHOLD} GROUP BY rid
+), every AS (
+  SELECT rid, place, CASE WHEN place < 0 THEN {LAST} ELSE place END AS seat, rank, name, common, dice FROM m WHERE dice >= {THRESHOLD}
+  UNION ALL
+  SELECT rid, -3, {LAST + 1}, rank, name, common, 2.0::DOUBLE * common / (len(g) + len(b)) AS dice FROM (SELECT *, len(list_intersect(g, b)) AS common FROM v) WHERE 2.0::DOUBLE * common / (len(g) + len(b)) >= {THRESHOLD}
+), named AS (
+  SELECT rid, first(name ORDER BY common DESC, dice DESC, seat, rank) AS license, first(dice ORDER BY common DESC, dice DESC, seat, rank) AS dice,
+    first(place ORDER BY common DESC, dice DESC, seat, rank) AS place, array_to_string(list_sort(list(DISTINCT name)), ',') AS licenses
+  FROM every GROUP BY rid
 )
-SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_passages, coalesce(name, wname) AS license, coalesce(dice, wdice, 0) AS dice, CAST(CASE WHEN n IS NOT NULL THEN place WHEN wname IS NOT NULL THEN -3 ELSE -2 END AS INTEGER) AS passage
-FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) LEFT JOIN best USING (rid) LEFT JOIN wb USING (rid)
+SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_passages, license, coalesce(dice, 0) AS dice, CAST(coalesce(place, -2) AS INTEGER) AS passage, coalesce(licenses, '') AS licenses
+FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) LEFT JOIN best USING (rid) LEFT JOIN named USING (rid)
 """

@@ -75,8 +75,9 @@ def earlier(i: np.ndarray, j: np.ndarray, columns: dict) -> list[np.ndarray]:
 
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, number) of the lines to remove: an earlier line has the same words or a Jaccard coefficient of at
-    least ``percent`` / 100; earlier by (doc_id, number), null ids last, whether or not it is removed itself.
+    """(doc_id, tkey, number) of the lines to remove from the texts of hash ``tkey``: an earlier line has the same words or a Jaccard coefficient of at
+    least ``percent`` / 100; earlier by (doc_id, hash of the text, number), null ids last, whether or not it is removed
+    itself.
 
     Lines are the \\n-split parts of a text, their tokens its distinct words, lower-cased in A-Z. Lines without a word
     (and so null and empty texts) match nothing. Rarer words come first in prefixes; candidates pass length, positional
@@ -86,9 +87,11 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs = docs.select("doc_id", "text")
     profiled = sj.profile(docs, unit)
     order = sj.token_order(profiled)
-    # null ids rank behind the largest id: numbers of lines are below 2**32
-    null = F.col("doc_id").isNull().cast("long") * F.lit(1 << 32)
-    rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("r1"), (F.col("number") + null).alias("r2"))
+    # null ids rank behind the largest id; different texts of one id, or without one, by 30 bits of their hash; numbers
+    # of lines are below 2**32
+    null = F.col("doc_id").isNull().cast("long") * F.lit(1 << 62)
+    tie = F.shiftleft(F.col("tkey").bitwiseAND(F.lit((1 << 30) - 1).cast("long")), 32)
+    rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("r1"), (F.col("number") + tie + null).alias("r2"))
     records = profiled.where("chunk is null and n > 0").select("doc_id", "number", "sid", "n", "tkey", rank.alias("rank"))
     first = records.groupBy("sid", "n").agg(F.min(F.struct("rank", "tkey", "number")).alias("first"), F.count("*").alias("copies"))
     sets = stored(first.selectExpr("sid", "n", "copies", "first.rank.r1", "first.rank.r2", "first.tkey", "first.number"), "distinct")
@@ -113,19 +116,21 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     marked = sets.select("sid", "copies", "r1", "r2").join(gone.withColumn("gone", F.lit(True)).hint("merge"), "sid", "left").where("copies > 1 or gone")
     is_later = (F.col("rank") > F.struct("r1", "r2")) | F.coalesce("gone", F.lit(False))
-    return records.select("doc_id", "number", "sid", "rank").join(marked.hint("merge"), "sid").where(is_later).select("doc_id", "number")
+    return records.select("doc_id", "tkey", "number", "sid", "rank").join(marked.hint("merge"), "sid").where(is_later).select("doc_id", "tkey", "number")
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs(doc_id, text, ...)`` with the columns n_lines, n_removed and kept_text.
 
-    Rows with equal ids count as one document written twice: a line of either that repeats an earlier number's or the
-    other's line is removed from both rows by its number. A null text stays null with 0 lines. Columns of these names
+    Rows are known by id and text: different texts of one id, or without an id, are documents of their own, in the
+    order of their hashes. Rows equal in both are one document written twice: they lose the same lines, and none to
+    each other. A null text stays null with 0 lines. Columns of these names
     in ``docs`` are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "kept_text")
-    gone = release(stored(removed_lines(docs, percent).groupBy("doc_id").agg(F.collect_set("number").alias("gone_numbers")).withColumnRenamed("doc_id", "gone_id"), "gone"))
-    joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["gone_id"]), "left")
+    gone = release(stored(removed_lines(docs, percent).groupBy(F.col("doc_id").alias("gone_id"), F.col("tkey").alias("gone_key")).agg(F.collect_set("number").alias("gone_numbers")), "gone"))
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"])
+    joined = docs.join(gone.hint("merge"), same, "left")
     lines = F.split(F.col("text"), "\n")
     left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.coalesce("gone_numbers", F.array().cast("array<bigint>")))
     row = joined.withColumn("line_parts", F.transform(F.array(F.struct(lines.alias("all"), left.alias("left"))), lambda b: F.struct(F.size(b["all"]).cast("long").alias("n"), F.size(b["left"]).cast("long").alias("m"), F.array_join(F.transform(b["left"], lambda i: F.get(b["all"], i.cast("int"))), "\n").alias("text")))[0])

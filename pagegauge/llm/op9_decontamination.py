@@ -37,10 +37,10 @@ def canonical_words(text: Column) -> Column:
 
 
 def item_words(text: Column) -> Column:
-    """Both readings of an item's words: as it stands, and as it is read within a sentence, where its first word may be
-    a name."""
+    """Three readings of an item's words: as it stands, as it is read within a sentence, where its first word may be a
+    name, and in lower case, where names are words like all others."""
     inside = canonical_words(F.concat(F.lit("x "), text))
-    return F.array(canonical_words(text), F.slice(inside, 2, F.greatest(F.size(inside) - 1, F.lit(0))))
+    return F.array(canonical_words(text), F.slice(inside, 2, F.greatest(F.size(inside) - 1, F.lit(0))), canonical_words(F.lower(text)))
 
 
 def _windows(words: Column, length: int, short: bool) -> Column:
@@ -109,6 +109,29 @@ def benchmark_windows(items: DataFrame, length: int = WINDOW, literal: int = LIT
     return rows.withColumn("verbatim", F.col("verbatim") | (F.size("theirs") == F.col("n"))).distinct()
 
 
+def agreeing(windows: Column) -> Column:
+    """Number of windows, sorted structs (place, n, slots), that count: see ``contamination``."""
+
+    def closed(run: Column) -> Column:
+        return run["total"] + F.when(~run["cut"] | run["same"], run["k"]).otherwise(0)
+
+    def step(run: Column, w: Column) -> Column:
+        all_slots = F.array_distinct(F.concat(run["slots"], w["slots"]))
+        same = F.forall(w["slots"], lambda x: x["theirs"] == x["slots"])
+        near = (run["k"] > 0) & (w["place"] <= run["upto"])
+        fits = consistent(all_slots["theirs"], all_slots["slots"])
+        upto = w["place"] + w["n"]
+        longer = F.struct(upto.alias("upto"), all_slots.alias("slots"), (run["k"] + 1).alias("k"), (run["same"] & same).alias("same"), run["cut"].alias("cut"), run["total"].alias("total"))
+        # the run that ends at a clash is cut, and so is the one that begins there
+        ended = F.struct(run["k"].alias("k"), run["same"].alias("same"), (run["cut"] | near).alias("cut"), run["total"].alias("total"))
+        fresh = F.struct(upto.alias("upto"), F.array_distinct(w["slots"]).alias("slots"), F.lit(1).alias("k"), same.alias("same"), near.alias("cut"), closed(ended).alias("total"))
+        return F.when(near & fits, longer).otherwise(fresh)
+
+    none = F.lit(0)
+    start = F.struct(none.alias("upto"), F.array().cast("array<struct<theirs:string,slots:string>>").alias("slots"), none.alias("k"), F.lit(True).alias("same"), F.lit(False).alias("cut"), none.alias("total"))
+    return F.aggregate(windows, start, step, closed)
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.length(text))
 
@@ -116,8 +139,10 @@ def text_key(text: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, literal: int = LITERAL) -> DataFrame:
     """(hit_key, n_hits, items): texts, by ``text_key``, with windows of a benchmark item's template.
 
-    Windows that follow one another alike in text and item are one passage, and count only if the slot values of the
-    whole passage map one to one. Texts without a hit are not listed. Null and empty texts have no windows; nor have
+    Windows that follow one another alike in text and item, each beginning at the end of the one before at the latest,
+    are one passage. It counts whole if its slot values map one to one. Otherwise it is cut wherever a window clashes
+    with the run before it, and the runs with the item's own values count: a copy in which one number was changed is
+    still found by what comes before and after, while other values that don't fit together are another question. Texts without a hit are not listed. Null and empty texts have no windows; nor have
     null and empty items. Repeated items count once each. An item of fewer than ``length`` words is one window,
     compared to document windows of its own length. Windows with few words outside slots count verbatim, and in longer
     windows (``benchmark_windows``); document windows are made for each length that the benchmark's windows have, which
@@ -138,8 +163,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, l
     if hits is None:
         return docs.select(F.lit(0).cast("long").alias("hit_key"), F.lit(0).cast("long").alias("n_hits"), F.array().cast("array<bigint>").alias("items")).where("false")
     # a passage is at most as long as its item
-    passage = hits.distinct().groupBy("hit_key", "item_id", "shift").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
-    passage = passage.where(consistent(F.col("slots.theirs"), F.col("slots.slots")))
+    windows = F.array_sort(F.collect_list(F.struct("place", "n", "slots")))
+    passage = hits.distinct().groupBy("hit_key", "item_id", "shift").agg(windows.alias("windows")).select("hit_key", "item_id", agreeing(F.col("windows")).alias("n")).where("n > 0")
     return passage.groupBy("hit_key").agg(F.sum("n").alias("n_hits"), F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
@@ -176,10 +201,11 @@ def _sql_words(text: str) -> str:
 _TYPED = "list_transform({0}, lambda x: CASE WHEN starts_with(x, chr(2)) THEN x[1:2] ELSE x END)"
 _SLOTS = "list_filter({0}, lambda x: starts_with(x, chr(2)))"
 ORACLE = f"""
-WITH item AS (
+WITH RECURSIVE item AS (
   SELECT item_id, w, least(len(w), {WINDOW}) AS n FROM (
     SELECT item_id, {_sql_words("text")} AS w FROM benchmark WHERE text IS NOT NULL
     UNION ALL SELECT item_id, ({_sql_words("('x ' || text)")})[2:] FROM benchmark WHERE text IS NOT NULL
+    UNION ALL SELECT item_id, {_sql_words("lower(text)")} FROM benchmark WHERE text IS NOT NULL
   ) WHERE len(w) > 0
 ), own AS (
   SELECT DISTINCT item_id, i AS start, n, {_TYPED.format("win")} AS t, {_SLOTS.format("win")} AS theirs
@@ -192,14 +218,29 @@ WITH item AS (
 ), hit AS (
   SELECT DISTINCT rid, item_id, i - start AS shift, i, own.n, list_zip(theirs, {_SLOTS.format("win")}) AS slots
   FROM win JOIN own ON own.n = win.n AND own.t = {_TYPED.format("win")}
-), passage AS (
-  SELECT rid, item_id, count(*) AS n, list_distinct(flatten(list(slots))) AS slots FROM hit
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY rid, item_id, shift ORDER BY i, n, CAST(slots AS VARCHAR)) AS k,
+    len(list_filter(slots, lambda x: x[1] <> x[2])) = 0 AS same
+  FROM hit
   WHERE len(list_distinct(slots)) = len(list_distinct(list_transform(slots, lambda x: x[1]))) AND len(list_distinct(slots)) = len(list_distinct(list_transform(slots, lambda x: x[2])))
-  GROUP BY rid, item_id, shift
+), run AS (
+  SELECT rid, item_id, shift, k, i + n AS upto, list_distinct(slots) AS slots, 1 AS r, same, false AS cut, 0 AS total FROM ranked WHERE k = 1
+  UNION ALL
+  SELECT rid, item_id, shift, k, upto, CASE WHEN near AND fits THEN common ELSE list_distinct(own) END, CASE WHEN near AND fits THEN r + 1 ELSE 1 END,
+    CASE WHEN near AND fits THEN was AND same ELSE same END, CASE WHEN near AND fits THEN cut ELSE near END,
+    CASE WHEN near AND fits OR (cut OR near) AND NOT was THEN total ELSE total + r END
+  FROM (
+    SELECT *, len(common) = len(list_distinct(list_transform(common, lambda x: x[1]))) AND len(common) = len(list_distinct(list_transform(common, lambda x: x[2]))) AS fits
+    FROM (
+      SELECT w.rid, w.item_id, w.shift, w.k, w.i + w.n AS upto, w.i <= run.upto AS near, w.slots AS own, list_distinct(list_concat(run.slots, w.slots)) AS common,
+        w.same, run.same AS was, run.cut, run.r, run.total
+      FROM run JOIN ranked w ON w.rid = run.rid AND w.item_id = run.item_id AND w.shift = run.shift AND w.k = run.k + 1
+    )
+  )
+), passage AS (
+  SELECT rid, item_id, CASE WHEN NOT cut OR same THEN total + r ELSE total END AS n FROM run QUALIFY row_number() OVER (PARTITION BY rid, item_id, shift ORDER BY k DESC) = 1
 ), ok AS (
-  SELECT rid, sum(n)::BIGINT AS n_hits, list_sort(list(DISTINCT item_id)) AS items FROM passage
-  WHERE len(slots) = len(list_distinct(list_transform(slots, lambda x: x[1]))) AND len(slots) = len(list_distinct(list_transform(slots, lambda x: x[2])))
-  GROUP BY rid
+  SELECT rid, sum(n)::BIGINT AS n_hits, list_sort(list(DISTINCT item_id)) AS items FROM passage WHERE n > 0 GROUP BY rid
 )
 SELECT doc_id, coalesce(n_hits, 0)::BIGINT AS n_hits, coalesce(array_to_string(items, ','), '') AS items, n_hits IS NOT NULL AS contaminated
 FROM doc LEFT JOIN ok USING (rid)

@@ -153,7 +153,8 @@ def test_lines_of_large_and_null_ids(spark):
     rows = [(1 << 40, line), (2**63 - 1, line), (None, line + "\nalone here"), (None, other), (-5, other), (None, "only in rows without an id a"), (None, "only in rows without an id b")]
     out = sorted(((r.doc_id, r.kept_text) for r in op8.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
     assert [t for i, t in out if i is not None] == [other, "", ""] or {i: t for i, t in out if i is not None} == {-5: other, 1 << 40: "", 2**63 - 1: ""}
-    assert sum("only in rows" in (t or "") for i, t in out if i is None) <= 1
+    # rows without an id are documents of their own: these two lines are no copies, whatever happens to other rows
+    assert sum("only in rows" in (t or "") for i, t in out if i is None) == 2
 
 
 def test_components(spark):
@@ -262,16 +263,17 @@ def test_windows_by_brute_force():
     for _ in range(400):
         words = [rng.choice("xyzwvuqr") for _ in range(rng.randrange(0, 25))]
         grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-        best = None
+        best, names = None, set()
         for name, text in sorted(templates.items()):
             own = set(op3.template_bigrams(text))
             for i, g in enumerate(grams):
                 seen = set(grams[i : i + len(text.split()) - 1])
                 dice = 2 * len(seen & own) / (len(seen) + len(own))
                 if g in own and dice >= 0.8:
-                    key = (-dice, i, name)
+                    key = (-len(seen & own), -dice, name)
                     best = min(best, key) if best else key
-        assert find(" ".join(words)) == (best and (best[2], -best[0], best[1]))
+                    names.add(name)
+        assert find(" ".join(words)) == (sorted(names), best and (-best[0], -best[1], best[2]))
 
 
 def test_lookup_table():
@@ -313,10 +315,13 @@ def test_mixing_takes_what_it_says(docs):
 def test_reparameterised_question(spark):
     item = "If a train covers 120 km in 3 hours then how far does Alice ride in 3 hours at that speed"
     benchmark = spark.createDataFrame([(1, item), (2, "too short"), (3, None)], "item_id long, text string")
-    rows = [(1, "so. " + item.replace("120", "450").replace("3", "7").replace("Alice", "Bob") + " ok"), (2, item.replace("in 3 hours at", "in 9 hours at")), (3, "nothing of this kind is here at all, not one window"), (4, None), (None, item)]
+    rows = [(1, "so. " + item.replace("120", "450").replace("3", "7").replace("Alice", "Bob") + " ok"), (2, item.replace("120", "450").replace("in 3 hours at", "in 9 hours at").replace("in 3", "in 7")), (3, "nothing of this kind is here at all, not one window"), (4, None), (None, item)]
     got = {r.doc_id: r.contaminated for r in op9.flag_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
     # in row 2 the same value of the item has two values in the document
     assert got[1] and got[None] and not got[2] and not got[3] and not got[4]
+    # with the item's own values before the clash it is a copy whose end was changed
+    part = op9.flag_contaminated(spark.createDataFrame([(5, item.replace("in 3 hours at", "in 9 hours at"))], "doc_id long, text string"), benchmark).first()
+    assert part.contaminated
 
 
 def test_questions_with_other_names_and_numbers_are_found(spark):
