@@ -7,10 +7,11 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import origin, path, squeeze
+from .markup import page_elements
 
 CSS_URL = "url[(] *[\"']?([^\"')]+)[\"']? *[)]"
 CSS_IMPORT = "@import +[\"']([^\"']+)[\"']"
@@ -164,34 +165,32 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 
 def extract_headings(pages: DataFrame) -> DataFrame:
-    """(page_id, ordinal, level, text); an aria-level attribute goes before the tag's digit."""
-    tag = "<h([1-6])([^>]*)>([^<]*)"
-    z = F.arrays_zip(*[_all(F.col("html"), tag, i).alias(n) for i, n in ((1, "digit"), (2, "attrs"), (3, "text"))])
-    rows = pages.select("page_id", F.posexplode(z).alias("ordinal", "h"))
-    aria = F.regexp_extract("h.attrs", 'aria-level="([0-9]+)"', 1)
-    return rows.select("page_id", F.col("ordinal").cast("long").alias("ordinal"), F.when(aria != "", aria).otherwise(F.col("h.digit")).cast("int").alias("level"), squeeze("h.text").alias("text"))
-
-
-#: Kind of dependency: pattern whose first group is its address (or nothing).
-DEPENDENCIES = {
-    "script": '<script src="([^"]*)"',
-    "stylesheet": '<link rel="stylesheet" href="([^"]*)"',
-    "image": '<img[^>]* src="([^"]*)"',
-    "base": '<base href="([^"]*)"',
-    "meta_refresh": '<meta http-equiv="refresh" content="([^"]*)"',
-    "frame": '<iframe[^>]* src="([^"]*)"',
-    "object": '<object[^>]* data="([^"]*)"',
-}
+    """(page_id, ordinal, level, text) of every heading, nested tags included; an aria-level attribute goes before the
+    tag's digit. A null page has none."""
+    rows = page_elements(pages, frozenset(f"h{i}" for i in range(1, 7)))
+    ordinal = F.row_number().over(W.partitionBy("page_id").orderBy("node")) - 1
+    aria = F.regexp_extract(F.coalesce(F.col("attributes")["aria-level"], F.lit("")), "^ *([0-9]+) *$", 1)
+    return rows.select("page_id", ordinal.cast("long").alias("ordinal"), F.when(aria != "", aria).otherwise(F.substring("tag", 2, 1)).cast("int").alias("level"), "text")
 
 
-def extract_dependencies(pages: DataFrame) -> DataFrame:
-    """(page_id, kind, ordinal, target) of scripts, stylesheets, images, base, refresh, frames and objects."""
+#: Kind of dependency: tag, attribute with its address (or content).
+DEPENDENCIES = {"script": ("script", "src"), "stylesheet": ("link", "href"), "image": ("img", "src"), "base": ("base", "href"), "meta_refresh": ("meta", "content"), "frame": ("iframe", "src"), "object": ("object", "data")}
 
-    def of(kind: str):
-        return lambda t, i: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("ordinal"), t.alias("target"))
 
-    each = F.flatten(F.array(*[F.transform(_all(F.col("html"), p), of(k)) for k, p in DEPENDENCIES.items()]))
-    return pages.select("page_id", F.explode(each).alias("d")).select("page_id", "d.*")
+def extract_dependencies(pages: DataFrame) -> DataFrame:
+    """(page_id, kind, ordinal, target) of scripts, stylesheets, images, base, refresh, frames and objects, however
+    their attributes are written. Ordinals count a kind's elements on a page; a null page has none."""
+    rows = page_elements(pages, frozenset(t for t, _ in DEPENDENCIES.values()))
+    get = lambda n: F.col("attributes")[n]
+    lower = lambda n: F.lower(F.coalesce(get(n), F.lit("")))
+    fits = {"stylesheet": F.array_contains(F.split(F.trim(lower("rel")), "[ \\t\\r\\n]+"), "stylesheet"), "meta_refresh": F.trim(lower("http-equiv")) == "refresh"}
+    kind, target = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, (tag, attribute) in DEPENDENCIES.items():
+        own = (F.col("tag") == tag) & get(attribute).isNotNull() & fits.get(name, F.lit(True))
+        kind, target = F.when(own, name).otherwise(kind), F.when(own, get(attribute)).otherwise(target)
+    rows = rows.select("page_id", "node", kind.alias("kind"), target.alias("target")).where("kind is not null")
+    ordinal = F.row_number().over(W.partitionBy("page_id", "kind").orderBy("node")) - 1
+    return rows.select("page_id", "kind", ordinal.cast("long").alias("ordinal"), "target")
 
 
 #: Counts of tags and the like.
@@ -219,15 +218,19 @@ def structural_inventory(pages: DataFrame) -> DataFrame:
 
 
 def page_profile(pages: DataFrame) -> DataFrame:
-    """(page_id, title, lang, declared_charset, text_length) with white space normalised."""
-    bare = F.regexp_replace(F.regexp_replace("html", "<script>[^<]*(?:<[^/][^<]*)*</script>|<style>[^<]*</style>|<title>[^<]*</title>", " "), "<[^>]*>", " ")
-    return pages.select(
-        "page_id",
-        F.trim(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("title"),
-        F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"),
-        F.regexp_extract("html", '<meta charset="([^"]*)"', 1).alias("declared_charset"),
-        F.length(F.trim(F.regexp_replace(bare, "[ \t\r\n]+", " "))).cast("long").alias("text_length"),
-    )
+    """(page_id, title, lang, declared_charset, text_length) with white space normalised: the first title, the root's
+    language and the first declared charset, however written, and the length of the text outside of tags, scripts,
+    styles and the title."""
+    rows = page_elements(pages, frozenset({"html", "title", "meta"}))
+    get = lambda n: F.col("attributes")[n]
+    first = lambda c, when: F.min(F.when(when & c.isNotNull(), F.struct("node", c.alias("v")))).getField("v")
+    declared = rows.groupBy("page_id").agg(first(F.col("text"), F.col("tag") == "title").alias("title"), first(get("lang"), F.col("tag") == "html").alias("lang"), first(get("charset"), F.col("tag") == "meta").alias("declared_charset"))
+    bare = F.regexp_replace("html", "(?is)<(script|style|title)\\b[^>]*>.*?</\\1[^>]*>|<!--.*?-->", " ")
+    bare = F.regexp_replace(bare, "<[^>]*>", " ")
+    length = F.length(F.trim(F.regexp_replace(F.coalesce(bare, F.lit("")), "[ \t\r\n]+", " "))).cast("long")
+    texts = pages.select("page_id", length.alias("text_length"))
+    out = texts.join(declared.hint("shuffle_hash"), "page_id", "left")
+    return out.select("page_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "lang", "declared_charset")], "text_length")
 
 
 def css_dependencies(rows: DataFrame) -> DataFrame:

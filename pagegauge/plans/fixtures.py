@@ -21,6 +21,11 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
         '@import "/s' || cast(page_id % 9 AS string) || '.css"; a{{background:url(/i' || cast(page_id % 7 AS string) || '.png)}}' ELSE '' END AS css FROM {pages}""",
     "form_pages": """SELECT page_id, url, html || '<form action="/submit/' || cast(page_id AS string) || '" method="post"><label for="a' || cast(page_id AS string) || '">Name</label><input id="a' || cast(page_id AS string)
         || '" name="n" type="text"><label>Size <select name="s"><option>small<option>large</select></label><img src="/i' || cast(page_id % 5 AS string) || '.png" style="background-image:url(/b.png)"></form>' AS html FROM {pages}""",
+    "named_pages": """SELECT page_id, url, html || '<span id="w' || cast(page_id AS string) || '">Word ' || cast(page_id AS string) || '</span><span id=v' || cast(page_id AS string) || '>  Verb <b>' || cast(page_id % 7 AS string)
+        || '</b></span><form action=/x><input aria-labelledby="w' || cast(page_id AS string) || ' none v' || cast(page_id AS string) || '"><label for=f' || cast(page_id AS string) || '>For ' || cast(page_id AS string)
+        || '</label><input id="f' || cast(page_id AS string) || '" type=EMAIL><fieldset><legend>Legend ' || cast(page_id % 5 AS string) || '</legend><label>Around ' || cast(page_id AS string) || '<input type="radio" value=yes></label></fieldset><button>Go '
+        || cast(page_id AS string) || '</button><select title="pick ' || cast(page_id AS string) || '"><option value="">-<option value="' || cast(page_id % 3 AS string) || '">n<option value="big ' || cast(page_id AS string) || '">Big '
+        || cast(page_id AS string) || '<option disabled value=k' || cast(page_id AS string) || '>Other</select></form>' AS html FROM {pages}""",
     "rich_pages": """SELECT page_id, url, html || CASE page_id % 6
         WHEN 0 THEN '<a class="x" href="/deep/' || cast(page_id AS string) || '?q=1" rel="nofollow">  <b>Deep</b> page </a><a name="here">no address</a><iframe src="/f"></iframe><link rel="stylesheet" href="/s.css"><script src="https://cdn.example.net/x.js"></script>'
         WHEN 1 THEN '<a href=''https://other.example.net/y'' target=_blank aria-label=" Go  there ">Out <i>side</i></a><form action="/api/applications" method="POST"><input name="a"></form><form action="/other" method="post"></form><meta http-equiv="refresh" content="5">'

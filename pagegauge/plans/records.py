@@ -15,6 +15,18 @@ NAMED = "CASE l_partkey % 11 WHEN 0 THEN 'Send ' || name WHEN 1 THEN 'Apply' ELS
 LINK_PROPS, CONTROL_PROPS, HEADING_PROPS = ["href"], ["type", "value_length", "required", "visible", "label", "n_options"], ["level", "text"]
 
 
+#: As the pages of the fixture write them.
+DEPENDENCY_PATTERNS = {
+    "script": '<script src="([^"]*)"',
+    "stylesheet": '<link rel="stylesheet" href="([^"]*)"',
+    "image": '<img[^>]* src="([^"]*)"',
+    "base": '<base href="([^"]*)"',
+    "meta_refresh": '<meta http-equiv="refresh" content="([^"]*)"',
+    "frame": '<iframe[^>]* src="([^"]*)"',
+    "object": '<object[^>]* data="([^"]*)"',
+}
+
+
 def keyed(s, d, name):
     base = {"links": D.link_base(), "controls": D.control_base(), "headings": D.heading_base()}[name.split("_")[0]]
     return D.assign_keys(rows(s, d, name), base)
@@ -154,12 +166,12 @@ _INVENTORY = " SELECT page_id, " + ", ".join(
 ) + " FROM rich_pages"
 
 ORACLES = {
-    "page_profile": r"""SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)', 1)) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS declared_charset,
-      length(trim(regexp_replace(regexp_replace(regexp_replace(html, '<script>[^<]*(?:<[^/][^<]*)*</script>|<style>[^<]*</style>|<title>[^<]*</title>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS text_length FROM pages""",
+    "page_profile": r"""SELECT page_id, replace(replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)', 1)), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS declared_charset,
+      length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script[^>]*>|<style\b[^>]*>.*?</style[^>]*>|<title\b[^>]*>.*?</title[^>]*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS text_length FROM pages""",
     "extract_links": duck_with("rich_pages") + _ANCHORS,
-    "extract_headings": r"""SELECT page_id, o AS ordinal, CAST(CASE WHEN a <> '' THEN a ELSE regexp_extract(m, '<h([1-6])', 1) END AS INTEGER) AS level, trim(regexp_replace(regexp_extract(m, '>([^<]*)$', 1), '\s+', ' ', 'g')) AS text
+    "extract_headings": r"""SELECT page_id, o AS ordinal, CAST(CASE WHEN a <> '' THEN a ELSE regexp_extract(m, '<h([1-6])', 1) END AS INTEGER) AS level, replace(replace(replace(replace(trim(regexp_replace(regexp_extract(m, '>([^<]*)$', 1), '\s+', ' ', 'g')), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS text
       FROM (SELECT page_id, o, m, regexp_extract(m, 'aria-level="([0-9]+)"', 1) AS a FROM (SELECT page_id, unnest(l) AS m, unnest(range(len(l))) AS o FROM (SELECT page_id, regexp_extract_all(html, '<h([1-6])([^>]*)>([^<]*)') AS l FROM pages)))""",
-    "extract_dependencies": duck_with("rich_pages") + " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, unnest(range(len(l))) AS ordinal, unnest(l) AS target FROM (SELECT page_id, regexp_extract_all(html, '{p}', 1) AS l FROM rich_pages)" for k, p in E.DEPENDENCIES.items()),
+    "extract_dependencies": duck_with("rich_pages") + " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, unnest(range(len(l))) AS ordinal, unnest(l) AS target FROM (SELECT page_id, regexp_extract_all(html, '{p}', 1) AS l FROM rich_pages)" for k, p in DEPENDENCY_PATTERNS.items()),
     "structural_inventory": duck_with("rich_pages") + _INVENTORY,
     "tag_counts": "SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '{p}')) AS n_{k}" for k, p in E.TAGS.items()) + " FROM pages",
     "css_dependencies": duck_with("page_rows") + f"""SELECT DISTINCT page_id, trim(regexp_replace(url, '#.*$', '')) AS url FROM (SELECT page_id, unnest(list_concat(list_concat(regexp_extract_all(css, '{E.CSS_URL.replace("'", "''")}', 1), regexp_extract_all(css, '{E.CSS_IMPORT.replace("'", "''")}', 1)), regexp_extract_all(css, '{E.CSS_SET.replace("'", "''")}', 1))) AS url FROM page_rows)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import audits, records, scores, streams
+from .plans import audits, markup, records, scores, streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _plan in (records, scores, audits, streams):
+for _plan in (records, scores, audits, streams, markup):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES

@@ -86,10 +86,32 @@ def scan_tree(spark: SparkSession, root: str, max_bytes: int = 5 << 20, skip: tu
 
 
 def write_run(df: DataFrame, path: str, run_id: str) -> None:
-    """Write the rows of a run once: an id that is stored already is refused before anything is written."""
+    """Write the rows of a run once: of several writers of one id, one wins and the others are refused.
+
+    The id is claimed by creating a file that must not exist, rows go to a staged folder that readers of ``path`` skip,
+    and one rename makes them visible, so nothing half-written is ever read. A writer that fails gives its claim back;
+    one that is lost keeps it, and its id has to be freed by hand, as it may still be writing.
+    """
+    import uuid
+
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/run_id={run_id}")
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        raise ValueError(f"run {run_id} is stored already")
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    final, claim, staged = make(f"{path}/run_id={run_id}"), make(f"{path}/_claims/{run_id}"), make(f"{path}/_staged/{run_id}-{uuid.uuid4().hex}")
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    refused = ValueError(f"run {run_id} is stored already, or being stored")
+    if fs.exists(final):
+        raise refused
+    try:
+        fs.create(claim, False).close()
+    except Exception as e:
+        if "FileAlreadyExists" in str(e) or fs.exists(claim):
+            raise refused from None
+        raise
+    try:
+        df.write.parquet(staged.toString())
+        if fs.exists(final) or not fs.rename(staged, final):
+            raise refused
+    except Exception:
+        fs.delete(staged, True)
+        fs.delete(claim, False)
+        raise
