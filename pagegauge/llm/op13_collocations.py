@@ -24,11 +24,11 @@ MIN_COUNT = 10
 MAX_WORDS = 3
 TOP = 2000
 #: Bytes of text that a shard counts at once; a longer single text is taken whole.
-SHARD = 16 << 20
+SHARD = 6 << 20
 #: Bytes of text for each prefix range, and of the sample that ranges are cut by.
 RANGE, SAMPLE = 2 << 20, 4 << 20
 #: Entries of a range's runs that are added up at once.
-MERGE = 4 << 20
+MERGE = 2 << 20
 #: Phrases of one transducer.
 BLOCK = 4096
 #: Between the words of a key: sorts below all else, so a phrase comes right before its own extensions.
