@@ -24,11 +24,11 @@ MIN_COUNT = 10
 MAX_WORDS = 3
 TOP = 2000
 #: Bytes of text that a shard counts at once; a longer single text is taken whole.
-SHARD = 6 << 20
+SHARD = 3 << 20
 #: Bytes of text for each prefix range, and of the sample that ranges are cut by.
-RANGE, SAMPLE = 2 << 20, 4 << 20
+RANGE, SAMPLE = 1 << 20, 4 << 20
 #: Entries of a range's runs that are added up at once.
-MERGE = 2 << 20
+MERGE = 1 << 20
 #: Phrases of one transducer.
 BLOCK = 4096
 #: Between the words of a key: sorts below all else, so a phrase comes right before its own extensions.
@@ -75,6 +75,7 @@ def _flushed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str
             for grams, counts in _counted(texts, most):
                 yield lang, grams, counts
         waiting.clear()
+        pa.default_memory_pool().release_unused()
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
@@ -173,6 +174,7 @@ def _summed(least: int):
                 if size > MERGE:
                     held = [total()]
                     size = 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield settle()
 
