@@ -128,6 +128,15 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
     "assets_dom": "SELECT page_id, CASE WHEN page_id % 10 = 0 THEN path || '.old' ELSE path END AS path FROM {assets}",
     "samples": """SELECT page_id, variant, instant, NOT (page_id % 7 = 0 AND instant = 2 AND variant = 3) AS visible, page_id % 11 = 0 AND variant = 5 AS occluded, variant AS environment FROM {pages},
         (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS v(variant), (VALUES (0), (1), (2)) AS i(instant) WHERE NOT (page_id % 9 = 0 AND variant = 6)""",
+    "attributes": """SELECT page_id, 'data-' || cast(page_id % 14 AS string) AS name, CASE page_id % 14
+        WHEN 0 THEN '{{"a":{{"b":[{{"c":{{"d":{{"' || chr(92) || 'u0061piKey":' || cast(page_id AS string) || '}}}}}}]}}}}' WHEN 1 THEN '/p?next=https%3A%2F%2Fa.example%2F%3Fu%3Dx%253Dy%2526sessionId%253D' || cast(page_id AS string)
+        WHEN 2 THEN 'see https://u:pw@h' || cast(page_id AS string) || '.example/x' WHEN 3 THEN 'Bearer abcdefgh' || cast(page_id AS string) WHEN 4 THEN '/x?y=1#client_secret=' || cast(page_id AS string)
+        WHEN 5 THEN '[[[[[[[[' || cast(page_id AS string) || ']]]]]]]]' WHEN 6 THEN '[[[[[[[' || cast(page_id AS string) || ']]]]]]]' WHEN 7 THEN repeat('ab', 32768) || cast(page_id AS string)
+        WHEN 8 THEN '%25252525252541' WHEN 9 THEN '{{token: ' || cast(page_id AS string) WHEN 10 THEN '{{"n":"' || cast(page_id AS string) || '","' || chr(92) || 'u0074oken":null}}'
+        WHEN 11 THEN '{{"q":"%7B%22%5Cu006awt%22%3A' || cast(page_id AS string) || '%7D"}}' WHEN 12 THEN 'https://h.example:x' || cast(page_id AS string) || '/' ELSE 'size=' || cast(page_id AS string) || '&url=' || url END AS value FROM {pages}""",
+    "stored_records": """SELECT seq, CASE seq % 9 WHEN 0 THEN '{{"bodyBytes":' || cast(amount AS string) || ',"emailConfirmation":false,"p":' || props || '}}' WHEN 1 THEN '{{"a":[{{"b":{{"c":[{{"d":{{"fullName":' || props || '}}}}]}}}}]}}'
+        WHEN 2 THEN '{{"note":"synthetic-RESUME.pdf","p":' || props WHEN 3 THEN '[{{"raw_body":{{"answers":[],"x":"synthetic.applicant@example.test"}}}},' || props || ']' WHEN 4 THEN '{{"x":"' || chr(92) || '"email' || chr(92) || '":1","k":' || props || '}}'
+        WHEN 5 THEN cast(NULL AS string) WHEN 6 THEN props WHEN 7 THEN '"phone"' ELSE '{{"' || chr(92) || 'u0065mail":1,"t":"+15555550100"}}' END AS json FROM {telemetry}""",
 }
 
 
