@@ -63,19 +63,29 @@ def path(url) -> Column:
     return F.regexp_extract(col(url), "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def ipv4(c) -> Column:
-    """Dotted quad as a number; null for anything else."""
-    parts = F.split(col(c), "[.]")
-    n = reduce(lambda a, i: a * 256 + F.try_element_at(parts, F.lit(i)).try_cast("long"), [2, 3, 4], F.try_element_at(parts, F.lit(1)).try_cast("long"))
-    ok = col(c).rlike("^[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}$") & F.forall(parts, lambda p: p.try_cast("int") <= 255)
-    return F.when(ok, n)
-
-
 def bound(value: Column, body) -> Column:
     """Bind ``value`` to a name, so that it is computed once a row and the expression doesn't grow with its uses."""
     return F.transform(F.array(value), body)[0]
 
 
+def ipv4(c) -> Column:
+    """Number of an IPv4 host as URLs are read: one to four parts, decimal, octal (0...) or hexadecimal (0x...), the last
+    one filling what is left; full-width digits and stops count as plain ones. Null for anything else."""
+
+    def number(part: Column) -> Column:
+        digits = F.when(part == "0x", "0").when(part.rlike("^0x[0-9a-f]+$"), F.conv(F.substring(part, 3, 64), 16, 10))
+        return digits.when(part.rlike("^0[0-7]+$"), F.conv(part, 8, 10)).when(part.rlike("^(?:0|[1-9][0-9]*)$"), part).try_cast("long")
+
+    def whole(n: Column) -> Column:
+        head, last = F.slice(n, F.lit(1), F.size(n) - 1), F.element_at(n, -1)
+        room = F.get(F.array(*[F.lit(256**k) for k in (4, 3, 2, 1)]), F.size(n) - 1)
+        ok = (F.size(n) <= 4) & F.forall(n, lambda x: x.isNotNull()) & F.forall(head, lambda x: x <= 255) & (last < room)
+        return F.when(ok, F.aggregate(head, F.lit(0).cast("long"), lambda a, x: a * 256 + x) * room + last)
+
+    plain = F.translate(F.lower(col(c)), "０１２３４５６７８９ａｂｃｄｅｆｘ．。", "0123456789abcdefx..")
+    return bound(F.transform(F.split(F.regexp_replace(plain, "[.]$", ""), "[.]"), number), whole)
+
+
 def ipv6(c) -> Column:
     """The eight words of an IPv6 address, in brackets or not, as numbers; null for anything else. A zone is cut off, a
     dotted quad at the end is two words."""

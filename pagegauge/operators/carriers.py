@@ -187,15 +187,14 @@ def retained_data(records: DataFrame, *keys: str) -> DataFrame:
     The text is parsed to a VARIANT and written out again, so that escapes are resolved and strings can't be mistaken for
     keys; then one pass over its string tokens gives the keys of all levels, however deep. Null: nothing stored, no finding.
     """
-    parsed = F.try_parse_json("json")
+    stored = records.where("json is not null").select(*keys, F.col("json").alias("__json"), F.to_json(F.try_parse_json("json")).alias("__parsed"))
     # Without escape pairs, every quotation mark begins or ends a string.
-    plain = F.regexp_replace(F.to_json(parsed), "\\\\.", "\ufffd")
-    tokens = F.regexp_extract_all(plain, F.lit('("[^"]*":?)'), F.lit(1))
+    tokens = F.regexp_extract_all(F.regexp_replace("__parsed", "\\\\.", "\ufffd"), F.lit('"[^"]*":?'), F.lit(0))
     named = F.transform(F.filter(tokens, lambda t: t.endswith(":")), lambda t: F.substring(t, F.lit(2), F.length(t) - 3))
     held = F.filter(named, lambda k: ~k.isin(*ALLOWED_KEYS) & k.rlike(VALUE_KEYS))
     reasons = F.array(
-        F.struct(F.lit("broken").alias("reason"), F.when(parsed.isNull(), 1).otherwise(0).cast("long").alias("n")),
+        F.struct(F.lit("broken").alias("reason"), F.when(F.col("__parsed").isNull(), 1).otherwise(0).cast("long").alias("n")),
         F.struct(F.lit("key").alias("reason"), F.coalesce(F.size(held), F.lit(0)).cast("long").alias("n")),
-        F.struct(F.lit("value").alias("reason"), F.regexp_count(F.coalesce(F.to_json(parsed), F.col("json")), F.lit(SYNTHETIC)).cast("long").alias("n")),
+        F.struct(F.lit("value").alias("reason"), F.regexp_count(F.coalesce("__parsed", "__json"), F.lit(SYNTHETIC)).cast("long").alias("n")),
     )
-    return records.where("json is not null").select(*keys, F.inline(reasons)).where("n > 0")
+    return stored.select(*keys, F.inline(reasons)).where("n > 0")

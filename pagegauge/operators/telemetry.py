@@ -101,7 +101,7 @@ def lifecycle_balance(events: DataFrame, quiet_seconds: int = 300) -> DataFrame:
     """(session, started, finished, failed, quiet, balanced): all requests ended, none failed, and a quiet end."""
     per = events.groupBy("session").agg(*[F.count_if(F.col("kind") == f"request_{k}").alias(k) for k in ("started", "finished", "failed")], F.max("ts").alias("last"), F.max(F.when(F.col("kind").startswith("request"), F.col("ts"))).alias("last_request"))
     quiet = F.coalesce(F.floor(_micros("last") / 1000000) - F.floor(_micros("last_request") / 1000000) >= quiet_seconds, F.lit(True))
-    return per.select("session", "started", "finished", "failed", quiet.alias("quiet"), ((F.col("started") == F.col("finished")) & (F.col("failed") == 0)).alias("balanced"))
+    return per.select("session", "started", "finished", "failed", quiet.alias("quiet"), ((F.col("started") == F.col("finished")) & (F.col("failed") == 0) & quiet).alias("balanced"))
 
 
 def quiescence(events: DataFrame, gap_seconds: int = 300) -> DataFrame:

@@ -37,6 +37,7 @@ def audit(s, d):
 QUERIES = {
     "classify_targets": lambda s, d: U.classify_targets(rows(s, d, "audit_urls")),
     "private_destinations": lambda s, d: U.private_destinations(rows(s, d, "audit_urls")),
+    "numeric_destinations": lambda s, d: U.private_destinations(rows(s, d, "numeric_urls")),
     "credential_url_audit": lambda s, d: U.credential_url_audit(rows(s, d, "audit_urls")),
     "reconcile_inventories": lambda s, d: U.reconcile_inventories(rows(s, d, "assets"), rows(s, d, "assets_graph"), rows(s, d, "assets_dom")),
     "external_assets": lambda s, d: U.external_assets(rows(s, d, "audit_urls"), rows(s, d, "audit_urls").where("page_id % 3 = 0"), rows(s, d, "pages").select("page_id", "url", F.lit("https://site.example.com").alias("allowed"))),
@@ -104,6 +105,10 @@ _REFS = "SELECT page_id, CASE WHEN ordinal % 3 = 0 THEN 'https://cdn.example.net
 ORACLES = {
     "classify_targets": duck_with("audit_urls") + f"SELECT page_id, url, {_TARGET} AS target FROM audit_urls",
     "private_destinations": duck_with("audit_urls") + _PRIVATE,
+    # Ranges are known from how the hosts are made.
+    "numeric_destinations": duck_with("numeric_urls")
+    + """, known(kind, reason) AS (VALUES (0, '127.0.0.0/8'), (1, '127.0.0.0/8'), (2, '127.0.0.0/8'), (3, '10.0.0.0/8'), (4, '192.168.0.0/16'), (7, '172.16.0.0/12'))
+    SELECT page_id, lower(regexp_extract(url, '//([^:/]+)', 1)) AS host, reason FROM numeric_urls JOIN known ON kind = page_id % 8""",
     "credential_url_audit": duck_with("audit_urls") + _LEVELS + _CRED,
     "reconcile_inventories": duck_with("assets", "assets_graph", "assets_dom") + _RECON,
     "external_assets": duck_with("audit_urls") + f"SELECT DISTINCT page_id, url, {_TARGET} AS target FROM (SELECT page_id, url FROM audit_urls UNION SELECT page_id, url FROM pages)",

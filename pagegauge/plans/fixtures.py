@@ -128,6 +128,9 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
     "assets_dom": "SELECT page_id, CASE WHEN page_id % 10 = 0 THEN path || '.old' ELSE path END AS path FROM {assets}",
     "samples": """SELECT page_id, variant, instant, NOT (page_id % 7 = 0 AND instant = 2 AND variant = 3) AS visible, page_id % 11 = 0 AND variant = 5 AS occluded, variant AS environment FROM {pages},
         (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS v(variant), (VALUES (0), (1), (2)) AS i(instant) WHERE NOT (page_id % 9 = 0 AND variant = 6)""",
+    "numeric_urls": """SELECT page_id, 'https://site.example.com' AS allowed, CASE page_id % 8 WHEN 0 THEN 'http://127.' || cast(page_id % 200 AS string) || '/' WHEN 1 THEN 'http://0177.0.0.' || cast(page_id % 200 + 8 AS string) || '/'
+        WHEN 2 THEN 'http://0x7f.0.0.1/x' || cast(page_id AS string) WHEN 3 THEN 'http://' || cast(167772160 + page_id AS string) || ':8080/' WHEN 4 THEN 'http://0xC0A80' || cast(100 + page_id % 100 AS string) || '/'
+        WHEN 5 THEN 'http://８.8.8.8/' WHEN 6 THEN 'http://134744' || cast(100 + page_id % 800 AS string) || '/' ELSE 'http://172.1060865/' END AS url FROM {pages}""",
     "attributes": """SELECT page_id, 'data-' || cast(page_id % 14 AS string) AS name, CASE page_id % 14
         WHEN 0 THEN '{{"a":{{"b":[{{"c":{{"d":{{"' || chr(92) || 'u0061piKey":' || cast(page_id AS string) || '}}}}}}]}}}}' WHEN 1 THEN '/p?next=https%3A%2F%2Fa.example%2F%3Fu%3Dx%253Dy%2526sessionId%253D' || cast(page_id AS string)
         WHEN 2 THEN 'see https://u:pw@h' || cast(page_id AS string) || '.example/x' WHEN 3 THEN 'Bearer abcdefgh' || cast(page_id AS string) WHEN 4 THEN '/x?y=1#client_secret=' || cast(page_id AS string)

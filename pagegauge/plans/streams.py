@@ -138,7 +138,7 @@ ORACLES = {
     "retain_events": _T + f"SELECT session, seq, kind, total, total > lim AS truncated FROM (SELECT *, CASE kind {' '.join(f'WHEN {k!r} THEN {v}' for k, v in L.LIMITS.items())} END AS lim, row_number() OVER (PARTITION BY session, kind ORDER BY ts, seq) AS rn, count(*) OVER (PARTITION BY session, kind) AS total FROM telemetry) WHERE rn <= lim",
     "interaction_gates": _T + "SELECT *, failures = '' AS passed FROM (SELECT *, concat_ws(',', CASE WHEN n_writes <> 2 THEN 'write_count' END, CASE WHEN n_keys <> 1 THEN 'key_count' END, CASE WHEN n_failed > 0 THEN 'blocked' END) AS failures FROM (SELECT session, count(*) FILTER (kind = 'write_attempt') AS n_writes, count(DISTINCT idem_key) FILTER (kind = 'write_attempt') AS n_keys, count(*) FILTER (kind = 'request_failed') AS n_failed FROM telemetry GROUP BY session))",
     "storage_delta": _T + ", a AS (SELECT session, list(DISTINCT resource_type) AS n, count(*) AS c FROM telemetry GROUP BY 1), b AS (SELECT session, list(DISTINCT resource_type) AS n, count(*) AS c FROM telemetry WHERE seq % 10 <> 0 GROUP BY 1) SELECT a.session, coalesce(array_to_string(list_sort(list_filter(a.n, lambda x: NOT list_contains(coalesce(b.n, []), x))), ','), '') AS added, a.c <> coalesce(b.c, 0) AS changed FROM a LEFT JOIN b USING (session)",
-    "lifecycle_balance": _T + "SELECT session, started, finished, failed, coalesce(CAST(floor(epoch(l)) AS BIGINT) - CAST(floor(epoch(r)) AS BIGINT) >= 300, true) AS quiet, started = finished AND failed = 0 AS balanced FROM (SELECT session, count(*) FILTER (kind = 'request_started') AS started, count(*) FILTER (kind = 'request_finished') AS finished, count(*) FILTER (kind = 'request_failed') AS failed, max(ts) AS l, max(ts) FILTER (starts_with(kind, 'request')) AS r FROM telemetry GROUP BY session)",
+    "lifecycle_balance": _T + "SELECT session, started, finished, failed, coalesce(CAST(floor(epoch(l)) AS BIGINT) - CAST(floor(epoch(r)) AS BIGINT) >= 300, true) AS quiet, started = finished AND failed = 0 AND coalesce(CAST(floor(epoch(l)) AS BIGINT) - CAST(floor(epoch(r)) AS BIGINT) >= 300, true) AS balanced FROM (SELECT session, count(*) FILTER (kind = 'request_started') AS started, count(*) FILTER (kind = 'request_finished') AS finished, count(*) FILTER (kind = 'request_failed') AS failed, max(ts) AS l, max(ts) FILTER (starts_with(kind, 'request')) AS r FROM telemetry GROUP BY session)",
     "quiescence": _T + "SELECT session, burst, count(*) AS n, min(ts) AS first, max(ts) AS last FROM (SELECT session, ts, CAST(sum(fresh) OVER (PARTITION BY session ORDER BY ts, seq) AS BIGINT) AS burst FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY session ORDER BY ts, seq)) <= 300000000 THEN 0 ELSE 1 END AS fresh FROM telemetry)) GROUP BY session, burst",
     "idempotent_receipts": _T + "SELECT session, sha256(idem_key) AS key_hash, count(*) AS attempts, first(seq ORDER BY ts, seq) AS receipt FROM telemetry WHERE kind = 'write_attempt' GROUP BY session, idem_key",
     "persistence_pairs": _T + ", t AS (SELECT *, sum((kind = 'write_attempt')::INT) OVER (PARTITION BY session ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS writes FROM telemetry) SELECT a.session, a.seq, b.seq AS later, a.resource_type = b.resource_type AS same FROM t a JOIN t b ON a.session = b.session AND a.writes = b.writes - (b.kind = 'write_attempt')::INT AND epoch_us(b.ts) - epoch_us(a.ts) BETWEEN 60000000 AND 1800000000",

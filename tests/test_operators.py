@@ -141,7 +141,7 @@ def test_nested_credential_urls(spark):
     assert (1, 2, "path_marker") in got and (2, 1, "path_marker") in got and (3, 0, "too_many") in got and not [g for g in got if g[1] > 2]
 
 
-@pytest.mark.parametrize("host,private", [("10.0.0.1", True), ("172.32.0.1", False), ("172.31.255.255", True), ("8.8.8.8", False), ("[::1]", True), ("[fd00::1]", True), ("printer", True), ("a.internal", True), ("example.com", False), ("999.1.1.1", False), ("192.88.99.1", True), ("x.onion", True), ("home.arpa", True), ("a.test", False), ("[2606:4700::1111]", False), ("[2606:4700:0:0:0:0:0:1111]:8080", False), ("[::ffff:10.0.0.1]", True), ("[::ffff:808:808]", False), ("[::ffff:c0a8:101]", True), ("[64:ff9b::1]", True), ("[100::5]", True), ("[100:0:0:1::5]", False), ("[2001:1ff::1]", True), ("[2001:200::1]", False), ("[2001:db8::1]", True), ("[2002::1]", True), ("[fec0::1]", True), ("[febf::1]", True), ("[fe00::1]", False), ("[ff02::1]", True), ("[::]", True), ("[fe80::1%25eth0]", True), ("a.corp.", True)])
+@pytest.mark.parametrize("host,private", [("10.0.0.1", True), ("172.32.0.1", False), ("172.31.255.255", True), ("8.8.8.8", False), ("[::1]", True), ("[fd00::1]", True), ("printer", True), ("a.internal", True), ("example.com", False), ("999.1.1.1", False), ("192.88.99.1", True), ("x.onion", True), ("home.arpa", True), ("a.test", False), ("[2606:4700::1111]", False), ("[2606:4700:0:0:0:0:0:1111]:8080", False), ("[::ffff:10.0.0.1]", True), ("[::ffff:808:808]", False), ("[::ffff:c0a8:101]", True), ("[64:ff9b::1]", True), ("[100::5]", True), ("[100:0:0:1::5]", False), ("[2001:1ff::1]", True), ("[2001:200::1]", False), ("[2001:db8::1]", True), ("[2002::1]", True), ("[fec0::1]", True), ("[febf::1]", True), ("[fe00::1]", False), ("[ff02::1]", True), ("[::]", True), ("[fe80::1%25eth0]", True), ("a.corp.", True), ("127.1", True), ("0177.0.0.1", True), ("0x7f.0.0.1", True), ("0X7F000001", True), ("2130706433", True), ("1２7.0.0。1", True), ("010.8.8.8", False), ("10.0.0.0.1", False), ("08.1.1.1", False), ("10.16777216", False), ("10.1.65535", True), ("10.1.65536", False), ("0x", True), ("99999999999999999999.a", False), ("127.1.", True)])
 def test_private_destinations(spark, host, private):
     df = spark.createDataFrame([(1, f"http://{host}/x")], "page_id long, url string")
     assert (urls.private_destinations(df).count() == 1) is private
