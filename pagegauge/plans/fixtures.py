@@ -137,6 +137,30 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
         WHEN 5 THEN '[[[[[[[[' || cast(page_id AS string) || ']]]]]]]]' WHEN 6 THEN '[[[[[[[' || cast(page_id AS string) || ']]]]]]]' WHEN 7 THEN repeat('ab', 32768) || cast(page_id AS string)
         WHEN 8 THEN '%25252525252541' WHEN 9 THEN '{{token: ' || cast(page_id AS string) WHEN 10 THEN '{{"n":"' || cast(page_id AS string) || '","' || chr(92) || 'u0074oken":null}}'
         WHEN 11 THEN '{{"q":"%7B%22%5Cu006awt%22%3A' || cast(page_id AS string) || '%7D"}}' WHEN 12 THEN 'https://h.example:x' || cast(page_id AS string) || '/' ELSE 'size=' || cast(page_id AS string) || '&url=' || url END AS value FROM {pages}""",
+    "styled_nodes": """SELECT *, cast(left_px AS double) AS left, cast(top_px AS double) AS top, cast(width_px AS double) AS width, cast(height_px AS double) AS height,
+        rule = 0 AS hidden, CASE WHEN rule = 1 THEN 'none' ELSE 'block' END AS display, CASE WHEN rule = 2 THEN 'collapse' ELSE 'visible' END AS visibility,
+        CASE WHEN rule = 3 THEN 'hidden' ELSE 'visible' END AS content_visibility,
+        CASE rule WHEN 4 THEN 'blur(1px) opacity(0%)' WHEN 9 THEN 'opacity(50%)' WHEN 13 THEN 'opacity(.5) blur(3px)' WHEN 14 THEN 'blur(1.5px)' ELSE 'none' END AS filter,
+        CASE rule WHEN 5 THEN 'rect(10px, 5px, 20px, 5px)' WHEN 21 THEN 'rect(0px, 50px, 20px, 0px)' ELSE 'auto' END AS clip,
+        CASE rule WHEN 6 THEN 'inset(60% 5px 40%)' WHEN 7 THEN 'circle(0px at 50% 50%)' WHEN 8 THEN 'polygon(0 0, 0 0, 0  0)' WHEN 10 THEN 'inset(10% 5px round 3px)' WHEN 11 THEN 'circle(5px)' WHEN 12 THEN 'polygon(0 0, 5 0, 5 5)'
+            WHEN 19 THEN 'inset(50%)' ELSE 'none' END AS clip_path,
+        CASE rule WHEN 15 THEN 'matrix(0.4, 0, 0, 1, 0, 0)' WHEN 16 THEN 'matrix(1, 0, 0, 1, 5, 5)' WHEN 17 THEN 'matrix3d(1, 0, 0, 0, 0, 2e-1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)' ELSE 'none' END AS transform,
+        CASE WHEN rule = 18 THEN 'url(m.png)' ELSE 'none' END AS mask_image, CASE WHEN rule = 20 THEN 'linear-gradient(red, blue)' ELSE 'none' END AS background_image,
+        CASE k % 11 WHEN 0 THEN 0.5e0 WHEN 1 THEN cast(NULL AS double) ELSE 1.0e0 END AS opacity, node = 0 AS is_root, node % 9 = 3 AS is_disclosure,
+        CASE k % 5 WHEN 0 THEN 'hidden' WHEN 1 THEN 'clip' ELSE 'visible' END AS overflow_x, CASE WHEN k % 7 = 0 THEN 'hidden' ELSE 'auto' END AS overflow_y,
+        CASE WHEN k % 43 = 0 THEN 0.0e0 ELSE 12.0e0 END AS font_px,
+        CASE k % 8 WHEN 0 THEN 'transparent' WHEN 1 THEN 'rgba(' || rgb || ', 0.5)' WHEN 2 THEN 'rgb(' || replace(rgb, ',', '') || ' / 75%)' ELSE 'rgb(' || rgb || ')' END AS color, CASE WHEN k % 6 = 0 THEN cast(NULL AS string) WHEN k % 47 = 1 THEN 'color(srgb 1 0 0 / 0)'
+            ELSE 'rgb(' || rgb || ')' END AS fill_color,
+        CASE k % 3 WHEN 0 THEN 'rgba(0, 0, 0, 0)' WHEN 1 THEN 'rgba(' || ground || ', 0.5)' ELSE 'rgb(' || ground || ')' END AS background_color FROM (
+        SELECT k, page_id, node, parent, rule, p_size * 3 % 60 AS left_px, k * 3 % 80 AS top_px, 100 + k % 50 AS width_px, CASE WHEN k % 41 = 0 THEN 0 ELSE 90 + p_size % 40 END AS height_px, r, g, b, br, bg, bb,
+            cast(r AS string) || ', ' || cast(g AS string) || ', ' || cast(b AS string) AS rgb, cast(br AS string) || ', ' || cast(bg AS string) || ', ' || cast(bb AS string) AS ground FROM (
+        SELECT p_partkey AS k, p_partkey % 10 AS page_id, cast(floor(p_partkey / 10) AS bigint) AS node,
+            CASE WHEN p_partkey < 10 THEN cast(NULL AS bigint) WHEN p_partkey % 10 = 0 THEN cast(floor(p_partkey / 10) AS bigint) - 1 ELSE cast(floor((floor(p_partkey / 10) - 1) / 4) AS bigint) END AS parent,
+            (p_partkey * 7 + p_size) % 113 AS rule, p_size, p_partkey * 7 % 256 AS r, p_partkey * 13 % 256 AS g, p_size * 5 % 256 AS b, p_size * 11 % 256 AS br, p_partkey * 3 % 256 AS bg, p_partkey % 256 AS bb FROM {part}) AS t) AS u""",
+    "css_edges": """SELECT page_id, '/c' || cast(cast(floor(n / 2) AS bigint) AS string) || '.css' AS src, n AS ordinal, CASE partkey % 5 WHEN 0 THEN '/c' || cast(n % 4 AS string) || '.css' WHEN 1 THEN '/i' || cast(partkey % 3 AS string) || '.png'
+        WHEN 2 THEN '/x.js' ELSE '/c' || cast(cast(floor(n / 2) AS bigint) + 1 AS string) || '.css' END AS dst FROM {rects}""",
+    "css_files": """SELECT page_id, url, CASE WHEN url LIKE '%.css' THEN 'text/css' WHEN url LIKE '%.png' THEN 'image/png' ELSE 'text/javascript' END AS content_type, bytes,
+        CASE WHEN bytes % 17 = 0 THEN 'dependency-fetch-failed' END AS failure FROM (SELECT page_id, dst AS url, sum(ordinal * 7 + 11) * (page_id % 13 + 1) AS bytes FROM (SELECT page_id, dst, cast(ordinal AS bigint) AS ordinal FROM {css_edges}) AS e GROUP BY page_id, dst) AS t""",
     "stored_records": """SELECT seq, CASE seq % 9 WHEN 0 THEN '{{"bodyBytes":' || cast(amount AS string) || ',"emailConfirmation":false,"p":' || props || '}}' WHEN 1 THEN '{{"a":[{{"b":{{"c":[{{"d":{{"fullName":' || props || '}}}}]}}}}]}}'
         WHEN 2 THEN '{{"note":"synthetic-RESUME.pdf","p":' || props WHEN 3 THEN '[{{"raw_body":{{"answers":[],"x":"synthetic.applicant@example.test"}}}},' || props || ']' WHEN 4 THEN '{{"x":"' || chr(92) || '"email' || chr(92) || '":1","k":' || props || '}}'
         WHEN 5 THEN cast(NULL AS string) WHEN 6 THEN props WHEN 7 THEN '"phone"' ELSE '{{"' || chr(92) || 'u0065mail":1,"t":"+15555550100"}}' END AS json FROM {telemetry}""",

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import corpus as C
@@ -15,21 +12,9 @@ from ..streaming import jobs as S
 from .fixtures import duck_with, spark_rows as rows
 
 
-def shared_path(s, name):
-    root = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.sparkContext.getCheckpointDir()
-    if not root:
-        if not s.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="pagegauge-")
-        s.sparkContext.setCheckpointDir(root)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
-
-
 def contract_scan(s, d):
     """Contracts written as JSON from the given pages, then read with a fixed schema."""
-    path = shared_path(s, "contracts")
+    path = readers.shared_path(s, "contracts")
     links = E.extract_links(rows(s, d, "pages"))
     nodes = F.transform("links", lambda x: F.struct(F.lit("link").alias("role"), x["text"].alias("name"), F.create_map(F.lit("disabled"), F.lit("false"), F.lit("zzz"), F.lit("1")).alias("properties")))
     links.groupBy("page_id", "viewport").agg(F.array_sort(F.collect_list(F.struct("ordinal", "href", "text"))).alias("links")).withColumn("axNodes", nodes).write.json(path)
@@ -88,8 +73,8 @@ QUERIES = {
     "quiescence": lambda s, d: L.quiescence(rows(s, d, "telemetry")),
     "idempotent_receipts": lambda s, d: L.idempotent_receipts(rows(s, d, "telemetry")),
     "persistence_pairs": lambda s, d: L.persistence_pairs(rows(s, d, "telemetry")),
-    "stream_bounded_counters": lambda s, d: S.run_to_table(S.bounded_counters(S.telemetry_stream(s, d)), "update", shared_path(s, "stream"), ["session", "kind"]),
-    "stream_receipts": lambda s, d: S.run_to_table(S.idempotent_intake(S.telemetry_stream(s, d)), "append", shared_path(s, "stream"), None),
+    "stream_bounded_counters": lambda s, d: S.run_to_table(S.bounded_counters(S.telemetry_stream(s, d)), "update", readers.shared_path(s, "stream"), ["session", "kind"]),
+    "stream_receipts": lambda s, d: S.run_to_table(S.idempotent_intake(S.telemetry_stream(s, d)), "append", readers.shared_path(s, "stream"), None),
 }
 
 _T = duck_with("telemetry")

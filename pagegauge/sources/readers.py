@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; a local session without one gets a folder of its own."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        import tempfile
+
+        root = tempfile.mkdtemp(prefix="pagegauge-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read back: a short plan, known sizes, and no loss with an executor."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load_pages(spark: SparkSession, path: str) -> DataFrame:
     """Captured pages; where a status is stored, only 2xx captures are admitted."""
     pages = spark.read.parquet(path)
