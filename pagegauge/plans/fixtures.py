@@ -157,6 +157,19 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
         SELECT p_partkey AS k, p_partkey % 10 AS page_id, cast(floor(p_partkey / 10) AS bigint) AS node,
             CASE WHEN p_partkey < 10 THEN cast(NULL AS bigint) WHEN p_partkey % 10 = 0 THEN cast(floor(p_partkey / 10) AS bigint) - 1 ELSE cast(floor((floor(p_partkey / 10) - 1) / 4) AS bigint) END AS parent,
             (p_partkey * 7 + p_size) % 113 AS rule, p_size, p_partkey * 7 % 256 AS r, p_partkey * 13 % 256 AS g, p_size * 5 % 256 AS b, p_size * 11 % 256 AS br, p_partkey * 3 % 256 AS bg, p_partkey % 256 AS bb FROM {part}) AS t) AS u""",
+    "flows": """SELECT o_orderkey AS session, o_orderkey % 22 AS fault, 'https://site.example.com' AS origin, 'https://site.example.com/api/applications' AS endpoint, cast(CASE WHEN o_orderkey % 22 = 1 THEN 2 ELSE 0 END AS bigint) AS unfilled,
+        o_orderkey % 22 <> 2 AS has_submit, CASE WHEN o_orderkey % 22 = 3 THEN cast(NULL AS boolean) ELSE true END AS email_off, o_orderkey % 22 <> 4 AS keeps_nothing FROM {orders}""",
+    "flow_requests": """SELECT session, seq, phase, method, CASE WHEN seq = 4 THEN endpoint || '/draft' ELSE endpoint END AS url FROM {flows},
+        (VALUES (1, 'load', 'GET'), (2, 'submission', 'POST'), (3, 'submission', 'POST'), (4, 'submission', 'PUT'), (5, 'retry', 'POST'), (6, 'submission', 'HEAD')) AS v(seq, phase, method)
+        WHERE NOT (seq = 3 AND fault <> 5) AND NOT (seq = 5 AND fault = 6) AND NOT (seq = 2 AND fault = 7)""",
+    "flow_receipts": """SELECT session, seq, phase, CASE WHEN phase = 'lookup' THEN endpoint || '/r' ELSE endpoint END AS url, CASE WHEN fault = 9 AND phase = 'retry' THEN 409 ELSE 201 END AS status,
+        CASE WHEN fault = 10 AND phase = 'submission' THEN 'text/html' ELSE 'Application/JSON; charset=utf-8' END AS content_type, CASE WHEN fault = 11 AND phase = 'retry' THEN 'other' ELSE 'r' || cast(session AS string) END AS id,
+        true AS well_formed, fault = 12 AND phase = 'lookup' AS retained FROM {flows}, (VALUES (1, 'submission'), (2, 'submission'), (3, 'retry'), (4, 'lookup')) AS v(seq, phase)
+        WHERE NOT (seq = 2 AND fault <> 8) AND NOT (fault = 13 AND phase = 'lookup')""",
+    "flow_payloads": """SELECT session, seq, phase, 'm' AS metadata_digest, CASE WHEN fault = 14 THEN phase ELSE 'c' END AS content_digest, true AS canary, NOT (fault = 15 AND phase = 'retry') AS header, fault = 16 AND seq = 3 AS broken
+        FROM {flows}, (VALUES (1, 'submission'), (2, 'retry'), (3, 'retry')) AS v(seq, phase) WHERE NOT (seq = 3 AND fault <> 16)""",
+    "flow_audits": """SELECT session, seq, cast(CASE WHEN fault = 18 THEN 3 ELSE seq END AS bigint) AS attempts, cast(1 AS bigint) AS receipts, cast(1 AS bigint) AS keys, true AS well_formed FROM {flows}, (VALUES (1), (2)) AS v(seq) WHERE NOT (seq = 2 AND fault = 17)""",
+    "flow_events": """SELECT session, kind FROM {flows}, (VALUES ('blocked_write', 19), ('page_error', 19), ('websocket', 20), ('websocket', 20), ('tampering', 20), ('focus', 0)) AS v(kind, f) WHERE f = fault""",
     "css_edges": """SELECT page_id, '/c' || cast(cast(floor(n / 2) AS bigint) AS string) || '.css' AS src, n AS ordinal, CASE partkey % 5 WHEN 0 THEN '/c' || cast(n % 4 AS string) || '.css' WHEN 1 THEN '/i' || cast(partkey % 3 AS string) || '.png'
         WHEN 2 THEN '/x.js' ELSE '/c' || cast(cast(floor(n / 2) AS bigint) + 1 AS string) || '.css' END AS dst FROM {rects}""",
     "css_files": """SELECT page_id, url, CASE WHEN url LIKE '%.css' THEN 'text/css' WHEN url LIKE '%.png' THEN 'image/png' ELSE 'text/javascript' END AS content_type, bytes,

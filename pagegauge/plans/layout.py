@@ -1,11 +1,13 @@
-"""Queries on what elements inherit, and on what style sheets pull in under budgets."""
+"""Queries on what elements inherit, on what style sheets pull in under budgets, and on interactions."""
 
 from __future__ import annotations
 
 from ..operators import closure as C
+from ..operators import interaction as I
 from ..operators import visibility as V
 from .fixtures import duck_with, spark_rows as rows
 
+FLOWS = ("flows", "flow_requests", "flow_receipts", "flow_payloads", "flow_audits", "flow_events")
 BUDGET = {"max_resources": 4, "max_requests": 6, "max_bytes": 150, "max_total": 400}
 
 
@@ -19,6 +21,8 @@ QUERIES = {
     "element_visibility": lambda s, d: V.element_visibility(rows(s, d, "styled_nodes")),
     "text_contrast": lambda s, d: V.text_contrast(rows(s, d, "styled_nodes")),
     "css_budget_closure": sheets,
+    "interaction_rollup": lambda s, d: I.interaction_rollup(*[rows(s, d, n) for n in FLOWS]),
+    "write_receipts": lambda s, d: I.match_logs(rows(s, d, "flow_requests").where("method <> 'GET'"), rows(s, d, "flow_receipts")),
 }
 
 
@@ -61,4 +65,15 @@ ORACLES = {
           WHEN failure IS NOT NULL THEN failure WHEN f.bytes > 150 THEN 'resource-limit' WHEN content_type = 'text/javascript' THEN 'unsupported-content-type' WHEN total + f.bytes > 400 THEN 'aggregate-limit' ELSE 'admitted' END AS ok
         FROM walk w JOIN css_files f ON f.page_id = w.page_id AND f.url = w.todo[1].dst LEFT JOIN deps d ON d.page_id = w.page_id AND d.src = f.url WHERE len(todo) > 0))
     SELECT page_id, met.src AS src, met.ordinal AS ordinal, met.dst AS url, reason FROM walk WHERE reason <> 'known'""",
+    # What is wrong with each session is known from how its logs are made.
+    "interaction_rollup": duck_with("flows")
+    + """, known(fault, unanswered, unasked, failures) AS (VALUES (0, 0, 0, ''), (1, 0, 0, 'REQUIRED_CONTROLS_UNFILLED'), (2, 0, 0, 'NO_VISIBLE_SUBMIT'), (3, 0, 0, 'EMAIL_DEFAULT_NOT_DISABLED'), (4, 0, 0, 'MANIFEST_NON_RETENTION_NOT_DECLARED'),
+      (5, 1, 0, 'EXACTLY_ONE_UI_SUBMISSION_REQUIRED,IDEMPOTENT_RETRY_MISSING_OR_DUPLICATED'), (6, 0, 1, 'IDEMPOTENT_RETRY_MISSING_OR_DUPLICATED'), (7, 0, 1, 'EXACTLY_ONE_UI_SUBMISSION_REQUIRED,IDEMPOTENT_RETRY_MISSING_OR_DUPLICATED'), (8, 0, 1, ''),
+      (9, 0, 0, 'INVALID_RETRY_RECEIPT'), (10, 0, 0, 'INVALID_SUBMISSION_RECEIPT'), (11, 0, 0, 'IDEMPOTENCY_RECEIPT_MISMATCH'), (12, 0, 0, 'APPLICANT_VALUES_RETAINED'), (13, 0, 0, 'RECEIPT_LOOKUP_FAILED'), (14, 0, 0, 'UI_RETRY_MULTIPART_MISMATCH'),
+      (15, 0, 0, 'SYNTHETIC_PAYLOAD_CANARY_MISSING'), (16, 0, 0, 'MULTIPART_PAYLOAD_PROOF_MISSING'), (17, 0, 0, 'BACKEND_AUDIT_CONTRACT_FAILED'), (18, 0, 0, 'BACKEND_AUDIT_CONTRACT_FAILED'), (19, 0, 0, 'EXTERNAL_WRITE_BLOCKED,PAGE_ERROR'),
+      (20, 0, 0, 'WEBSOCKET_BLOCKED,INTERACTION_NATIVE_API_TAMPERING'), (21, 0, 0, ''))
+    SELECT session, CAST(unanswered AS BIGINT) AS unanswered, CAST(unasked AS BIGINT) AS unasked, failures = '' AS passed, failures FROM flows JOIN known USING (fault)""",
+    "write_receipts": duck_with("flow_requests", "flow_receipts")
+    + """, a AS (SELECT *, row_number() OVER (PARTITION BY session, phase, url ORDER BY seq) AS n FROM flow_requests WHERE method <> 'GET'), b AS (SELECT *, row_number() OVER (PARTITION BY session, phase, url ORDER BY seq) AS n FROM flow_receipts)
+    SELECT session, phase, url, CAST(n AS INTEGER) AS n, a.seq AS write_seq, b.seq AS receipt_seq FROM a FULL OUTER JOIN b USING (session, phase, url, n)""",
 }
