@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..operators import closure as C
 from ..operators import interaction as I
 from ..operators import visibility as V
+from ..sources.readers import cut
 from .fixtures import duck_with, spark_rows as rows
 
 FLOWS = ("flows", "flow_requests", "flow_receipts", "flow_payloads", "flow_audits", "flow_events")
@@ -12,9 +13,10 @@ BUDGET = {"max_resources": 4, "max_requests": 6, "max_bytes": 150, "max_total":
 
 
 def sheets(s, d):
-    edges = rows(s, d, "css_edges")
+    """Both inputs are derived, and read by every level, so they are written first."""
+    edges, files = cut(rows(s, d, "css_edges"), "edges"), cut(rows(s, d, "css_files"), "files")
     seeds = edges.where("src = '/c0.css'").select("page_id", "src").distinct().selectExpr("page_id", "src AS url", "0L AS n", "10L AS bytes")
-    return C.css_budget_closure(edges, rows(s, d, "css_files"), seeds, **BUDGET)
+    return C.css_budget_closure(edges, files, seeds, **BUDGET)
 
 
 QUERIES = {
