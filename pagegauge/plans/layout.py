@@ -47,13 +47,14 @@ ORACLES = {
         FROM walk w JOIN n ON n.page_id = w.page_id AND n.parent = w.node)
     SELECT page_id, node, opac AS opacity, greatest(x0, cx0) AS "left", least(x1, cx1) AS "right", greatest(y0, cy0) AS top, least(y1, cy1) AS bottom,
       NOT gone AND opac > 0.001 AND k % 43 <> 0 AND k % 8 <> 0 AND (k % 47 <> 1 OR k % 6 = 0) AND x1 > x0 AND y1 > y0 AND greatest(x0, cx0) < least(x1, cx1) AND greatest(y0, cy0) < least(y1, cy1) AS visible FROM walk""",
+    # Text takes the fill, and the colour where no fill is set (k % 6 = 0) or none that can be read (k % 47 = 1).
     "text_contrast": duck_with("styled_nodes")
     + f""", n AS (SELECT *, rule IN (0, 1, 2, 3, 7, 13, 15, 17, 18, 19) AS off, coalesce(opacity, 1.0::DOUBLE) * CASE WHEN rule = 4 THEN 0.0 WHEN rule IN (9, 13) THEN 0.5 ELSE 1.0 END::DOUBLE AS o,
-        CASE k % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS ba, rule = 20 AS image, CASE WHEN k % 6 <> 0 THEN 1.0 WHEN k % 8 = 0 THEN 0.0 WHEN k % 8 = 1 THEN 0.5 WHEN k % 8 = 2 THEN 0.75 ELSE 1.0 END::DOUBLE AS ia FROM styled_nodes),
+        CASE k % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS ba, rule = 20 AS image, CASE WHEN NOT by_color THEN 1.0 WHEN k % 8 = 0 THEN 0.0 WHEN k % 8 = 1 THEN 0.5 WHEN k % 8 = 2 THEN 0.75 ELSE 1.0 END::DOUBLE AS ia FROM (SELECT *, k % 6 = 0 OR k % 47 = 1 AS by_color FROM styled_nodes)),
     walk AS (SELECT page_id, node, off AS gone, o AS opac, image, br * ba + 255 * (1 - ba) AS pr, bg * ba + 255 * (1 - ba) AS pg, bb * ba + 255 * (1 - ba) AS pb FROM n WHERE parent IS NULL
       UNION ALL SELECT n.page_id, n.node, n.off OR (NOT n.is_disclosure AND gone), CASE WHEN n.is_disclosure THEN n.o ELSE opac * n.o END, w.image OR n.image,
         br * ba + pr * (1 - ba), bg * ba + pg * (1 - ba), bb * ba + pb * (1 - ba) FROM walk w JOIN n ON n.page_id = w.page_id AND n.parent = w.node),
-    inked AS (SELECT w.*, k, CASE WHEN k % 6 = 0 AND k % 8 = 0 THEN 0 ELSE r END AS r, CASE WHEN k % 6 = 0 AND k % 8 = 0 THEN 0 ELSE g END AS g, CASE WHEN k % 6 = 0 AND k % 8 = 0 THEN 0 ELSE b END AS b,
+    inked AS (SELECT w.*, k, CASE WHEN by_color AND k % 8 = 0 THEN 0 ELSE r END AS r, CASE WHEN by_color AND k % 8 = 0 THEN 0 ELSE g END AS g, CASE WHEN by_color AND k % 8 = 0 THEN 0 ELSE b END AS b,
         ia * opac AS a FROM walk w JOIN n USING (page_id, node)),
     lit AS (SELECT *, {_light("r * a + pr * (1 - a)", "g * a + pg * (1 - a)", "b * a + pb * (1 - a)")} AS t, {_light("pr", "pg", "pb")} AS p FROM inked),
     rated AS (SELECT *, CASE WHEN gone OR image OR opac <= 0.01 THEN 0.0::DOUBLE ELSE round((greatest(t, p) + 0.05) / (least(t, p) + 0.05), 6) END AS ratio FROM lit)

@@ -24,3 +24,9 @@ def test_entities_without_a_semicolon_are_decoded(spark, tmp_path, name):
     got, want = both(spark, str(tmp_path), name, pages=spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert got == want
     assert "und&&" in str(got)
+
+
+def test_a_fill_that_cannot_be_read_leaves_text_to_its_colour(spark, tmp_path):
+    part = spark.createDataFrame([(k, 1 + k * 7 % 50) for k in range(2000)], "p_partkey long, p_size int")
+    got, want = both(spark, str(tmp_path), "text_contrast", part=part)
+    assert got == want
