@@ -24,7 +24,7 @@ def approvals(s, d):
 
 QUERIES = {
     "control_names": names,
-    "control_options": lambda s, d: M.control_options(M.page_elements(rows(s, d, "named_pages"))).drop("control"),
+    "control_options": lambda s, d: M.control_options(M.page_elements(rows(s, d, "named_pages"), frozenset({"option"}))).drop("control"),
     "sanitize_html": lambda s, d: M.sanitize_html(rows(s, d, "rich_pages")).select("page_id", "counters.*", "html"),
     "sanitize_approvals": approvals,
 }

@@ -3,6 +3,7 @@
 import re
 from html.parser import HTMLParser
 
+import pyarrow as pa
 import pytest
 
 from pagegauge.operators import markup
@@ -148,3 +149,20 @@ def test_a_failed_run_leaves_nothing_and_may_be_tried_again(spark, tmp_path):
         readers.write_run(bad, str(tmp_path / "t"), "r")
     readers.write_run(spark.range(3).toDF("x"), str(tmp_path / "t"), "r")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
+def test_names_and_options_parse_a_page_once(spark):
+    rows = spark.createDataFrame([(1, '<label for=a>A</label><input id=a><select><option value=1>One</select>')], "page_id long, html string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    named = markup.control_names(markup.page_elements(rows))
+    assert "MapIn" not in plan(named)
+    assert [r.accessible_name for r in named.where("tag = 'input'").collect()] == ["A"]
+    options = markup.control_options(markup.page_elements(rows, frozenset({"option"})))
+    assert plan(options).count("MapInPandas") == 0
+    assert [(r.text, r.option_class) for r in options.collect()] == [("One", "common-enum")]
+
+
+def test_workers_hold_few_pages_at_once():
+    batch = pa.RecordBatch.from_pydict({"html": ["x" * 400_000, None, "y" * 900_000, "z" * 5_000_000, "w"]})
+    got = [[len(r["html"] or "") for r in part] for part in readers.slices([batch])]
+    assert got == [[400_000, 0, 900_000], [5_000_000], [1]]
