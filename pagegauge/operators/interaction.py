@@ -21,20 +21,13 @@ EVENTS = {
 def match_logs(writes: DataFrame, receipts: DataFrame) -> DataFrame:
     """(session, phase, url, n, write_seq, receipt_seq): the n-th write of a session, phase and address with its n-th
     receipt, one to one. Null on one side: a write that nobody answered, or a receipt that nobody asked for. A session
-    is short (its log is capped where it is taken), so numbers come from a window over it. Nulls equal nulls."""
+    is short (its log is capped where it is taken), so numbers come from a window over it. Nulls equal nulls. Both logs
+    go through one shuffle and one sort by session; equal numbers of a key then follow one another there."""
     key = ["session", "phase", "url"]
-
-    def numbered(d: DataFrame, name: str) -> DataFrame:
-        n = F.row_number().over(W.partitionBy(*key).orderBy("seq"))
-        return d.select(*key, n.alias("n"), F.col("seq").alias(f"{name}_seq"))
-
-    a, b = numbered(writes, "write").alias("a"), numbered(receipts, "receipt").alias("b")
-    same = F.lit(True)
-    for k in (*key, "n"):
-        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    found = a.join(b.hint("merge"), same, "full")
-    side = F.col("write_seq").isNotNull()
-    return found.select(*[F.when(side, F.col(f"a.{k}")).otherwise(F.col(f"b.{k}")).alias(k) for k in (*key, "n")], "write_seq", "receipt_seq")
+    sides = [d.select(*key, F.lit(wrote).alias("wrote"), "seq") for d, wrote in ((writes, True), (receipts, False))]
+    numbered = sides[0].unionByName(sides[1]).repartition(*key).withColumn("n", F.row_number().over(W.partitionBy(*key, "wrote").orderBy("seq")))
+    of = lambda wrote: F.max(F.when(F.col("wrote") == wrote, F.col("seq")))
+    return numbered.groupBy(*key, "n").agg(of(True).alias("write_seq"), of(False).alias("receipt_seq"))
 
 
 def _yes(c: Column) -> Column:
