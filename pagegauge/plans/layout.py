@@ -13,8 +13,9 @@ BUDGET = {"max_resources": 4, "max_requests": 6, "max_bytes": 150, "max_total":
 
 
 def sheets(s, d):
-    """Both inputs are derived, and read by every level, so they are written first."""
-    edges, files = cut(rows(s, d, "css_edges"), "edges"), cut(rows(s, d, "css_files"), "files")
+    """Edges are derived, and both other inputs come from them, so they are written first."""
+    edges = cut(rows(s, d, "css_edges"), "edges")
+    files = rows(s, d, "css_files", css_edges=edges)
     seeds = edges.where("src = '/c0.css'").select("page_id", "src").distinct().selectExpr("page_id", "src AS url", "0L AS n", "10L AS bytes")
     return C.css_budget_closure(edges, files, seeds, **BUDGET)
 

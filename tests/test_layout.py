@@ -201,3 +201,15 @@ def test_closure_equals_a_queue(spark):
     assert sorted(map(tuple, out.collect())) == sorted(want)
     assert {r[4] for r in want} >= {"admitted", "aggregate-limit", "network-request-limit", "resource-limit", "resource-count-limit", "unsupported-content-type", "dependency-fetch-failed", "private-destination"}
     assert css_budget_closure(args[0].limit(0), args[1], args[2], 8, 12, 50, 150).count() == 0
+    for held in (0, 40):
+        assert sorted(map(tuple, css_budget_closure(*args, 8, 12, 50, 150, held=held).collect())) == sorted(want)
+
+
+def test_closure_reads_its_inputs_once_however_deep(spark, tmp_path):
+    chain = spark.range(130).selectExpr("1L page_id", "cast(id as string) src", "0L ordinal", "cast(id + 1 as string) dst")
+    files = chain.selectExpr("page_id", "dst url", "'text/css' content_type", "1L bytes", "null failure")
+    seeds = spark.sql("SELECT 1L page_id, '0' url, cast(null as bigint) n, cast(null as bigint) bytes")
+    out = css_budget_closure(chain, files, seeds, 999, 999, 9, 999, most=2)
+    assert [(r.url, r.reason) for r in out.orderBy("page_id", F.col("url").cast("int")).collect()] == [(str(i), "admitted") for i in range(1, 131)]
+    with pytest.raises(ValueError):
+        css_budget_closure(chain, files, seeds, 999, 999, 9, 999, most=2, held=100)
