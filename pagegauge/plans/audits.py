@@ -30,7 +30,7 @@ def audit(s, d):
         evidence_invalid=U.validate_evidence(rows(s, d, "evidence")),
         policy_weak=U.security_headers(rows(s, d, "headers")).where("not strict"),
         disclosure_not_persistent=U.disclosure_persistence(rows(s, d, "samples")).where("not persistent"),
-        surface_covers_page=M.union_area(r).where("alarm"),
+        surface_covers_page=M.covered_pages(r),
     )
 
 

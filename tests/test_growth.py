@@ -41,3 +41,13 @@ def test_logs_are_matched_in_one_shuffle(spark):
     got = interaction.match_logs(logs, logs.where("seq <> 3"))
     assert set(map(tuple, got.collect())) == {("s", "p", "u", 1, 1, 1), ("s", "p", "u", 2, 3, None), (None, "p", None, 1, 7, 7)}
     assert plan(got).split("== Initial Plan ==")[-1].count("Exchange") == 1
+
+
+def test_only_pages_that_can_reach_the_alarm_are_swept(spark):
+    rects = [(1, 0, 0, 10, 8), (2, 0, 0, 10, 4), (2, 0, 4, 10, 4), (3, 0, 0, 10, 7), (3, 0, 0, 10, 7), (4, 0, 0, 10, 7), (5, 0, 0, 10, 9), (5, 2, 2, -3, 9), (None, 0, 0, 10, 10)]
+    df = spark.createDataFrame(rects, "page_id long, x long, y long, w long, h long")
+    got = geometry.covered_pages(df, 10, 10)
+    assert sorted(got.collect()) == sorted(geometry.union_area(df, 10, 10).where("alarm").collect())
+    assert sorted(r.page_id for r in got.collect()) == [1, 2, 5]
+    swept = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in got.inputFiles()})
+    assert {r.page_id for r in swept.collect()} == {1, 2, 3, 5, None}
