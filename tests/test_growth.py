@@ -1,8 +1,11 @@
 """Steps whose cost once grew faster than their input, or with the number of levels."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from pagegauge.operators import corpus, geometry, interaction
+from pagegauge.operators import corpus, diff, geometry, interaction
+from pagegauge.plans.fixtures import spark_rows
 
 
 def plan(df):
@@ -51,3 +54,23 @@ def test_only_pages_that_can_reach_the_alarm_are_swept(spark):
     assert sorted(r.page_id for r in got.collect()) == [1, 2, 5]
     swept = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in got.inputFiles()})
     assert {r.page_id for r in swept.collect()} == {1, 2, 3, 5, None}
+
+
+def test_captures_are_compared_where_their_pages_are(spark):
+    rng = random.Random(3)
+    pick = lambda: [(rng.choice([1, 2, 3, None]), rng.choice(["a", "b", None]), i, rng.choice(["x", "y", "x|#0", None]), rng.choice([1, 2, None])) for i in range(120)]
+    base, cand = (spark.createDataFrame(pick(), "page_id long, viewport string, ordinal long, name string, size int") for _ in range(2))
+    name = F.concat("name", F.lit(""))
+    got = diff.capture_diff(base.repartition(3, "page_id"), cand.repartition(3, "page_id"), name, ["name", "size"])
+    want = diff.snapshot_diff(diff.assign_keys(base, name), diff.assign_keys(cand, name), ["name", "size"])
+    order = lambda d: sorted(map(str, d.collect()))
+    assert order(got) == order(want) and {r.kind for r in want.collect()} == {"missing", "extra", "changed"}
+    assert plan(got).split("== Initial Plan ==")[-1].count("Exchange") == 2
+
+
+def test_controls_stay_dealt_by_page(spark, tmp_path):
+    lines = spark.range(40).selectExpr("id div 4 l_orderkey", "id % 7 l_partkey", "id % 5 l_suppkey", "cast(id % 4 as int) l_linenumber", "1.5D l_quantity", "2D l_extendedprice", "0.05D l_discount", "0.01D l_tax", "'A' l_returnflag", "'F' l_linestatus", "date'1995-01-01' l_shipdate")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    base, cand = (spark_rows(spark, str(tmp_path), n) for n in ("controls", "controls_cand"))
+    found = diff.mismatch_preview(diff.flatten_mismatches(controls=diff.capture_diff(base, cand, diff.control_base(), ["type", "label"])))
+    assert plan(found).count("Exchange") == 3 and found.count() > 0
