@@ -4,7 +4,8 @@ A *record* (a document or a line) has a set of 64-bit tokens, and a set is known
 similar when ``100 * |A & B| >= percent * |A | B|``. The steps:
 
 1. ``profile`` reads the texts once for set ids and a count sketch of all tokens; ``token_order`` makes the order of it.
-2. ``prefix_entries`` and ``mates``: sets meet in runs of one prefix token; entries without a possible mate go.
+2. ``prefix_entries`` and ``mates``: sets meet in runs of one prefix token; entries without a possible mate go. They
+   are shuffled as packed arrays.
 3. ``hubs``: in each run every set meets one hub only. That settles most of a group of near copies by a row a set.
 4. ``clusters`` and ``waiting``: what is not settled is sent, one row for each cluster, to the clusters that hold a
    possible partner. No pairs are written out: ``compare`` gathers each cluster's sets once and finds the partners.
@@ -33,6 +34,10 @@ HOT = 15
 ABOVE_MEAN = 4
 #: Tokens of one block of a cluster, about (a larger set is a block of its own).
 BLOCK_TOKENS = 1_000_000
+#: Prefix entries that a task packs at once, and that are sorted at once, about.
+PACKED = 1 << 19
+#: Sets of more tokens than this have a bitmap of 128 bits, others one of 64: that of a long set is full of chance bits.
+WIDE = 48
 
 #: unit(raw, offsets) -> (row of each record, number in its row, distinct tokens, offsets)
 Unit = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -103,7 +108,8 @@ def profile(docs: DataFrame, unit: Unit) -> DataFrame:
 def token_order(profiled: DataFrame):
     """The sketch as logarithms of its counts, in steps of an eighth of a doubling: 2**SKETCH_BITS bytes whatever the
     input. Fine steps also tell a token of a few dozen records from the many single ones that share its bucket. Any
-    fixed order gives right results; counts only keep frequent tokens out of the prefixes."""
+    fixed order gives right results; counts only keep frequent tokens out of the prefixes. Broadcast with the size that
+    makes a token hot and the number of all tokens."""
 
     def sums(batches, kind) -> dict[int, np.ndarray]:
         out: dict[int, np.ndarray] = {}
@@ -130,7 +136,7 @@ def token_order(profiled: DataFrame):
         levels[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.levels, np.uint8)
     mean = sum(r.total for r in rows) / len(levels)
     hot = max(HOT, int(np.ceil(np.log2(ABOVE_MEAN * mean + 1))))
-    return profiled.sparkSession.sparkContext.broadcast((levels, hot))
+    return profiled.sparkSession.sparkContext.broadcast((levels, hot, int(mean * len(levels))))
 
 
 def in_order(tokens: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,16 +147,74 @@ def in_order(tokens: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tup
     return tokens[order], level[order]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes of the values, then all second ones, ...: equal high bytes compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _values(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.tobytes(), kind)
+
+
+_PACK = ["part", "run", "sid", "bits", "wide", "n", "pos", "is_hot", "hot"]
+
+
+def _pack(held: list[list[np.ndarray]], parts: int) -> pa.RecordBatch:
+    """Entries (run, sid, bits, wide, n, pos, is_hot, token) in a row for each of ``parts`` ranges of runs, as sorted arrays."""
+    run, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(run)
+    run, (sid, bits, wide, n, pos, is_hot, token) = run[order], (x[order] for x in rest)
+    part = ((run >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+    end = np.append(begin[1:], len(run))[: len(begin)]
+    step = np.append(run[:1], np.diff(run))
+    step[begin] = run[begin]
+    some = bool(bits.any())
+    rows = []
+    for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+        at = slice(a, b)
+        long, hot = n[at] > WIDE, is_hot[at]
+        data = [x.tobytes() for x in ((bits[at], wide[at][long]) if some else (bits[:0], wide[:0]))]
+        rows.append((_planes(step[at]), sid[at].tobytes(), *data, _planes(n[at]), _planes(pos[at]), np.packbits(hot).tobytes() if hot.any() else b"", token[at][hot].tobytes()))
+    columns = zip(*rows, strict=True) if rows else [[]] * (len(_PACK) - 1)
+    return pa.RecordBatch.from_arrays([pa.array(part[begin].astype(np.int32)), *(pa.array(x, pa.binary()) for x in columns)], names=_PACK)
+
+
+def _unpack(t: pa.Table) -> list[np.ndarray]:
+    """The entries of all rows of ``_pack``, by run."""
+    out = []
+    for run, sid, bits, wide, n, pos, is_hot, hot in zip(*(t.column(k).to_pylist() for k in _PACK[1:]), strict=True):
+        run, n = np.cumsum(_values(run, np.uint64), dtype=np.uint64), _values(n, np.int32)
+        m = len(run)
+        both = np.zeros((2, m), np.int64)
+        if bits:
+            both[0] = np.frombuffer(bits, np.int64)
+            both[1, n > WIDE] = np.frombuffer(wide, np.int64)
+        mask, token = np.zeros(m, bool), np.zeros(m, np.int64)
+        if is_hot:
+            mask = np.unpackbits(np.frombuffer(is_hot, np.uint8), count=m).astype(bool)
+            token[mask] = np.frombuffer(hot, np.int64)
+        out.append((run, np.frombuffer(sid, np.int64), *both, n.astype(np.int64), _values(pos, np.int32).astype(np.int64), mask, token))
+    run, *rest = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(run, kind="stable")
+    return [x[order] for x in (run.view(np.int64), *rest)]
+
+
 def prefix_entries(docs: DataFrame, unit: Unit, order, percent: int, bitmaps: bool = False) -> DataFrame:
-    """(run, hot, sid, n, pos, bits): the prefix of every set; a set once per task. ``run`` is the token's hash, or a
-    hash of it and of a part for a hot token, which ``hot`` then holds. Two tokens in one run make more candidates only.
+    """The prefix of every set, a set once per task, as packed entries (run, sid, n, pos, bits, wide, hot): a row for
+    each task and range of runs, in the partition of the range. ``run`` is the token's hash, or a hash of it and of a
+    part for a hot token, which ``hot`` then holds. Two tokens in one run make more candidates only.
 
-    With ``bitmaps``, bits is the parity of the set's tokens over 64 buckets: two sets differ in at least as many
-    tokens as their bitmaps do in bits. That rules out most pairs of small sets (lines); else bits is 0.
+    With ``bitmaps``, bits is the parity of the set's tokens over 64 buckets, and wide that of half of them, which
+    makes 128 buckets, for sets of more than WIDE tokens: two sets differ in at least as many tokens as their bitmaps do
+    in bits. That rules out most pairs that have little more than one token in common; else bits is 0.
     """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens_in_all = order.value[2]
+    parts = partitions * max(1, -(-tokens_in_all * (110 - percent) // (100 * PACKED * partitions)))
 
     def work(batches):
-        (levels, hot), seen = order.value, set()
+        (levels, hot, _), seen, held, size_held = order.value, set(), [], 0
         for _, _, _, _, tokens, offsets, sid in _read(batches, unit):
             tokens, level = in_order(tokens, offsets, levels)
             n = np.diff(offsets)
@@ -163,19 +227,25 @@ def prefix_entries(docs: DataFrame, unit: Unit, order, percent: int, bitmaps: bo
             rec = np.repeat(np.arange(len(n)), size)
             pos = np.arange(len(rec)) - np.repeat(np.cumsum(size) - size, size)
             at = offsets[rec] + pos
-            parts = 1 << np.maximum(level[at].astype(np.int64) // 8 - hot, 0)
-            token, salt = tokens[at], (sid[rec] % parts).astype(np.uint64)
-            run = np.where(parts > 1, ts.mix(token ^ ts.mix(salt + np.uint64(1))), token)
-            bits = np.zeros(len(n), np.int64)
+            salts = 1 << np.maximum(level[at].astype(np.int64) // 8 - hot, 0)
+            token, salt = tokens[at], (sid[rec] % salts).astype(np.uint64)
+            run = np.where(salts > 1, ts.mix(token ^ ts.mix(salt + np.uint64(1))), token)
+            bits, wide = np.zeros((2, len(n)), np.int64)
             if bitmaps and len(tokens):
                 some = np.flatnonzero(n)
-                bits[some] = np.bitwise_xor.reduceat(np.uint64(1) << (tokens & np.uint64(63)), offsets[some]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(run.view(np.int64)), pa.array(token.view(np.int64), mask=parts == 1), *(pa.array(x) for x in (sid[rec], n[rec].astype(np.int32), pos.astype(np.int32), bits[rec]))],
-                names=["run", "hot", "sid", "n", "pos", "bits"],
-            )
+                bit = np.uint64(1) << (tokens & np.uint64(63))
+                bits[some] = np.bitwise_xor.reduceat(bit, offsets[some]).view(np.int64)
+                wide[some] = np.bitwise_xor.reduceat(np.where(tokens & np.uint64(64), bit, np.uint64(0)), offsets[some]).view(np.int64)
+            held.append([run, sid[rec], bits[rec], wide[rec], n[rec].astype(np.int32), pos.astype(np.int32), salts > 1, token.view(np.int64)])
+            size_held += len(rec)
+            if size_held >= PACKED:
+                yield _pack(held, parts)
+                held, size_held = [], 0
+        if held:
+            yield _pack(held, parts)
 
-    return docs.select("text").mapInArrow(work, "run long, hot long, sid long, n int, pos int, bits long")
+    kinds = ", ".join(f"{c} binary" for c in _PACK[1:])
+    return docs.select("text").mapInArrow(work, f"part int, {kinds}").repartitionById(partitions, "part")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -219,11 +289,14 @@ def _need(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _possible(i, j, n, pos, bits, percent: int) -> np.ndarray:
-    """Whether two sets can be similar by their sizes and bitmaps and, if ``pos`` is given, with this token as the first
-    that they have in common: what is left of either set from it on must reach the least overlap."""
+    """Whether two sets can be similar by their sizes and bitmaps (bits, wide) and, if ``pos`` is given, with this token
+    as the first that they have in common: what is left of either set from it on must reach the least overlap."""
     need = _need(n[i], n[j], percent)
     left = np.minimum(n[i], n[j]) if pos is None else np.minimum(n[i] - pos[i], n[j] - pos[j])
-    return (left >= need) & (n[i] + n[j] - 2 * need >= np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)))
+    bits, wide = (x[i] ^ x[j] for x in bits)
+    wide = np.where((n[i] > WIDE) & (n[j] > WIDE), wide, 0)
+    differ = np.bitwise_count(wide.view(np.uint64)) + np.bitwise_count((bits ^ wide).view(np.uint64))
+    return (left >= need) & (n[i] + n[j] - 2 * need >= differ)
 
 
 def _steps(run: np.ndarray, n: np.ndarray, percent: int):
@@ -241,31 +314,30 @@ def _steps(run: np.ndarray, n: np.ndarray, percent: int):
 
 
 def mates(entries: DataFrame, percent: int, first: bool) -> DataFrame:
-    """Entries (run, hot, sid, n, pos, bits, size) whose token has a second set that they may be similar to, each set
-    once; size is the number of sets in the run. With ``first`` the token must be able to be the first common one. Of a
-    hot token all entries stay, as their mates may be in another part."""
-    names = ["run", "hot", "sid", "n", "pos", "bits"]
+    """Entries (run, hot, sid, n, pos, bits, wide, size) whose token has a second set that they may be similar to, each
+    set once; size is the number of sets in the run. With ``first`` the token must be able to be the first common one.
+    Of a hot token all entries stay, as their mates may be in another part."""
 
     def work(batches):
-        for t in runs(batches, ["run"]):
-            key = t.column("run").to_numpy()
+        for t in runs(batches, ["part"]):
+            key, *rest = _unpack(t)
             end = np.append(key[1:] != key[:-1], True)
-            t = t.filter(pa.array(~(end & np.append(True, end[:-1])) | t.column("hot").is_valid().to_numpy()))  # without runs of one
-            key, sid, n, pos, bits = _columns(t, "run", "sid", "n", "pos", "bits")
-            n, pos, run = n.astype(np.int64), pos.astype(np.int64), _run_of(key)
+            several = ~(end & np.append(True, end[:-1])) | rest[-2]  # without runs of one
+            key, (sid, bits, wide, n, pos, hot, token) = key[several], (x[several] for x in rest)
+            run = _run_of(key)
             order = np.lexsort((sid, run << 32 | n))
             order = order[np.append(True, (run[order][1:] != run[order][:-1]) | (sid[order][1:] != sid[order][:-1]))[: len(order)]]
             if len(order) == 0:
                 continue
-            hot = t.column("hot").is_valid().to_numpy()
-            sid, n, pos, bits, run, mate = (x[order] for x in (sid, n, pos, bits, run, hot))
+            key, sid, bits, wide, n, pos, hot, token, run = (x[order] for x in (key, sid, bits, wide, n, pos, hot, token, run))
+            mate = hot.copy()
             walk = _steps(run, n, percent)
             pair = next(walk, None)
             while pair is not None:
                 i, j = pair
                 open_ = ~(mate[i] & mate[j])
                 x, y = i[open_], j[open_]
-                ok = _possible(x, y, n, pos if first else None, bits, percent)
+                ok = _possible(x, y, n, pos if first else None, (bits, wide), percent)
                 mate[x[ok]] = mate[y[ok]] = True
                 # a set that has a mate is only needed for later ones that have none
                 waiting = np.bincount(run[~mate], minlength=int(run[-1]) + 1) > 0
@@ -275,12 +347,12 @@ def mates(entries: DataFrame, percent: int, first: bool) -> DataFrame:
                     pair = None
             at = np.flatnonzero(mate)
             size = np.bincount(run[at], minlength=int(run[-1]) + 1)[run[at]].astype(np.int32)
-            t = t.select(names).take(pa.array(order[at]))
-            yield from t.append_column("size", pa.array(size)).combine_chunks().to_batches()
+            columns = [key[at], pa.array(token[at], mask=~hot[at]), sid[at], n[at].astype(np.int32), pos[at].astype(np.int32), bits[at], wide[at], size]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["run", "hot", "sid", "n", "pos", "bits", "wide", "size"])
 
-    # one sort key: Spark sorts it by radix; sets are put in order within their runs only
-    dealt = entries.repartition("run").sortWithinPartitions("run")
-    return stored(dealt.mapInArrow(work, "run long, hot long, sid long, n int, pos int, bits long, size int"), "mates")
+    # few rows, of many entries each; sets are put in order within their runs only
+    kinds = "run long, hot long, sid long, n int, pos int, bits long, wide long, size int"
+    return stored(entries.sortWithinPartitions("part").mapInArrow(work, kinds), "mates")
 
 
 def clusters(shared: DataFrame, percent: int) -> DataFrame:
@@ -306,7 +378,7 @@ def hubs(shared: DataFrame, rank: DataFrame, percent: int, count: bool) -> DataF
 
     def work(batches):
         for t in runs(batches, ["run"]):
-            key, sid, n, bits, r1, r2 = _columns(t, "run", "sid", "n", "bits", "r1", "r2")
+            key, sid, n, bits, wide, r1, r2 = _columns(t, "run", "sid", "n", "bits", "wide", "r1", "r2")
             n, run = n.astype(np.int64), _run_of(key)
             left = np.lexsort((sid, r2, r1, run))
             for _ in range(4):
@@ -314,13 +386,13 @@ def hubs(shared: DataFrame, rank: DataFrame, percent: int, count: bool) -> DataF
                     break
                 first = np.append(True, run[left][1:] != run[left][:-1])
                 hub = left[np.flatnonzero(first)[np.cumsum(first) - 1]]
-                near = _possible(hub, left, n, None, bits, percent)
+                near = _possible(hub, left, n, None, (bits, wide), percent)
                 at = np.flatnonzero(near & ~first)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[left[at]], n[left[at]], sid[hub[at]], n[hub[at]])], names=["sid", "an", "g", "bn"])
                 left = left[~near & ~first]
 
-    rows = shared.select("run", "sid", "n", "bits").join(rank.select("sid", "r1", "r2").hint("merge"), "sid")
-    dealt = rows.select("run", "sid", "n", "bits", "r1", "r2").repartition("run").sortWithinPartitions("run")
+    rows = shared.select("run", "sid", "n", "bits", "wide").join(rank.select("sid", "r1", "r2").hint("merge"), "sid")
+    dealt = rows.select("run", "sid", "n", "bits", "wide", "r1", "r2").repartition("run").sortWithinPartitions("run")
     found = dealt.mapInArrow(work, "sid long, an long, g long, bn long").groupBy("sid", "an", "g", "bn").agg(F.count("*").alias("c"))
     return (found.where(_enough("c", percent)) if count else found).select("sid", "g")
 
@@ -336,18 +408,18 @@ def waiting(shared: DataFrame, state: DataFrame, percent: int, other: bool) -> D
 
     def work(batches):
         for t in runs(batches, ["run"]):
-            key, sid, n, pos, bits, cluster, cnt, label, r1, r2 = cols = _columns(t, "run", "sid", "n", "pos", "bits", "cluster", "cnt", "label", "r1", "r2")
+            key, sid, n, pos, bits, wide, cluster, cnt, label, r1, r2 = cols = _columns(t, "run", "sid", "n", "pos", "bits", "wide", "cluster", "cnt", "label", "r1", "r2")
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             low, high = np.minimum.reduceat(label, begin), np.maximum.reduceat(label, begin)
             size = np.diff(np.append(begin, len(key)))
             of_use = np.repeat((low < high) if other else (low == 0) & (size > 1), size)
             cols = [x[of_use] for x in cols]
             order = np.lexsort((cols[1], cols[2], _run_of(cols[0])))
-            key, sid, n, pos, bits, cluster, cnt, label, r1, r2 = (x[order] for x in cols)
+            key, sid, n, pos, bits, wide, cluster, cnt, label, r1, r2 = (x[order] for x in cols)
             n, pos, run = n.astype(np.int64), pos.astype(np.int64), _run_of(key)
             found = [np.zeros((2, 0), np.int64)]
             for i, j in _steps(run, n, percent):
-                ok = _possible(i, j, n, pos, bits, percent)
+                ok = _possible(i, j, n, pos, (bits, wide), percent)
                 before = (r1[i] < r1[j]) | ((r1[i] == r1[j]) & (r2[i] < r2[j]))
                 if other:
                     behind = -(-percent * np.maximum(n[i], n[j]) // 100) - 1
@@ -380,7 +452,7 @@ def set_tokens(docs: DataFrame, wanted: DataFrame, unit: Unit, order) -> DataFra
     """(sid, tokens) of the wanted sets (sid, tkey, number), read again from their texts; tokens in global order."""
 
     def work(batches):
-        levels, _ = order.value
+        levels = order.value[0]
         seen: set[int] = set()
         for batch, a, row, number, tokens, offsets, sid in _read(batches, unit):
             need = batch.column("numbers").slice(a, int(row.max()) + 1)
